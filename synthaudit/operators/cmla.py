@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,66 @@ def medoid_distances(zsyn: DataFrame, key: str, cols: list[str], med_rows: list)
     return zsyn.select(key, dmin.alias("dist"))
 
 
+@dataclass
+class CmlaReference:
+    """Real-side part of CMLA, shared by every candidate model."""
+    cols: list
+    profile: object
+    medoid_rows: list
+    threshold: float
+    k: int
+    calibration: str
+    distance_percentile: float
+    scaled_real: DataFrame
+    medoids: DataFrame
+    calibration_distances: DataFrame
+
+
+def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_percentile: float = 5.0,
+                  labels: str | None = None, calibration: str = "nearest_other", n_probes: int = 500,
+                  seed: int = 42) -> CmlaReference:
+    cols = numeric_columns(real, key)
+    if not cols:
+        raise ValueError("No numeric columns found.")
+    prof = zero_filled_profile(real, cols)
+    zr = zscore(real, prof, cols, key)
+    if labels is not None:
+        zr = zr.join(real.select(key, F.col(labels).alias("cluster")), key)
+        k = zr.select("cluster").distinct().count()
+    else:
+        k = max(1, min(n_clusters, prof.n_rows - 1))
+        cent = kmeans.fit(zr, key, cols, k, seed)
+        zr = kmeans.assign(zr, cols, cent)
+    med = medoids(zr, key, cols)
+    med_rows = med.join(zr.select(key, *cols), key).orderBy("cluster").collect()
+    if len(med_rows) > MAX_CLUSTERS:
+        raise ValueError(f"{len(med_rows)} medoids exceed {MAX_CLUSTERS}")
+    cal = calibration_distances(zr, key, cols, n_probes, seed, calibration)
+    t = cal.agg(F.percentile("dist", distance_percentile / 100.0)).first()[0]
+    return CmlaReference(cols, prof, med_rows, float(t) if t is not None else 0.0, k, calibration,
+                         distance_percentile, zr, med, cal)
+
+
+def score(ref: CmlaReference, syn: DataFrame, key: str, detail: bool = False):
+    missing = [c for c in ref.cols if c not in syn.columns]
+    if missing:
+        return failed_result("CMLA", f"synthetic table lacks {missing}")
+    zs = zscore(syn, ref.profile, ref.cols, key)
+    dist = medoid_distances(zs, key, ref.cols, ref.medoid_rows)
+    r = dist.agg(F.count_if(F.col("dist") < F.lit(ref.threshold)).alias("leak"),
+                 F.count(F.lit(1)).alias("n")).first()
+    n_leak, n_syn = int(r["leak"]), int(r["n"])
+    asr = n_leak / n_syn if n_syn else 0.0
+    if detail:
+        return {"scaled_real": ref.scaled_real, "scaled_syn": zs, "medoids": ref.medoids,
+                "calibration": ref.calibration_distances, "threshold": ref.threshold, "distances": dist,
+                "n_leaking": n_leak, "n_syn": n_syn, "k": ref.k}
+    return AttackResult(
+        "CMLA", asr, max(0.0, asr - 0.02), min(1.0, asr + 0.02), n_syn, False,
+        f"k={ref.k} | threshold={ref.threshold:.4f} (p{ref.distance_percentile:.0f} real-real, "
+        f"{ref.calibration}) | leaking={n_leak}/{n_syn}", n_leak, None)
+
+
 def cmla(real: DataFrame, syn: DataFrame, key: str, n_clusters: int = 10, distance_percentile: float = 5.0,
          labels: str | None = None, calibration: str = "nearest_other", n_probes: int = 500,
          seed: int = 42, detail: bool = False):
@@ -87,31 +149,7 @@ def cmla(real: DataFrame, syn: DataFrame, key: str, n_clusters: int = 10, distan
         missing = [c for c in cols if c not in syn.columns]
         if missing:
             return failed_result("CMLA", f"synthetic table lacks {missing}")
-        zr, zs, cols = scaled(real, syn, key, cols)
-        if labels is not None:
-            zr = zr.join(real.select(key, F.col(labels).alias("cluster")), key)
-            k = zr.select("cluster").distinct().count()
-        else:
-            n = zr.count()
-            k = max(1, min(n_clusters, n - 1))
-            cent = kmeans.fit(zr, key, cols, k, seed)
-            zr = kmeans.assign(zr, cols, cent)
-        med = medoids(zr, key, cols)
-        med_rows = med.join(zr.select(key, *cols), key).orderBy("cluster").collect()
-        cal = calibration_distances(zr, key, cols, n_probes, seed, calibration)
-        threshold = cal.agg(F.percentile("dist", distance_percentile / 100.0)).first()[0]
-        threshold = float(threshold) if threshold is not None else 0.0
-        dist = medoid_distances(zs, key, cols, med_rows)
-        r = dist.agg(F.count_if(F.col("dist") < F.lit(threshold)).alias("leak"),
-                     F.count(F.lit(1)).alias("n")).first()
-        n_leak, n_syn = int(r["leak"]), int(r["n"])
-        asr = n_leak / n_syn if n_syn else 0.0
-        if detail:
-            return {"scaled_real": zr, "scaled_syn": zs, "medoids": med, "calibration": cal,
-                    "threshold": threshold, "distances": dist, "n_leaking": n_leak, "n_syn": n_syn, "k": k}
-        return AttackResult(
-            "CMLA", asr, max(0.0, asr - 0.02), min(1.0, asr + 0.02), n_syn, False,
-            f"k={k} | threshold={threshold:.4f} (p{distance_percentile:.0f} real-real, {calibration}) | "
-            f"leaking={n_leak}/{n_syn}", n_leak, None)
+        ref = fit_reference(real, key, n_clusters, distance_percentile, labels, calibration, n_probes, seed)
+        return score(ref, syn, key, detail)
     except ValueError as exc:
         return failed_result("CMLA", str(exc))

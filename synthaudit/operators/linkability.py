@@ -28,12 +28,17 @@ def halves(cols: list[str], n_aux_cols: int | None = None):
     return cols[:n], cols[n:]
 
 
-def links(targets: DataFrame, syn: DataFrame, key: str, cols_a: list[str], cols_b: list[str],
+def target_rows(df: DataFrame, key: str, cols: list[str], n_attacks: int, seed: int = 42):
+    """The attack sample (≤ n_attacks rows, seeded hash order) as pandas."""
+    return first_n(df.select(key, *cols), key, n_attacks, seed).toPandas()
+
+
+def links(targets, syn: DataFrame, key: str, cols_a: list[str], cols_b: list[str],
           syn_bounds: dict | None = None) -> DataFrame:
     """Per target: nearest syn key on half A and on half B, and the link flag.
-    ``targets`` must be small (it is the attack sample)."""
+    ``targets`` is the bounded attack sample (pandas or a small DataFrame)."""
     cols = cols_a + cols_b
-    tp = targets.select(key, *cols).toPandas()
+    tp = targets if not isinstance(targets, DataFrame) else targets.select(key, *cols).toPandas()
     nums = [c for c in cols if is_numeric_type(syn.schema[c].dataType)]
     if syn_bounds is None:
         b = syn.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(nums)],
@@ -68,17 +73,26 @@ def linkability(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
     missing = [c for c in cols if c not in syn.columns]
     if missing:
         return failed_result("Linkability", f"synthetic table lacks {missing}")
-    tr = first_n(real, key, n_attacks, seed)
-    tc = first_n(control, key, n_attacks, seed)
+    tr = target_rows(real, key, cols, n_attacks, seed)
+    tc = target_rows(control, key, cols, n_attacks, seed)
+    return link_risk(tr, tc, syn, key, a, b, detail)
+
+
+def link_risk(tr, tc, syn: DataFrame, key: str, a: list[str], b: list[str], detail: bool = False):
+    """Risk from prepared target samples (shared across candidate models)."""
+    if not a or not b:
+        return failed_result("Linkability", "need at least two columns for two halves")
+    missing = [c for c in a + b if c not in syn.columns]
+    if missing:
+        return failed_result("Linkability", f"synthetic table lacks {missing}")
     lr = links(tr, syn, key, a, b)
     lc = links(tc, syn, key, a, b)
     if detail:
         return (lr.withColumn("target_set", F.lit("train"))
                 .unionByName(lc.withColumn("target_set", F.lit("control"))))
-    n = tr.count()
-    nc = tc.count()
+    n, nc = len(tr), len(tc)
     s = lr.where("linked").count()
     c = lc.where("linked").count()
     risk, lo, hi = residual_risk(s, c, n, nc)
     return AttackResult("Linkability", risk, lo, hi, n, False,
-                        f"aux_cols={len(a)}/{len(cols)} | n_success={s} | n_control_success={c}", s, c)
+                        f"aux_cols={len(a)}/{len(a) + len(b)} | n_success={s} | n_control_success={c}", s, c)
