@@ -27,14 +27,20 @@ def with_hash_order(df: DataFrame, key: str, seed: int = 42, name: str = "__h")
     return df.withColumn(name, hash_rank_key(seed, F.col(key)))
 
 
-def _kth_threshold(dfh: DataFrame, key: str, k: int):
-    """(h*, key*) of the k-th row (1-based) in (__h, key) order, or None."""
+def _kth_threshold(dfh: DataFrame, key: str, k):
+    """(h*, key*) of the k-th row (1-based) in (__h, key) order, or None.
+    ``k`` may be a function of the row count (known after the first
+    histogram, so the split needs no separate count)."""
     sub = dfh.select("__h", key)
     shift = 60
-    for _level in range(3):
+    for level in range(3):
         shift -= BUCKET_BITS
         b = F.shiftright("__h", shift)
         hist = sub.groupBy(b.alias("__b")).agg(F.count(F.lit(1)).alias("n")).orderBy("__b").collect()
+        if level == 0 and callable(k):
+            k = k(sum(r["n"] for r in hist))
+            if k <= 0:
+                return None
         total = 0
         chosen = None
         for row in hist:
@@ -81,13 +87,10 @@ def train_control_split(df: DataFrame, key: str, ratio: float = 0.5, seed: int =
     import math
 
     dfh = with_hash_order(df, key, seed)
-    n = n_rows if n_rows is not None else df.count()
-    cut = int(math.floor(n * ratio))
-    if cut <= 0:
+    t = _kth_threshold(dfh, key, lambda n: int(math.floor(n * ratio)))
+    if t is None:
         return df.limit(0), df
-    if cut >= n:
-        return df, df.limit(0)
-    h, kv = _kth_threshold(dfh, key, cut)
+    h, kv = t
     inside = _before_or_at(h, kv, key)
     return dfh.where(inside).drop("__h"), dfh.where(~inside).drop("__h")
 

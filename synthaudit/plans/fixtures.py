@@ -37,8 +37,23 @@ def facts(spark: SparkSession, data_dir: str) -> DataFrame:
                     "sum_qty", "sum_price", "o_orderstatus", "o_orderpriority", "c_mktsegment")
 
 
+_CACHE: dict = {}
+
+
+def cached_facts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``facts`` persisted once per session and folder (memory, spill to
+    disk; lost blocks are recomputed from lineage)."""
+    k = (id(spark), data_dir)
+    if k not in _CACHE:
+        _CACHE[k] = facts(spark, data_dir).persist()
+    return _CACHE[k]
+
+
 def split(spark: SparkSession, data_dir: str, ratio: float = 0.5, seed: int = 42):
-    return train_control_split(facts(spark, data_dir), KEY, ratio, seed)
+    k = (id(spark), data_dir, ratio, seed)
+    if k not in _CACHE:
+        _CACHE[k] = train_control_split(cached_facts(spark, data_dir), KEY, ratio, seed)
+    return _CACHE[k]
 
 
 def perturb(train: DataFrame) -> DataFrame:
@@ -97,3 +112,62 @@ f_syn AS (
     CASE WHEN row_key % 26 = 0 THEN 'OTHER' ELSE c_mktsegment END AS c_mktsegment
   FROM f_train)
 """
+
+
+# ---------------------------------------------------------------- raw input for cleaning
+RAW_KEY = "row_key"
+
+
+def raw_events(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``events`` with injected nulls, an all-null column, all-null rows
+    (``event_id % 97 = 0``), id-like names (``event_id``, ``width``), a
+    unique text column, padded labels and date text."""
+    e = read_table(spark, data_dir, "events")
+    k = F.col("event_id")
+    gone = (k % 97) == 0
+
+    def nul(cond, v):
+        return F.when(gone | cond, F.lit(None)).otherwise(v)
+
+    return e.select(
+        k.alias("row_key"),
+        nul(F.lit(False), k).alias("event_id"),
+        nul((k % 9) == 0, F.col("ts")).alias("ts"),
+        nul((k % 13) == 0, F.col("ts").cast("date").cast("string")).alias("day_text"),
+        nul((k % 11) == 0, F.when((k % 17) == 0, F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))
+            .otherwise(F.col("event_type"))).alias("event_type"),
+        nul((k % 7) == 0, F.col("value")).alias("value"),
+        nul(F.lit(False), F.col("props")).alias("props"),
+        nul(F.lit(False), F.concat(F.lit("user-"), k.cast("string"))).alias("user_name"),
+        F.lit(None).cast("double").alias("empty_col"),
+        nul(F.lit(False), F.col("user_id")).alias("width"))
+
+
+ORACLE_RAW = """
+WITH raw AS (
+  SELECT event_id AS row_key,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id END AS event_id,
+    CASE WHEN event_id % 97 = 0 OR event_id % 9 = 0 THEN NULL ELSE ts END AS ts,
+    CASE WHEN event_id % 97 = 0 OR event_id % 13 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS day_text,
+    CASE WHEN event_id % 97 = 0 OR event_id % 11 = 0 THEN NULL
+         WHEN event_id % 17 = 0 THEN '  ' || event_type || ' ' ELSE event_type END AS event_type,
+    CASE WHEN event_id % 97 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS value,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE props END AS props,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'user-' || CAST(event_id AS VARCHAR) END AS user_name,
+    CAST(NULL AS DOUBLE) AS empty_col,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS width
+  FROM events),
+r1 AS (SELECT * FROM raw WHERE NOT (event_id IS NULL AND ts IS NULL AND day_text IS NULL AND event_type IS NULL
+        AND value IS NULL AND props IS NULL AND user_name IS NULL AND empty_col IS NULL AND width IS NULL)),
+mode_et AS (SELECT event_type AS v FROM r1 WHERE event_type IS NOT NULL GROUP BY event_type
+            ORDER BY count(*) DESC, event_type LIMIT 1),
+med AS (SELECT median(value) AS m FROM r1),
+cleaned AS (SELECT row_key,
+   coalesce(last_value(ts IGNORE NULLS) OVER (ORDER BY row_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+            first_value(ts IGNORE NULLS) OVER (ORDER BY row_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ts,
+   coalesce(last_value(day_text IGNORE NULLS) OVER (ORDER BY row_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+            first_value(day_text IGNORE NULLS) OVER (ORDER BY row_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS day_text,
+   trim(coalesce(event_type, (SELECT v FROM mode_et))) AS event_type,
+   coalesce(value, (SELECT m FROM med)) AS value,
+   props FROM r1)
+"""
