@@ -93,18 +93,20 @@ def ffill_bfill(df: DataFrame, key: str, cols: list[str], n_rows: int | None = N
     n_rows = n_rows if n_rows is not None else df.count()
     db, _nb = key_buckets(df, key, n_rows)
     d = db
+    # Both directions are running frames (O(n) per bucket); a frame
+    # "current .. unbounded following" would be re-aggregated per row.
     w_pre = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    w_post = Window.partitionBy("__b").orderBy(key).rowsBetween(0, Window.unboundedFollowing)
+    w_post = Window.partitionBy("__b").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
     for c in cols:
-        d = d.withColumn(f"__f_{c}", F.last(c, True).over(w_pre)).withColumn(f"__g_{c}", F.first(c, True).over(w_post))
+        d = d.withColumn(f"__f_{c}", F.last(c, True).over(w_pre)).withColumn(f"__g_{c}", F.last(c, True).over(w_post))
     # one row per bucket: last / first non-null value (by key)
     per = db.groupBy("__b").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"__l_{c}") for c in cols],
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"__r_{c}") for c in cols])
     wb_pre = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    wb_post = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    wb_post = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select("__b", *[F.last(f"__l_{c}", True).over(wb_pre).alias(f"__p_{c}") for c in cols],
-                       *[F.first(f"__r_{c}", True).over(wb_post).alias(f"__n_{c}") for c in cols])
+                       *[F.last(f"__r_{c}", True).over(wb_post).alias(f"__n_{c}") for c in cols])
     d = d.join(F.broadcast(carry), "__b", "left")    # one row per bucket (≤ MAX_FILL_BUCKETS)
     out = []
     for c in df.columns:

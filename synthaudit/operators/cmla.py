@@ -100,10 +100,11 @@ def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_perc
     prof = zero_filled_profile(real, cols)
     zr = zscore(real, prof, cols, key)
     if labels is not None:
-        zr = zr.join(real.select(key, F.col(labels).alias("cluster")), key)
+        zr = zr.join(real.select(key, F.col(labels).alias("cluster")), key).persist()
         k = zr.select("cluster").distinct().count()
     else:
         k = max(1, min(n_clusters, prof.n_rows - 1))
+        zr = zr.persist()           # read once per Lloyd round
         cent = kmeans.fit(zr, key, cols, k, seed)
         zr = kmeans.assign(zr, cols, cent)
     med = medoids(zr, key, cols)

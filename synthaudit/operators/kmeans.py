@@ -48,14 +48,34 @@ def _kmeanspp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(centres)
 
 
-def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_iter: int = 20,
-        tol: float = 1e-6, init_sample: int = 10_000) -> np.ndarray:
-    """Return the k×p centre array."""
+def _lloyd_local(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: float = 1e-6) -> np.ndarray:
+    for _ in range(max_iter):
+        d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+        lab = d.argmin(axis=1)
+        new = centres.copy()
+        for j in range(len(centres)):
+            sel = x[lab == j]
+            if len(sel):
+                new[j] = sel.mean(axis=0)
+        shift = float(np.max(np.abs(new - centres)))
+        centres = new
+        if shift < tol:
+            break
+    return centres
+
+
+def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_iter: int = 10,
+        tol: float = 1e-4, init_sample: int = 10_000) -> np.ndarray:
+    """Return the k×p centre array.  Lloyd first converges on the seeded
+    sample (bounded, on the driver), then refines on all rows."""
     sample = first_n(df.select(key, *cols), key, init_sample, seed).toPandas()
     x = sample.sort_values(key)[cols].to_numpy(dtype="float64")
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
-    centres = _kmeanspp(x, k, rng)
+    centres = _lloyd_local(x, _kmeanspp(x, k, rng))
+    # convergence as the common k-means convention: total squared centre
+    # shift below tol × mean column variance
+    limit = tol * float(np.mean(np.var(x, axis=0))) if len(x) else 0.0
     for _ in range(max_iter):
         lab = nearest_label_expr(cols, centres)
         rows = (df.select(lab.alias("__c"), *cols).groupBy("__c")
@@ -63,9 +83,9 @@ def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_it
         new = centres.copy()
         for r in rows:
             new[int(r["__c"])] = [r[c] for c in cols]
-        shift = float(np.max(np.abs(new - centres)))
+        shift = float(np.sum((new - centres) ** 2))
         centres = new
-        if shift < tol:
+        if shift <= limit:
             break
     return centres
 

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from synthaudit.functions.shipping import ship_package
 
 MAX_QUERIES = 20_000       # size bound of the query set shipped to tasks
 _BIG = np.iinfo(np.int64).max
@@ -87,6 +88,7 @@ def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metric
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"query set of {len(queries)} rows exceeds {MAX_QUERIES}")
     spark = cands.sparkSession
+    ship_package(spark)
     if len(queries) == 0:
         fields = ", ".join(f"{m.name}_dist double, {m.name}_key long" for m in metrics)
         return spark.createDataFrame([], f"q_key long, {fields}")

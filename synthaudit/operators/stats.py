@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthaudit.functions.columns import feature_columns, numeric_columns
+from synthaudit.functions.shipping import ship_package
 
 # Above this many pairs the fused aggregate gets too wide for codegen.
 GRAM_PAIR_LIMIT = 120
@@ -108,6 +109,7 @@ def _gram_blocks(df: DataFrame, cols: list[str], means: dict) -> DataFrame:
             "sa": sx[iu, ju], "sb": sx.T[iu, ju], "saa": sxx[iu, ju], "sbb": sxx.T[iu, ju],
             "sab": sxy[iu, ju]})
 
+    ship_package(df.sparkSession)
     sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     schema = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
     summed = sel.mapInPandas(part, schema).groupBy("i", "j").agg(

@@ -53,14 +53,16 @@ class RealSide:
 
     def __init__(self, train: DataFrame, control: DataFrame, key: str, cfg: AuditConfig,
                  cluster_labels: str | None = None):
-        self.train, self.control, self.key, self.cfg = train, control, key, cfg
+        # persisted once: every attack and metric of every candidate reads them
+        self.train, self.control = train.persist(), control.persist()
+        self.key, self.cfg = key, cfg
         self.cols = feature_columns(train, key)
-        self.profile = stats.ColumnProfile.of(train, key)
+        self.profile = stats.ColumnProfile.of(self.train, key)
         self.corr_cols = stats.shared_numeric_columns(train, train, key)
         self.corr = stats.correlation_matrix(
-            train, cols=self.corr_cols, means={c: self.profile.mean[c] for c in self.corr_cols}).cache()
+            self.train, cols=self.corr_cols, means={c: self.profile.mean[c] for c in self.corr_cols}).cache()
         self.n_train = self.profile.n_rows
-        self.n_control = control.count()
+        self.n_control = self.control.count()
         self.half_a, self.half_b = lk.halves(self.cols)
         self.cluster_labels = cluster_labels
         self._cmla = None
