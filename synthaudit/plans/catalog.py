@@ -40,4 +40,4 @@ def oracle(body: str) -> str:
 
 
 # import the modules that register queries
-from synthaudit.plans import q_utility, q_attacks, q_audit, q_clean, q_sampling, q_synth, q_tstr  # noqa: E402,F401
+from synthaudit.plans import q_utility, q_attacks, q_audit, q_clean, q_sampling, q_synth, q_tstr, q_io  # noqa: E402,F401
