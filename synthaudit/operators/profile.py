@@ -49,8 +49,12 @@ def id_like(name: str, cfg: LoaderConfig) -> bool:
     default, whole ``_``-separated tokens with ``id_match="token"``)."""
     low = name.lower()
     if cfg.id_match == "token":
-        toks = set(low.replace("-", "_").split("_"))
-        return any(p.strip("_") in toks for p in cfg.drop_id_patterns)
+        toks = low.replace("-", "_").split("_")
+        for p in cfg.drop_id_patterns:
+            pt = p.strip("_").split("_")
+            if any(toks[i:i + len(pt)] == pt for i in range(len(toks) - len(pt) + 1)):
+                return True
+        return False
     return any(p in low for p in cfg.drop_id_patterns)
 
 

@@ -127,7 +127,8 @@ def _corr_from_sums(df: DataFrame) -> DataFrame:
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
     r = F.when((n > 1) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
     # clamp the last-bit overshoot of |r| > 1
-    r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))
+    # (greatest/least skip NULL, so clamp only defined values)
+    r = F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
     return df.select("col_a", "col_b", r.alias("corr"))
 
 
