@@ -83,6 +83,85 @@ def choose(preds: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return preds.withColumn("__o", h).orderBy("__o", "column_name", "kind", "syn_key").limit(n).drop("__o")
 
 
+TOPK_START = 4          # first candidate pool: 4 × n_attacks equality rows
+FULL_COUNT_CELLS = 20_000_000   # below this many syn cells, counting all values is cheaper
+MAX_POOL = 2_000_000    # beyond this pool size fall back to full value counts
+
+
+def special_predicates(syn: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``null`` / ``le`` / ``ge`` predicates isolating one row (≤ 3p rows),
+    from two aggregates over syn (no shuffle of rows)."""
+    nums = [c for c in cols if is_numeric_type(syn.schema[c].dataType)]
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.min(F.when(F.col(c).isNull(), F.col(key))).alias(f"zk{i}")]
+    for i, c in enumerate(nums):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    b = syn.agg(*aggs).first()
+    rows = [(c, "null", None, None, b[f"zk{i}"]) for i, c in enumerate(cols) if b[f"z{i}"] == 1]
+    if nums:
+        aggs2 = []
+        for i, c in enumerate(nums):
+            x = F.col(c).cast("double")
+            for kind, v in (("le", b[f"lo{i}"]), ("ge", b[f"hi{i}"])):
+                if v is None:
+                    continue
+                hit = x == F.lit(v)
+                aggs2 += [F.count_if(hit).alias(f"n_{kind}{i}"), F.min(F.when(hit, F.col(key))).alias(f"k_{kind}{i}")]
+        if aggs2:
+            r = syn.agg(*aggs2).first()
+            for i, c in enumerate(nums):
+                for kind, v in (("le", b[f"lo{i}"]), ("ge", b[f"hi{i}"])):
+                    if v is not None and r[f"n_{kind}{i}"] == 1:
+                        rows.append((c, kind, float(v), None, r[f"k_{kind}{i}"]))
+    return syn.sparkSession.createDataFrame(rows, PRED_SCHEMA)
+
+
+def choose_topk(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 42) -> DataFrame:
+    """Same result as ``choose(predicates(...), n)`` without counting every
+    value of syn.  Equality predicates are ordered by a hash of the row key,
+    known before counting: the ``m`` syn cells with the smallest hash are
+    taken (a top-k), and only their values are counted, through a broadcast
+    join of those ≤ m values with the unpivoted syn.  If fewer than ``n`` of
+    them are unique, ``m`` grows.  Exact: any unique value outside the pool
+    ranks after at least ``n`` unique values inside it."""
+    uv = unpivot_values(syn, key, cols)
+    isnull = F.col("vnum").isNull() & F.col("vstr").isNull()
+    uvh = uv.where(~isnull).withColumn("__o", hash_text(seed, F.col("column_name"), F.lit("eq"), F.col(key)))
+    spark = syn.sparkSession
+    special = special_predicates(syn, key, cols)
+    m = max(TOPK_START * n, 64)
+    while True:
+        pool = uvh.orderBy("__o", "column_name", key).limit(m).collect()
+        pdf = spark.createDataFrame([(r["column_name"], "eq", r["vnum"], r["vstr"], r[key]) for r in pool], PRED_SCHEMA)
+        vals = F.broadcast(pdf.select("column_name", "vnum", "vstr").distinct())
+        j = uv.join(vals, (uv.column_name == vals.column_name) & uv.vnum.eqNullSafe(vals.vnum)
+                    & uv.vstr.eqNullSafe(vals.vstr))
+        cnt = j.groupBy(vals.column_name, vals.vnum, vals.vstr).agg(F.count(F.lit(1)).alias("n"))
+        uniq = pdf.alias("p").join(cnt.where(F.col("n") == 1).alias("c"),
+                                   (F.col("p.column_name") == F.col("c.column_name"))
+                                   & F.col("p.vnum").eqNullSafe(F.col("c.vnum"))
+                                   & F.col("p.vstr").eqNullSafe(F.col("c.vstr")), "left_semi")
+        k = uniq.count()
+        if k >= n or len(pool) < m or m >= MAX_POOL:
+            break
+        m *= 4
+    if k < n and len(pool) >= m:          # pool capped: exact fallback on full counts
+        return choose(predicates(syn, key, cols), n, seed)
+    return choose(uniq.unionByName(special), n, seed)
+
+
+def choose_predicates(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 42,
+                      n_rows: int | None = None) -> DataFrame:
+    """The first ``n`` predicates; full value counts for small tables,
+    the top-k pool (no shuffle of all values) for large ones."""
+    n_rows = n_rows if n_rows is not None else syn.count()
+    if n_rows * len(cols) <= FULL_COUNT_CELLS:
+        return choose(predicates(syn, key, cols), n, seed)
+    return choose_topk(syn, key, cols, n, seed)
+
+
 def match_counts(chosen: DataFrame, target: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Number of ``target`` rows each chosen predicate matches:
     ``(column_name, kind, syn_key, n_match)``."""
@@ -129,7 +208,7 @@ def singling_out(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
         cols = [c for c in feature_columns(real, key) if c in syn.columns]
         if not cols:
             return failed_result("SinglingOut", "no shared columns")
-        chosen = choose(predicates(syn, key, cols), n_attacks, seed)
+        chosen = choose_predicates(syn, key, cols, n_attacks, seed)
         chosen_rows = chosen.collect()
         n = len(chosen_rows)
         if n == 0:

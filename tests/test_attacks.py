@@ -118,3 +118,16 @@ def test_kmeans_partition_independent(three):
     a = kmeans.fit(zr, "row_key", cols, 4, 42)
     b = kmeans.fit(zr.repartition(7), "row_key", cols, 4, 42)
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_topk_choice_equals_full_counts(three):
+    train, syn, _ctl = three
+    cols = [c for c in train.columns if c != "row_key"]
+    old = so.TOPK_START
+    so.TOPK_START = 1                        # force the pool to grow
+    try:
+        a = sorted(map(tuple, so.choose_topk(syn, "row_key", cols, 300).collect()))
+    finally:
+        so.TOPK_START = old
+    b = sorted(map(tuple, so.choose(so.predicates(syn, "row_key", cols), 300).collect()))
+    assert a == b and len(a) == 300
