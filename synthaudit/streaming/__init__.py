@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The audited workload is batch only — every input is a finite table and no
+operator has watermarks, windows over event time or state across batches.
+Structured Streaming would add no capability of the original tool, so no
+streaming operator is provided (see README, "Not built").
+"""
