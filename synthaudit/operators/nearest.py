@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from synthaudit.functions.shipping import ship_package
 
 MAX_QUERIES = 20_000       # size bound of the query set shipped to tasks
+MAX_CELLS = 4_000_000      # distance-matrix cells held at once per task
 _BIG = np.iinfo(np.int64).max
 
 
@@ -52,13 +53,11 @@ def _num_gower(q, c, scale):
 
 
 def _cat_codes(values, vocab):
-    out = np.full(len(values), -1, dtype=np.int64)
-    for i, v in enumerate(values):
-        if v is None or (isinstance(v, float) and np.isnan(v)):
-            out[i] = -2
-        else:
-            out[i] = vocab.get(v, -1)
-    return out
+    """Code of each value in ``vocab`` (-1 unknown, -2 NULL), vectorised."""
+    cats = list(vocab)
+    codes = pd.Categorical(pd.Series(values, dtype=object), categories=cats).codes.astype(np.int64)
+    nulls = pd.isna(pd.Series(values, dtype=object)).to_numpy()
+    return np.where(nulls, -2, codes)
 
 
 def _distances(metric: Metric, qdata: dict, cpdf: pd.DataFrame, vocabs: dict):
@@ -68,7 +67,7 @@ def _distances(metric: Metric, qdata: dict, cpdf: pd.DataFrame, vocabs: dict):
             cc = _cat_codes(cpdf[s.column].tolist(), vocabs[s.column])
             d = (qdata[s.column][:, None] != cc[None, :]).astype("float64")
         else:
-            cv = cpdf[s.column].to_numpy(dtype="float64", na_value=np.nan)
+            cv = pd.to_numeric(cpdf[s.column], errors="coerce").to_numpy(dtype="float64", na_value=np.nan)
             if s.kind == "num":
                 d = _num_gower(qdata[s.column], cv, s.scale)
             else:  # "sq"
@@ -112,7 +111,10 @@ def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metric
     def part(batches):
         best = {m.name: (np.full(nq, np.inf), np.full(nq, _BIG, dtype=np.int64)) for m in metrics}
         seen = False
-        for pdf in batches:
+        step = max(1, MAX_CELLS // max(1, nq))
+        chunks = (pdf.iloc[i:i + step] for batch in batches for i in range(0, len(batch), step)
+                  for pdf in [batch])
+        for pdf in chunks:
             if len(pdf) == 0:
                 continue
             seen = True

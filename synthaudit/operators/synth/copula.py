@@ -45,8 +45,14 @@ def _num_scores(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 
 def _cat_scores(vals, table) -> np.ndarray:
-    zmap = table["z"]
-    return np.array([zmap.get(v, 0.0) for v in vals], dtype="float64")
+    """Normal score of each category (NULL is a category), vectorised."""
+    known = [v for v in table["values"] if v is not None]
+    zs = np.array([table["z"][v] for v in known] + [0.0])
+    z_null = table["z"].get(None, 0.0)
+    ser = pd.Series(vals, dtype=object)
+    codes = pd.Categorical(ser, categories=known).codes
+    out = zs[np.where(codes < 0, len(known), codes)]
+    return np.where(pd.isna(ser).to_numpy(), z_null, out)
 
 
 @register
@@ -72,8 +78,11 @@ class GaussianCopula(Synthesizer):
         self.cat_tables = {}
         if self.cats:
             arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.cats])
+            cap = MAX_CATEGORIES * len(self.cats) + 1
             rows = (df.select(F.explode(arr).alias("e")).groupBy("e.c", "e.v")
-                    .agg(F.count(F.lit(1)).alias("n")).collect())
+                    .agg(F.count(F.lit(1)).alias("n")).limit(cap).collect())
+            if len(rows) >= cap:
+                raise ValueError(f"categorical columns exceed {MAX_CATEGORIES} categories")
             for c in self.cats:
                 items = sorted(((r_["v"], r_["n"]) for r_ in rows if r_["c"] == c),
                                key=lambda t: (t[0] is not None, t[0] or ""))
@@ -105,7 +114,7 @@ class GaussianCopula(Synthesizer):
                 for j, c in enumerate(nums):
                     z[:, j] = _num_scores(pdf[c].to_numpy(dtype="float64", na_value=np.nan), knots[c])
                 for j, c in enumerate(cats):
-                    z[:, len(nums) + j] = _cat_scores(pdf[c].tolist(), tables[c])
+                    z[:, len(nums) + j] = _cat_scores(pdf[c], tables[c])
                 s += z.T @ z
                 m += z.sum(axis=0)
                 cnt += len(pdf)
@@ -177,7 +186,7 @@ class GaussianCopula(Synthesizer):
                 for j, c in enumerate(cats):
                     t = tables[c]
                     idx = np.minimum(np.searchsorted(t["cum"], uu[:, len(nums) + j], "right"), len(t["values"]) - 1)
-                    out[c] = [t["values"][i] for i in idx]
+                    out[c] = np.asarray(t["values"], dtype=object)[idx]
                 yield pd.DataFrame(out)
 
         self_key = self.key

@@ -36,6 +36,7 @@ from synthaudit.operators.synth.base import Synthesizer, register
 
 MAX_DOMAIN = 1_000          # categories per column kept in the model
 NULL_CODE = "\u0000"        # code of NULL for categorical columns
+OTHER_CODE = "\u0001"       # code of the categories beyond MAX_DOMAIN
 # Exponents of the log-scale grid used to estimate bounds.
 GRID_EXP = range(-3, 13)
 
@@ -148,18 +149,21 @@ class DPTree(Synthesizer):
         eps_m = max(eps - spent, 1e-6)
         p = len(self.cols)
         codes = column_codes(df, self.nums, self.cats, bounds, bins)
+        # categorical domains: the MAX_DOMAIN most frequent values per column
+        # (a top-k per column), the rest share one OTHER code — so every
+        # table that reaches the driver is bounded by the domain sizes
+        dom = {c: [str(i) for i in range(bins + 1)] for c in self.nums}
+        if self.cats:
+            arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in self.cats])
+            cnt = (codes.select(F.explode(arr).alias("e")).groupBy("e.c", "e.v")
+                   .agg(F.count(F.lit(1)).alias("n")).persist())
+            for c in self.cats:
+                top = cnt.where(F.col("c") == c).orderBy(F.desc("n"), "v").limit(MAX_DOMAIN).collect()
+                vals = sorted(r["v"] for r in top)
+                dom[c] = vals + [OTHER_CODE]
+                codes = codes.withColumn(c, F.when(F.col(c).isin(*vals), F.col(c)).otherwise(F.lit(OTHER_CODE)))
+            cnt.unpersist()
         rows = marginal_counts(codes, self.cols).collect()
-        # domains
-        dom = {}
-        for c in self.nums:
-            dom[c] = [str(i) for i in range(bins + 1)]
-        one = {}
-        for r in rows:
-            if r["col_b"] == "":
-                one.setdefault(r["col_a"], {})[r["va"]] = r["n"]
-        for c in self.cats:
-            vals = sorted(one.get(c, {}), key=lambda v: -one[c][v])[:MAX_DOMAIN]
-            dom[c] = sorted(vals)
         idx = {c: {v: i for i, v in enumerate(dom[c])} for c in self.cols}
         e1 = eps_m / 3.0 / max(1, p)
         e2 = 2.0 * eps_m / 3.0 / max(1, p * (p - 1) // 2)
@@ -241,8 +245,8 @@ class DPTree(Synthesizer):
                     out[c] = np.where(b >= bins, np.nan, v)
                 for c in cols:
                     if c not in nums:
-                        vals = dom[c]
-                        out[c] = [None if vals[i] == NULL_CODE else vals[i] for i in codes[c]]
+                        vals = np.asarray([None if v in (NULL_CODE, OTHER_CODE) else v for v in dom[c]], dtype=object)
+                        out[c] = vals[codes[c]]
                 yield pd.DataFrame(out)
 
         schema = ", ".join([f"{key} long"] + [f"{c} double" for c in nums] + [f"{c} string" for c in cols if c not in nums])

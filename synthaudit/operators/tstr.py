@@ -59,8 +59,11 @@ def dummy_levels(real: DataFrame, cols: list[str]) -> dict:
     if not cols:
         return {}
     arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    cap = MAX_DUMMIES + len(cols) + 1
     rows = (real.select(F.explode(arr).alias("e")).where(F.col("e.v").isNotNull())
-            .groupBy("e.c", "e.v").count().collect())
+            .groupBy("e.c", "e.v").count().limit(cap).collect())
+    if len(rows) >= cap:
+        raise ValueError(f"one-hot encoding would exceed {MAX_DUMMIES} columns")
     out = {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols}
     if sum(max(0, len(v) - 1) for v in out.values()) > MAX_DUMMIES:
         raise ValueError(f"one-hot encoding would exceed {MAX_DUMMIES} columns")
