@@ -185,3 +185,21 @@ def passing_models(spark, d):
   greatest(singling_out_risk, linkability_risk, cmla_risk) > 0.1 AS above_risk_line FROM records"""))
 def tradeoff_points(spark, d):
     return au.tradeoff_points(records(spark, d))
+
+
+@query("winner_comparison", oracle(RECORDS_CTE + qu._corr_pairs_cte("f_train", "wr") + qu._corr_pairs_cte("f_syn", "ws_p")
+       + qu._corr_pairs_cte("f_train", "ws_c") + f"""
+, best AS (SELECT {_BEST} AS m)
+SELECT (SELECT m FROM best) AS model, wr.col_a, wr.col_b, round(wr.corr, 6) AS corr_real,
+  round(CASE WHEN (SELECT m FROM best) = 'copy' THEN ws_c.corr ELSE ws_p.corr END, 6) AS corr_syn
+FROM wr JOIN ws_p USING (col_a, col_b) JOIN ws_c USING (col_a, col_b)"""))
+def winner_comparison(spark, d):
+    """V3: real and winning synthetic correlation matrices side by side."""
+    from synthaudit.operators import stats
+
+    train, syn, _ctl = fx.three_way(spark, d)
+    best = au.recommend(records(spark, d))
+    table = {"perturbed": syn, "copy": train}[best]
+    c = stats.correlation_difference(train, table, key=fx.KEY)
+    return c.select(F.lit(best).alias("model"), "col_a", "col_b", rnd("corr_real").alias("corr_real"),
+                    rnd("corr_syn").alias("corr_syn"))
