@@ -10,12 +10,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 _SHIPPED: set = set()
+_LOCK = threading.Lock()
 
 
 def ship_package(spark) -> None:
+    with _LOCK:
+        _ship(spark)
+
+
+def _ship(spark) -> None:
     sc = spark.sparkContext
     ident = id(sc._jsc) if getattr(sc, "_jsc", None) is not None else id(sc)
     if ident in _SHIPPED:

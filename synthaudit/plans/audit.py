@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,19 @@ RECORD_SCHEMA = (
 RECORD_FIELDS = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
 
+PARALLEL_JOBS = 4   # independent Spark jobs submitted at once from the driver
+
+
+def run_parallel(tasks: dict, workers: int = PARALLEL_JOBS) -> dict:
+    """Run independent driver-side steps (each a set of Spark jobs) in
+    threads; Spark schedules their jobs concurrently."""
+    if workers <= 1 or len(tasks) <= 1:
+        return {k: f() for k, f in tasks.items()}
+    with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as ex:
+        futs = {k: ex.submit(f) for k, f in tasks.items()}
+        return {k: fu.result() for k, fu in futs.items()}
+
+
 @dataclass
 class Candidate:
     """A synthetic table to audit, or the reason it could not be made."""
@@ -74,6 +88,16 @@ class RealSide:
                              lk.target_rows(self.control, self.key, self.cols, n, self.cfg.random_seed))
         return self._targets
 
+    def prepare(self):
+        """Compute the lazily shared parts (targets, CMLA reference) together."""
+        run_parallel({"t": lambda: self.targets(self.cfg.n_attacks), "c": self._cmla_or_error})
+
+    def _cmla_or_error(self):
+        try:
+            return self.cmla_reference()
+        except ValueError:
+            return None
+
     def cmla_reference(self):
         if self._cmla is None:
             c = self.cfg
@@ -112,17 +136,24 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
     n_syn = syn.count()
     n_att = min(cfg.n_attacks, real.n_train, real.n_control, n_syn)      # T9
     pt, ut, w = cfg.privacy_thresholds, cfg.utility_thresholds, cfg.score_weights
-    so_r = so.singling_out(real.train, syn, real.control, key, n_att, cfg.random_seed)
     tr, tc = real.targets(cfg.n_attacks)
-    lk_r = lk.link_risk(tr.head(n_att), tc.head(n_att), syn, key, real.half_a, real.half_b)
-    try:
-        cm_r = cm.score(real.cmla_reference(), syn, key)
-    except ValueError as exc:
-        cm_r = failed_result("CMLA", str(exc))
+
+    def cmla_score():
+        try:
+            return cm.score(real.cmla_reference(), syn, key)
+        except ValueError as exc:
+            return failed_result("CMLA", str(exc))
+
+    res = run_parallel({
+        "so": lambda: so.singling_out(real.train, syn, real.control, key, n_att, cfg.random_seed),
+        "lk": lambda: lk.link_risk(tr.head(n_att), tc.head(n_att), syn, key, real.half_a, real.half_b),
+        "cm": cmla_score,
+        "u": lambda: evaluate(real.train, syn, key, cfg.target_col, profile=real.profile, real_corr=real.corr),
+    })
+    so_r, lk_r, cm_r, u = res["so"], res["lk"], res["cm"], res["u"]
     so_r.with_threshold(pt["singling_out"])
     lk_r.with_threshold(pt["linkability"])
     cm_r.with_threshold(pt["cmla"])
-    u = evaluate(real.train, syn, key, cfg.target_col, profile=real.profile, real_corr=real.corr)
     # Inclusive comparisons; an undefined similarity fails
     privacy_pass = so_r.passed_threshold and lk_r.passed_threshold and cm_r.passed_threshold
     utility_pass = (u.logic_consistency >= ut["logic_consistency"]
@@ -157,20 +188,23 @@ def records_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 
 def audit(train: DataFrame, control: DataFrame, candidates: list[Candidate], key: str,
-          cfg: AuditConfig | None = None, cluster_labels: str | None = None) -> DataFrame:
+          cfg: AuditConfig | None = None, cluster_labels: str | None = None,
+          real_side: "RealSide | None" = None) -> DataFrame:
     """O1: one record per candidate; failures isolated per candidate."""
     cfg = cfg or AuditConfig()
-    real = RealSide(train, control, key, cfg, cluster_labels)
-    records = []
-    for i, c in enumerate(candidates):
+    real = real_side if real_side is not None else RealSide(train, control, key, cfg, cluster_labels)
+    real.prepare()
+
+    def one(i, c):
         if c.error is not None or c.syn is None:
-            records.append(failed_record(c.name, c.error or "no synthetic table", c.config, i))
-            continue
+            return failed_record(c.name, c.error or "no synthetic table", c.config, i)
         try:
-            records.append(audit_pair(real, c.syn, c.name, c.config, i))
+            return audit_pair(real, c.syn, c.name, c.config, i)
         except Exception as exc:  # noqa: BLE001 - per-model isolation, as the reference
-            records.append(failed_record(c.name, f"Evaluation failed: {exc}", c.config, i))
-    return records_frame(train.sparkSession, records)
+            return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
+
+    out = run_parallel({i: (lambda i=i, c=c: one(i, c)) for i, c in enumerate(candidates)}, 2)
+    return records_frame(train.sparkSession, [out[i] for i in range(len(candidates))])
 
 
 # ----------------------------------------------------------------- ranking

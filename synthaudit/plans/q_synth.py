@@ -118,16 +118,25 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
     cfg = cfg or AuditConfig(models={"copula": {}, "privbayes": {"bounds": BOUNDS}, "ctgan": {"epochs": 300}})
     t0 = time.perf_counter()
     train, control = fx.split(spark, d, cfg.train_ratio, cfg.random_seed)
-    n_train = train.count()
-    cands = []
-    for name, kw in cfg.models.items():
+    real = au.RealSide(train, control, fx.KEY, cfg)
+    n_train = real.n_train
+
+    def make(name, kw):
+        conf = {k: v for k, v in kw.items() if k != "bounds"}
         try:
-            m = build(name, **kw).fit(train, fx.KEY)
-            syn = m.sample(n_train, seed=cfg.random_seed).cache()
-            cands.append(au.Candidate(name, syn, {k: v for k, v in kw.items() if k != "bounds"}))
+            m = build(name, **kw).fit(real.train, fx.KEY)
+            syn = m.sample(n_train, seed=cfg.random_seed).persist()
+            syn.count()
+            return au.Candidate(name, syn, conf)
         except (NotAvailable, ValueError, RuntimeError) as exc:
-            cands.append(au.Candidate(name, None, kw, f"Training failed: {exc}"))
-    recs = au.audit(train, control, cands, fx.KEY, cfg)
+            return au.Candidate(name, None, conf, f"Training failed: {exc}")
+
+    # generators fit while the real-side statistics are computed
+    tasks = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
+    tasks["__real"] = real.prepare
+    done = au.run_parallel(tasks)
+    cands = [done[name] for name in cfg.models]
+    recs = au.audit(real.train, real.control, cands, fx.KEY, cfg, real_side=real)
     return recs, time.perf_counter() - t0, cfg
 
 
