@@ -29,6 +29,13 @@ from synthaudit.operators.results import AttackResult, failed_result
 PRED_SCHEMA = "column_name string, kind string, vnum double, vstr string, syn_key long"
 
 
+def value_key(vnum, vstr):
+    """One non-null text key per value: ``n:<double>``, ``s:<text>``, ``null:``
+    (``+ 0.0`` folds −0.0 into 0.0; doubles print in round-trip form)."""
+    return (F.when(vnum.isNotNull(), F.concat(F.lit("n:"), (vnum + F.lit(0.0)).cast("string")))
+            .when(vstr.isNotNull(), F.concat(F.lit("s:"), vstr)).otherwise(F.lit("null:")))
+
+
 def unpivot_values(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """``(key, column_name, vnum, vstr)``: numerics as double, the rest as text."""
     items = []
@@ -43,8 +50,11 @@ def unpivot_values(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """``(column_name, vnum, vstr, n, min_key)`` per distinct value (NULL is a value)."""
-    return unpivot_values(df, key, cols).groupBy("column_name", "vnum", "vstr").agg(
+    """``(column_name, vkey, vnum, vstr, n, min_key)`` per distinct value
+    (NULL is a value), hash-partitioned on ``(column_name, vkey)``."""
+    u = unpivot_values(df, key, cols)
+    return u.groupBy("column_name", value_key(F.col("vnum"), F.col("vstr")).alias("vkey")).agg(
+        F.first("vnum").alias("vnum"), F.first("vstr").alias("vstr"),
         F.count(F.lit(1)).alias("n"), F.min(key).alias("min_key"))
 
 
@@ -225,20 +235,19 @@ def singling_out(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
 
 
 def singling_out_matches(real: DataFrame, syn: DataFrame, control: DataFrame, key: str) -> DataFrame:
-    """J7 over every equality predicate: per column_name, how many synthetic
+    """J7 over every equality predicate: per column, how many synthetic
     values occur once (``n_predicates``) and how many of them isolate
-    exactly one real / control row.  Both sides are value counts
-    partitioned on ``(column_name, value)``, so the joins reuse that shuffle."""
+    exactly one real / control row.  All three sides are value counts
+    hash-partitioned on ``(column_name, vkey)``; the equi-joins on the same
+    keys reuse that partitioning (no further exchange)."""
     cols = [c for c in feature_columns(real, key) if c in syn.columns]
-    isnull = F.col("vnum").isNull() & F.col("vstr").isNull()
-    sv = value_counts(syn, key, cols).where((F.col("n") == 1) & ~isnull).select("column_name", "vnum", "vstr")
+    sv = (value_counts(syn, key, cols).where((F.col("n") == 1) & (F.col("vkey") != "null:"))
+          .select("column_name", "vkey"))
     out = sv
     for name, t in (("train", real), ("control", control)):
         tv = value_counts(t, key, cols).where(F.col("n") == 1).select(
-            "column_name", "vnum", "vstr", F.lit(1).alias(f"hit_{name}"))
-        out = out.alias("o").join(
-            tv.alias("t"), (F.col("o.column_name") == F.col("t.column_name")) & F.col("o.vnum").eqNullSafe(F.col("t.vnum"))
-            & F.col("o.vstr").eqNullSafe(F.col("t.vstr")), "left").select("o.*", f"t.hit_{name}")
+            "column_name", "vkey", F.lit(1).alias(f"hit_{name}"))
+        out = out.join(tv, ["column_name", "vkey"], "left")
     return out.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_predicates"),
         F.count("hit_train").alias("hits_train"),
