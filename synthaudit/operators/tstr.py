@@ -94,6 +94,23 @@ def stratified_folds(df: DataFrame, key: str, label: str, seed: int = 42, k: int
     return ranked.drop("__h", "__bk", "__off")
 
 
+def majority_fold_accuracy(folded: DataFrame, label: str, k: int = N_FOLDS) -> DataFrame:
+    """G17 with the majority-class predictor: for each fold, predict the most
+    frequent label of the other folds (smallest on ties) and score the fold.
+    Works on the (fold, label) counts only."""
+    counts = folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n"))
+    tot = counts.groupBy(label).agg(F.sum("n").alias("t"))
+    rest = counts.join(tot, label).select("fold", label, (F.col("t") - F.col("n")).alias("rest"))
+    # (fold, label) rows are at most folds × classes: the window below is tiny
+    w = Window.partitionBy("fold").orderBy(F.desc("rest"), F.asc(label))
+    pred = (rest.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
+            .select("fold", F.col(label).alias("pred")))
+    size = counts.groupBy("fold").agg(F.sum("n").alias("size"))
+    hit = counts.join(pred, "fold").where(F.col(label) == F.col("pred")).select("fold", F.col("n").alias("hit"))
+    return (size.join(hit, "fold", "left").join(pred, "fold")
+            .select("fold", "pred", (F.coalesce("hit", F.lit(0)) / F.col("size")).alias("accuracy")))
+
+
 def _forest(seed: int = 42, trees: int = 100):
     from pyspark.ml.classification import RandomForestClassifier
 

@@ -36,7 +36,8 @@ RECORD_SCHEMA = (
     "privacy_score double, composite_score double, privacy_pass boolean, utility_pass boolean, "
     "overall_pass boolean, model_config string, violation_breakdown string, cmla_notes string, "
     "notes string, config_order int, so_ci_lower double, so_ci_upper double, "
-    "link_ci_lower double, link_ci_upper double")
+    "link_ci_lower double, link_ci_upper double, so_n bigint, so_s bigint, so_c bigint, "
+    "lk_n bigint, lk_s bigint, lk_c bigint")
 RECORD_FIELDS = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
 
@@ -178,6 +179,8 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
         "cmla_notes": cm_r.notes, "notes": f"{so_r.notes} ; {lk_r.notes}", "config_order": order,
         "so_ci_lower": so_r.ci_lower, "so_ci_upper": so_r.ci_upper,
         "link_ci_lower": lk_r.ci_lower, "link_ci_upper": lk_r.ci_upper,
+        "so_n": so_r.n_attacks_run, "so_s": so_r.n_success, "so_c": so_r.n_control_success,
+        "lk_n": lk_r.n_attacks_run, "lk_s": lk_r.n_success, "lk_c": lk_r.n_control_success,
     }
 
 
@@ -259,6 +262,22 @@ def recommend(records: DataFrame) -> str | None:
     return r["model"]
 
 
+def attack_risk(records: DataFrame) -> DataFrame:
+    """G13 as column expressions: residual risk and Wilson interval of every
+    (model, attack) from the stored success counts."""
+    from synthaudit.functions.risk import residual_risk_cols
+
+    rows = records.where(F.col("so_n").isNotNull()).select(
+        "model", F.explode(F.array(
+            F.struct(F.lit("SinglingOut").alias("attack_name"), F.col("so_n").alias("n"),
+                     F.col("so_s").alias("s"), F.col("so_c").alias("c")),
+            F.struct(F.lit("Linkability").alias("attack_name"), F.col("lk_n").alias("n"),
+                     F.col("lk_s").alias("s"), F.col("lk_c").alias("c")))).alias("a")).select("model", "a.*")
+    r, lo, hi = residual_risk_cols(F.col("s"), F.col("c"), F.col("n"))
+    return rows.select("model", "attack_name", "n", "s", "c", r.alias("risk_score"), lo.alias("ci_lower"),
+                       hi.alias("ci_upper"))
+
+
 def tradeoff_points(records: DataFrame, risk_line: float = 0.1) -> DataFrame:
     """V2: privacy/utility trade-off data with the risk line."""
     max_risk = F.greatest("singling_out_risk", "linkability_risk", "cmla_risk")
@@ -270,7 +289,8 @@ def summary(records: DataFrame, cfg: AuditConfig, runtime: float) -> DataFrame:
     """One-row nested summary (results array + run config)."""
     best = recommend(records)
     passed = records.where("overall_pass").limit(1).count() > 0
-    res = records.drop("config_order", "so_ci_lower", "so_ci_upper", "link_ci_lower", "link_ci_upper")
+    res = records.drop("config_order", "so_ci_lower", "so_ci_upper", "link_ci_lower", "link_ci_upper",
+                       "so_n", "so_s", "so_c", "lk_n", "lk_s", "lk_c")
     res = res.withColumn("is_recommended", F.col("model") == F.lit(best) if best else F.lit(False))
     agg = res.agg(F.collect_list(F.struct(*res.columns)).alias("results"))
     return agg.select(

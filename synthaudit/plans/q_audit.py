@@ -203,3 +203,17 @@ def winner_comparison(spark, d):
     c = stats.correlation_difference(train, table, key=fx.KEY)
     return c.select(F.lit(best).alias("model"), "col_a", "col_b", rnd("corr_real").alias("corr_real"),
                     rnd("corr_syn").alias("corr_syn"))
+
+
+_RISK_ROWS = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, '{a}' AS attack_name, CAST({p}_{t}.n AS BIGINT) AS n, CAST({p}_{t}.s AS BIGINT) AS s, "
+    f"CAST({p}_{t}.c AS BIGINT) AS c, round({p}_{t}.risk, 6) AS risk_score, round({p}_{t}.lo, 6) AS ci_lower, "
+    f"round({p}_{t}.hi, 6) AS ci_upper FROM {p}_{t}"
+    for m, p in (("perturbed", "pz"), ("copy", "cp")) for a, t in (("SinglingOut", "sor"), ("Linkability", "lkr")))
+
+
+@query("attack_risk", oracle(RECORDS_CTE + _RISK_ROWS))
+def attack_risk(spark, d):
+    r = au.attack_risk(records(spark, d))
+    return r.select("model", "attack_name", "n", "s", "c", rnd("risk_score").alias("risk_score"),
+                    rnd("ci_lower").alias("ci_lower"), rnd("ci_upper").alias("ci_upper"))
