@@ -100,7 +100,10 @@ def majority_fold_accuracy(folded: DataFrame, label: str, k: int = N_FOLDS) -> D
     Works on the (fold, label) counts only."""
     counts = folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n"))
     tot = counts.groupBy(label).agg(F.sum("n").alias("t"))
-    rest = counts.join(tot, label).select("fold", label, (F.col("t") - F.col("n")).alias("rest"))
+    # every (fold, label): labels absent from a fold still predict for it
+    grid = tot.select(label, "t", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold"))
+    rest = (grid.join(counts, ["fold", label], "left")
+            .select("fold", label, (F.col("t") - F.coalesce(F.col("n"), F.lit(0))).alias("rest")))
     # (fold, label) rows are at most folds × classes: the window below is tiny
     w = Window.partitionBy("fold").orderBy(F.desc("rest"), F.asc(label))
     pred = (rest.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
