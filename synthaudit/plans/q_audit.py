@@ -68,16 +68,16 @@ def _record_select(model: str, p: str, order: int) -> str:
   round({r}.so_hi, 6) AS so_ci_upper, round({r}.lk_risk, 4) AS linkability_risk, round({r}.lk_lo, 6) AS link_ci_lower,
   round({r}.lk_hi, 6) AS link_ci_upper, round({r}.cm_risk, 4) AS cmla_risk,
   round({r}.csim, 4) AS correlation_similarity, round({r}.lcons, 4) AS logic_consistency,
-  -1.0 AS tstr_score, -1.0 AS tstr_baseline, -1.0 AS tstr_gap, round({r}.cutil, 4) AS composite_utility,
+  CAST(-1.0 AS DOUBLE) AS tstr_score, CAST(-1.0 AS DOUBLE) AS tstr_baseline, CAST(-1.0 AS DOUBLE) AS tstr_gap, round({r}.cutil, 4) AS composite_utility,
   round({priv}, 4) AS privacy_score, round(0.5 * {priv} + 0.5 * {r}.cutil, 4) AS composite_score,
   {pp} AS privacy_pass, {up} AS utility_pass, {pp} AND {up} AS overall_pass, {order} AS config_order
   FROM {r}"""
 
 
-FAILED_SELECT = """SELECT 'truncated' AS model, 1.0 AS singling_out_risk, 1.0 AS so_ci_lower, 1.0 AS so_ci_upper,
-  1.0 AS linkability_risk, 1.0 AS link_ci_lower, 1.0 AS link_ci_upper, 1.0 AS cmla_risk,
-  0.0 AS correlation_similarity, 0.0 AS logic_consistency, -1.0 AS tstr_score, -1.0 AS tstr_baseline,
-  -1.0 AS tstr_gap, 0.0 AS composite_utility, 0.0 AS privacy_score, 0.0 AS composite_score,
+FAILED_SELECT = """SELECT 'truncated' AS model, CAST(1.0 AS DOUBLE) AS singling_out_risk, CAST(1.0 AS DOUBLE) AS so_ci_lower, CAST(1.0 AS DOUBLE) AS so_ci_upper,
+  CAST(1.0 AS DOUBLE) AS linkability_risk, CAST(1.0 AS DOUBLE) AS link_ci_lower, CAST(1.0 AS DOUBLE) AS link_ci_upper, CAST(1.0 AS DOUBLE) AS cmla_risk,
+  CAST(0.0 AS DOUBLE) AS correlation_similarity, CAST(0.0 AS DOUBLE) AS logic_consistency, CAST(-1.0 AS DOUBLE) AS tstr_score, CAST(-1.0 AS DOUBLE) AS tstr_baseline,
+  CAST(-1.0 AS DOUBLE) AS tstr_gap, CAST(0.0 AS DOUBLE) AS composite_utility, CAST(0.0 AS DOUBLE) AS privacy_score, CAST(0.0 AS DOUBLE) AS composite_score,
   false AS privacy_pass, false AS utility_pass, false AS overall_pass, 2 AS config_order"""
 
 RECORDS_CTE = (audit_cte("f_syn", "pz") + audit_cte("f_train", "cp") + ", records AS (" + _record_select("perturbed", "pz", 0)

@@ -115,7 +115,7 @@ def logic_consistency(spark, d):
 @query("utility_report", oracle(SIM_CTE + LOGIC_SCORE_CTE + """
 SELECT round(sim.correlation_similarity, 6) AS correlation_similarity,
        round(lgs.logic_consistency, 6) AS logic_consistency,
-       -1.0 AS tstr_score, -1.0 AS tstr_baseline, -1.0 AS tstr_gap,
+       CAST(-1.0 AS DOUBLE) AS tstr_score, CAST(-1.0 AS DOUBLE) AS tstr_baseline, CAST(-1.0 AS DOUBLE) AS tstr_gap,
        round(0.5 * sim.correlation_similarity + 0.5 * lgs.logic_consistency, 6) AS composite_utility
 FROM sim, lgs"""))
 def utility_report_q(spark, d):
