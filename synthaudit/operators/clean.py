@@ -35,30 +35,45 @@ MAX_FILL_BUCKETS = 100_000
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """Exact median (mean of the two middle values)."""
+    """Exact median (mean of the two middle values).
+
+    Narrow a bracket ``[lo, hi]`` around the middle ranks with
+    ``percentile_approx`` and exact counts, until at most ``EXACT_ROWS``
+    rows remain; those are ranked.  A bracket that misses is widened, a
+    bracket of one repeated value answers at once, and if ties keep the
+    bracket large Spark's exact ``percentile`` runs on the bracket only."""
     x = F.col(col).cast("double")
     base = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     n = base.count()
     if n == 0:
         return None
     lo_rank, hi_rank = (n - 1) // 2, n // 2          # 0-based ranks wanted
-    cur, offset, size = base, 0, n
-    for _ in range(6):
+    cur, offset, size, eps = base, 0, n, 0.01
+    for _ in range(12):
         if size <= EXACT_ROWS:
-            break
-        p_lo = max(0.0, (lo_rank - offset) / size - 0.01)
-        p_hi = min(1.0, (hi_rank - offset) / size + 0.01)
+            need = hi_rank - offset + 1
+            vals = [row["v"] for row in cur.orderBy("v").limit(need).collect()]
+            return (vals[lo_rank - offset] + vals[hi_rank - offset]) / 2.0
+        p_lo = max(0.0, (lo_rank - offset) / size - eps)
+        p_hi = min(1.0, (hi_rank - offset) / size + eps)
         lo, hi = cur.agg(F.percentile_approx("v", [p_lo, p_hi], 10_000)).first()[0]
         r = cur.agg(F.count_if(F.col("v") < lo).alias("b"),
                     F.count_if((F.col("v") >= lo) & (F.col("v") <= hi)).alias("i")).first()
-        if not (offset + r["b"] <= lo_rank and hi_rank < offset + r["b"] + r["i"]):
-            break                                       # bracket missed: rank what we have
+        inside = offset + r["b"] <= lo_rank and hi_rank < offset + r["b"] + r["i"]
+        if not inside:
+            eps *= 4                                    # approximate bracket missed: widen
+            continue
+        if lo == hi:                                    # both middle ranks hold this value
+            return float(lo)
+        if r["i"] >= size:                              # no progress (ties): exact on the bracket
+            break
         cur = cur.where((F.col("v") >= lo) & (F.col("v") <= hi))
         offset += r["b"]
         size = r["i"]
-    need = hi_rank - offset + 1
-    vals = [row["v"] for row in cur.orderBy("v").limit(need).collect()]
-    return (vals[lo_rank - offset] + vals[hi_rank - offset]) / 2.0
+    ranks = [(lo_rank - offset) / max(size - 1, 1), (hi_rank - offset) / max(size - 1, 1)]
+    got = cur.agg(F.percentile("v", F.array(*[F.lit(min(1.0, max(0.0, q))) for q in ranks]))).first()[0]
+    # percentile interpolates; at integral positions it returns the ranked values
+    return (got[0] + got[1]) / 2.0
 
 
 def mode_value(df: DataFrame, col: str):

@@ -95,7 +95,7 @@ def choose(preds: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 TOPK_START = 4          # first candidate pool: 4 × n_attacks equality rows
 FULL_COUNT_CELLS = 20_000_000   # below this many syn cells, counting all values is cheaper
-MAX_POOL = 2_000_000    # beyond this pool size fall back to full value counts
+MAX_POOL = 256_000      # beyond this pool size fall back to full value counts
 
 
 def special_predicates(syn: DataFrame, key: str, cols: list[str]) -> DataFrame:

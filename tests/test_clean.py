@@ -156,3 +156,14 @@ def test_semantic_types_and_overrides(spark):
     st = {r.column: r.sdtype for r in pf.semantic_type(df, "k", overrides={"x": "categorical", "nope": "id"}).collect()}
     assert st == {"ident": "id", "small": "categorical", "x": "categorical", "name": "id", "grp": "categorical",
                   "flag": "boolean", "day": "datetime"}
+
+
+def test_median_heavy_ties(spark):
+    vals = [5.0] * 3000 + [1.0] * 1000 + [9.0] * 999
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k long, v double")
+    old = cl.EXACT_ROWS
+    cl.EXACT_ROWS = 100
+    try:
+        assert cl.exact_median(df, "v") == 5.0
+    finally:
+        cl.EXACT_ROWS = old
