@@ -18,7 +18,8 @@ def test_contract_keys():
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 1 and set(df.columns) >= {"correlation_similarity", "logic_consistency", "composite_utility"}
+    assert len(rows) == 1 and set(df.columns) >= {"model", "singling_out_risk", "linkability_risk", "cmla_risk",
+                                                  "correlation_similarity", "composite_score", "overall_pass"}
 
 
 def _norm(v):
