@@ -117,7 +117,14 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
     rows → audit every candidate → records (failed generators get a row)."""
     cfg = cfg or AuditConfig(models={"copula": {}, "privbayes": {"bounds": BOUNDS}, "ctgan": {"epochs": 300}})
     t0 = time.perf_counter()
-    train, control = fx.split(spark, d, cfg.train_ratio, cfg.random_seed)
+    if cfg.max_rows:
+        # The reference's optional row cap, then the same split
+        from synthaudit.operators.sampling import sample_n, train_control_split
+
+        capped = sample_n(fx.cached_facts(spark, d), fx.KEY, cfg.max_rows, cfg.random_seed)
+        train, control = train_control_split(capped, fx.KEY, cfg.train_ratio, cfg.random_seed)
+    else:
+        train, control = fx.split(spark, d, cfg.train_ratio, cfg.random_seed)
     real = au.RealSide(train, control, fx.KEY, cfg)
     n_train = real.n_train
 
@@ -146,6 +153,19 @@ def audit_end_to_end(spark, d):
     return au.rank_models(recs)
 
 
+# The reference's saved run: cap 2,000 rows, five generators requested.
+REFERENCE_RUN = AuditConfig(max_rows=2000, models={
+    "copula": {}, "ctgan": {"epochs": 300, "batch_size": 500}, "tvae": {"epochs": 300, "batch_size": 500},
+    "privbayes": {"epsilon": 1.0, "bounds": BOUNDS}, "pategan": {"epsilon": 1.0}})
+
+
+@query("audit_reference_run")
+def audit_reference_run(spark, d):
+    """O1 with the reference's run configuration (row cap is the feature)."""
+    recs, _t, _cfg = end_to_end(spark, d, REFERENCE_RUN)
+    return au.rank_models(recs)
+
+
 @query("summary_json")
 def summary_json(spark, d):
     recs, t, cfg = end_to_end(spark, d)
