@@ -106,7 +106,7 @@ def ffill_bfill(df: DataFrame, key: str, cols: list[str], n_rows: int | None = N
     if not cols:
         return df
     n_rows = n_rows if n_rows is not None else df.count()
-    db, _nb = key_buckets(df, key, n_rows)
+    db, nb = key_buckets(df, key, n_rows)
     d = db
     # Both directions are running frames (O(n) per bucket); a frame
     # "current .. unbounded following" would be re-aggregated per row.
@@ -114,6 +114,9 @@ def ffill_bfill(df: DataFrame, key: str, cols: list[str], n_rows: int | None = N
     w_post = Window.partitionBy("__b").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
     for c in cols:
         d = d.withColumn(f"__f_{c}", F.last(c, True).over(w_pre)).withColumn(f"__g_{c}", F.last(c, True).over(w_post))
+    if nb == 1:                                        # one bucket: nothing to carry
+        return d.select(*[F.coalesce(F.col(f"__f_{c}"), F.col(f"__g_{c}")).alias(c) if c in cols else F.col(c)
+                          for c in df.columns])
     # one row per bucket: last / first non-null value (by key)
     per = db.groupBy("__b").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"__l_{c}") for c in cols],
