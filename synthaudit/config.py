@@ -1,10 +1,10 @@
-"""Run and loader configuration (defaults follow the reference's run)."""
+"""Run and loader configuration (defaults follow the original tool's run)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Defaults that must equal the reference's for the same results.
+# Defaults that must equal the original tool's for the same results.
 ID_PATTERNS = ("id", "_id", "uuid", "index", "row_num")
 HIGH_CARDINALITY_THRESHOLD = 0.5
 MIN_ROWS_AFTER_CLEANING = 50

@@ -187,7 +187,7 @@ def correlation_difference(real: DataFrame, syn: DataFrame, key: str | None = No
 
 def zscore(df: DataFrame, profile: ColumnProfile, cols: list[str], key: str | None = None,
            fill_zero: bool = True) -> DataFrame:
-    """``(x − mean)/std_pop`` with the *reference* table's statistics;
+    """``(x − mean)/std_pop`` with the *real* table's statistics;
     NULL → 0 first; zero std divides by 1."""
     out = [F.col(key)] if key else []
     for c in cols:

@@ -12,7 +12,7 @@
 * TSTR: a random forest (100 trees, seed 42) fitted on all synthetic rows,
   accuracy on each real fold, averaged (G17).  TRTR: the same forest
   fitted on four real folds, scored on the fifth.  gap = max(0, TRTR−TSTR).
-  (Decision D2: the reference's cross-validation refits on real, so its
+  (Decision D2: the original tool's cross-validation refits on real, so its
   TSTR equals TRTR; here TSTR is what it is documented to be.)
 """
 

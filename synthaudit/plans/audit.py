@@ -203,7 +203,7 @@ def audit(train: DataFrame, control: DataFrame, candidates: list[Candidate], key
             return failed_record(c.name, c.error or "no synthetic table", c.config, i)
         try:
             return audit_pair(real, c.syn, c.name, c.config, i)
-        except Exception as exc:  # noqa: BLE001 - per-model isolation, as the reference
+        except Exception as exc:  # noqa: BLE001 - per-model isolation, as the original tool
             return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
 
     out = run_parallel({i: (lambda i=i, c=c: one(i, c)) for i, c in enumerate(candidates)}, 2)

@@ -13,7 +13,7 @@ ORDER = "md5('42|' || CAST(row_key AS VARCHAR)), row_key"
 
 @query("sample_n", oracle(f"SELECT row_key FROM facts ORDER BY {ORDER} LIMIT 2000"))
 def sample_n(spark, d):
-    """T1 with the reference's cap of 2,000 rows (top-k path)."""
+    """T1 with the original tool's cap of 2,000 rows (top-k path)."""
     return sp.sample_n(fx.cached_facts(spark, d), fx.KEY, 2000).select(fx.KEY)
 
 

@@ -118,7 +118,7 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
     cfg = cfg or AuditConfig(models={"copula": {}, "privbayes": {"bounds": BOUNDS}, "ctgan": {"epochs": 300}})
     t0 = time.perf_counter()
     if cfg.max_rows:
-        # The reference's optional row cap, then the same split
+        # The original tool's optional row cap, then the same split
         from synthaudit.operators.sampling import sample_n, train_control_split
 
         capped = sample_n(fx.cached_facts(spark, d), fx.KEY, cfg.max_rows, cfg.random_seed)
@@ -161,7 +161,7 @@ REFERENCE_RUN = AuditConfig(max_rows=2000, models={
 
 @query("audit_reference_run")
 def audit_reference_run(spark, d):
-    """O1 with the reference's run configuration (row cap is the feature)."""
+    """O1 with the original tool's run configuration (row cap is the feature)."""
     recs, _t, _cfg = end_to_end(spark, d, REFERENCE_RUN)
     return au.rank_models(recs)
 
