@@ -70,7 +70,7 @@ def logic_score(agg: DataFrame) -> DataFrame:
 
 
 def breakdown_map(agg: DataFrame) -> DataFrame:
-    """The reference's ``{key: n}`` map of positive counts (MAP<STRING,BIGINT>)."""
+    """The original tool's ``{key: n}`` map of positive counts (MAP<STRING,BIGINT>)."""
     pos = F.filter("checks", lambda s: s["n"] > 0)
     return agg.select(F.map_from_entries(
         F.transform(pos, lambda s: F.struct(s["violation_key"], s["n"]))).alias("violation_breakdown"))

@@ -156,7 +156,7 @@ def profile(df: DataFrame, key: str | None = None, cfg: LoaderConfig | None = No
             if ratio > cfg.high_cardinality_threshold:
                 plan.high_card.append(c)
                 del info[c]
-    # kinds of the survivors (R8 before R6, as the reference)
+    # kinds of the survivors (R8 before R6, as the original tool)
     probe = datetime_probe(df, key, [c for c in info if is_categorical(df.schema[c].dataType)]) if key else {}
     for c, ci in info.items():
         dt = df.schema[c].dataType

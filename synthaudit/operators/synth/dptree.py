@@ -1,6 +1,6 @@
 """Differentially private spanning-tree synthesizer.
 
-Registered as ``privbayes`` (the reference's name for its spanning-tree
+Registered as ``privbayes`` (the original tool's name for its spanning-tree
 model).  Fit:
 * numeric columns are cut into ``bins`` equal bins between declared
   bounds; bounds not declared are estimated with the preprocessing budget

@@ -153,7 +153,7 @@ def audit_end_to_end(spark, d):
     return au.rank_models(recs)
 
 
-# The reference's saved run: cap 2,000 rows, five generators requested.
+# The original tool's saved run: cap 2,000 rows, five generators requested.
 REFERENCE_RUN = AuditConfig(max_rows=2000, models={
     "copula": {}, "ctgan": {"epochs": 300, "batch_size": 500}, "tvae": {"epochs": 300, "batch_size": 500},
     "privbayes": {"epsilon": 1.0, "bounds": BOUNDS}, "pategan": {"epsilon": 1.0}})
