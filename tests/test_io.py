@@ -75,3 +75,19 @@ def test_summary_sink(spark):
     files = [f for f in os.listdir(os.path.join(d, "out")) if f.startswith("part-")]
     text = open(os.path.join(d, "out", files[0])).read().strip()
     assert text == '{"model":"m"}'
+
+
+def test_report_and_table_sinks(spark):
+    from synthaudit.sources.sinks import write_report, write_table
+
+    d = tempfile.mkdtemp(prefix="sinks-")
+    rep = spark.createDataFrame([("a", 0.5, float("nan"))], "model string, score double, x double")
+    write_report(rep, os.path.join(d, "report"))
+    parts = [f for f in os.listdir(os.path.join(d, "report")) if f.startswith("part-")]
+    assert len(parts) == 1                                   # k rows -> one file
+    assert open(os.path.join(d, "report", parts[0])).read().splitlines()[0] == "model,score,x"
+    big = spark.range(1000).repartition(4)
+    write_table(big, os.path.join(d, "tbl"))
+    assert spark.read.parquet(os.path.join(d, "tbl")).count() == 1000
+    write_table(big, os.path.join(d, "tblcsv"), fmt="csv")
+    assert spark.read.option("header", True).csv(os.path.join(d, "tblcsv")).count() == 1000
