@@ -24,7 +24,7 @@ def ship_package(spark) -> None:
 
 def _ship(spark) -> None:
     sc = spark.sparkContext
-    ident = id(sc._jsc) if getattr(sc, "_jsc", None) is not None else id(sc)
+    ident = sc.applicationId
     if ident in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from synthaudit.operators.sampling import train_control_split
 from synthaudit.sources.tables import read_table
+from synthaudit.session import session_key
 
 KEY = "row_key"
 FACT_COLUMNS = ["row_key", "o_totalprice", "c_acctbal", "n_lines", "sum_qty", "sum_price",
@@ -43,14 +44,14 @@ _CACHE: dict = {}
 def cached_facts(spark: SparkSession, data_dir: str) -> DataFrame:
     """``facts`` persisted once per session and folder (memory, spill to
     disk; lost blocks are recomputed from lineage)."""
-    k = (id(spark), data_dir)
+    k = (session_key(spark), data_dir)
     if k not in _CACHE:
         _CACHE[k] = facts(spark, data_dir).persist()
     return _CACHE[k]
 
 
 def split(spark: SparkSession, data_dir: str, ratio: float = 0.5, seed: int = 42):
-    k = (id(spark), data_dir, ratio, seed)
+    k = (session_key(spark), data_dir, ratio, seed)
     if k not in _CACHE:
         _CACHE[k] = train_control_split(cached_facts(spark, data_dir), KEY, ratio, seed)
     return _CACHE[k]

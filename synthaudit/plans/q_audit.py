@@ -21,6 +21,7 @@ from synthaudit.plans import fixtures as fx
 from synthaudit.plans import q_attacks as qa
 from synthaudit.plans import q_utility as qu
 from synthaudit.plans.catalog import oracle, query, rnd
+from synthaudit.session import session_key
 
 Z = qa.Z
 
@@ -93,7 +94,7 @@ _CACHE: dict = {}
 
 def records(spark, d):
     """Audit records of the three candidates (computed once per session and folder)."""
-    k = (id(spark), d)
+    k = (session_key(spark), d)
     if k not in _CACHE:
         train, syn, ctl = fx.three_way(spark, d)
         cands = [au.Candidate("perturbed", syn), au.Candidate("copy", train),

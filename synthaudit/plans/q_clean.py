@@ -9,6 +9,7 @@ from synthaudit.operators import clean as cl
 from synthaudit.operators import profile as pf
 from synthaudit.plans import fixtures as fx
 from synthaudit.plans.catalog import query, rnd
+from synthaudit.session import session_key
 
 K = fx.RAW_KEY
 RAW_FEATURES = ["event_id", "ts", "day_text", "event_type", "value", "props", "user_name", "empty_col", "width"]
@@ -16,7 +17,7 @@ _CACHE: dict = {}
 
 
 def cleaned(spark, d):
-    k = (id(spark), d)
+    k = (session_key(spark), d)
     if k not in _CACHE:
         _CACHE[k] = cl.load_and_clean(fx.raw_events(spark, d), K)
     return _CACHE[k]

@@ -38,6 +38,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running Spark application (stable for its lifetime,
+    never reused by a later session)."""
+    return spark.sparkContext.applicationId
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
