@@ -147,15 +147,18 @@ def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: in
     feats = [c for c in rd.columns if c not in (key, "label", "fold")]
     rv = _vectors(rd, feats).select(key, "label", "fold", "features").persist()
     sv = _vectors(sd, feats).select(key, "label", "features")
-    model = _forest(seed, trees).fit(sv)
-    tstr_pred = model.transform(rv)
-    trtr = []
+    from synthaudit.plans.audit import run_parallel
+
+    # the six forests are independent: fit them concurrently
+    fits = {"tstr": lambda: _forest(seed, trees).fit(sv)}
+    for f in range(N_FOLDS):
+        fits[f] = (lambda f=f: _forest(seed, trees).fit(rv.where(F.col("fold") != f)))
+    models = run_parallel(fits)
+    tstr_pred = models["tstr"].transform(rv)
+    trtr_pred = None
     for f in range(N_FOLDS):
-        m = _forest(seed, trees).fit(rv.where(F.col("fold") != f))
-        trtr.append(m.transform(rv.where(F.col("fold") == f)))
-    trtr_pred = trtr[0]
-    for p in trtr[1:]:
-        trtr_pred = trtr_pred.unionByName(p)
+        p = models[f].transform(rv.where(F.col("fold") == f))
+        trtr_pred = p if trtr_pred is None else trtr_pred.unionByName(p)
     return fold_accuracy(tstr_pred), fold_accuracy(trtr_pred)
 
 
