@@ -58,3 +58,26 @@ def json_tolerant_read(spark, d):
     parsed = read_json_text(ev.select("event_id", text.alias("txt")), "txt",
                             T.StructType([T.StructField("k", T.DoubleType())]))
     return parsed.select("event_id", F.col("parsed.k").alias("k"))
+
+
+@query("run_framework_csv")
+def run_framework_csv(spark, d):
+    """The CSV flow end to end: ``facts`` with injected gaps is written as
+    CSV, then read, cleaned, split, synthesised, audited and exported."""
+    from synthaudit.config import AuditConfig
+    from synthaudit.plans import fixtures as fx
+    from synthaudit.plans.run import run_framework
+    from synthaudit.plans.q_synth import BOUNDS
+
+    k = F.col("row_key")
+    src = fx.cached_facts(spark, d).select(
+        "row_key", "o_totalprice",
+        F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+        "n_lines", "sum_qty", "sum_price", "o_orderstatus",
+        F.when(k % 19 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        "c_mktsegment")
+    path = scratch_path(spark, "run-input")
+    write_table(src, path, fmt="csv")
+    cfg = AuditConfig(models={"copula": {}, "privbayes": {"bounds": BOUNDS}, "tvae": {}})
+    out = run_framework(spark, path, key="row_key", cfg=cfg, output_dir=scratch_path(spark, "run-output"))
+    return out["report"]

@@ -79,3 +79,25 @@ def test_summary_shape(spark):
     assert s.recommended_model == "copula" and s.threshold_passed is True
     assert len(s.results) == 5 and s.total_runtime_seconds == 12.3
     assert "models" not in json.loads(s.run_config)
+
+
+def test_run_framework_from_csv(spark, sf):
+    import os
+    import tempfile
+
+    from synthaudit.plans import fixtures as fx
+    from synthaudit.plans.run import run_framework
+    from synthaudit.sources.sinks import write_table
+
+    d = tempfile.mkdtemp(prefix="runfw-")
+    src = fx.cached_facts(spark, sf).withColumn(
+        "c_acctbal", F.when(F.col("row_key") % 17 == 0, F.lit(None)).otherwise(F.col("c_acctbal")))
+    write_table(src, os.path.join(d, "in"), fmt="csv")
+    cfg = AuditConfig(max_rows=600, models={"copula": {}, "ctgan": {}})
+    out = run_framework(spark, os.path.join(d, "in"), key="row_key", cfg=cfg, output_dir=os.path.join(d, "out"))
+    rows = {r.model: r for r in out["report"].collect()}
+    assert set(rows) == {"copula", "ctgan"} and out["recommended"] == "copula"
+    assert rows["copula"].is_recommended and rows["ctgan"].composite_score == 0.0
+    assert any(s == "median" for _c, s, _v, _n in out["cleaning"].imputation_log)
+    assert os.path.isdir(os.path.join(d, "out", "copula_best_synthetic"))
+    assert os.path.isdir(os.path.join(d, "out", "audit_summary"))
