@@ -76,6 +76,23 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     return (got[0] + got[1]) / 2.0
 
 
+def mode_values(df: DataFrame, cols: list[str]) -> dict:
+    """I3 for several text columns at once: per column the most frequent
+    non-null value, smallest on ties (None if the column has no value).
+    Counts per (column, value) are partially aggregated; the maximum per
+    column and the tie-break are aggregates too (a column's domain never
+    sits in one task)."""
+    if not cols:
+        return {}
+    arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    counts = (df.select(F.explode(arr).alias("e")).where(F.col("e.v").isNotNull())
+              .groupBy("e.c", "e.v").agg(F.count(F.lit(1)).alias("n")))
+    top = counts.groupBy("c").agg(F.max("n").alias("n"))
+    best = counts.join(F.broadcast(top), ["c", "n"]).groupBy("c").agg(F.min("v").alias("v"))  # top: one row per column
+    found = {r["c"]: r["v"] for r in best.collect()}
+    return {c: found.get(c) for c in cols}
+
+
 def mode_value(df: DataFrame, col: str):
     """Most frequent non-null value; smallest on ties; None if none."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -154,6 +171,11 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
     cfg = cfg or LoaderConfig()
     log = []
     dt_cols = []
+    # modes of all text columns with gaps in one pass (no row drop precedes
+    # them unless an unsupported-type column drops rows first)
+    early_drop = any(ci.kind == "other" and ci.n_null > 0 for ci in plan.columns.values())
+    cat_gaps = [c for c, ci in plan.columns.items() if ci.kind == "categorical" and ci.n_null > 0]
+    modes = {} if early_drop else mode_values(df, cat_gaps)
     for c, ci in plan.columns.items():
         if ci.n_null == 0:
             if cfg.trim == "all" and ci.kind == "categorical":
@@ -163,7 +185,7 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
             dt_cols.append(c)
             log.append((c, "ffill+bfill", None, ci.n_null))
         elif ci.kind == "categorical":
-            v = mode_value(df, c)
+            v = modes[c] if c in modes else mode_value(df, c)
             fill = v if v is not None else "Unknown"
             df = df.withColumn(c, F.trim(F.coalesce(F.col(c), F.lit(fill)).cast("string")))  # I4 (D6)
             log.append((c, "mode", str(fill), ci.n_null))

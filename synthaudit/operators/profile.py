@@ -7,6 +7,7 @@ made exact only for columns whose estimate is near a decision threshold.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from synthaudit.config import LoaderConfig
 # Accepted date/time text formats of the datetime probe.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
                 "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy")
+log = logging.getLogger(__name__)
 HLL_RSD = 0.02          # relative error of the screen
 NEAR = 0.10             # "near a threshold" margin for exact recounts
 PROBE_ROWS = 5          # first non-null values tested by the datetime probe
@@ -182,6 +184,9 @@ def semantic_type(df: DataFrame, key: str | None = None, overrides: dict | None
     unknown override columns are ignored (a warning, not an error).
     """
     cols = [c for c in df.columns if c != key]
+    for c in (overrides or {}):
+        if c not in cols:
+            log.warning("Override column '%s' not found in DataFrame.", c)   # R19: warn, not fail
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         aggs += [F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.approx_count_distinct(F.col(c), HLL_RSD).alias(f"a{i}")]

@@ -101,3 +101,16 @@ def test_run_framework_from_csv(spark, sf):
     assert any(s == "median" for _c, s, _v, _n in out["cleaning"].imputation_log)
     assert os.path.isdir(os.path.join(d, "out", "copula_best_synthetic"))
     assert os.path.isdir(os.path.join(d, "out", "audit_summary"))
+
+
+def test_run_config_defaults():
+    from synthaudit.config import AuditConfig, LoaderConfig
+
+    c = AuditConfig()
+    assert c.max_rows is None and c.train_ratio == 0.5 and c.random_seed == 42 and c.n_attacks == 500
+    assert c.privacy_thresholds == {"singling_out": 0.1, "linkability": 0.1, "cmla": 0.1}
+    assert c.utility_thresholds == {"logic_consistency": 0.7, "correlation_similarity": 0.7, "tstr_gap_max": 0.1}
+    assert c.score_weights == {"privacy": 0.5, "utility": 0.5}
+    assert "models" not in c.run_config()
+    lc = LoaderConfig()
+    assert lc.high_cardinality_threshold == 0.5 and lc.min_rows_after_cleaning == 50

@@ -167,3 +167,11 @@ def test_median_heavy_ties(spark):
         assert cl.exact_median(df, "v") == 5.0
     finally:
         cl.EXACT_ROWS = old
+
+
+def test_mode_values_batched(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "b", "y"), (4, "a", "y"), (5, None, None)],
+                               "k long, s string, t string")
+    assert cl.mode_values(df, ["s", "t"]) == {"s": "a", "t": "y"}
+    empty = spark.createDataFrame([(1, None)], "k long, u string")
+    assert cl.mode_values(empty, ["u"]) == {"u": None}
