@@ -33,6 +33,59 @@ def target_rows(df: DataFrame, key: str, cols: list[str], n_attacks: int, seed:
     return first_n(df.select(key, *cols), key, n_attacks, seed).toPandas()
 
 
+def _ranges(tp, nums, syn_bounds) -> dict:
+    ranges = {}
+    for c in nums:
+        lo, hi = syn_bounds[c]
+        tv = tp[c].astype("float64")
+        vals = [v for v in (lo, hi, tv.min(skipna=True), tv.max(skipna=True)) if v is not None and v == v]
+        ranges[c] = (max(vals) - min(vals)) if vals else 0.0
+    return ranges
+
+
+def _syn_bounds(syn: DataFrame, nums: list[str]) -> dict:
+    if not nums:
+        return {}
+    b = syn.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(nums)],
+                *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(nums)]).first()
+    return {c: (b[f"lo{i}"], b[f"hi{i}"]) for i, c in enumerate(nums)}
+
+
+def links_many(target_sets: dict, syn: DataFrame, key: str, cols_a: list[str], cols_b: list[str]) -> DataFrame:
+    """Links of several target samples in ONE scan of syn.  Each set keeps
+    its own Gower ranges (syn ∪ that set), carried per query row.
+    Returns ``(target_set, target_key, nn_key_a, nn_key_b, linked)``."""
+    import numpy as np
+    import pandas as pd
+
+    cols = cols_a + cols_b
+    nums = [c for c in cols if is_numeric_type(syn.schema[c].dataType)]
+    bounds = _syn_bounds(syn, nums)
+    frames, scales = [], {c: [] for c in nums}
+    for name, tp in target_sets.items():
+        tp = tp[[key] + cols].copy()
+        rg = _ranges(tp, nums, bounds)
+        for c in nums:
+            scales[c].append(np.full(len(tp), rg[c]))
+        # query ids must be unique across sets: (set index, position)
+        tp["__set"] = name
+        frames.append(tp)
+    q = pd.concat(frames, ignore_index=True)
+    q["__qid"] = np.arange(len(q), dtype="int64")
+    sc = {c: np.concatenate(v) if v else np.array([]) for c, v in scales.items()}
+
+    def spec(c):
+        return ColSpec(c, "num", sc[c]) if c in sc else ColSpec(c, "cat")
+
+    metrics = [Metric("a", tuple(spec(c) for c in cols_a)), Metric("b", tuple(spec(c) for c in cols_b))]
+    nn = nearest(syn, key, q, "__qid", metrics)
+    ids = syn.sparkSession.createDataFrame(q[["__qid", "__set", key]].rename(
+        columns={"__qid": "q_key", "__set": "target_set", key: "target_key"}))
+    return nn.join(F.broadcast(ids), "q_key").select(   # ids: one row per target (≤ sets × n_attacks)
+        "target_set", "target_key", F.col("a_key").alias("nn_key_a"), F.col("b_key").alias("nn_key_b"),
+        (F.col("a_key") == F.col("b_key")).alias("linked"))
+
+
 def links(targets, syn: DataFrame, key: str, cols_a: list[str], cols_b: list[str],
           syn_bounds: dict | None = None) -> DataFrame:
     """Per target: nearest syn key on half A and on half B, and the link flag.
@@ -85,14 +138,13 @@ def link_risk(tr, tc, syn: DataFrame, key: str, a: list[str], b: list[str], deta
     missing = [c for c in a + b if c not in syn.columns]
     if missing:
         return failed_result("Linkability", f"synthetic table lacks {missing}")
-    lr = links(tr, syn, key, a, b)
-    lc = links(tc, syn, key, a, b)
+    both = links_many({"train": tr, "control": tc}, syn, key, a, b)
     if detail:
-        return (lr.withColumn("target_set", F.lit("train"))
-                .unionByName(lc.withColumn("target_set", F.lit("control"))))
+        return both
     n, nc = len(tr), len(tc)
-    s = lr.where("linked").count()
-    c = lc.where("linked").count()
+    counts = {r["target_set"]: r["k"] for r in both.where("linked").groupBy("target_set")
+              .agg(F.count(F.lit(1)).alias("k")).collect()}
+    s, c = int(counts.get("train", 0)), int(counts.get("control", 0))
     risk, lo, hi = residual_risk(s, c, n, nc)
     return AttackResult("Linkability", risk, lo, hi, n, False,
                         f"aux_cols={len(a)}/{len(a) + len(b)} | n_success={s} | n_control_success={c}", s, c)

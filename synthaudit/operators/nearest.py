@@ -27,11 +27,11 @@ MAX_CELLS = 4_000_000      # distance-matrix cells held at once per task
 _BIG = np.iinfo(np.int64).max
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class ColSpec:
     column: str
     kind: str              # "num": |a-b|/scale (Gower); "cat": mismatch; "sq": (a-b)^2
-    scale: float = 1.0
+    scale: object = 1.0    # float, or one value per query row (array)
 
 
 @dataclass(frozen=True)
@@ -42,11 +42,9 @@ class Metric:
 
 
 def _num_gower(q, c, scale):
-    with np.errstate(invalid="ignore"):
-        if scale == 0:
-            d = np.zeros((q.shape[0], c.shape[0]))
-        else:
-            d = np.abs(q[:, None] - c[None, :]) / scale
+    sc = np.broadcast_to(np.asarray(scale, dtype="float64"), q.shape)[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.where(sc == 0, 0.0, np.abs(q[:, None] - c[None, :]) / np.where(sc == 0, 1.0, sc))
     qn, cn = np.isnan(q)[:, None], np.isnan(c)[None, :]
     d = np.where(qn | cn, 1.0, d)
     return np.where(qn & cn, 0.0, d)
