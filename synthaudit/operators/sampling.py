@@ -3,7 +3,7 @@
 Order of rows = ``(md5(seed|key), key)``.  ``first_n`` keeps the first n
 rows of that order.  For small n it is a top-k (each task keeps n rows).
 For large n (the train/control cut) the n-th row is found by histograms
-of the hash's leading bits: one aggregate gives at most 65,536 bucket
+of the hash's leading bits: one aggregate gives at most 4,096 bucket
 counts, the bucket holding the cut is refined the same way until it is
 small, and only that bucket is ranked.  The result is a plain filter
 ``(h, key) <= (h*, key*)`` — no shuffle of the table and no single-task
@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from synthaudit.functions.keys import hash_rank_key
 
 TOPK_LIMIT = 10_000          # up to this many rows: top-k
-BUCKET_BITS = 16
+BUCKET_BITS = 12            # 4,096 buckets per histogram level
 FINAL_BUCKET_ROWS = 200_000  # rank inside a bucket once it is this small
 
 
@@ -33,7 +33,7 @@ def _kth_threshold(dfh: DataFrame, key: str, k):
     histogram, so the split needs no separate count)."""
     sub = dfh.select("__h", key)
     shift = 60
-    for level in range(3):
+    for level in range(4):
         shift -= BUCKET_BITS
         b = F.shiftright("__h", shift)
         hist = sub.groupBy(b.alias("__b")).agg(F.count(F.lit(1)).alias("n")).orderBy("__b").collect()
