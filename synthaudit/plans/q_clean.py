@@ -23,6 +23,12 @@ def cleaned(spark, d):
     return _CACHE[k]
 
 
+def _micros(c: str):
+    """Microseconds since the epoch of a wall-clock timestamp, independent of
+    the session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{c}` AS TIMESTAMP_NTZ))")
+
+
 def _sql(body: str) -> str:
     return fx.ORACLE_RAW + body
 
@@ -107,7 +113,7 @@ def impute_median(spark, d):
 
 @query("impute_ffill_bfill", _sql("SELECT row_key, epoch_us(ts) AS ts_us, day_text FROM cleaned"))
 def impute_ffill_bfill(spark, d):
-    return cleaned(spark, d).df.select(K, F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "day_text")
+    return cleaned(spark, d).df.select(K, _micros("ts").alias("ts_us"), "day_text")
 
 
 @query("imputation_log", _sql("""
@@ -124,7 +130,7 @@ def imputation_log(spark, d):
   round(value, 6) AS value, props FROM cleaned"""))
 def clean_pipeline(spark, d):
     df = cleaned(spark, d).df
-    return df.select(K, F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "day_text", "event_type", rnd("value").alias("value"), "props")
+    return df.select(K, _micros("ts").alias("ts_us"), "day_text", "event_type", rnd("value").alias("value"), "props")
 
 
 @query("clean_shape", _sql("""SELECT CAST((SELECT count(*) FROM r1) AS BIGINT) AS rows_before, 9 AS cols_before,
