@@ -21,6 +21,7 @@ from synthaudit.operators.sampling import sample_n, train_control_split
 from synthaudit.operators.synth import build
 from synthaudit.operators.synth.base import NotAvailable
 from synthaudit.plans import audit as au
+from synthaudit.session import cut_lineage
 from synthaudit.sources.csv import read_csv
 from synthaudit.sources.json_io import write_summary
 from synthaudit.sources.sinks import write_report, write_table
@@ -36,7 +37,9 @@ def run_framework(spark: SparkSession, source, key: str | None = None, cfg: Audi
         df = read_csv(spark, source, key)
     key = key or "row_key"
     cleaned = load_and_clean(df, key, loader_cfg)
-    real = cleaned.df.persist()
+    # the cleaned table ends several shuffles: materialise it in the shared
+    # checkpoint folder so a lost executor re-reads it instead of re-cleaning
+    real = cut_lineage(cleaned.df)
     capped = sample_n(real, key, cfg.max_rows, cfg.random_seed)
     train, control = train_control_split(capped, key, cfg.train_ratio, cfg.random_seed)
     side = au.RealSide(train, control, key, cfg)
