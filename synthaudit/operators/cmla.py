@@ -61,9 +61,9 @@ def medoids(zreal: DataFrame, key: str, cols: list[str], label: str = "cluster")
 
 
 def calibration_distances(zreal: DataFrame, key: str, cols: list[str], n_probes: int = 500,
-                          seed: int = 42, calibration: str = "nearest_other") -> DataFrame:
+                          seed: int = 42, calibration: str = "nearest_other", n_rows: int | None = None) -> DataFrame:
     """``(probe_key, dist)`` nearest real row for a seeded probe sample."""
-    probes = first_n(zreal, key, n_probes, seed).toPandas()
+    probes = first_n(zreal, key, n_probes, seed, n_rows).toPandas()
     m = Metric("e", tuple(ColSpec(c, "sq") for c in cols), root=True)
     nn = nearest(zreal, key, probes, key, [m], exclude_self=(calibration != "literal"))
     return nn.select(F.col("q_key").alias("probe_key"), F.col("e_dist").alias("dist"))
@@ -105,13 +105,13 @@ def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_perc
     else:
         k = max(1, min(n_clusters, prof.n_rows - 1))
         zr = zr.persist()           # read once per Lloyd round
-        cent = kmeans.fit(zr, key, cols, k, seed)
+        cent = kmeans.fit(zr, key, cols, k, seed, n_rows=prof.n_rows)
         zr = kmeans.assign(zr, cols, cent)
     med = medoids(zr, key, cols)
     med_rows = med.join(zr.select(key, *cols), key).orderBy("cluster").collect()
     if len(med_rows) > MAX_CLUSTERS:
         raise ValueError(f"{len(med_rows)} medoids exceed {MAX_CLUSTERS}")
-    cal = calibration_distances(zr, key, cols, n_probes, seed, calibration)
+    cal = calibration_distances(zr, key, cols, n_probes, seed, calibration, prof.n_rows)
     t = cal.agg(F.percentile("dist", distance_percentile / 100.0)).first()[0]
     return CmlaReference(cols, prof, med_rows, float(t) if t is not None else 0.0, k, calibration,
                          distance_percentile, zr, med, cal)

@@ -65,10 +65,10 @@ def _lloyd_local(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: f
 
 
 def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_iter: int = 10,
-        tol: float = 1e-4, init_sample: int = 10_000) -> np.ndarray:
+        tol: float = 1e-4, init_sample: int = 10_000, n_rows: int | None = None) -> np.ndarray:
     """Return the k×p centre array.  Lloyd first converges on the seeded
     sample (bounded, on the driver), then refines on all rows."""
-    sample = first_n(df.select(key, *cols), key, init_sample, seed).toPandas()
+    sample = first_n(df.select(key, *cols), key, init_sample, seed, n_rows).toPandas()
     x = sample.sort_values(key)[cols].to_numpy(dtype="float64")
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))

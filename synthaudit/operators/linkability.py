@@ -28,9 +28,10 @@ def halves(cols: list[str], n_aux_cols: int | None = None):
     return cols[:n], cols[n:]
 
 
-def target_rows(df: DataFrame, key: str, cols: list[str], n_attacks: int, seed: int = 42):
+def target_rows(df: DataFrame, key: str, cols: list[str], n_attacks: int, seed: int = 42,
+                n_rows: int | None = None):
     """The attack sample (≤ n_attacks rows, seeded hash order) as pandas."""
-    return first_n(df.select(key, *cols), key, n_attacks, seed).toPandas()
+    return first_n(df.select(key, *cols), key, n_attacks, seed, n_rows).toPandas()
 
 
 def _ranges(tp, nums, syn_bounds) -> dict:

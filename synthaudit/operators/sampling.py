@@ -63,10 +63,29 @@ def _before_or_at(h, kv, key: str):
     return (F.col("__h") < F.lit(h)) | ((F.col("__h") == F.lit(h)) & (F.col(key) <= F.lit(kv)))
 
 
-def first_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The first ``n`` rows in seeded hash order (all rows if fewer)."""
+SMALL_TABLE = 1_000_000     # below this many rows a plain top-k is cheapest
+
+
+def first_n(df: DataFrame, key: str, n: int, seed: int = 42, n_rows: int | None = None) -> DataFrame:
+    """The first ``n`` rows in seeded hash order (all rows if fewer).
+
+    A top-k at the root of a plan sends every task's n best rows to the
+    driver.  On a large table the rows are first restricted to a hash prefix
+    expected to hold ~4n rows (the 60-bit hash is uniform): a filter with no
+    shuffle; if fewer than n rows pass, the prefix is widened — exact."""
     dfh = with_hash_order(df, key, seed)
     if n <= TOPK_LIMIT:
+        n_rows = n_rows if n_rows is not None else df.count()
+        if n >= n_rows:
+            return df
+        if n_rows <= SMALL_TABLE:
+            return dfh.orderBy("__h", key).limit(n).drop("__h")
+        frac = min(1.0, (4.0 * n + 64.0) / n_rows)
+        while frac < 1.0:
+            pre = dfh.where(F.col("__h") < F.lit(int(frac * (1 << 60))))
+            if pre.count() >= n:
+                return pre.orderBy("__h", key).limit(n).drop("__h")
+            frac = min(1.0, frac * 4.0)
         return dfh.orderBy("__h", key).limit(n).drop("__h")
     t = _kth_threshold(dfh, key, n)
     if t is None:
@@ -74,11 +93,11 @@ def first_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return dfh.where(_before_or_at(t[0], t[1], key)).drop("__h")
 
 
-def sample_n(df: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame:
+def sample_n(df: DataFrame, key: str, n: int | None, seed: int = 42, n_rows: int | None = None) -> DataFrame:
     """Cap to ``n`` rows if larger; ``None``/0 = no cap (decision D12)."""
     if not n:
         return df
-    return first_n(df, key, n, seed)
+    return first_n(df, key, n, seed, n_rows)
 
 
 def train_control_split(df: DataFrame, key: str, ratio: float = 0.5, seed: int = 42,

@@ -128,7 +128,8 @@ def special_predicates(syn: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return syn.sparkSession.createDataFrame(rows, PRED_SCHEMA)
 
 
-def choose_topk(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 42) -> DataFrame:
+def choose_topk(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 42,
+                n_rows: int | None = None) -> DataFrame:
     """Same result as ``choose(predicates(...), n)`` without counting every
     value of syn.  Equality predicates are ordered by a hash of the row key,
     known before counting: the ``m`` syn cells with the smallest hash are
@@ -139,11 +140,23 @@ def choose_topk(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 4
     uv = unpivot_values(syn, key, cols)
     isnull = F.col("vnum").isNull() & F.col("vstr").isNull()
     uvh = uv.where(~isnull).withColumn("__o", hash_text(seed, F.col("column_name"), F.lit("eq"), F.col(key)))
+    uvh = uvh.withColumn("__ho", F.conv(F.substring("__o", 1, 15), 16, 10).cast("long"))
     spark = syn.sparkSession
     special = special_predicates(syn, key, cols)
+    cells = (n_rows if n_rows is not None else syn.count()) * len(cols)
     m = max(TOPK_START * n, 64)
     while True:
-        pool = uvh.orderBy("__o", "column_name", key).limit(m).collect()
+        # the first m cells in hash order all lie below a hash prefix holding
+        # ~4m cells on average: filter first, so tasks send few rows to the driver
+        src = uvh
+        frac = (4.0 * m + 64.0) / max(cells, 1)
+        while frac < 1.0:
+            pre = uvh.where(F.col("__ho") < F.lit(int(frac * (1 << 60))))
+            if pre.count() >= m:
+                src = pre
+                break
+            frac *= 4.0
+        pool = src.orderBy("__o", "column_name", key).limit(m).collect()
         pdf = spark.createDataFrame([(r["column_name"], "eq", r["vnum"], r["vstr"], r[key]) for r in pool], PRED_SCHEMA)
         vals = F.broadcast(pdf.select("column_name", "vnum", "vstr").distinct())
         j = uv.join(vals, (uv.column_name == vals.column_name) & uv.vnum.eqNullSafe(vals.vnum)
@@ -169,7 +182,7 @@ def choose_predicates(syn: DataFrame, key: str, cols: list[str], n: int, seed: i
     n_rows = n_rows if n_rows is not None else syn.count()
     if n_rows * len(cols) <= FULL_COUNT_CELLS:
         return choose(predicates(syn, key, cols), n, seed)
-    return choose_topk(syn, key, cols, n, seed)
+    return choose_topk(syn, key, cols, n, seed, n_rows)
 
 
 def match_counts(chosen: DataFrame, target: DataFrame, key: str, cols: list[str]) -> DataFrame:

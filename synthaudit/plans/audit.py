@@ -85,8 +85,9 @@ class RealSide:
 
     def targets(self, n: int):
         if self._targets is None:
-            self._targets = (lk.target_rows(self.train, self.key, self.cols, n, self.cfg.random_seed),
-                             lk.target_rows(self.control, self.key, self.cols, n, self.cfg.random_seed))
+            self._targets = (lk.target_rows(self.train, self.key, self.cols, n, self.cfg.random_seed, self.n_train),
+                             lk.target_rows(self.control, self.key, self.cols, n, self.cfg.random_seed,
+                                            self.n_control))
         return self._targets
 
     def prepare(self):

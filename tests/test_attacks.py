@@ -131,3 +131,33 @@ def test_topk_choice_equals_full_counts(three):
         so.TOPK_START = old
     b = sorted(map(tuple, so.choose(so.predicates(syn, "row_key", cols), 300).collect()))
     assert a == b and len(a) == 300
+
+
+def test_first_n_prefilter_equals_topk(spark, sf):
+    facts = fx.cached_facts(spark, sf)
+    n = facts.count()
+    old = sp.SMALL_TABLE
+    sp.SMALL_TABLE = 10                      # force the hash-prefix path
+    try:
+        a = {r.row_key for r in sp.first_n(facts, "row_key", 50, n_rows=n).collect()}
+    finally:
+        sp.SMALL_TABLE = old
+    b = {r.row_key for r in sp.first_n(facts, "row_key", 50).collect()}
+    assert a == b and len(a) == 50
+
+
+def test_topk_pool_with_prefilter(three):
+    train, syn, _ctl = three
+    cols = [c for c in train.columns if c != "row_key"]
+    a = sorted(map(tuple, so.choose_topk(syn, "row_key", cols, 100, n_rows=syn.count()).collect()))
+    b = sorted(map(tuple, so.choose(so.predicates(syn, "row_key", cols), 100).collect()))
+    assert a == b
+
+
+def test_topk_pool_prefilter_widens(three):
+    train, syn, _ctl = three
+    cols = [c for c in train.columns if c != "row_key"]
+    # an overstated row count starts from a far too narrow prefix, which must widen
+    a = sorted(map(tuple, so.choose_topk(syn, "row_key", cols, 100, n_rows=10_000_000).collect()))
+    b = sorted(map(tuple, so.choose(so.predicates(syn, "row_key", cols), 100).collect()))
+    assert a == b
