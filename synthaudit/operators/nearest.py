@@ -42,12 +42,20 @@ class Metric:
 
 
 def _num_gower(q, c, scale):
-    sc = np.broadcast_to(np.asarray(scale, dtype="float64"), q.shape)[:, None]
+    sc = np.broadcast_to(np.asarray(scale, dtype="float64"), q.shape)
+    d = np.subtract(q[:, None], c[None, :])
+    np.abs(d, out=d)
+    zero = sc == 0
     with np.errstate(invalid="ignore", divide="ignore"):
-        d = np.where(sc == 0, 0.0, np.abs(q[:, None] - c[None, :]) / np.where(sc == 0, 1.0, sc))
-    qn, cn = np.isnan(q)[:, None], np.isnan(c)[None, :]
-    d = np.where(qn | cn, 1.0, d)
-    return np.where(qn & cn, 0.0, d)
+        d /= np.where(zero, 1.0, sc)[:, None]
+    if zero.any():
+        d[zero, :] = 0.0
+    qn, cn = np.isnan(q), np.isnan(c)
+    if qn.any() or cn.any():                      # NULL rules only where needed
+        qn2, cn2 = qn[:, None], cn[None, :]
+        d = np.where(qn2 | cn2, 1.0, d)
+        d = np.where(qn2 & cn2, 0.0, d)
+    return d
 
 
 def _cat_codes(values, vocab):
@@ -69,10 +77,13 @@ def _distances(metric: Metric, qdata: dict, cpdf: pd.DataFrame, vocabs: dict):
             if s.kind == "num":
                 d = _num_gower(qdata[s.column], cv, s.scale)
             else:  # "sq"
-                diff = qdata[s.column][:, None] - cv[None, :]
-                d = diff * diff
-        total = d if total is None else total + d
-    return np.sqrt(total) if metric.root else total
+                d = np.subtract(qdata[s.column][:, None], cv[None, :])
+                np.multiply(d, d, out=d)
+        if total is None:
+            total = d
+        else:
+            total += d                              # same left-to-right order as SQL
+    return np.sqrt(total, out=total) if metric.root else total
 
 
 def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metrics: list[Metric],
@@ -112,17 +123,22 @@ def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metric
         step = max(1, MAX_CELLS // max(1, nq))
         chunks = (pdf.iloc[i:i + step] for batch in batches for i in range(0, len(batch), step)
                   for pdf in [batch])
+        rows = np.arange(nq)
         for pdf in chunks:
             if len(pdf) == 0:
                 continue
             seen = True
+            # sorted by key, the first minimum of a row is the lowest key among ties
+            pdf = pdf.sort_values(key, kind="stable")
             ck = pdf[key].to_numpy(dtype="int64")
             for m in metrics:
                 d = _distances(m, qdata, pdf, vocabs)
                 if exclude_self:
-                    d = np.where(qkeys[:, None] == ck[None, :], np.inf, d)
-                dmin = d.min(axis=1)
-                kmin = np.where(d == dmin[:, None], ck[None, :], _BIG).min(axis=1)
+                    hit = np.nonzero(qkeys[:, None] == ck[None, :])
+                    d[hit] = np.inf
+                idx = d.argmin(axis=1)
+                dmin = d[rows, idx]
+                kmin = np.where(np.isfinite(dmin), ck[idx], _BIG)
                 bd, bk = best[m.name]
                 better = (dmin < bd) | ((dmin == bd) & (kmin < bk))
                 best[m.name] = (np.where(better, dmin, bd), np.where(better, kmin, bk))

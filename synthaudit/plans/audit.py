@@ -12,6 +12,7 @@ inside it is a Spark job over whole tables, and only scalars come back.
 from __future__ import annotations
 
 import json
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -80,32 +81,44 @@ class RealSide:
         self.n_control = self.control.count()
         self.half_a, self.half_b = lk.halves(self.cols)
         self.cluster_labels = cluster_labels
-        self._cmla = None
-        self._targets = None
-
-    def targets(self, n: int):
-        if self._targets is None:
-            self._targets = (lk.target_rows(self.train, self.key, self.cols, n, self.cfg.random_seed, self.n_train),
-                             lk.target_rows(self.control, self.key, self.cols, n, self.cfg.random_seed,
-                                            self.n_control))
-        return self._targets
+        self._futures: dict = {}
+        self._pool = None
+        self._lock = threading.Lock()
+
+    def _compute_targets(self):
+        n = self.cfg.n_attacks
+        return (lk.target_rows(self.train, self.key, self.cols, n, self.cfg.random_seed, self.n_train),
+                lk.target_rows(self.control, self.key, self.cols, n, self.cfg.random_seed, self.n_control))
+
+    def _compute_cmla(self):
+        c = self.cfg
+        return cm.fit_reference(self.train, self.key, c.n_clusters, c.distance_percentile,
+                                self.cluster_labels, c.calibration, 500, c.random_seed)
+
+    def start(self) -> "RealSide":
+        """Start the shared parts (attack targets, CMLA reference) in the
+        background; candidates block only when they need them."""
+        with self._lock:
+            if not self._futures:
+                self._pool = ThreadPoolExecutor(max_workers=2)
+                self._futures = {"targets": self._pool.submit(self._compute_targets),
+                                 "cmla": self._pool.submit(self._compute_cmla)}
+        return self
 
     def prepare(self):
-        """Compute the lazily shared parts (targets, CMLA reference) together."""
-        run_parallel({"t": lambda: self.targets(self.cfg.n_attacks), "c": self._cmla_or_error})
+        """Compute the shared parts now."""
+        self.start()
+        for f in self._futures.values():
+            try:
+                f.result()
+            except ValueError:
+                pass
 
-    def _cmla_or_error(self):
-        try:
-            return self.cmla_reference()
-        except ValueError:
-            return None
+    def targets(self, n: int | None = None):
+        return self.start()._futures["targets"].result()
 
     def cmla_reference(self):
-        if self._cmla is None:
-            c = self.cfg
-            self._cmla = cm.fit_reference(self.train, self.key, c.n_clusters, c.distance_percentile,
-                                          self.cluster_labels, c.calibration, 500, c.random_seed)
-        return self._cmla
+        return self.start()._futures["cmla"].result()
 
 
 def _ci(lo, hi) -> str:
@@ -185,6 +198,26 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
     }
 
 
+def audit_generators(real: RealSide, makers: dict) -> DataFrame:
+    """O1 pipelined: every generator is fitted, sampled and audited in its
+    own driver thread while the shared real-side parts are computed; a
+    candidate waits for them only at the step that needs them."""
+    real.start()
+
+    def one(i, name, make):
+        c = make()
+        if c.error is not None or c.syn is None:
+            return failed_record(c.name, c.error or "no synthetic table", c.config, i)
+        try:
+            return audit_pair(real, c.syn, c.name, c.config, i)
+        except Exception as exc:  # noqa: BLE001 - per-model isolation
+            return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
+
+    tasks = {i: (lambda i=i, name=name, make=make: one(i, name, make)) for i, (name, make) in enumerate(makers.items())}
+    out = run_parallel(tasks)
+    return records_frame(real.train.sparkSession, [out[i] for i in range(len(makers))])
+
+
 def records_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
     """The per-model records as one DataFrame (missing fields NULL)."""
     rows = [tuple(r.get(f) for f in RECORD_FIELDS) for r in records]
@@ -197,7 +230,7 @@ def audit(train: DataFrame, control: DataFrame, candidates: list[Candidate], key
     """O1: one record per candidate; failures isolated per candidate."""
     cfg = cfg or AuditConfig()
     real = real_side if real_side is not None else RealSide(train, control, key, cfg, cluster_labels)
-    real.prepare()
+    real.start()
 
     def one(i, c):
         if c.error is not None or c.syn is None:

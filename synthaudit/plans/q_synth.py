@@ -125,7 +125,7 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
         train, control = train_control_split(capped, fx.KEY, cfg.train_ratio, cfg.random_seed)
     else:
         train, control = fx.split(spark, d, cfg.train_ratio, cfg.random_seed)
-    real = au.RealSide(train, control, fx.KEY, cfg)
+    real = au.RealSide(train, control, fx.KEY, cfg).start()
     n_train = real.n_train
 
     def make(name, kw):
@@ -138,12 +138,9 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
         except (NotAvailable, ValueError, RuntimeError) as exc:
             return au.Candidate(name, None, conf, f"Training failed: {exc}")
 
-    # generators fit while the real-side statistics are computed
-    tasks = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
-    tasks["__real"] = real.prepare
-    done = au.run_parallel(tasks)
-    cands = [done[name] for name in cfg.models]
-    recs = au.audit(real.train, real.control, cands, fx.KEY, cfg, real_side=real)
+    # generators are fitted, sampled and audited while the real side is computed
+    makers = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
+    recs = au.audit_generators(real, makers)
     return recs, time.perf_counter() - t0, cfg
 
 

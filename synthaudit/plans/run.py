@@ -42,7 +42,9 @@ def run_framework(spark: SparkSession, source, key: str | None = None, cfg: Audi
     real = cut_lineage(cleaned.df)
     capped = sample_n(real, key, cfg.max_rows, cfg.random_seed)
     train, control = train_control_split(capped, key, cfg.train_ratio, cfg.random_seed)
-    side = au.RealSide(train, control, key, cfg)
+    side = au.RealSide(train, control, key, cfg).start()
+
+    tables = {}
 
     def make(name, kw):
         conf = {k: v for k, v in kw.items() if k != "bounds"}
@@ -50,22 +52,21 @@ def run_framework(spark: SparkSession, source, key: str | None = None, cfg: Audi
             m = build(name, **kw).fit(side.train, key)
             syn = m.sample(side.n_train, seed=cfg.random_seed).persist()
             syn.count()
+            tables[name] = syn
             return au.Candidate(name, syn, conf)
         except (NotAvailable, ValueError, RuntimeError) as exc:
             return au.Candidate(name, None, conf, f"Training failed: {exc}")
 
-    tasks = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
-    tasks["__real"] = side.prepare
-    done = au.run_parallel(tasks)
-    cands = [done[name] for name in cfg.models]
-    records = au.audit(side.train, side.control, cands, key, cfg, real_side=side).cache()
+    # generators are fitted, sampled and audited while the real side is computed
+    makers = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
+    records = au.audit_generators(side, makers).cache()
     report = au.rank_models(records)
     best = au.recommend(records)
     runtime = time.perf_counter() - t0
     summary = au.summary(records, cfg, runtime)
     if output_dir:
         write_report(report, os.path.join(output_dir, "final_audit_report"))
-        winner = {c.name: c.syn for c in cands}.get(best)
+        winner = tables.get(best)
         if winner is not None:
             write_table(winner, os.path.join(output_dir, f"{best}_best_synthetic"), fmt="csv")
         write_summary(summary, os.path.join(output_dir, "audit_summary"))
