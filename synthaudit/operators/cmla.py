@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthaudit.functions.columns import numeric_columns
+from synthaudit.functions.parallel import run_parallel
 from synthaudit.operators import kmeans
 from synthaudit.operators.nearest import ColSpec, Metric, nearest
 from synthaudit.operators.results import AttackResult, failed_result
@@ -98,21 +99,30 @@ def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_perc
     if not cols:
         raise ValueError("No numeric columns found.")
     prof = zero_filled_profile(real, cols)
-    zr = zscore(real, prof, cols, key)
-    if labels is not None:
-        zr = zr.join(real.select(key, F.col(labels).alias("cluster")), key).persist()
-        k = zr.select("cluster").distinct().count()
-    else:
-        k = max(1, min(n_clusters, prof.n_rows - 1))
-        zr = zr.persist()           # read once per Lloyd round
-        cent = kmeans.fit(zr, key, cols, k, seed, n_rows=prof.n_rows)
-        zr = kmeans.assign(zr, cols, cent)
-    med = medoids(zr, key, cols)
-    med_rows = med.join(zr.select(key, *cols), key).orderBy("cluster").collect()
-    if len(med_rows) > MAX_CLUSTERS:
-        raise ValueError(f"{len(med_rows)} medoids exceed {MAX_CLUSTERS}")
-    cal = calibration_distances(zr, key, cols, n_probes, seed, calibration, prof.n_rows)
-    t = cal.agg(F.percentile("dist", distance_percentile / 100.0)).first()[0]
+    zr = zscore(real, prof, cols, key).persist()      # read by every Lloyd round and the calibration
+
+    def clusters():
+        if labels is not None:
+            z = zr.join(real.select(key, F.col(labels).alias("cluster")), key).persist()
+            kk = z.select("cluster").distinct().count()
+        else:
+            kk = max(1, min(n_clusters, prof.n_rows - 1))
+            cent = kmeans.fit(zr, key, cols, kk, seed, n_rows=prof.n_rows)
+            z = kmeans.assign(zr, cols, cent)
+        m = medoids(z, key, cols)
+        rows = m.join(z.select(key, *cols), key).orderBy("cluster").collect()
+        if len(rows) > MAX_CLUSTERS:
+            raise ValueError(f"{len(rows)} medoids exceed {MAX_CLUSTERS}")
+        return z, kk, m, rows
+
+    def calibrate():
+        # independent of the clusters: runs alongside k-means
+        c = calibration_distances(zr, key, cols, n_probes, seed, calibration, prof.n_rows)
+        return c, c.agg(F.percentile("dist", distance_percentile / 100.0)).first()[0]
+
+    res = run_parallel({"clusters": clusters, "cal": calibrate})
+    zr, k, med, med_rows = res["clusters"]
+    cal, t = res["cal"]
     return CmlaReference(cols, prof, med_rows, float(t) if t is not None else 0.0, k, calibration,
                          distance_percentile, zr, med, cal)
 

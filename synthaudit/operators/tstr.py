@@ -147,7 +147,7 @@ def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: in
     feats = [c for c in rd.columns if c not in (key, "label", "fold")]
     rv = _vectors(rd, feats).select(key, "label", "fold", "features").persist()
     sv = _vectors(sd, feats).select(key, "label", "features")
-    from synthaudit.plans.audit import run_parallel
+    from synthaudit.functions.parallel import run_parallel
 
     # the six forests are independent: fit them concurrently
     fits = {"tstr": lambda: _forest(seed, trees).fit(sv)}

@@ -42,17 +42,7 @@ RECORD_SCHEMA = (
 RECORD_FIELDS = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
 
-PARALLEL_JOBS = 4   # independent Spark jobs submitted at once from the driver
-
-
-def run_parallel(tasks: dict, workers: int = PARALLEL_JOBS) -> dict:
-    """Run independent driver-side steps (each a set of Spark jobs) in
-    threads; Spark schedules their jobs concurrently."""
-    if workers <= 1 or len(tasks) <= 1:
-        return {k: f() for k, f in tasks.items()}
-    with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as ex:
-        futs = {k: ex.submit(f) for k, f in tasks.items()}
-        return {k: fu.result() for k, fu in futs.items()}
+from synthaudit.functions.parallel import PARALLEL_JOBS, run_parallel  # noqa: E402,F401
 
 
 @dataclass
