@@ -104,6 +104,22 @@ class RealSide:
             except ValueError:
                 pass
 
+    def release(self) -> None:
+        """Unpersist what this audit cached (after its results are collected)."""
+        for f in self._futures.values():
+            try:
+                f.result()
+            except Exception:  # noqa: BLE001 - nothing to release for a failed part
+                pass
+        ref = self._futures.get("cmla")
+        if ref is not None and ref.exception() is None:
+            ref.result().scaled_real.unpersist()
+        if self._pool is not None:
+            self._pool.shutdown(wait=False)
+        self.corr.unpersist()
+        self.train.unpersist()
+        self.control.unpersist()
+
     def targets(self, n: int | None = None):
         return self.start()._futures["targets"].result()
 
@@ -204,7 +220,7 @@ def audit_generators(real: RealSide, makers: dict) -> DataFrame:
             return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
 
     tasks = {i: (lambda i=i, name=name, make=make: one(i, name, make)) for i, (name, make) in enumerate(makers.items())}
-    out = run_parallel(tasks)
+    out = run_parallel(tasks)   # records are plain values now; callers may release the inputs
     return records_frame(real.train.sparkSession, [out[i] for i in range(len(makers))])
 
 

@@ -127,6 +127,7 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
         train, control = fx.split(spark, d, cfg.train_ratio, cfg.random_seed)
     real = au.RealSide(train, control, fx.KEY, cfg).start()
     n_train = real.n_train
+    tables = []
 
     def make(name, kw):
         conf = {k: v for k, v in kw.items() if k != "bounds"}
@@ -134,13 +135,18 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
             m = build(name, **kw).fit(real.train, fx.KEY)
             syn = m.sample(n_train, seed=cfg.random_seed).persist()
             syn.count()
+            tables.append(syn)
             return au.Candidate(name, syn, conf)
         except (NotAvailable, ValueError, RuntimeError) as exc:
             return au.Candidate(name, None, conf, f"Training failed: {exc}")
 
     # generators are fitted, sampled and audited while the real side is computed
     makers = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
-    recs = au.audit_generators(real, makers)
+    recs = au.audit_generators(real, makers).cache()
+    recs.count()
+    for t in tables:
+        t.unpersist()
+    real.release()
     return recs, time.perf_counter() - t0, cfg
 
 

@@ -70,5 +70,10 @@ def run_framework(spark: SparkSession, source, key: str | None = None, cfg: Audi
         if winner is not None:
             write_table(winner, os.path.join(output_dir, f"{best}_best_synthetic"), fmt="csv")
         write_summary(summary, os.path.join(output_dir, "audit_summary"))
+    # release cached inputs; the records are a small local table
+    for t in tables.values():
+        t.unpersist()
+    side.release()
+    real.unpersist()
     return {"records": records, "report": report, "recommended": best, "summary": summary,
             "cleaning": cleaned, "runtime_seconds": runtime}
