@@ -1,9 +1,11 @@
 """Make the package importable by Python workers.
 
 Functions handed to ``mapInPandas`` are pickled by reference to this
-package, so executors must be able to import it.  When the package is not
-installed on the executors, a zip of it is added once per SparkContext with
-``addPyFile`` (Spark distributes it to every executor).
+package, so executors must be able to import it.  On a cluster the package
+is installed on the executors (or passed with ``--py-files``); nothing is
+written to machine-local folders.  In local mode (executors share the
+driver's file system) a zip of the package is added once per application
+with ``addPyFile``, so scripts run from any working directory.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ def _ship(spark) -> None:
     ident = sc.applicationId
     if ident in _SHIPPED:
         return
+    if not str(sc.master).startswith("local"):
+        _SHIPPED.add(ident)                 # cluster: the package is installed on executors
+        return
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root = os.path.dirname(pkg)
     path = os.path.join(tempfile.mkdtemp(prefix="synthaudit-pyfiles-"), "synthaudit.zip")
