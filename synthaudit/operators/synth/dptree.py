@@ -66,6 +66,59 @@ def marginal_counts(codes: DataFrame, cols: list[str]) -> DataFrame:
             .groupBy("col_a", "col_b", "va", "vb").agg(F.count(F.lit(1)).alias("n")))
 
 
+WIDE_COLUMNS = 16   # above this many columns, count cells with numpy per task
+
+
+def marginal_counts_wide(codes: DataFrame, cols: list[str], dom: dict) -> DataFrame:
+    """Same rows as :func:`marginal_counts` for wide tables: every task
+    turns its rows into integer codes and ``np.bincount``s all 1- and 2-way
+    cells, emitting only non-zero cells (bounded by the domain sizes); a
+    ``groupBy`` adds the tasks up."""
+    from synthaudit.functions.shipping import ship_package
+
+    ship_package(codes.sparkSession)
+    sizes = [len(dom[c]) for c in cols]
+    idx = {c: {v: i for i, v in enumerate(dom[c])} for c in cols}
+    p = len(cols)
+
+    def part(batches):
+        one = [np.zeros(sizes[i], dtype=np.int64) for i in range(p)]
+        two = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack([pdf[c].map(idx[c]).fillna(-1).to_numpy(dtype=np.int64) for c in cols], axis=1)
+            ok = (x >= 0).all(axis=1)
+            x = x[ok]
+            for i in range(p):
+                one[i] += np.bincount(x[:, i], minlength=sizes[i])
+                for j in range(i + 1, p):
+                    cell = np.bincount(x[:, i] * sizes[j] + x[:, j], minlength=sizes[i] * sizes[j])
+                    two[(i, j)] = cell if (i, j) not in two else two[(i, j)] + cell
+        out = []
+        for i in range(p):
+            nz = np.nonzero(one[i])[0]
+            out.append(pd.DataFrame({"a": i, "b": -1, "va": nz, "vb": 0, "n": one[i][nz]}))
+        for (i, j), cell in two.items():
+            nz = np.nonzero(cell)[0]
+            out.append(pd.DataFrame({"a": i, "b": j, "va": nz // sizes[j], "vb": nz % sizes[j], "n": cell[nz]}))
+        if out:
+            yield pd.concat(out).astype("int64")
+
+    got = (codes.select(*cols).mapInPandas(part, "a long, b long, va long, vb long, n long")
+           .groupBy("a", "b", "va", "vb").agg(F.sum("n").alias("n"))
+           .select(*[F.col(c).cast("int").alias(c) for c in ("a", "b", "va", "vb")], "n"))
+    names = F.array(*[F.lit(c) for c in cols])
+    doms = F.array(*[F.array(*[F.lit(v) for v in dom[c]]) for c in cols])
+    pick = lambda col_idx, code: F.element_at(F.element_at(doms, col_idx + 1), code + 1)
+    return got.select(
+        F.element_at(names, F.col("a") + 1).alias("col_a"),
+        F.when(F.col("b") < 0, F.lit("")).otherwise(F.element_at(names, F.col("b") + 1)).alias("col_b"),
+        pick(F.col("a"), F.col("va")).alias("va"),
+        F.when(F.col("b") < 0, F.lit("")).otherwise(pick(F.col("b"), F.col("vb"))).alias("vb"),
+        F.col("n"))
+
+
 def mutual_information(tab: np.ndarray) -> float:
     tot = tab.sum()
     if tot <= 0:
@@ -163,7 +216,10 @@ class DPTree(Synthesizer):
                 dom[c] = vals + [OTHER_CODE]
                 codes = codes.withColumn(c, F.when(F.col(c).isin(*vals), F.col(c)).otherwise(F.lit(OTHER_CODE)))
             cnt.unpersist()
-        rows = marginal_counts(codes, self.cols).collect()
+        if len(self.cols) > WIDE_COLUMNS:
+            rows = marginal_counts_wide(codes, self.cols, dom).collect()
+        else:
+            rows = marginal_counts(codes, self.cols).collect()
         idx = {c: {v: i for i, v in enumerate(dom[c])} for c in self.cols}
         e1 = eps_m / 3.0 / max(1, p)
         e2 = 2.0 * eps_m / 3.0 / max(1, p * (p - 1) // 2)

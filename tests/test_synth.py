@@ -67,3 +67,20 @@ def test_mst_and_mi():
     assert edges == [(0, 1), (1, 2)]
     assert mutual_information(np.array([[10.0, 0.0], [0.0, 10.0]])) == pytest.approx(np.log(2))
     assert mutual_information(np.array([[5.0, 5.0], [5.0, 5.0]])) == pytest.approx(0.0)
+
+
+def test_wide_marginals_equal_explode_path(spark, train):
+    from pyspark.sql import functions as F
+
+    from synthaudit.operators.synth.dptree import NULL_CODE, column_codes, marginal_counts, marginal_counts_wide
+
+    nums = ["o_totalprice", "c_acctbal", "n_lines", "sum_qty", "sum_price"]
+    cats = ["o_orderstatus", "o_orderpriority", "c_mktsegment"]
+    src = train.withColumn("c_acctbal", F.when(F.col("row_key") % 9 == 0, None).otherwise(F.col("c_acctbal")))
+    codes = column_codes(src, nums, cats, BOUNDS, 20)
+    dom = {c: [str(i) for i in range(21)] for c in nums}
+    for c in cats:
+        dom[c] = sorted(r[0] for r in codes.select(c).distinct().collect())
+    a = sorted(map(tuple, marginal_counts(codes, nums + cats).collect()))
+    b = sorted(map(tuple, marginal_counts_wide(codes, nums + cats, dom).collect()))
+    assert a == b and len(a) > 100
