@@ -22,7 +22,6 @@ Noise comes from OS entropy unless ``noise_seed`` is given (tests only).
 
 from __future__ import annotations
 
-import math
 import secrets
 
 import numpy as np

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from synthaudit.config import LoaderConfig
 from synthaudit.operators import clean as cl
 from synthaudit.operators import profile as pf
 from synthaudit.plans import fixtures as fx

@@ -10,7 +10,7 @@ from synthaudit.config import AuditConfig
 from synthaudit.operators import logic, stats
 from synthaudit.operators.synth import build
 from synthaudit.operators.synth.base import NotAvailable
-from synthaudit.operators.synth.dptree import NULL_CODE, column_codes, marginal_counts, mutual_information
+from synthaudit.operators.synth.dptree import column_codes, marginal_counts
 from synthaudit.plans import audit as au
 from synthaudit.plans import fixtures as fx
 from synthaudit.plans.catalog import oracle, query, rnd

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from synthaudit.operators import logic, stats
 from synthaudit.operators.utility import utility_report
