@@ -161,9 +161,24 @@ class LoaderResult:
     dropped_columns: list
     imputation_log: list = field(default_factory=list)   # (column, strategy, fill_value, n)
 
+    def log_text(self) -> dict:
+        """I7 as text for people: column -> strategy description."""
+        out = {}
+        for c, strategy, fill, n in self.imputation_log:
+            if strategy == "ffill+bfill":
+                out[c] = f"ffill+bfill ({n} nulls)"
+            elif strategy == "mode":
+                out[c] = f"mode='{fill}' ({n} nulls)"
+            elif strategy == "median":
+                out[c] = f"median={float(fill):.4g} ({n} nulls)" if fill is not None else f"median=nan ({n} nulls)"
+            else:
+                out[c] = f"rows_dropped ({n} rows)"
+        return out
+
     def log_frame(self, spark):
-        return spark.createDataFrame(self.imputation_log,
-                                     "column string, strategy string, fill_value string, n bigint")
+        text = self.log_text()
+        return spark.createDataFrame([(c, s, v, n, text[c]) for c, s, v, n in self.imputation_log],
+                                     "column string, strategy string, fill_value string, n bigint, text string")
 
 
 def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None = None):

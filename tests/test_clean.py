@@ -175,3 +175,15 @@ def test_mode_values_batched(spark):
     assert cl.mode_values(df, ["s", "t"]) == {"s": "a", "t": "y"}
     empty = spark.createDataFrame([(1, None)], "k long, u string")
     assert cl.mode_values(empty, ["u"]) == {"u": None}
+
+
+def test_imputation_log_text(spark):
+    rows = [(i, None if i % 5 == 0 else float(i) * 1.5, None if i % 7 == 0 else ("a" if i % 2 else "b"))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, v double, s string")
+    res = cl.load_and_clean(df, "k")
+    text = res.log_text()
+    # rows 0 and 35 are all-NULL and dropped first
+    assert text["v"].startswith("median=") and text["v"].endswith("(10 nulls)")
+    assert text["s"] == "mode='a' (7 nulls)"
+    assert res.log_frame(spark).count() == 2
