@@ -29,3 +29,33 @@ def categorical_columns(df: DataFrame, key: str | None = None) -> list[str]:
 
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
+
+
+TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
+def is_time_type(dt: T.DataType) -> bool:
+    return isinstance(dt, TIME_TYPES)
+
+
+def time_to_number(c: str, dt: T.DataType):
+    """Zone-free numeric encoding: microseconds (timestamps) or days (dates)."""
+    from pyspark.sql import functions as F
+
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(c)).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)").cast("double")
+    return F.unix_micros(F.col(c)).cast("double")
+
+
+def number_to_time(c: str, dt: T.DataType):
+    """Inverse of :func:`time_to_number` (rounded to whole units)."""
+    from pyspark.sql import functions as F
+
+    n = F.round(F.col(c)).cast("long")
+    if isinstance(dt, T.DateType):
+        return F.date_from_unix_date(n.cast("int"))
+    if isinstance(dt, T.TimestampNTZType):
+        return F.expr(f"timestampadd(MICROSECOND, CAST(round(`{c}`) AS BIGINT), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return F.timestamp_micros(n)

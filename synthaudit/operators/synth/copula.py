@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthaudit.functions import normal
+from synthaudit.functions.columns import is_time_type, number_to_time, time_to_number
 from synthaudit.functions.uniform import hash_uniform
 from synthaudit.operators.synth.base import Synthesizer, register
 
@@ -62,8 +63,13 @@ class GaussianCopula(Synthesizer):
     def _fit(self, df: DataFrame, key: str) -> None:
         fields = [f for f in df.schema.fields if f.name != key]
         self.fields = fields
-        self.nums = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-        self.cats = [f.name for f in fields if not isinstance(f.dataType, T.NumericType)]
+        # dates and timestamps are modelled as numbers (epoch days / microseconds)
+        self.times = {f.name: f.dataType for f in fields if is_time_type(f.dataType)}
+        if self.times:
+            df = df.select(key, *[time_to_number(f.name, f.dataType).alias(f.name) if f.name in self.times
+                                  else F.col(f.name) for f in fields])
+        self.nums = [f.name for f in fields if isinstance(f.dataType, T.NumericType) or f.name in self.times]
+        self.cats = [f.name for f in fields if f.name not in self.nums]
         probs = [i / (N_KNOTS - 1) for i in range(N_KNOTS)]
         aggs = [F.count(F.lit(1)).alias("__n")]
         for i, c in enumerate(self.nums):
@@ -74,7 +80,7 @@ class GaussianCopula(Synthesizer):
         self.n_rows = n
         self.knots = {c: np.array(r[f"k{i}"] or [0.0], dtype="float64") for i, c in enumerate(self.nums)}
         self.p_null = {c: int(r[f"z{i}"]) / n if n else 0.0 for i, c in enumerate(self.nums)}
-        self.integral = {f.name: isinstance(f.dataType, T.IntegralType) for f in fields}
+        self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
         self.cat_tables = {}
         if self.cats:
             arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.cats])
@@ -93,6 +99,7 @@ class GaussianCopula(Synthesizer):
                 lo = np.concatenate([[0.0], cum[:-1]])
                 mids = (lo + cum) / 2.0
                 self.cat_tables[c] = {"values": [v for v, _ in items], "cum": cum,
+                                      "counts": [k for _, k in items],
                                       "z": {v: float(z) for (v, _), z in zip(items, normal.ppf(mids))}}
         self.cols = self.nums + self.cats
         self.corr = self._score_correlation(df)
@@ -195,5 +202,8 @@ class GaussianCopula(Synthesizer):
         # back to the original column order and types
         out = [F.col(self_key)]
         for f in self.fields:
-            out.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            if f.name in self.times:
+                out.append(number_to_time(f.name, f.dataType).alias(f.name))
+            else:
+                out.append(F.col(f.name).cast(f.dataType).alias(f.name))
         return raw.select(*out)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from synthaudit.functions.columns import is_time_type, number_to_time, time_to_number
 from synthaudit.functions.uniform import hash_uniform
 from synthaudit.operators.synth.base import Synthesizer, register
 
@@ -185,10 +186,15 @@ class DPTree(Synthesizer):
         cfg = self.config
         fields = [f for f in df.schema.fields if f.name != key]
         self.fields = fields
-        self.nums = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-        self.cats = [f.name for f in fields if not isinstance(f.dataType, T.NumericType)]
+        # dates and timestamps are binned as numbers (epoch days / microseconds)
+        self.times = {f.name: f.dataType for f in fields if is_time_type(f.dataType)}
+        if self.times:
+            df = df.select(key, *[time_to_number(f.name, f.dataType).alias(f.name) if f.name in self.times
+                                  else F.col(f.name) for f in fields])
+        self.nums = [f.name for f in fields if isinstance(f.dataType, T.NumericType) or f.name in self.times]
+        self.cats = [f.name for f in fields if f.name not in self.nums]
         self.cols = self.nums + self.cats
-        self.integral = {f.name: isinstance(f.dataType, T.IntegralType) for f in fields}
+        self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
         bins = int(cfg["bins"])
         eps = float(cfg["epsilon"])
         undeclared = [c for c in self.nums if c not in self.bounds_declared]
@@ -306,4 +312,6 @@ class DPTree(Synthesizer):
 
         schema = ", ".join([f"{key} long"] + [f"{c} double" for c in nums] + [f"{c} string" for c in cols if c not in nums])
         raw = src.mapInPandas(part, schema)
-        return raw.select(F.col(key), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields])
+        times = self.times
+        return raw.select(F.col(key), *[number_to_time(f.name, f.dataType).alias(f.name) if f.name in times
+                                        else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields])

@@ -33,10 +33,7 @@ def copula_marginals(spark, d):
     rows = []
     for c in m.cats:
         t = m.cat_tables[c]
-        prev = 0.0
-        for v, cum in zip(t["values"], t["cum"]):
-            rows.append((c, v, int(round((cum - prev) * m.n_rows))))
-            prev = cum
+        rows += [(c, v, int(k)) for v, k in zip(t["values"], t["counts"])]
     return spark.createDataFrame(rows, "column_name string, value string, n bigint")
 
 

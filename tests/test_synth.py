@@ -84,3 +84,20 @@ def test_wide_marginals_equal_explode_path(spark, train):
     a = sorted(map(tuple, marginal_counts(codes, nums + cats).collect()))
     b = sorted(map(tuple, marginal_counts_wide(codes, nums + cats, dom).collect()))
     assert a == b and len(a) > 100
+
+
+def test_generators_model_datetimes(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=7 * i), dt.date(2024, 1, 1) + dt.timedelta(days=i % 40), float(i % 13),
+             "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, d date, x double, s string")
+    for name, kw in (("copula", {}), ("privbayes", {"noise_seed": 3})):
+        syn = build(name, **kw).fit(df, "k").sample(300, seed=1)
+        assert dict(syn.dtypes) == dict(df.dtypes)
+        r = syn.agg({"ts": "min", "d": "max"}).first()
+        assert r[0] is not None and r[1] is not None
+    cop = build("copula").fit(df, "k").sample(300, seed=1)
+    lo, hi = cop.agg({"ts": "min"}).first()[0], cop.agg({"ts": "max"}).first()[0]
+    assert base <= lo and hi <= base + dt.timedelta(minutes=7 * 399)
