@@ -114,3 +114,16 @@ def test_run_config_defaults():
     assert "models" not in c.run_config()
     lc = LoaderConfig()
     assert lc.high_cardinality_threshold == 0.5 and lc.min_rows_after_cleaning == 50
+
+
+def test_audit_table_given_synthetic(spark, sf):
+    from synthaudit.plans import fixtures as fx
+    from synthaudit.plans.run import audit_table
+
+    facts = fx.cached_facts(spark, sf)
+    out = audit_table(spark, facts, fx.perturb(facts), "row_key", AuditConfig(n_attacks=200))
+    rec = out["record"]
+    assert rec["model"] == "given" and 0.0 <= rec["singling_out_risk"] <= 1.0
+    assert rec["correlation_similarity"] is not None and out["report"].count() == 1
+    bad = audit_table(spark, facts, facts.drop("sum_qty"), "row_key")
+    assert bad["record"]["singling_out_ci"] == "N/A"        # schema check first (D10)
