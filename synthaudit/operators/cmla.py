@@ -90,6 +90,7 @@ class CmlaReference:
     scaled_real: DataFrame
     medoids: DataFrame
     calibration_distances: DataFrame
+    cached: list = None          # frames persisted by the fit (released by the caller)
 
 
 def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_percentile: float = 5.0,
@@ -100,10 +101,12 @@ def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_perc
         raise ValueError("No numeric columns found.")
     prof = zero_filled_profile(real, cols)
     zr = zscore(real, prof, cols, key).persist()      # read by every Lloyd round and the calibration
+    cached = [zr]
 
     def clusters():
         if labels is not None:
             z = zr.join(real.select(key, F.col(labels).alias("cluster")), key).persist()
+            cached.append(z)
             kk = z.select("cluster").distinct().count()
         else:
             kk = max(1, min(n_clusters, prof.n_rows - 1))
@@ -124,7 +127,7 @@ def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_perc
     zr, k, med, med_rows = res["clusters"]
     cal, t = res["cal"]
     return CmlaReference(cols, prof, med_rows, float(t) if t is not None else 0.0, k, calibration,
-                         distance_percentile, zr, med, cal)
+                         distance_percentile, zr, med, cal, cached)
 
 
 def score(ref: CmlaReference, syn: DataFrame, key: str, detail: bool = False):

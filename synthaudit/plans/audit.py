@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from synthaudit.config import AuditConfig
 from synthaudit.functions.columns import feature_columns
+from synthaudit.functions.parallel import PARALLEL_JOBS, run_parallel  # noqa: F401 (re-exported)
 from synthaudit.operators import cmla as cm
 from synthaudit.operators import linkability as lk
 from synthaudit.operators import singling_out as so
@@ -42,9 +43,6 @@ RECORD_SCHEMA = (
 RECORD_FIELDS = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
 
-from synthaudit.functions.parallel import PARALLEL_JOBS, run_parallel  # noqa: E402,F401
-
-
 @dataclass
 class Candidate:
     """A synthetic table to audit, or the reason it could not be made."""
@@ -113,7 +111,8 @@ class RealSide:
                 pass
         ref = self._futures.get("cmla")
         if ref is not None and ref.exception() is None:
-            ref.result().scaled_real.unpersist()
+            for df in ref.result().cached:
+                df.unpersist()
         if self._pool is not None:
             self._pool.shutdown(wait=False)
         self.corr.unpersist()
