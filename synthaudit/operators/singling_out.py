@@ -224,6 +224,52 @@ def match_counts(chosen: DataFrame, target: DataFrame, key: str, cols: list[str]
     return res
 
 
+def success_counts(chosen_rows: list, tables: dict, key: str) -> dict:
+    """Number of chosen predicates that match exactly one row, per table,
+    from one tagged union of the tables (one join + one aggregate job)."""
+    spark = next(iter(tables.values())).sparkSession
+    tagged = None
+    for tag, t in tables.items():
+        cols = sorted({r["column_name"] for r in chosen_rows})
+        part = t.select(key, *cols).withColumn("__t", F.lit(tag))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    hits = {tag: 0 for tag in tables}
+    eq = [r for r in chosen_rows if r["kind"] == "eq"]
+    if eq:
+        eq_df = F.broadcast(spark.createDataFrame(
+            [(r["column_name"], r["kind"], r["vnum"], r["vstr"], r["syn_key"]) for r in eq], PRED_SCHEMA))
+        cols = sorted({r["column_name"] for r in eq})
+        items = []
+        for c in cols:
+            num = is_numeric_type(tagged.schema[c].dataType)
+            items.append(F.struct(
+                F.lit(c).alias("column_name"),
+                (F.col(c).cast("double") if num else F.lit(None).cast("double")).alias("vnum"),
+                (F.lit(None).cast("string") if num else F.col(c).cast("string")).alias("vstr")))
+        tv = tagged.select("__t", F.explode(F.array(*items)).alias("__v")).select(
+            "__t", "__v.column_name", "__v.vnum", "__v.vstr")
+        j = tv.join(eq_df, (tv.column_name == eq_df.column_name) & tv.vnum.eqNullSafe(eq_df.vnum)
+                    & tv.vstr.eqNullSafe(eq_df.vstr))
+        per = j.groupBy("__t", eq_df.column_name, eq_df.syn_key).agg(F.count(F.lit(1)).alias("n"))
+        for r in per.where(F.col("n") == 1).groupBy("__t").count().collect():
+            hits[r["__t"]] += r["count"]
+    other = [r for r in chosen_rows if r["kind"] != "eq"]
+    if other:
+        aggs = []
+        for i, r in enumerate(other):
+            c = F.col(r["column_name"])
+            if r["kind"] == "null":
+                cond = c.isNull()
+            elif r["kind"] == "le":
+                cond = c.cast("double") <= F.lit(r["vnum"])
+            else:
+                cond = c.cast("double") >= F.lit(r["vnum"])
+            aggs.append(F.count_if(cond).alias(f"p{i}"))
+        for r in tagged.groupBy("__t").agg(*aggs).collect():
+            hits[r["__t"]] += sum(1 for i in range(len(other)) if r[f"p{i}"] == 1)
+    return hits
+
+
 def singling_out(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
                  n_attacks: int = 500, seed: int = 42) -> AttackResult:
     """Univariate singling-out risk of ``syn`` against ``real``."""
@@ -236,10 +282,8 @@ def singling_out(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
         n = len(chosen_rows)
         if n == 0:
             return failed_result("SinglingOut", "no predicate isolates a synthetic row")
-        chosen_df = syn.sparkSession.createDataFrame(
-            [(r["column_name"], r["kind"], r["vnum"], r["vstr"], r["syn_key"]) for r in chosen_rows], PRED_SCHEMA)
-        s = match_counts(chosen_df, real, key, cols).where(F.col("n_match") == 1).count()
-        c = match_counts(chosen_df, control, key, cols).where(F.col("n_match") == 1).count()
+        hits = success_counts(chosen_rows, {"real": real, "control": control}, key)
+        s, c = hits["real"], hits["control"]
         risk, lo, hi = residual_risk(s, c, n)
         return AttackResult("SinglingOut", risk, lo, hi, n, False,
                             f"n_success={s} | n_control_success={c} | n_requested={n_attacks}", s, c)
