@@ -27,10 +27,6 @@ def categorical_columns(df: DataFrame, key: str | None = None) -> list[str]:
             if f.name != key and isinstance(f.dataType, T.StringType)]
 
 
-def field_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 

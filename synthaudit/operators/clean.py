@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from synthaudit.config import LoaderConfig
-from synthaudit.operators.profile import CleaningPlan, drop_null_rows, is_other, profile
+from synthaudit.operators.profile import CleaningPlan, drop_null_rows, profile
 
 
 class LoaderError(Exception):
@@ -243,9 +243,3 @@ def validate(res: LoaderResult, cfg: LoaderConfig) -> None:
 def drop_rows_null_in(df: DataFrame, cols: list[str]) -> DataFrame:
     """Drop rows that are NULL in any of the given columns."""
     return df.na.drop(subset=cols)
-
-
-def drop_other_type_nulls(df: DataFrame, key: str) -> DataFrame:
-    """I6 for every column of an unsupported type."""
-    other = [f.name for f in df.schema.fields if f.name != key and is_other(f.dataType)]
-    return drop_rows_null_in(df, other) if other else df

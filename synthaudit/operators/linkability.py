@@ -87,34 +87,6 @@ def links_many(target_sets: dict, syn: DataFrame, key: str, cols_a: list[str], c
         (F.col("a_key") == F.col("b_key")).alias("linked"))
 
 
-def links(targets, syn: DataFrame, key: str, cols_a: list[str], cols_b: list[str],
-          syn_bounds: dict | None = None) -> DataFrame:
-    """Per target: nearest syn key on half A and on half B, and the link flag.
-    ``targets`` is the bounded attack sample (pandas or a small DataFrame)."""
-    cols = cols_a + cols_b
-    tp = targets if not isinstance(targets, DataFrame) else targets.select(key, *cols).toPandas()
-    nums = [c for c in cols if is_numeric_type(syn.schema[c].dataType)]
-    if syn_bounds is None:
-        b = syn.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(nums)],
-                    *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(nums)]).first() if nums else {}
-        syn_bounds = {c: (b[f"lo{i}"], b[f"hi{i}"]) for i, c in enumerate(nums)}
-    ranges = {}
-    for c in nums:
-        lo, hi = syn_bounds[c]
-        tv = tp[c].astype("float64")
-        vals = [v for v in (lo, hi, tv.min(skipna=True), tv.max(skipna=True)) if v is not None and v == v]
-        ranges[c] = (max(vals) - min(vals)) if vals else 0.0
-
-    def spec(c):
-        return ColSpec(c, "num", ranges[c]) if c in ranges else ColSpec(c, "cat")
-
-    metrics = [Metric("a", tuple(spec(c) for c in cols_a)), Metric("b", tuple(spec(c) for c in cols_b))]
-    nn = nearest(syn, key, tp, key, metrics)
-    return nn.select(F.col("q_key").alias("target_key"), F.col("a_key").alias("nn_key_a"),
-                     F.col("b_key").alias("nn_key_b"),
-                     (F.col("a_key") == F.col("b_key")).alias("linked"))
-
-
 def linkability(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
                 n_attacks: int = 500, n_aux_cols: int | None = None, seed: int = 42,
                 detail: bool = False):

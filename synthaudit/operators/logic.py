@@ -69,13 +69,6 @@ def logic_score(agg: DataFrame) -> DataFrame:
                       score.alias("logic_consistency"))
 
 
-def breakdown_map(agg: DataFrame) -> DataFrame:
-    """The original tool's ``{key: n}`` map of positive counts (MAP<STRING,BIGINT>)."""
-    pos = F.filter("checks", lambda s: s["n"] > 0)
-    return agg.select(F.map_from_entries(
-        F.transform(pos, lambda s: F.struct(s["violation_key"], s["n"]))).alias("violation_breakdown"))
-
-
 def logic_check(real: DataFrame, syn: DataFrame, key: str | None = None,
                 profile: ColumnProfile | None = None) -> DataFrame:
     """Cached one-row logic aggregate of syn against real."""

@@ -185,45 +185,6 @@ def choose_predicates(syn: DataFrame, key: str, cols: list[str], n: int, seed: i
     return choose_topk(syn, key, cols, n, seed, n_rows)
 
 
-def match_counts(chosen: DataFrame, target: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Number of ``target`` rows each chosen predicate matches:
-    ``(column_name, kind, syn_key, n_match)``."""
-    rows = chosen.collect()
-    eq = [r for r in rows if r["kind"] == "eq"]
-    spark = target.sparkSession
-    out = []
-    if eq:
-        eq_df = F.broadcast(spark.createDataFrame(
-            [(r["column_name"], r["kind"], r["vnum"], r["vstr"], r["syn_key"]) for r in eq], PRED_SCHEMA))
-        tv = unpivot_values(target, key, sorted({r["column_name"] for r in eq}))
-        j = tv.join(eq_df, (tv.column_name == eq_df.column_name) & tv.vnum.eqNullSafe(eq_df.vnum)
-                    & tv.vstr.eqNullSafe(eq_df.vstr))
-        hits = j.groupBy(eq_df.column_name, eq_df.kind, eq_df.syn_key).agg(F.count(F.lit(1)).alias("n_match"))
-        out.append(eq_df.select("column_name", "kind", "syn_key").join(hits, ["column_name", "kind", "syn_key"], "left")
-                   .select("column_name", "kind", "syn_key", F.coalesce("n_match", F.lit(0)).alias("n_match")))
-    other = [r for r in rows if r["kind"] != "eq"]
-    if other:
-        aggs = []
-        for r in other:
-            c = F.col(r["column_name"])
-            if r["kind"] == "null":
-                cond = c.isNull()
-            elif r["kind"] == "le":
-                cond = c.cast("double") <= F.lit(r["vnum"])
-            else:
-                cond = c.cast("double") >= F.lit(r["vnum"])
-            aggs.append(F.struct(F.lit(r["column_name"]).alias("column_name"), F.lit(r["kind"]).alias("kind"),
-                                 F.lit(r["syn_key"]).cast("long").alias("syn_key"),
-                                 F.count_if(cond).alias("n_match")))
-        out.append(target.agg(F.array(*aggs).alias("a")).select(F.inline("a")))
-    if not out:
-        return spark.createDataFrame([], "column_name string, kind string, syn_key long, n_match bigint")
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
-
-
 def success_counts(chosen_rows: list, tables: dict, key: str) -> dict:
     """Number of chosen predicates that match exactly one row, per table,
     from one tagged union of the tables (one join + one aggregate job)."""

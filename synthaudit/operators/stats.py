@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from synthaudit.functions.columns import feature_columns, numeric_columns
 from synthaudit.functions.shipping import ship_package
@@ -210,7 +209,3 @@ def zero_filled_profile(df: DataFrame, cols: list[str]) -> ColumnProfile:
     return ColumnProfile(n_rows=int(r["n"]), n_null={}, minimum={}, maximum={},
                          mean={c: r[f"m{i}"] for i, c in enumerate(cols)},
                          stddev_pop={c: r[f"s{i}"] for i, c in enumerate(cols)})
-
-
-def typed_null(dt: T.DataType) -> Column:
-    return F.lit(None).cast(dt)

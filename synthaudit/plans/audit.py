@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import threading
-import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -336,9 +335,3 @@ def summary(records: DataFrame, cfg: AuditConfig, runtime: float) -> DataFrame:
         F.lit(best).cast("string").alias("recommended_model"), F.lit(bool(passed)).alias("threshold_passed"),
         F.lit(round(runtime, 1)).alias("total_runtime_seconds"), "results",
         F.lit(json.dumps(cfg.run_config())).alias("run_config"))
-
-
-def timed_audit(*args, **kw):
-    t0 = time.perf_counter()
-    out = audit(*args, **kw)
-    return out, time.perf_counter() - t0
