@@ -20,7 +20,7 @@ from synthaudit.operators.stats import ColumnProfile
 
 
 def logic_aggregate(profile: ColumnProfile, real_cols: list[str], real_nums: list[str],
-                    syn: DataFrame) -> DataFrame:
+                    syn: DataFrame, extra: list | None = None) -> DataFrame:
     """One-row aggregate over syn: ``n_rows`` and an array of
     ``struct(column, kind, violation_key, n)`` for every checked column."""
     syn_cols = set(syn.columns)
@@ -47,7 +47,7 @@ def logic_aggregate(profile: ColumnProfile, real_cols: list[str], real_nums: lis
         checks_col = F.array().cast("array<struct<column:string,kind:string,violation_key:string,n:bigint>>")
     else:
         checks_col = F.array(*checks)
-    return syn.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), checks_col.alias("checks"))
+    return syn.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), checks_col.alias("checks"), *(extra or []))
 
 
 def violations(agg: DataFrame, kind: str | None = None) -> DataFrame:
