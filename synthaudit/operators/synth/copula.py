@@ -1,8 +1,10 @@
 """Gaussian copula synthesizer.
 
 Fit (three Spark jobs, only p-sized results reach the driver):
-* numeric marginals: 1,001 quantile knots per column from one
-  ``percentile_approx`` aggregate, plus NULL share, min and max;
+* numeric marginals: up to 1,001 quantile knots per column (at most about
+  half the column's values, so interpolation never replays a real value
+  between tied knots) from one ``percentile_approx`` aggregate, plus the
+  NULL share;
 * categorical marginals: ``groupBy(column, value).count()`` over the
   unpivoted categorical columns (NULL is a category);
 * dependence: every row is mapped to normal scores (position between
@@ -70,16 +72,22 @@ class GaussianCopula(Synthesizer):
                                   else F.col(f.name) for f in fields])
         self.nums = [f.name for f in fields if isinstance(f.dataType, T.NumericType) or f.name in self.times]
         self.cats = [f.name for f in fields if f.name not in self.nums]
-        probs = [i / (N_KNOTS - 1) for i in range(N_KNOTS)]
-        aggs = [F.count(F.lit(1)).alias("__n")]
+        # knots per column: 1,001, but at most about half the non-null values, so that
+        # adjacent knots differ and interpolated values do not replay real ones
+        cnt = df.agg(F.count(F.lit(1)).alias("__n"),
+                     *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(self.nums)]).first()
+        n = int(cnt["__n"])
+        knots_n = {c: max(2, min(N_KNOTS, int(cnt[f"c{i}"]) // 2 + 1)) for i, c in enumerate(self.nums)}
+        aggs = []
         for i, c in enumerate(self.nums):
             x = F.col(c).cast("double")
-            aggs += [F.percentile_approx(x, probs, 100_000).alias(f"k{i}"), F.count_if(x.isNull()).alias(f"z{i}")]
-        r = df.agg(*aggs).first()
-        n = int(r["__n"])
+            probs = [j / (knots_n[c] - 1) for j in range(knots_n[c])]
+            aggs += [F.percentile_approx(x, probs, 100_000).alias(f"k{i}")]
+        r = df.agg(*aggs).first() if aggs else {}
+        r_n = {f"z{i}": n - int(cnt[f"c{i}"]) for i in range(len(self.nums))}
         self.n_rows = n
         self.knots = {c: np.array(r[f"k{i}"] or [0.0], dtype="float64") for i, c in enumerate(self.nums)}
-        self.p_null = {c: int(r[f"z{i}"]) / n if n else 0.0 for i, c in enumerate(self.nums)}
+        self.p_null = {c: r_n[f"z{i}"] / n if n else 0.0 for i, c in enumerate(self.nums)}
         self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
         self.cat_tables = {}
         if self.cats:

@@ -334,4 +334,5 @@ def summary(records: DataFrame, cfg: AuditConfig, runtime: float) -> DataFrame:
     return agg.select(
         F.lit(best).cast("string").alias("recommended_model"), F.lit(bool(passed)).alias("threshold_passed"),
         F.lit(round(runtime, 1)).alias("total_runtime_seconds"), "results",
-        F.lit(json.dumps(cfg.run_config())).alias("run_config"))
+        # nested like the original document (VARIANT keeps the structure in to_json)
+        F.parse_json(F.lit(json.dumps(cfg.run_config()))).alias("run_config"))

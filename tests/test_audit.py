@@ -78,7 +78,8 @@ def test_summary_shape(spark):
     s = au.summary(_records(spark), AuditConfig(), 12.34).first()
     assert s.recommended_model == "copula" and s.threshold_passed is True
     assert len(s.results) == 5 and s.total_runtime_seconds == 12.3
-    assert "models" not in json.loads(s.run_config)
+    rc = json.loads(s.run_config.toJson())
+    assert "models" not in rc and rc["train_ratio"] == 0.5
 
 
 def test_run_framework_from_csv(spark, sf):
