@@ -171,3 +171,11 @@ def op2(spark, data_dir):
         "doc_id", F.col("toxic").alias("label"))
     scored = score(docs, fit(docs, known))
     return scored.select("doc_id", in_fold(5, 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_html")
+def op9(spark, data_dir):
+    from synthaudit.llm.pages import extract_text
+
+    found = extract_text(read_table(spark, data_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
