@@ -179,3 +179,19 @@ def op9(spark, data_dir):
 
     found = extract_text(read_table(spark, data_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_substrings")
+def op3(spark, data_dir):
+    from synthaudit.llm.substrings import repeated_passages
+
+    return repeated_passages(read_table(spark, data_dir, "documents"))
+
+
+@query("op10_katz")
+def op10(spark, data_dir):
+    from synthaudit.llm.katz import score_texts
+
+    scored = score_texts(read_table(spark, data_dir, "documents"), ~in_fold(7, 2))
+    return scored.select("doc_id", in_fold(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
