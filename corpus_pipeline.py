@@ -32,7 +32,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 3: a passage stays in the first document that has it."""
     from synthaudit.llm.substrings import remove_repeats
 
-    return remove_repeats(docs)
+    kept = remove_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +60,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch_table(stage(spark, docs, sf_dir).withColumns({}), f"stage{k}")
+        docs = scratch_table(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
