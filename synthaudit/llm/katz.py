@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,15 @@ def unplanes(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(unpack(blob, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel().astype(np.int64)
 
 
+def rising(keys: np.ndarray) -> bytes:
+    """Compressed increasing 64-bit keys: their differences are smaller."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unrising(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unplanes(blob, n).view(np.uint64))
+
+
 # ------------------------------------------------------------------ discounts
 def discounts(n: list[int]) -> np.ndarray:
     """Factors for counts 0..K+1 (0 and beyond K: 1) from the numbers ``n[r]``
@@ -198,7 +208,7 @@ def _ask_rows(order: int, buckets: int, doc_kind):
                 own, place, names, bounds = _distinct(chunk.keys(order)[0], buckets)
                 count = np.bincount(place, chunk.train, len(own)).astype(np.int64)
                 for b, x, y in zip(names.tolist(), bounds[:-1], bounds[1:]):
-                    rows.add(row["chunk"], "ask", b, int(y - x), [pack(own[x:y]), planes(count[x:y])])
+                    rows.add(row["chunk"], "ask", b, int(y - x), [rising(own[x:y]), planes(count[x:y])])
                 yield from rows.table().to_batches()
     return run
 
@@ -208,7 +218,7 @@ def _count_rows(order: int, doc_kind):
     n-gram, and the counts of counts."""
     def run(table: pa.Table) -> pa.Table:
         asked = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        keys = np.concatenate([unpack(r["blobs"][0], "<u8", r["n"]) for r in asked])
+        keys = np.concatenate([unrising(r["blobs"][0], r["n"]) for r in asked])
         count = np.concatenate([unplanes(r["blobs"][1], r["n"]) for r in asked])
         own, first, place = np.unique(keys, return_index=True, return_inverse=True)
         total = np.zeros(len(own), np.int64)
@@ -251,7 +261,7 @@ class Answers:
             return unigram(self.orders[0], count)[place]
         _, context, _, _ = _distinct(self.chunk.keys(order)[1], self.buckets)
         own = self.of[f"weight{order}"]
-        total = np.concatenate([unpack(r["blobs"][0], "<f8", r["n"]) for r in own])[context]
+        total = np.concatenate([unplanes(r["blobs"][0], r["n"]) for r in own])[context]
         weight = np.concatenate([unpack(r["blobs"][1], "<f8", r["n"]) for r in own])[context]
         seen = self.orders[order - 1].discounted(count)[place]
         return np.where(seen > 0, seen / np.maximum(total, 1), weight * self.probability(order - 1))
@@ -270,7 +280,8 @@ def _context_rows(order: int, orders: list[Order], buckets: int, doc_kind):
         at, count = context[one], count[owner]
         sums = [np.bincount(at, v, len(own)) for v in (count, orders[order - 1].discounted(count), low[one])]
         for b, x, y in zip(names.tolist(), bounds[:-1], bounds[1:]):
-            rows.add(a.row["chunk"], "ask", b, int(y - x), [pack(own[x:y]), *[pack(s[x:y]) for s in sums]])
+            rows.add(a.row["chunk"], "ask", b, int(y - x), [rising(own[x:y]), planes(sums[0][x:y]), pack(sums[1][x:y]),
+                                                              pack(sums[2][x:y])])
         return rows.table()
     return run
 
@@ -279,16 +290,17 @@ def _weight_rows(order: int, doc_kind):
     """Total count and backoff weight of each context, for every chunk that has it."""
     def run(table: pa.Table) -> pa.Table:
         asked = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        keys = np.concatenate([unpack(r["blobs"][0], "<u8", r["n"]) for r in asked])
+        keys = np.concatenate([unrising(r["blobs"][0], r["n"]) for r in asked])
         own, place = np.unique(keys, return_inverse=True)
-        total, seen, low = (np.bincount(place, np.concatenate([unpack(r["blobs"][k], "<f8", r["n"]) for r in asked]), len(own))
-                            for k in (1, 2, 3))
+        total = np.bincount(place, np.concatenate([unplanes(r["blobs"][1], r["n"]) for r in asked]), len(own))
+        seen, low = (np.bincount(place, np.concatenate([unpack(r["blobs"][k], "<f8", r["n"]) for r in asked]), len(own))
+                     for k in (2, 3))
         whole = np.where(total - seen > 1e-9 * total, total, total + 1)     # nothing was freed
         weight = np.where(total > 0, (1 - seen / np.maximum(whole, 1)) / np.maximum(1 - low, 1e-12), 1.0)
         rows, at = Rows(doc_kind), 0
         for r in asked:
             one = place[at:at + r["n"]]
-            rows.add(r["chunk"], f"weight{order}", r["bucket"], r["n"], [pack(whole[one]), pack(weight[one])])
+            rows.add(r["chunk"], f"weight{order}", r["bucket"], r["n"], [planes(whole[one]), pack(weight[one])])
             at += r["n"]
         return rows.table()
     return run
@@ -333,6 +345,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, chunk_tokens: in
             *[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(K + 3)]).first()
         orders.append(Order(list(stats)))
         known = known.unionByName(counts.where(F.col("chunk") >= 0))
+        del asks
         _drop_finished(spark)
         if n > 1:
             sums = known.groupBy("chunk").applyInArrow(_context_rows(n, list(orders), buckets, arrow), schema)
@@ -347,5 +360,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, chunk_tokens: in
 
 def _drop_finished(spark) -> None:
     """Let Spark remove the shuffle files of steps whose tables are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):         # what the first round finalises lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
