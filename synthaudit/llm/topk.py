@@ -18,7 +18,8 @@ Defined cases: vectors that are null, or hold a null or non-finite component,
 take no part; only vectors of equal length are compared; a query does not meet
 rows of its own id; a repeated row is a candidate each time; ties go to the smaller
 id; fewer than k candidates give fewer rows; an empty table gives none; null
-ids take no part; other columns are ignored.
+ids take no part; other columns are ignored.  An inner product that does not fit
+64 bits is an error, never a wrong score.
 """
 
 from __future__ import annotations
@@ -67,8 +68,7 @@ def _dot(a: np.ndarray, b: np.ndarray, pairs=None) -> np.ndarray:
     if dim == 0:
         return np.zeros((len(a), len(b)) if pairs is None else len(pairs[0]), np.int64)
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * dim >= 2.0 ** 53:
-        a, b = a.astype(object), b.astype(object)
-        a, b = np.vectorize(int, otypes=[object])(a), np.vectorize(int, otypes=[object])(b)
+        a, b = (np.vectorize(int, otypes=[object])(v) for v in (a, b))     # Python's integers
     got = a @ b.T if pairs is None else (a[pairs[0]] * b[pairs[1]]).sum(axis=1)
     return got.astype(np.int64)
 
