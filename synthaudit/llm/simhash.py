@@ -150,9 +150,9 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         mask = sum(0xFF << (8 * p) for p in c)
         return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    # 56 rows come from each: a count given here is not joined into a few tasks
+    # 56 rows come from each: dealt anew, into a given number of parts
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = prints.repartition(parts, "fp").select("fp", F.posexplode(F.array(*[chosen(c) for c in choices])).alias("choice", "bytes"))
+    posted = prints.repartition(parts, F.xxhash64("fp")).select("fp", F.posexplode(F.array(*[chosen(c) for c in choices])).alias("choice", "bytes"))
     lists = (posted.groupBy("choice", "bytes").agg(F.collect_list("fp").alias("fps"))
              .where(F.size("fps") > 1).select("choice", "fps"))
     return lists.mapInArrow(_link_rows(choices, max_bits), schema_of(("a", "long"), ("b", "long"))).distinct()
