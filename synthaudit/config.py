@@ -11,6 +11,8 @@ MIN_ROWS_AFTER_CLEANING = 50
 PRIVACY_THRESHOLDS = {"singling_out": 0.10, "linkability": 0.10, "cmla": 0.10}
 UTILITY_THRESHOLDS = {"logic_consistency": 0.70, "correlation_similarity": 0.70, "tstr_gap_max": 0.10}
 SCORE_WEIGHTS = {"privacy": 0.50, "utility": 0.50}
+# Shares of correlation, logic and 1 - gap in the composite utility, with and without TSTR.
+UTILITY_SHARES = {"with_tstr": (0.25, 0.15, 0.60), "without": (0.50, 0.50)}
 
 
 @dataclass(frozen=True)

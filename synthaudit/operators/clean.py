@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from synthaudit.config import LoaderConfig
@@ -202,7 +203,10 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
         elif ci.kind == "categorical":
             v = modes[c] if c in modes else mode_value(df, c)
             fill = v if v is not None else "Unknown"
-            df = df.withColumn(c, F.trim(F.coalesce(F.col(c), F.lit(fill)).cast("string")))  # I4 (D6)
+            if isinstance(df.schema[c].dataType, T.BooleanType):
+                df = df.withColumn(c, F.coalesce(F.col(c), F.lit(bool(fill)) if v is not None else F.lit(False)))
+            else:
+                df = df.withColumn(c, F.trim(F.coalesce(F.col(c), F.lit(fill)).cast("string")))  # I4 (D6)
             log.append((c, "mode", str(fill), ci.n_null))
         elif ci.kind == "numeric":
             m = exact_median(df, c)
@@ -219,7 +223,7 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
 def load_and_clean(df: DataFrame, key: str, cfg: LoaderConfig | None = None, check: bool = True) -> LoaderResult:
     """The whole cleaning pipeline on a keyed DataFrame."""
     cfg = cfg or LoaderConfig()
-    d = drop_null_rows(df, key)                                       # R1
+    d = drop_null_rows(nan_to_null(df), key)                          # R1
     plan = profile(d, key, cfg)                                       # R2-R4, R6-R8 (action)
     keep = [key] + [c for c in plan.columns]                          # R5
     d = d.select(*keep)
@@ -231,13 +235,20 @@ def load_and_clean(df: DataFrame, key: str, cfg: LoaderConfig | None = None, che
     return res
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN of a typed source is a missing value like any other."""
+    return df.select(*[F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name)
+                       if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
 def validate(res: LoaderResult, cfg: LoaderConfig) -> None:
     """Enough rows and at least two columns must survive."""
     n, p = res.cleaned_shape
     if n < cfg.min_rows_after_cleaning:
-        raise LoaderError(f"Only {n} rows survived cleaning (minimum: {cfg.min_rows_after_cleaning}).")
+        raise LoaderError(f"{n} rows left after cleaning, {cfg.min_rows_after_cleaning} needed")
     if p < 2:
-        raise LoaderError("Fewer than 2 columns remain after cleaning. Cannot generate synthetic data.")
+        raise LoaderError(f"{p} column(s) left after cleaning, 2 needed")
 
 
 def drop_rows_null_in(df: DataFrame, cols: list[str]) -> DataFrame:

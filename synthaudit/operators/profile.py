@@ -164,8 +164,8 @@ def profile(df: DataFrame, key: str | None = None, cfg: LoaderConfig | None = No
         dt = df.schema[c].dataType
         if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) or probe.get(c):
             ci.kind = "datetime"
-        elif is_categorical(dt):
-            ci.kind = "categorical"
+        elif is_categorical(dt) or (isinstance(dt, T.BooleanType) and ci.n_null > 0):
+            ci.kind = "categorical"      # a boolean with gaps has a mode, not a median
         elif is_numeric(dt):
             ci.kind = "numeric"
         else:

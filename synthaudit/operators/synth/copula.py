@@ -205,7 +205,8 @@ class GaussianCopula(Synthesizer):
                 yield pd.DataFrame(out)
 
         self_key = self.key
-        schema = ", ".join([f"{self_key} long"] + [f"{c} double" for c in nums] + [f"{c} string" for c in cats])
+        schema = T.StructType([T.StructField(self_key, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in nums]
+                              + [T.StructField(c, T.StringType()) for c in cats])
         raw = src.mapInPandas(part, schema)
         # back to the original column order and types
         out = [F.col(self_key)]

@@ -29,14 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from synthaudit.functions.columns import is_time_type, number_to_time, time_to_number
 from synthaudit.functions.uniform import hash_uniform
-from synthaudit.operators.synth.base import Synthesizer, register
+from synthaudit.operators.synth.base import REGISTRY, Synthesizer, register
+from synthaudit.session import cut_lineage
 
-MAX_DOMAIN = 1_000          # categories per column kept in the model
+MAX_DOMAIN = 1_000          # codes per text column in the model; more values share them by hash
 NULL_CODE = "\u0000"        # code of NULL for categorical columns
-OTHER_CODE = "\u0001"       # code of the categories beyond MAX_DOMAIN
+SHARED = "\u0001"           # first character of a code that several values share
 # Exponents of the log-scale grid used to estimate bounds.
 GRID_EXP = range(-3, 13)
 
@@ -44,7 +46,8 @@ GRID_EXP = range(-3, 13)
 def numeric_code(c: str, lo: float, hi: float, bins: int):
     w = (hi - lo) / bins if hi > lo else 1.0
     x = F.col(c).cast("double")
-    b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - F.lit(lo)) / F.lit(w)).cast("int")))
+    # clamped as a double: a value far beyond the bounds has no integer bin
+    b = F.least(F.lit(bins - 1.0), F.greatest(F.lit(0.0), (x - F.lit(lo)) / F.lit(w))).cast("int")
     return F.when(x.isNull(), F.lit(bins)).otherwise(b).cast("string")
 
 
@@ -207,19 +210,36 @@ class DPTree(Synthesizer):
         eps_m = max(eps - spent, 1e-6)
         p = len(self.cols)
         codes = column_codes(df, self.nums, self.cats, bounds, bins)
-        # categorical domains: the MAX_DOMAIN most frequent values per column
-        # (a top-k per column), the rest share one OTHER code — so every
-        # table that reaches the driver is bounded by the domain sizes
+        # categorical domains: a column with more than MAX_DOMAIN values is
+        # modelled on MAX_DOMAIN codes that its values share by hash, so every
+        # table that reaches the driver is bounded; the values of a code and their
+        # shares stay a Spark table from which sampled codes draw their value
+        self.spread = {}
         dom = {c: [str(i) for i in range(bins + 1)] for c in self.nums}
         if self.cats:
             arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in self.cats])
             cnt = (codes.select(F.explode(arr).alias("e")).groupBy("e.c", "e.v")
                    .agg(F.count(F.lit(1)).alias("n")).persist())
+            sizes = {r["c"]: r["count"] for r in cnt.groupBy("c").count().collect()}
+            small = [c for c in self.cats if sizes.get(c, 0) <= MAX_DOMAIN]
             for c in self.cats:
-                top = cnt.where(F.col("c") == c).orderBy(F.desc("n"), "v").limit(MAX_DOMAIN).collect()
-                vals = sorted(r["v"] for r in top)
-                dom[c] = vals + [OTHER_CODE]
-                codes = codes.withColumn(c, F.when(F.col(c).isin(*vals), F.col(c)).otherwise(F.lit(OTHER_CODE)))
+                dom[c] = [NULL_CODE]
+            for r in cnt.where(F.col("c").isin(small)).select("c", "v").collect():
+                if r["v"] != NULL_CODE:
+                    dom[r["c"]].append(r["v"])
+            for c in small:
+                dom[c].sort()
+            for c in [c for c in self.cats if c not in small]:
+                shared = lambda v: F.concat(F.lit(SHARED), F.pmod(F.xxhash64(v), F.lit(MAX_DOMAIN)))
+                dom[c] = sorted([NULL_CODE] + [f"{SHARED}{k}" for k in range(MAX_DOMAIN)])
+                own = cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
+                    shared(F.col("v")).alias("code"), "v", "n")
+                upto = Window.partitionBy("code").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+                total = F.sum("n").over(Window.partitionBy("code"))
+                self.spread[c] = cut_lineage(own.select(
+                    "code", "v", ((F.sum("n").over(upto) - F.col("n")) / total).alias("lo"),
+                    (F.sum("n").over(upto) / total).alias("hi")))
+                codes = codes.withColumn(c, F.when(F.col(c) == NULL_CODE, F.col(c)).otherwise(shared(F.col(c))))
             cnt.unpersist()
         if len(self.cols) > WIDE_COLUMNS:
             rows = marginal_counts_wide(codes, self.cols, dom).collect()
@@ -306,12 +326,21 @@ class DPTree(Synthesizer):
                     out[c] = np.where(b >= bins, np.nan, v)
                 for c in cols:
                     if c not in nums:
-                        vals = np.asarray([None if v in (NULL_CODE, OTHER_CODE) else v for v in dom[c]], dtype=object)
+                        vals = np.asarray([None if v == NULL_CODE else v for v in dom[c]], dtype=object)
                         out[c] = vals[codes[c]]
                 yield pd.DataFrame(out)
 
-        schema = ", ".join([f"{key} long"] + [f"{c} double" for c in nums] + [f"{c} string" for c in cols if c not in nums])
+        schema = T.StructType([T.StructField(key, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in nums]
+                              + [T.StructField(c, T.StringType()) for c in cols if c not in nums])
         raw = src.mapInPandas(part, schema)
+        for c, values in self.spread.items():       # a shared code draws one of its values
+            own, u = values.withColumnRenamed("v", "__v"), hash_uniform(seed, f"dptree-value|{c}", F.col(key))
+            raw = raw.withColumn("__u", u)
+            raw = raw.join(own, (raw[c] == own["code"]) & (raw["__u"] >= own["lo"]) & (raw["__u"] < own["hi"]), "left")
+            raw = raw.withColumn(c, F.col("__v")).drop("__u", "__v", "code", "lo", "hi")
         times = self.times
         return raw.select(F.col(key), *[number_to_time(f.name, f.dataType).alias(f.name) if f.name in times
                                         else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields])
+
+
+REGISTRY["dptree"] = DPTree      # the name of the default configuration

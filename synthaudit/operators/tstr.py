@@ -18,8 +18,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +25,8 @@ from pyspark.sql import Window
 
 from synthaudit.functions.keys import hash_rank_key
 
-MAX_CLASSES = 1_000
-MAX_DUMMIES = 2_000
 N_FOLDS = 5
+MAX_DEPTH = 12             # of a tree; a parameter of every call (Spark allows up to 30)
 
 
 def label_text(c: str):
@@ -37,9 +34,7 @@ def label_text(c: str):
 
 
 def classes(real: DataFrame, target: str) -> list:
-    rows = real.select(label_text(target).alias("l")).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"target {target} has more than {MAX_CLASSES} classes")
+    rows = real.select(label_text(target).alias("l")).distinct().collect()
     return sorted(r["l"] for r in rows)
 
 
@@ -50,8 +45,9 @@ def encode_label(df: DataFrame, target: str, cls: list, name: str = "label") ->
     return df.withColumn(name, F.when(pos > 0, pos - 1).otherwise(F.lit(0)).cast("double"))
 
 
-def dummy_name(col: str, level: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_]", "_", f"{col}_{level}")
+def dummy_name(col: str, number: int) -> str:
+    """By the level's position: two levels may differ in punctuation only."""
+    return f"{col}__{number}"
 
 
 def dummy_levels(real: DataFrame, cols: list[str]) -> dict:
@@ -59,24 +55,19 @@ def dummy_levels(real: DataFrame, cols: list[str]) -> dict:
     if not cols:
         return {}
     arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
-    cap = MAX_DUMMIES + len(cols) + 1
     rows = (real.select(F.explode(arr).alias("e")).where(F.col("e.v").isNotNull())
-            .groupBy("e.c", "e.v").count().limit(cap).collect())
-    if len(rows) >= cap:
-        raise ValueError(f"one-hot encoding would exceed {MAX_DUMMIES} columns")
-    out = {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols}
-    if sum(max(0, len(v) - 1) for v in out.values()) > MAX_DUMMIES:
-        raise ValueError(f"one-hot encoding would exceed {MAX_DUMMIES} columns")
-    return out
-
-
-def design(df: DataFrame, key: str, nums: list[str], levels: dict) -> DataFrame:
-    """Numeric NULL → 0; dummies of real's levels without the first."""
-    out = [F.col(key)]
-    out += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in nums]
+            .groupBy("e.c", "e.v").count().collect())
+    return {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols}
+
+
+def design(df: DataFrame, key: str, nums: list[str], levels: dict, carry: tuple = ()) -> DataFrame:
+    """Numeric NULL → 0; one dummy ``<column>__<number>`` for each of
+    real's levels without the first.  ``carry`` columns come along, so labels and folds need no join."""
+    out = [F.col(f"`{c}`") for c in (key, *carry)]
+    out += [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in nums]
     for c, lv in levels.items():
-        for v in lv[1:]:
-            out.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(dummy_name(c, v)))
+        for i, v in enumerate(lv[1:], 1):
+            out.append(F.coalesce((F.col(f"`{c}`").cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(dummy_name(c, i)))
     return df.select(*out)
 
 
@@ -114,10 +105,10 @@ def majority_fold_accuracy(folded: DataFrame, label: str, k: int = N_FOLDS) -> D
             .select("fold", "pred", (F.coalesce("hit", F.lit(0)) / F.col("size")).alias("accuracy")))
 
 
-def _forest(seed: int = 42, trees: int = 100):
+def _forest(seed: int = 42, trees: int = 100, depth: int = MAX_DEPTH):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=12, labelCol="label",
+    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, labelCol="label",
                                   featuresCol="features")
 
 
@@ -132,7 +123,8 @@ def fold_accuracy(pred: DataFrame) -> DataFrame:
     return pred.groupBy("fold").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = 100):
+def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = 100,
+                depth: int = MAX_DEPTH):
     """Return (tstr per-fold accuracy, trtr per-fold accuracy) DataFrames."""
     feats_src = [c for c in real.columns if c not in (key, target)]
     nums = [c for c in feats_src if isinstance(real.schema[c].dataType, (T.NumericType, T.BooleanType))]
@@ -141,18 +133,17 @@ def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: in
     levels = dummy_levels(real, cats)
     r = encode_label(real, target, cls).select(key, target, "label", *feats_src)
     r = stratified_folds(r, key, target, seed)
-    rd = design(r, key, nums, levels).join(r.select(key, "label", "fold"), key)
-    sd = design(encode_label(syn, target, cls), key, nums, levels).join(
-        encode_label(syn, target, cls).select(key, "label"), key)
+    rd = design(r, key, nums, levels, ("label", "fold"))
+    sd = design(encode_label(syn, target, cls), key, nums, levels, ("label",))
     feats = [c for c in rd.columns if c not in (key, "label", "fold")]
     rv = _vectors(rd, feats).select(key, "label", "fold", "features").persist()
     sv = _vectors(sd, feats).select(key, "label", "features")
     from synthaudit.functions.parallel import run_parallel
 
     # the six forests are independent: fit them concurrently
-    fits = {"tstr": lambda: _forest(seed, trees).fit(sv)}
+    fits = {"tstr": lambda: _forest(seed, trees, depth).fit(sv)}
     for f in range(N_FOLDS):
-        fits[f] = (lambda f=f: _forest(seed, trees).fit(rv.where(F.col("fold") != f)))
+        fits[f] = (lambda f=f: _forest(seed, trees, depth).fit(rv.where(F.col("fold") != f)))
     models = run_parallel(fits)
     tstr_pred = models["tstr"].transform(rv)
     trtr_pred = None
@@ -162,10 +153,11 @@ def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: in
     return fold_accuracy(tstr_pred), fold_accuracy(trtr_pred)
 
 
-def tstr(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = 100):
+def tstr(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = 100,
+         depth: int = MAX_DEPTH):
     """M2: (tstr_score, tstr_baseline, tstr_gap); −1 each on failure."""
     try:
-        a, b = tstr_frames(real, syn, target, key, seed, trees)
+        a, b = tstr_frames(real, syn, target, key, seed, trees, depth)
         ta = a.agg(F.avg("accuracy")).first()[0]
         tb = b.agg(F.avg("accuracy")).first()[0]
         return float(ta), float(tb), max(0.0, float(tb) - float(ta))

@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from synthaudit.config import AuditConfig
+from synthaudit.config import AuditConfig, UTILITY_SHARES
 from synthaudit.functions.columns import feature_columns
 from synthaudit.functions.parallel import PARALLEL_JOBS, run_parallel  # noqa: F401 (re-exported)
+from synthaudit.operators.synth import build
 from synthaudit.operators import cmla as cm
 from synthaudit.operators import linkability as lk
 from synthaudit.operators import singling_out as so
@@ -160,12 +161,20 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
     def cmla_score():
         try:
             return cm.score(real.cmla_reference(), syn, key)
-        except ValueError as exc:
+        except Exception as exc:  # noqa: BLE001 - the other attacks keep their results
             return failed_result("CMLA", str(exc))
 
+    def kept(name, attack):
+        try:
+            return attack()
+        except Exception as exc:  # noqa: BLE001 - as above
+            return failed_result(name, str(exc))
+
     res = run_parallel({
-        "so": lambda: so.singling_out(real.train, syn, real.control, key, n_att, cfg.random_seed),
-        "lk": lambda: lk.link_risk(tr.head(n_att), tc.head(n_att), syn, key, real.half_a, real.half_b),
+        "so": lambda: kept("SinglingOut", lambda: so.singling_out(real.train, syn, real.control, key, n_att,
+                                                                  cfg.random_seed)),
+        "lk": lambda: kept("Linkability", lambda: lk.link_risk(tr.head(n_att), tc.head(n_att), syn, key, real.half_a,
+                                                               real.half_b)),
         "cm": cmla_score,
         "u": lambda: evaluate(real.train, syn, key, cfg.target_col, profile=real.profile, real_corr=real.corr),
     })
@@ -209,7 +218,10 @@ def audit_generators(real: RealSide, makers: dict) -> DataFrame:
     real.start()
 
     def one(i, name, make):
-        c = make()
+        try:
+            c = make()
+        except Exception as exc:  # noqa: BLE001 - a broken maker costs its own record only
+            return failed_record(name, f"Generator failed: {exc}", {}, i)
         if c.error is not None or c.syn is None:
             return failed_record(c.name, c.error or "no synthetic table", c.config, i)
         try:
@@ -269,14 +281,35 @@ def composite_scores(records: DataFrame, cfg: AuditConfig | None = None) -> Data
     cfg = cfg or AuditConfig()
     w = cfg.score_weights
     priv = 1.0 - F.greatest("singling_out_risk", "linkability_risk", "cmla_risk")
-    cu = F.when(F.col("tstr_score") >= 0,
-                0.25 * F.col("correlation_similarity") + 0.15 * F.col("logic_consistency")
-                + 0.60 * (1.0 - F.col("tstr_gap"))).otherwise(
-        0.5 * F.col("correlation_similarity") + 0.5 * F.col("logic_consistency"))
+    (c, g, t), (c0, g0) = UTILITY_SHARES["with_tstr"], UTILITY_SHARES["without"]
+    cu = F.when(F.col("tstr_score") >= 0, c * F.col("correlation_similarity") + g * F.col("logic_consistency")
+                + t * (1.0 - F.col("tstr_gap"))).otherwise(
+        c0 * F.col("correlation_similarity") + g0 * F.col("logic_consistency"))
     return records.select("model", priv.alias("privacy_score"), cu.alias("composite_utility"),
                           (w["privacy"] * priv + w["utility"] * cu).alias("composite_score"))
 
 
+def make_candidate(name: str, conf: dict, real: RealSide, seed: int, tables: dict) -> Candidate:
+    """Fit the named generator on the training rows and sample as many; any
+    error becomes the candidate's own.  The sample is cached and noted in ``tables``."""
+    shown, step = {k: v for k, v in conf.items() if k != "bounds"}, "Training"
+    try:
+        model = build(name, **conf).fit(real.train, real.key)
+        step = "Sampling"
+        syn = tables[name] = model.sample(real.n_train, seed=seed).persist()
+        syn.count()
+    except Exception as exc:  # noqa: BLE001 - per-model isolation
+        return Candidate(name, None, shown, f"{step} failed: {exc}")
+    return Candidate(name, syn, shown)
+
+
+def full_report(records: DataFrame) -> DataFrame:
+    """Every field of every record, ranked, with the recommended row flagged."""
+    narrow = rank_models(records).select("rank", F.col("model").alias("__m"), "is_recommended")
+    return (records.join(narrow, records["model"] == narrow["__m"]).drop("__m", "config_order")
+            .select("rank", *[c for c in records.columns if c != "config_order"], "is_recommended").orderBy("rank"))
+
+
 def rank_models(records: DataFrame) -> DataFrame:
     """Narrow report ordered by composite score (NULL last), with
     the recommended row flagged.  Records are one per model (small)."""
@@ -327,10 +360,14 @@ def summary(records: DataFrame, cfg: AuditConfig, runtime: float) -> DataFrame:
     """One-row nested summary (results array + run config)."""
     best = recommend(records)
     passed = records.where("overall_pass").limit(1).count() > 0
-    res = records.drop("config_order", "so_ci_lower", "so_ci_upper", "link_ci_lower", "link_ci_upper",
+    res = records.withColumn("__order", F.col("config_order")).drop("config_order", "so_ci_lower", "so_ci_upper", "link_ci_lower", "link_ci_upper",
                        "so_n", "so_s", "so_c", "lk_n", "lk_s", "lk_c")
     res = res.withColumn("is_recommended", F.col("model") == F.lit(best) if best else F.lit(False))
-    agg = res.agg(F.collect_list(F.struct(*res.columns)).alias("results"))
+    # one row per model: ordered as the report ranks them
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("composite_score"), F.asc("__order")))
+    res = res.select(place.alias("__place"), F.struct(*[c for c in res.columns if c != "__order"]).alias("__row"))
+    agg = res.agg(F.transform(F.sort_array(F.collect_list(F.struct("__place", "__row"))),
+                              lambda x: x["__row"]).alias("results"))
     return agg.select(
         F.lit(best).cast("string").alias("recommended_model"), F.lit(bool(passed)).alias("threshold_passed"),
         F.lit(round(runtime, 1)).alias("total_runtime_seconds"), "results",

@@ -123,25 +123,13 @@ def end_to_end(spark, d, cfg: AuditConfig | None = None):
     else:
         train, control = fx.split(spark, d, cfg.train_ratio, cfg.random_seed)
     real = au.RealSide(train, control, fx.KEY, cfg).start()
-    n_train = real.n_train
-    tables = []
-
-    def make(name, kw):
-        conf = {k: v for k, v in kw.items() if k != "bounds"}
-        try:
-            m = build(name, **kw).fit(real.train, fx.KEY)
-            syn = m.sample(n_train, seed=cfg.random_seed).persist()
-            syn.count()
-            tables.append(syn)
-            return au.Candidate(name, syn, conf)
-        except (NotAvailable, ValueError, RuntimeError) as exc:
-            return au.Candidate(name, None, conf, f"Training failed: {exc}")
+    tables = {}
 
     # generators are fitted, sampled and audited while the real side is computed
-    makers = {name: (lambda name=name, kw=kw: make(name, kw)) for name, kw in cfg.models.items()}
+    makers = {name: (lambda name=name, kw=kw: au.make_candidate(name, kw, real, cfg.random_seed, tables)) for name, kw in cfg.models.items()}
     recs = au.audit_generators(real, makers).cache()
     recs.count()
-    for t in tables:
+    for t in tables.values():
         t.unpersist()
     real.release()
     return recs, time.perf_counter() - t0, cfg
@@ -170,3 +158,23 @@ def audit_reference_run(spark, d):
 def summary_json(spark, d):
     recs, t, cfg = end_to_end(spark, d)
     return au.summary(recs, cfg, t).select(F.to_json(F.struct("*")).alias("json"))
+
+
+@query("synth_dptree_wide", fx.ORACLE_FIXTURES + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_unknown,
+       count(DISTINCT row_key % 1499) > 1000 AS is_wide
+FROM facts""")
+def synth_dptree_wide(spark, d):
+    """A text column with far more values than the model has codes: no sampled
+    value may be null or unknown to the real table."""
+    from synthaudit.operators.synth import build
+
+    real = fx.facts(spark, d).select(
+        fx.KEY, "sum_qty", F.concat(F.lit("v-"), F.pmod(fx.KEY, F.lit(1499))).alias("many-values"))
+    model = build("dptree", epsilon=1.0, bounds={"sum_qty": (0.0, 500.0)}).fit(real, fx.KEY)
+    known = real.select(F.col("many-values").alias("known")).distinct()
+    syn = model.sample(real.count(), seed=42)
+    return syn.join(known, syn["many-values"] == known["known"], "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("many-values").isNull()).alias("n_null"),
+        F.count_if(F.col("many-values").isNotNull() & F.col("known").isNull()).alias("n_unknown"),
+        (F.lit(known.count()) > 1000).alias("is_wide"))

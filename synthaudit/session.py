@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d
+    if not str(spark.sparkContext.master).split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     d = tempfile.mkdtemp(prefix="synthaudit-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from synthaudit.operators.clean import LoaderError
+
 # Text read as missing (the common CSV reader default set).
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -21,21 +23,12 @@ BOOL_TOKENS = ("true", "false", "True", "False", "TRUE", "FALSE")
 CSV_GLOB = "*.[cC][sS][vV]"
 
 
-class LoaderError(Exception):
-    """Raised when a source cannot be read or is empty."""
-
-
-def allowed_file(name: str) -> bool:
-    """S3: only ``.csv`` files (any case)."""
-    return "." in name and name.rsplit(".", 1)[1].lower() == "csv"
-
-
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     try:
         return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
                 .option("inferSchema", False).option("pathGlobFilter", CSV_GLOB).csv(path))
     except AnalysisException as exc:
-        raise LoaderError(f"Could not read CSV at {path}: {exc}") from exc
+        raise LoaderError(f"no readable CSV below {path}: {exc}") from exc
 
 
 def infer_types(df: DataFrame, skip: tuple = ()) -> dict:
@@ -43,7 +36,7 @@ def infer_types(df: DataFrame, skip: tuple = ()) -> dict:
     cols = [c for c in df.columns if c not in skip]
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = F.col(f"`{c}`")
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
                  F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
@@ -71,19 +64,19 @@ def read_csv(spark: SparkSession, path: str, key: str | None = None) -> DataFram
     """Typed DataFrame of a CSV file or folder of CSV files."""
     raw = read_text_csv(spark, path)
     if raw.isEmpty():
-        raise LoaderError("CSV is empty.")
-    nulled = raw.select(*[F.when(F.col(c).isin(*NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
+        raise LoaderError(f"no data rows in {path}")
+    nulled = raw.select(*[F.when(F.col(f"`{c}`").isin(*NULL_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
                           for c in raw.columns])
-    types = infer_types(nulled, skip=(key,) if key else ())
+    types = infer_types(nulled)        # the key, too: text "10" would sort before "2"
     out = []
     for c in nulled.columns:
         t = types.get(c)
         if t in ("bigint", "double"):
             out.append(F.expr(f"try_cast(`{c}` AS {t.upper()})").alias(c))
         elif t == "boolean":
-            out.append(F.lower(F.col(c)).cast("boolean").alias(c))
+            out.append(F.lower(F.col(f"`{c}`")).cast("boolean").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
     typed = nulled.select(*out)
     if key is None:
         typed = typed.withColumn("row_key", F.monotonically_increasing_id())

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthaudit.sources.csv import LoaderError, allowed_file, read_csv
+from synthaudit.sources.csv import LoaderError, read_csv
 from synthaudit.sources.json_io import json_safe, read_json_text, write_summary
 
 MESSY = '''name,amount,note,day,flag
@@ -47,11 +47,6 @@ def test_csv_guards(spark):
         read_csv(spark, d)
 
 
-def test_allowed_file():
-    assert allowed_file("x.csv") and allowed_file("X.CSV")
-    assert not allowed_file("x.parquet") and not allowed_file("csv")
-
-
 def test_json_safe_nested(spark):
     schema = "a double, arr array<double>, st struct<x:double,y:string>, m map<string,double>"
     df = spark.createDataFrame([(float("nan"), [1.0, float("inf")], (float("-inf"), "k"), {"p": float("nan")})], schema)
