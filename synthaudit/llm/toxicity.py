@@ -24,7 +24,7 @@ toxic sentence; a logistic curve turns it into the score.
 The machine is linear, so scoring needs one weight per landmark; a task
 describes each distinct word of a block of texts once.  Nothing is shuffled.
 The labelled sample is bounded: ``max_rows`` of each label, by a hash of the
-id (documented limit, default 3,000).
+id (documented limit, default 2,500).
 
 Defined cases: a null or empty text scores as one without any word; without
 labelled rows of both kinds the score is the smoothed share of label 1 (0.5
@@ -135,7 +135,7 @@ class Kernel:
         touched, place = np.unique(word, return_inverse=True)
         value = np.bincount(place[entry] * self.m + self.mark[at], weight[entry] * self.weight[at],
                             len(touched) * self.m).reshape(-1, self.m)
-        value = np.minimum(value, 1.0)
+        value = np.minimum(value, 1.0).astype(np.float32)
         value[value < FAINT] = 0
         keep = value.any(axis=1)
         return touched[keep], value[keep] ** POWER
@@ -163,22 +163,22 @@ def sentence_values(kernel: Kernel, data: np.ndarray, offsets: np.ndarray):
 
 # ------------------------------------------------------------------ training
 WIDTHS = range(4, 10)
-_BUCKETS = 24              # bits of the table that counts stretches
+_BUCKETS = 23              # bits of the table that counts stretches
+BLOCK = 1 << 19            # bytes of text described at once
 
 
-def _stretches(data: np.ndarray, offsets: np.ndarray):
-    """For each width, the distinct (text, stretch of letters inside a word)."""
+def _stretches(data: np.ndarray, offsets: np.ndarray, width: int):
+    """The distinct (text, stretch of ``width`` letters inside a word)."""
     codes, bounds, where, text_bounds = spell(data, offsets)
     word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     text = (np.searchsorted(text_bounds, where, "right") - 1)[word]
-    for width in WIDTHS:
-        n = max(0, len(codes) - width + 1)
-        key = np.zeros(n, np.int64)
-        for k in range(width):
-            key = key * 32 + codes[k:k + n]
-        own = word[:n] == word[width - 1:width - 1 + n]
-        pair = np.unique(text[:n][own] << 45 | key[own])
-        yield width, pair >> 45, pair & ((1 << 45) - 1)
+    n = max(0, len(codes) - width + 1)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key = key * 32 + codes[k:k + n]
+    own = word[:n] == word[width - 1:width - 1 + n]
+    pair = np.unique(text[:n][own] << 45 | key[own])
+    return pair >> 45, pair & ((1 << 45) - 1)
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
@@ -192,35 +192,36 @@ def _spelled(width: int, key: int) -> np.ndarray:
 def choose_landmarks(texts: pa.Array, y: np.ndarray, toxic: int, plain: int, least: int = 3,
                      alike: float = 0.6) -> list[np.ndarray]:
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    seen = np.zeros((len(WIDTHS), 2, 1 << _BUCKETS), np.uint16)       # the sample is smaller than 2^16 rows
-
     def gain(in1, in0):
         p1, p0 = (in1 + 0.5) / (n1 + 1), (in0 + 0.5) / (n0 + 1)
         return p1 * np.log(p1 / p0)
 
-    for i, j, data, off in text_blocks(texts):
-        for width, text, key in _stretches(data, off):
+    counts: dict[tuple[int, int], list[int]] = {}
+    for width in WIDTHS:                                   # one table at a time: the driver's memory is small
+        seen = np.zeros((2, 1 << _BUCKETS), np.uint16)     # the sample has fewer than 2^16 rows
+        for i, j, data, off in text_blocks(texts):
+            text, key = _stretches(data, off, width)
             at = _bucket(key)
             for label in (0, 1):
-                np.add.at(seen[width - WIDTHS[0], label], at[y[i:j][text] == label], 1)
-    wanted = []
-    for s in seen:
-        at = np.flatnonzero(s[1] >= least)
-        best = at[np.argsort(-gain(s[1][at].astype(float), s[0][at].astype(float)), kind="stable")[:8 * toxic]]
-        wanted.append(np.sort(np.concatenate([best, np.argsort(-s[0].astype(int), kind="stable")[:plain]])))
-    del seen
-    counts: dict[tuple[int, int], list[int]] = {}
-    for i, j, data, off in text_blocks(texts):
-        for width, text, key in _stretches(data, off):
-            at, own = _bucket(key), wanted[width - WIDTHS[0]]
-            hit = own[np.minimum(np.searchsorted(own, at), len(own) - 1)] == at
+                np.add.at(seen[label], at[y[i:j][text] == label], 1)
+        at = np.flatnonzero(seen[1] >= least)
+        best = at[np.argsort(-gain(seen[1][at].astype(float), seen[0][at].astype(float)), kind="stable")[:8 * toxic]]
+        often = np.flatnonzero(seen[0] >= max(1, int(np.partition(seen[0], -plain)[-plain])))[:2 * plain]
+        wanted = np.unique(np.concatenate([best, often]))
+        if not len(wanted):
+            continue
+        for i, j, data, off in text_blocks(texts):
+            text, key = _stretches(data, off, width)
+            at = _bucket(key)
+            hit = wanted[np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)] == at
             for label in (0, 1):
                 for k, n in zip(*np.unique(key[hit & (y[i:j][text] == label)], return_counts=True)):
                     counts.setdefault((width, int(k)), [0, 0])[label] += int(n)
+    del seen
     ranked = sorted(((-gain(c[1], c[0]), w, k) for (w, k), c in counts.items() if c[1] >= least))
     common = sorted(((-c[0], w, k) for (w, k), c in counts.items() if c[0]))
     chosen: list[np.ndarray] = []
-    table = np.zeros((toxic + plain, CODES))               # the normalised descriptions of the chosen
+    table = np.zeros((toxic + plain, CODES), np.float32)   # the normalised descriptions of the chosen
     for pool, most in ((ranked, toxic), (common, toxic + plain)):
         for score, width, key in pool:
             if len(chosen) >= most or score >= 0:
@@ -236,18 +237,26 @@ def choose_landmarks(texts: pa.Array, y: np.ndarray, toxic: int, plain: int, lea
     return chosen
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights, intercept last, of the squared-hinge support vector machine."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    s = np.where(y > 0, 1.0, -1.0)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 1.0)
+def _machine(blocks: list, signs: list, weights: list, root: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights, intercept last, of the squared-hinge support vector machine on
+    the features ``k @ root``; rows of sign 0 take no part."""
+    m = len(root)
+    wide = np.eye(m + 1)
+    wide[:m, :m] = root
+    w = np.zeros(m + 1)
+    ridge = np.full(m + 1, 1.0)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        on = s * (x @ w) < 1
-        xs, cs = x[on], c * weight[on]
-        new = np.linalg.solve(np.diag(ridge) + xs.T @ (xs * cs[:, None]), xs.T @ (cs * s[on]))
-        if np.allclose(new, w, atol=1e-7):
+        gram, right = np.zeros((m + 1, m + 1)), np.zeros(m + 1)
+        for k, s, weight in zip(blocks, signs, weights):
+            x = np.ones((len(k), m + 1), np.float32)
+            x[:, :m] = k
+            on = (s != 0) & (s * (x @ (wide @ w)) < 1)
+            x, cs = x[on].astype(np.float64), c * weight[on]
+            gram += x.T @ (x * cs[:, None])
+            right += x.T @ (cs * s[on])
+        new = np.linalg.solve(np.diag(ridge) + wide.T @ gram @ wide, wide.T @ right)
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w
@@ -287,33 +296,31 @@ def train(texts: pa.Array, y: np.ndarray, row_weight: np.ndarray, toxic: int = 1
     kernel = Kernel(landmarks)
     value, vector = np.linalg.eigh(kernel.gram)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    owner, rows = [], []
-    for i, _, data, off in text_blocks(texts):
+    owners, blocks = [], []            # half precision: values between 0 and 1, for training only
+    for i, _, data, off in text_blocks(texts, BLOCK):
         sentences, values, bounds = sentence_values(kernel, data, off)
-        owner.append(np.searchsorted(bounds, sentences, "right") - 1 + i)
-        rows.append(values)
-    owner, k = np.concatenate(owner), np.vstack(rows)
-    z = k @ root
+        owners.append(np.searchsorted(bounds, sentences, "right") - 1 + i)
+        blocks.append(values.astype(np.float16))
+    owner, cuts = np.concatenate(owners), np.cumsum([len(k) for k in blocks])[:-1]
     clean = y[owner] == 0
-    silent = np.zeros((1, z.shape[1]))                     # a sentence without any notable word
-    rank = k[:, :toxic].max(axis=1)
+    rank = np.concatenate([k[:, :toxic].max(axis=1) for k in blocks]).astype(float)
+    silent = np.zeros((1, kernel.m), np.float16)           # a sentence without any notable word
     for _ in range(4):
         order = np.lexsort((-rank, owner))
         first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
         picked = first[~clean[first]]
-        x = np.vstack([z[picked], z[clean], silent])
-        label = np.concatenate([np.ones(len(picked)), np.zeros(clean.sum() + 1)])
-        weight = np.where(label > 0, 4.0, 1.0)
-        weight[-1] = max(1.0, float(len(picked)))
-        w = _machine(x, label, weight)
-        rank = z @ w[:-1]
+        sign = np.where(clean, -1.0, 0.0)
+        sign[picked] = 1.0
+        w = _machine(blocks + [silent], np.split(sign, cuts) + [np.array([-1.0])],
+                     np.split(np.where(sign > 0, 4.0, 1.0), cuts) + [np.array([max(1.0, len(picked))])], root)
+        rank = np.concatenate([k.astype(np.float32) @ (root @ w[:-1]) for k in blocks])
     margin = np.full(len(y), w[-1])
-    np.maximum.at(margin, owner, z @ w[:-1] + w[-1])
+    np.maximum.at(margin, owner, rank + w[-1])
     slope, shift = _logistic(margin, y, row_weight)
     return Model(landmarks, root @ w[:-1], float(w[-1]), slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_500) -> Model:
     """Train on the documents that ``labels`` (``doc_id, label`` 0 or 1) names."""
     ship_package(docs.sparkSession)
     labels = labels.where(F.col("label").isin(0, 1))
@@ -339,7 +346,7 @@ def _score_rows(shared):
         model = shared.value
         kernel = Kernel(model.landmarks) if model.landmarks else None
         for batch in batches:
-            for i, j, data, off in text_blocks(batch.column("text"), 1 << 20):
+            for i, j, data, off in text_blocks(batch.column("text"), BLOCK):
                 m = margins(model, kernel, data, off)
                 score = 1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -500, 500)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(score)],
