@@ -222,16 +222,15 @@ class DPTree(Synthesizer):
                    .agg(F.count(F.lit(1)).alias("n")).persist())
             sizes = {r["c"]: r["count"] for r in cnt.groupBy("c").count().collect()}
             small = [c for c in self.cats if sizes.get(c, 0) <= MAX_DOMAIN]
+            # NULL is a value of the columns that have it
             for c in self.cats:
-                dom[c] = [NULL_CODE]
-            for r in cnt.where(F.col("c").isin(small)).select("c", "v").collect():
-                if r["v"] != NULL_CODE:
-                    dom[r["c"]].append(r["v"])
+                dom[c] = []
+            for r in cnt.where(F.col("c").isin(small) | (F.col("v") == NULL_CODE)).select("c", "v").collect():
+                dom[r["c"]].append(r["v"])
             for c in small:
                 dom[c].sort()
             for c in [c for c in self.cats if c not in small]:
                 shared = lambda v: F.concat(F.lit(SHARED), F.pmod(F.xxhash64(v), F.lit(MAX_DOMAIN)))
-                dom[c] = sorted([NULL_CODE] + [f"{SHARED}{k}" for k in range(MAX_DOMAIN)])
                 own = cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
                     shared(F.col("v")).alias("code"), "v", "n")
                 upto = Window.partitionBy("code").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -239,6 +238,7 @@ class DPTree(Synthesizer):
                 self.spread[c] = cut_lineage(own.select(
                     "code", "v", ((F.sum("n").over(upto) - F.col("n")) / total).alias("lo"),
                     (F.sum("n").over(upto) / total).alias("hi")))
+                dom[c] = sorted(dom[c] + [r["code"] for r in self.spread[c].select("code").distinct().collect()])
                 codes = codes.withColumn(c, F.when(F.col(c) == NULL_CODE, F.col(c)).otherwise(shared(F.col(c))))
             cnt.unpersist()
         if len(self.cols) > WIDE_COLUMNS:
