@@ -37,6 +37,8 @@ class AuditConfig:
     target_col: str | None = None
     n_attacks: int = 500
     n_clusters: int = 10
+    kmeans_max_iter: int = 20             # rounds over all rows; a run that needs more says so in the notes
+    kmeans_tol: float = 1e-4
     distance_percentile: float = 5.0
     calibration: str = "nearest_other"   # "nearest_other" | "literal" (decision D1)
 

@@ -16,18 +16,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from synthaudit.functions.columns import numeric_columns
 from synthaudit.functions.parallel import run_parallel
+from synthaudit.functions.shipping import ship_package
 from synthaudit.operators import kmeans
 from synthaudit.operators.nearest import ColSpec, Metric, nearest
 from synthaudit.operators.results import AttackResult, failed_result
 from synthaudit.operators.sampling import first_n
 from synthaudit.operators.stats import zero_filled_profile, zscore
 
-MAX_CLUSTERS = 1_000   # size bound of the medoid set held as literals
+MAX_CLUSTERS = 1_000   # up to here centroids are broadcast and medoids are literals of a column expression
 
 
 def scaled(real: DataFrame, syn: DataFrame, key: str, cols: list[str] | None = None):
@@ -52,12 +56,10 @@ def centroids(zreal: DataFrame, cols: list[str], label: str = "cluster") -> Data
 def medoids(zreal: DataFrame, key: str, cols: list[str], label: str = "cluster") -> DataFrame:
     """Per cluster the row nearest the centroid (``cluster, key, dist``)."""
     cent = centroids(zreal, cols, label)
-    n_cent = cent.count()
-    if n_cent > MAX_CLUSTERS:
-        raise ValueError(f"{n_cent} clusters exceed the medoid bound {MAX_CLUSTERS}")
-    c = F.broadcast(cent.select(label, *[F.col(x).alias(f"__c_{x}") for x in cols]))
+    small = F.broadcast if cent.count() <= MAX_CLUSTERS else (lambda df: df)      # more: Spark chooses the join
+    c = small(cent.select(label, *[F.col(x).alias(f"__c_{x}") for x in cols]))
     d = zreal.join(c, label).select(label, key, euclid_expr(cols, {x: F.col(f"__c_{x}") for x in cols}).alias("dist"))
-    best = F.broadcast(d.groupBy(label).agg(F.min("dist").alias("dist")))
+    best = small(d.groupBy(label).agg(F.min("dist").alias("dist")))
     return d.join(best, [label, "dist"]).groupBy(label).agg(F.min(key).alias(key), F.first("dist").alias("dist"))
 
 
@@ -72,11 +74,33 @@ def calibration_distances(zreal: DataFrame, key: str, cols: list[str], n_probes:
 
 def medoid_distances(zsyn: DataFrame, key: str, cols: list[str], med_rows: list) -> DataFrame:
     """Distance of every syn row to its nearest medoid, no shuffle."""
+    if len(med_rows) > MAX_CLUSTERS:
+        return _many_medoid_distances(zsyn, key, cols, np.array([[r[c] for c in cols] for r in med_rows], float))
     ds = [euclid_expr(cols, {c: F.lit(float(r[c])) for c in cols}) for r in med_rows]
     dmin = ds[0] if len(ds) == 1 else F.least(*ds)
     return zsyn.select(key, dmin.alias("dist"))
 
 
+def _many_medoid_distances(zsyn: DataFrame, key: str, cols: list[str], med: np.ndarray) -> DataFrame:
+    """As above for medoids too many for an expression: blocks of them in numpy."""
+    ship_package(zsyn.sparkSession)
+
+    def part(batches):
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype="float64")
+            best = np.full(len(x), np.inf)
+            for i in range(0, len(med), 256):
+                block = med[i:i + 256]
+                d = np.zeros((len(x), len(block)))
+                for j in range(len(cols)):
+                    d += (x[:, j, None] - block[None, :, j]) ** 2
+                np.minimum(best, d.min(axis=1), out=best)
+            yield pd.DataFrame({key: pdf[key], "dist": np.sqrt(best)})
+
+    schema = T.StructType([zsyn.schema[key], T.StructField("dist", T.DoubleType())])
+    return zsyn.select(key, *cols).mapInPandas(part, schema)
+
+
 @dataclass
 class CmlaReference:
     """Real-side part of CMLA, shared by every candidate model."""
@@ -91,32 +115,36 @@ class CmlaReference:
     medoids: DataFrame
     calibration_distances: DataFrame
     cached: list = None          # frames persisted by the fit (released by the caller)
+    remark: str = ""             # end of the notes: k-means that did not converge
 
 
 def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_percentile: float = 5.0,
                   labels: str | None = None, calibration: str = "nearest_other", n_probes: int = 500,
-                  seed: int = 42) -> CmlaReference:
+                  seed: int = 42, kmeans_max_iter: int = kmeans.MAX_ITER,
+                  kmeans_tol: float = kmeans.TOL) -> CmlaReference:
     cols = numeric_columns(real, key)
     if not cols:
         raise ValueError("No numeric columns found.")
     prof = zero_filled_profile(real, cols)
-    zr = zscore(real, prof, cols, key).persist()      # read by every Lloyd round and the calibration
+    # read by every Lloyd round and the calibration; given labels come along
+    zr = zscore(real, prof, cols, key, carry={"cluster": labels} if labels is not None else None).persist()
     cached = [zr]
 
     def clusters():
         if labels is not None:
-            z = zr.join(real.select(key, F.col(labels).alias("cluster")), key).persist()
-            cached.append(z)
+            z, remark = zr, ""
             kk = z.select("cluster").distinct().count()
         else:
             kk = max(1, min(n_clusters, prof.n_rows - 1))
-            cent = kmeans.fit(zr, key, cols, kk, seed, n_rows=prof.n_rows)
+            cent, rounds, converged = kmeans.fit_report(zr, key, cols, kk, seed, kmeans_max_iter, kmeans_tol,
+                                                        n_rows=prof.n_rows)
             z = kmeans.assign(zr, cols, cent)
+            remark = "" if converged else f" | k-means not converged in {rounds} rounds"
         m = medoids(z, key, cols)
-        rows = m.join(z.select(key, *cols), key).orderBy("cluster").collect()
-        if len(rows) > MAX_CLUSTERS:
-            raise ValueError(f"{len(rows)} medoids exceed {MAX_CLUSTERS}")
-        return z, kk, m, rows
+        # a row per cluster meets the table: broadcast, so that the table stays where it is
+        few = F.broadcast(m) if kk <= MAX_CLUSTERS else m
+        rows = z.select(key, *cols).join(few, key).orderBy("cluster").collect()
+        return z, kk, m, rows, remark
 
     def calibrate():
         # independent of the clusters: runs alongside k-means
@@ -124,10 +152,10 @@ def fit_reference(real: DataFrame, key: str, n_clusters: int = 10, distance_perc
         return c, c.agg(F.percentile("dist", distance_percentile / 100.0)).first()[0]
 
     res = run_parallel({"clusters": clusters, "cal": calibrate})
-    zr, k, med, med_rows = res["clusters"]
+    zr, k, med, med_rows, remark = res["clusters"]
     cal, t = res["cal"]
     return CmlaReference(cols, prof, med_rows, float(t) if t is not None else 0.0, k, calibration,
-                         distance_percentile, zr, med, cal, cached)
+                         distance_percentile, zr, med, cal, cached, remark)
 
 
 def score(ref: CmlaReference, syn: DataFrame, key: str, detail: bool = False):
@@ -147,7 +175,7 @@ def score(ref: CmlaReference, syn: DataFrame, key: str, detail: bool = False):
     return AttackResult(
         "CMLA", asr, max(0.0, asr - 0.02), min(1.0, asr + 0.02), n_syn, False,
         f"k={ref.k} | threshold={ref.threshold:.4f} (p{ref.distance_percentile:.0f} real-real, "
-        f"{ref.calibration}) | leaking={n_leak}/{n_syn}", n_leak, None)
+        f"{ref.calibration}) | leaking={n_leak}/{n_syn}{ref.remark}", n_leak, None)
 
 
 def cmla(real: DataFrame, syn: DataFrame, key: str, n_clusters: int = 10, distance_percentile: float = 5.0,

@@ -6,7 +6,8 @@ the ≤ k·p centre numbers and the bounded sample live there).  Each round
 labels every row with its nearest centre by a column expression over the
 literal centres and recomputes centres with ``groupBy(label).avg`` (partial
 aggregation; a hot cluster costs no more than a cold one).  Stops when no
-centre moves more than ``tol`` or after ``max_iter`` rounds.
+centre moves more than ``tol`` or after ``max_iter`` rounds (``fit_report``
+says which).
 """
 
 from __future__ import annotations
@@ -64,10 +65,19 @@ def _lloyd_local(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: f
     return centres
 
 
-def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_iter: int = 10,
-        tol: float = 1e-4, init_sample: int = 10_000, n_rows: int | None = None) -> np.ndarray:
-    """Return the k×p centre array.  Lloyd first converges on the seeded
-    sample (bounded, on the driver), then refines on all rows."""
+MAX_ITER, TOL = 20, 1e-4       # defaults of every fit
+
+
+def fit(*args, **settings) -> np.ndarray:
+    """The k×p centre array of ``fit_report``."""
+    return fit_report(*args, **settings)[0]
+
+
+def fit_report(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_iter: int = MAX_ITER,
+               tol: float = TOL, init_sample: int = 10_000, n_rows: int | None = None) -> tuple[np.ndarray, int, bool]:
+    """Return the k×p centre array, the rounds over all rows and whether the
+    last one converged.  Lloyd first converges on the seeded sample (bounded,
+    on the driver), then refines on all rows."""
     sample = first_n(df.select(key, *cols), key, init_sample, seed, n_rows).toPandas()
     x = sample.sort_values(key)[cols].to_numpy(dtype="float64")
     rng = np.random.default_rng(seed)
@@ -76,7 +86,8 @@ def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_it
     # convergence as the common k-means convention: total squared centre
     # shift below tol × mean column variance
     limit = tol * float(np.mean(np.var(x, axis=0))) if len(x) else 0.0
-    for _ in range(max_iter):
+    rounds, converged = 0, False
+    while rounds < max_iter and not converged:
         lab = nearest_label_expr(cols, centres)
         rows = (df.select(lab.alias("__c"), *cols).groupBy("__c")
                 .agg(*[F.avg(c).alias(c) for c in cols]).collect())
@@ -84,10 +95,8 @@ def fit(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_it
         for r in rows:
             new[int(r["__c"])] = [r[c] for c in cols]
         shift = float(np.sum((new - centres) ** 2))
-        centres = new
-        if shift <= limit:
-            break
-    return centres
+        centres, rounds, converged = new, rounds + 1, shift <= limit
+    return centres, rounds, converged
 
 
 def assign(df: DataFrame, cols: list[str], centres: np.ndarray, name: str = "cluster") -> DataFrame:

@@ -82,7 +82,8 @@ def links_many(target_sets: dict, syn: DataFrame, key: str, cols_a: list[str], c
     nn = nearest(syn, key, q, "__qid", metrics)
     ids = syn.sparkSession.createDataFrame(q[["__qid", "__set", key]].rename(
         columns={"__qid": "q_key", "__set": "target_set", key: "target_key"}))
-    return nn.join(F.broadcast(ids), "q_key").select(   # ids: one row per target (≤ sets × n_attacks)
+    # ids: one row per target; Spark knows the size of these local rows
+    return nn.join(ids, "q_key").select(
         "target_set", "target_key", F.col("a_key").alias("nn_key_a"), F.col("b_key").alias("nn_key_b"),
         (F.col("a_key") == F.col("b_key")).alias("linked"))
 

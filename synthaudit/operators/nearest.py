@@ -2,8 +2,9 @@
 
 Used by linkability (Gower, two column halves at once), CMLA calibration
 and medoid distances (Euclidean).  The query set is bounded by the number
-of attacks (checked), so it travels inside the task closure; the candidate
-table is scanned once in Arrow batches by ``mapInPandas``.  Each task
+of attacks, a parameter, so it travels inside the task closure, in blocks of
+``MAX_QUERIES`` rows; the candidate table is scanned once a block in Arrow
+batches by ``mapInPandas``.  Each task
 emits one row per query with its partial arg-min, and a small ``groupBy``
 over ``|queries| × tasks`` rows picks the winner.  No pair of rows is ever
 materialised as a Spark row, and nothing but the winners leaves a task.
@@ -14,7 +15,8 @@ of plain IEEE operations, so the same numbers come out of SQL engines.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from synthaudit.functions.shipping import ship_package
 
-MAX_QUERIES = 20_000       # size bound of the query set shipped to tasks
+MAX_QUERIES = 20_000       # query rows shipped to tasks at once
 MAX_CELLS = 4_000_000      # distance-matrix cells held at once per task
 _BIG = np.iinfo(np.int64).max
 
@@ -86,6 +88,12 @@ def _distances(metric: Metric, qdata: dict, cpdf: pd.DataFrame, vocabs: dict):
     return np.sqrt(total, out=total) if metric.root else total
 
 
+def _metric_of(metric: Metric, rows: slice) -> Metric:
+    """The metric for some of the query rows (a scale may hold one value per row)."""
+    return replace(metric, cols=tuple(replace(s, scale=np.asarray(s.scale)[rows]) if np.ndim(s.scale) else s
+                                      for s in metric.cols))
+
+
 def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metrics: list[Metric],
             exclude_self: bool = False) -> DataFrame:
     """For every query row the nearest candidate per metric.
@@ -94,7 +102,10 @@ def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metric
     ``exclude_self`` a candidate with the query's own key is skipped.
     """
     if len(queries) > MAX_QUERIES:
-        raise ValueError(f"query set of {len(queries)} rows exceeds {MAX_QUERIES}")
+        blocks = [slice(i, i + MAX_QUERIES) for i in range(0, len(queries), MAX_QUERIES)]
+        return reduce(DataFrame.unionByName, [
+            nearest(cands, key, queries.iloc[b], qkey, [_metric_of(m, b) for m in metrics], exclude_self)
+            for b in blocks])
     spark = cands.sparkSession
     ship_package(spark)
     if len(queries) == 0:
@@ -134,8 +145,9 @@ def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metric
             for m in metrics:
                 d = _distances(m, qdata, pdf, vocabs)
                 if exclude_self:
-                    hit = np.nonzero(qkeys[:, None] == ck[None, :])
-                    d[hit] = np.inf
+                    own = np.flatnonzero(np.isin(ck, qkeys))
+                    row, at = np.nonzero(qkeys[:, None] == ck[own][None, :])
+                    d[row, own[at]] = np.inf
                 idx = d.argmin(axis=1)
                 dmin = d[rows, idx]
                 kmin = np.where(np.isfinite(dmin), ck[idx], _BIG)

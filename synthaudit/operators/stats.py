@@ -185,10 +185,12 @@ def correlation_difference(real: DataFrame, syn: DataFrame, key: str | None = No
 
 
 def zscore(df: DataFrame, profile: ColumnProfile, cols: list[str], key: str | None = None,
-           fill_zero: bool = True) -> DataFrame:
+           fill_zero: bool = True, carry: dict | None = None) -> DataFrame:
     """``(x − mean)/std_pop`` with the *real* table's statistics;
-    NULL → 0 first; zero std divides by 1."""
+    NULL → 0 first; zero std divides by 1.  ``carry`` (new name → column)
+    comes along unscaled."""
     out = [F.col(key)] if key else []
+    out += [F.col(f"`{c}`").alias(name) for name, c in (carry or {}).items()]
     for c in cols:
         x = F.col(c).cast("double")
         if fill_zero:

@@ -81,7 +81,7 @@ class RealSide:
     def _compute_cmla(self):
         c = self.cfg
         return cm.fit_reference(self.train, self.key, c.n_clusters, c.distance_percentile,
-                                self.cluster_labels, c.calibration, 500, c.random_seed)
+                                self.cluster_labels, c.calibration, 500, c.random_seed, c.kmeans_max_iter, c.kmeans_tol)
 
     def start(self) -> "RealSide":
         """Start the shared parts (attack targets, CMLA reference) in the

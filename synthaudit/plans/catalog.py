@@ -39,5 +39,12 @@ def oracle(body: str) -> str:
     return fx.ORACLE_FIXTURES + body
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop what queries keep for later ones, so that the next one starts from the tables."""
+    for module in (fx, q_audit, q_clean, q_tstr):
+        module._CACHE.clear()
+    spark.catalog.clearCache()
+
+
 # import the modules that register queries
 from synthaudit.plans import q_utility, q_attacks, q_audit, q_clean, q_sampling, q_synth, q_tstr, q_io  # noqa: E402,F401

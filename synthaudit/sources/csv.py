@@ -1,11 +1,13 @@
 """CSV source with inference.
 
 The file is read as text (header, RFC-4180 quoting with doubled quotes,
-line breaks inside quotes).  The usual missing-value tokens become NULL.
+line breaks inside quotes).  A folder in which no line has an odd number of
+quotes has no such line break and is read splittably, a task per part of a
+file; otherwise each file is a task.  The usual missing-value tokens become NULL.
 Column types are then chosen from one aggregate of ``try_cast`` counts:
 long, else double, else boolean, else text.  Dates stay text (so they
 take part in the cardinality rule; the datetime probe recognises them).
-A ``row_key`` in file order is added when the data has no key.
+A ``row_key`` in reading order is added when the data has no key.
 """
 
 from __future__ import annotations
@@ -23,9 +25,19 @@ BOOL_TOKENS = ("true", "false", "True", "False", "TRUE", "FALSE")
 CSV_GLOB = "*.[cC][sS][vV]"
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+def breaks_inside_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may go on in the next line: then some line has
+    an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.option("pathGlobFilter", CSV_GLOB).text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """All columns as text; ``multi_line`` None: as the quotes in the files require."""
     try:
-        return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        if multi_line is None:
+            multi_line = breaks_inside_quotes(spark, path)
+        return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
                 .option("inferSchema", False).option("pathGlobFilter", CSV_GLOB).csv(path))
     except AnalysisException as exc:
         raise LoaderError(f"no readable CSV below {path}: {exc}") from exc

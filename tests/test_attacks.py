@@ -74,6 +74,19 @@ def test_nearest_matches_brute_force(spark):
         assert (got[a.k].g_dist, got[a.k].g_key) == pytest.approx(best)
 
 
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    from synthaudit.operators import nearest as nn
+
+    rng = np.random.default_rng(1)
+    cand = spark.createDataFrame(pd.DataFrame({"k": np.arange(200), "x": rng.normal(size=200), "s": list("ab") * 100}))
+    q = pd.DataFrame({"k": np.arange(50), "x": rng.normal(size=50), "s": list("ba") * 25})
+    m = [Metric("g", (ColSpec("x", "num", rng.uniform(1, 3, 50)), ColSpec("s", "cat"))),
+         Metric("e", (ColSpec("x", "sq"),), root=True)]
+    whole = sorted(nearest(cand, "k", q, "k", m, exclude_self=True).collect())
+    monkeypatch.setattr(nn, "MAX_QUERIES", 7)
+    assert sorted(nearest(cand, "k", q, "k", m, exclude_self=True).collect()) == whole and len(whole) == 50
+
+
 def test_singling_out_bounds_and_identity(three):
     train, syn, ctl = three
     r = so.singling_out(train, syn, ctl, "row_key", 200)
@@ -104,6 +117,23 @@ def test_cmla_calibrations(three):
     assert copy["n_leaking"] >= copy["k"]                              # every medoid is copied
 
 
+def test_cmla_many_clusters(three, monkeypatch):
+    train, syn, _ctl = three
+    few = cm.cmla(train, syn, "row_key", labels="n_lines", detail=True)
+    monkeypatch.setattr(cm, "MAX_CLUSTERS", 2)
+    many = cm.cmla(train, syn, "row_key", labels="n_lines", detail=True)
+    assert many["k"] == few["k"] > 2 and many["n_leaking"] == few["n_leaking"]
+    a, b = ({r.row_key: r.dist for r in x["distances"].collect()} for x in (few, many))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_kmeans_says_when_it_has_not_converged(three):
+    train, syn, _ctl = three
+    ref = cm.fit_reference(train, "row_key", 5, kmeans_max_iter=1, kmeans_tol=0.0)
+    assert "not converged in 1 rounds" in cm.score(ref, syn, "row_key").notes
+    assert cm.fit_reference(train, "row_key", 5, kmeans_max_iter=200).remark == ""
+
+
 def test_cmla_missing_column_fails(three):
     train, syn, _ctl = three
     r = cm.cmla(train, syn.drop("sum_qty"), "row_key")

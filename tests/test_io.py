@@ -37,6 +37,24 @@ def test_csv_messy(spark):
     assert "row_key" in df.columns
 
 
+def test_csv_is_split_unless_values_span_lines(spark, tmp_path):
+    from synthaudit.sources.csv import breaks_inside_quotes, read_text_csv
+
+    text = "a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(3000))
+    (tmp_path / "plain.csv").write_text(text)
+    assert not breaks_inside_quotes(spark, str(tmp_path))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        split, whole = (read_text_csv(spark, str(tmp_path), m) for m in (None, True))
+        assert split.rdd.getNumPartitions() > whole.rdd.getNumPartitions() == 1
+        assert sorted(split.collect()) == sorted(whole.collect()) and split.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "spans.CSV").write_text('a,b\n1,"two\nlines"\n')
+    assert breaks_inside_quotes(spark, str(tmp_path)) and read_csv(spark, str(tmp_path)).count() == 3001
+
+
 def test_csv_guards(spark):
     with pytest.raises(LoaderError):
         read_csv(spark, "/nonexistent/folder/file.csv")
