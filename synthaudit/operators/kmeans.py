@@ -74,18 +74,23 @@ def fit(*args, **settings) -> np.ndarray:
 
 
 def fit_report(df: DataFrame, key: str, cols: list[str], k: int, seed: int = 42, max_iter: int = MAX_ITER,
-               tol: float = TOL, init_sample: int = 10_000, n_rows: int | None = None) -> tuple[np.ndarray, int, bool]:
+               tol: float = TOL, init_sample: int = 10_000, n_rows: int | None = None,
+               start: np.ndarray | None = None) -> tuple[np.ndarray, int, bool]:
     """Return the k×p centre array, the rounds over all rows and whether the
     last one converged.  Lloyd first converges on the seeded sample (bounded,
-    on the driver), then refines on all rows."""
-    sample = first_n(df.select(key, *cols), key, init_sample, seed, n_rows).toPandas()
-    x = sample.sort_values(key)[cols].to_numpy(dtype="float64")
-    rng = np.random.default_rng(seed)
-    k = max(1, min(k, len(x)))
-    centres = _lloyd_local(x, _kmeanspp(x, k, rng))
-    # convergence as the common k-means convention: total squared centre
-    # shift below tol × mean column variance
-    limit = tol * float(np.mean(np.var(x, axis=0))) if len(x) else 0.0
+    on the driver), then refines on all rows.  Given ``start`` centres take
+    the place of the sample; rounds then end early only if no centre moves."""
+    if start is not None:
+        centres, limit = np.array(start, dtype="float64"), 0.0
+    else:
+        sample = first_n(df.select(key, *cols), key, init_sample, seed, n_rows).toPandas()
+        x = sample.sort_values(key)[cols].to_numpy(dtype="float64")
+        rng = np.random.default_rng(seed)
+        k = max(1, min(k, len(x)))
+        centres = _lloyd_local(x, _kmeanspp(x, k, rng))
+        # convergence as the common k-means convention: total squared centre
+        # shift below tol × mean column variance
+        limit = tol * float(np.mean(np.var(x, axis=0))) if len(x) else 0.0
     rounds, converged = 0, False
     while rounds < max_iter and not converged:
         lab = nearest_label_expr(cols, centres)

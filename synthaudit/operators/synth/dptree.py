@@ -11,6 +11,10 @@ model).  Fit:
   counts them (partial aggregation keeps the shuffle to distinct cells);
 * Laplace noise on every cell of the (bounded) domain, budget split 1/3
   to 1-way, 2/3 to 2-way marginals (sequential composition);
+* a text column with more than ``MAX_DOMAIN`` values is modelled on that
+  many codes shared by hash; the shares of a code's values come from noisy
+  counts too (``VALUE_SHARE`` of the budget).  The set of values itself is
+  read from the data, so epsilon covers counts, not which values exist;
 * mutual information from the *noisy* tables, maximum spanning tree
   (driver, p nodes), conditional tables along the tree.
 Sample: ``spark.range(n)`` + seeded hash uniforms → root-to-leaf draws by
@@ -39,6 +43,7 @@ from synthaudit.session import cut_lineage
 MAX_DOMAIN = 1_000          # codes per text column in the model; more values share them by hash
 NULL_CODE = "\u0000"        # code of NULL for categorical columns
 SHARED = "\u0001"           # first character of a code that several values share
+VALUE_SHARE = 0.1           # part of the budget for the value shares of shared codes, if there are any
 # Exponents of the log-scale grid used to estimate bounds.
 GRID_EXP = range(-3, 13)
 
@@ -207,7 +212,7 @@ class DPTree(Synthesizer):
             spent = float(cfg["preprocessing_eps"])
             bounds.update(self._dp_bounds(df, undeclared, spent))
         self.bounds = bounds
-        eps_m = max(eps - spent, 1e-6)
+        eps_m, eps_v = max(eps - spent, 1e-6), 0.0
         p = len(self.cols)
         codes = column_codes(df, self.nums, self.cats, bounds, bins)
         # categorical domains: a column with more than MAX_DOMAIN values is
@@ -229,16 +234,34 @@ class DPTree(Synthesizer):
                 dom[r["c"]].append(r["v"])
             for c in small:
                 dom[c].sort()
-            for c in [c for c in self.cats if c not in small]:
+            wide = [c for c in self.cats if c not in small]
+            if wide:
+                eps_v = VALUE_SHARE * eps_m
+                eps_m -= eps_v
+            for c in wide:
                 shared = lambda v: F.concat(F.lit(SHARED), F.pmod(F.xxhash64(v), F.lit(MAX_DOMAIN)))
-                own = cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
-                    shared(F.col("v")).alias("code"), "v", "n")
+                # noise by a secret seed and the value: a lost task computes it again alike
+                u = hash_uniform(int(self.rng.integers(2 ** 62)), f"dptree-noise|{c}", F.col("v")) - 0.5
+                laplace = -F.signum(u) * F.log1p(-2.0 * F.least(F.abs(u), F.lit(0.5 - 1e-16))) * (len(wide) / eps_v)
+                # a published value keeps a positive share, whatever its noise
+                own = cut_lineage(cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
+                    shared(F.col("v")).alias("code"), "v", F.greatest(F.col("n") + laplace, F.lit(1e-3)).alias("n")))
                 upto = Window.partitionBy("code").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
                 total = F.sum("n").over(Window.partitionBy("code"))
-                self.spread[c] = cut_lineage(own.select(
-                    "code", "v", ((F.sum("n").over(upto) - F.col("n")) / total).alias("lo"),
-                    (F.sum("n").over(upto) / total).alias("hi")))
-                dom[c] = sorted(dom[c] + [r["code"] for r in self.spread[c].select("code").distinct().collect()])
+                # shares as a running sum: a value begins where the one before it ends, the last ends at 1
+                hi = F.when(F.lead("v").over(Window.partitionBy("code").orderBy("v")).isNull(), 1.0).otherwise(
+                    F.least(F.sum("n").over(upto) / total, F.lit(1.0)))
+                ends = own.select("code", "v", hi.alias("hi"))
+                lo = F.coalesce(F.lag("hi").over(Window.partitionBy("code").orderBy("v")), F.lit(0.0))
+                # [0, 1) in as many cells as a code has values on average: a draw looks only at the
+                # values of its cell, about two of them, and a frequent value has many cells
+                cells = -(-sizes[c] // MAX_DOMAIN)
+                cell = F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells),
+                                                                                   F.lit(cells - 1).cast("long"))))
+                self.spread[c] = cells, cut_lineage(
+                    ends.withColumn("lo", lo).select("code", "v", "lo", "hi", cell.alias("cell")))
+                values = self.spread[c][1]
+                dom[c] = sorted(dom[c] + [r["code"] for r in values.select("code").distinct().collect()])
                 codes = codes.withColumn(c, F.when(F.col(c) == NULL_CODE, F.col(c)).otherwise(shared(F.col(c))))
             cnt.unpersist()
         if len(self.cols) > WIDE_COLUMNS:
@@ -288,7 +311,7 @@ class DPTree(Synthesizer):
             probs = np.where(rows_sum > 0, t / np.where(rows_sum > 0, rows_sum, 1.0), fallback[None, :])
             cond[(par, ch)] = np.cumsum(probs, axis=1)
         self.cond = cond
-        self.config["epsilon_spent"] = {"preprocessing": spent, "marginals": eps_m}
+        self.config["epsilon_spent"] = {"preprocessing": spent, "values": eps_v, "marginals": eps_m}
 
     def _sample(self, n: int, seed: int) -> DataFrame:
         spark, key = self.spark, self.key
@@ -333,11 +356,12 @@ class DPTree(Synthesizer):
         schema = T.StructType([T.StructField(key, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in nums]
                               + [T.StructField(c, T.StringType()) for c in cols if c not in nums])
         raw = src.mapInPandas(part, schema)
-        for c, values in self.spread.items():       # a shared code draws one of its values
-            own, u = values.withColumnRenamed("v", "__v"), hash_uniform(seed, f"dptree-value|{c}", F.col(key))
-            raw = raw.withColumn("__u", u)
-            raw = raw.join(own, (raw[c] == own["code"]) & (raw["__u"] >= own["lo"]) & (raw["__u"] < own["hi"]), "left")
-            raw = raw.withColumn(c, F.col("__v")).drop("__u", "__v", "code", "lo", "hi")
+        for c, (cells, values) in self.spread.items():       # a shared code draws one of its values
+            own = values.withColumnRenamed("v", "__v")
+            raw = raw.withColumn("__u", hash_uniform(seed, f"dptree-value|{c}", F.col(key)))
+            raw = raw.join(own, (raw[c] == own["code"]) & (F.floor(raw["__u"] * cells) == own["cell"])
+                           & (raw["__u"] >= own["lo"]) & (raw["__u"] < own["hi"]), "left")
+            raw = raw.withColumn(c, F.col("__v")).drop("__u", "__v", "code", "cell", "lo", "hi")
         times = self.times
         return raw.select(F.col(key), *[number_to_time(f.name, f.dataType).alias(f.name) if f.name in times
                                         else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from synthaudit.operators import cmla as cm
+from synthaudit.operators import kmeans
 from synthaudit.operators import linkability as lk
 from synthaudit.operators import singling_out as so
 from synthaudit.operators.results import AttackResult
@@ -297,3 +298,37 @@ def cmla_leak_rate(spark, d):
     return det["distances"].agg(
         F.count_if(F.col("dist") < F.lit(thr)).alias("n_leaking"), F.count(F.lit(1)).alias("n_syn")).select(
         "n_leaking", "n_syn", rnd(F.col("n_leaking") / F.col("n_syn")).alias("leak_rate"))
+
+
+# Given start centres (n_lines, sum_qty) for the rounds that SQL follows.
+KMEANS_START = [(1.0, 20.0), (4.0, 100.0), (7.0, 220.0)]
+KMEANS_ROUNDS = 3
+
+
+def _nearest_sql(r: int) -> str:
+    return (f"SELECT p.row_key, p.n_lines, p.sum_qty, arg_min(c.i, (p.n_lines - c.x) * (p.n_lines - c.x) "
+            f"+ (p.sum_qty - c.y) * (p.sum_qty - c.y)) AS i "
+            f"FROM f_train p CROSS JOIN (SELECT * FROM km{r} ORDER BY i) c GROUP BY ALL")
+
+
+_KM = ", km0(i, x, y) AS (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(KMEANS_START)) + ")"
+for _r in range(KMEANS_ROUNDS):
+    _KM += (f", kn{_r} AS ({_nearest_sql(_r)}), km{_r + 1} AS (SELECT k.i, coalesce(avg(n.n_lines), any_value(k.x)) AS x, "
+            f"coalesce(avg(n.sum_qty), any_value(k.y)) AS y FROM km{_r} k LEFT JOIN kn{_r} n USING (i) GROUP BY k.i)")
+
+
+@query("kmeans_rounds", oracle(_KM + f", last AS ({_nearest_sql(KMEANS_ROUNDS)}) SELECT CAST(k.i AS INTEGER) AS cluster, "
+       "round(any_value(k.x), 6) AS n_lines, round(any_value(k.y), 6) AS sum_qty, CAST(count(l.row_key) AS BIGINT) AS n_rows "
+       f"FROM km{KMEANS_ROUNDS} k LEFT JOIN last l USING (i) GROUP BY k.i"))
+def kmeans_rounds(spark, d):
+    """Centres and sizes after a fixed number of rounds from given centres."""
+    train, _syn, _ctl = fx.three_way(spark, d)
+    cols = ["n_lines", "sum_qty"]
+    cent, _rounds, _done = kmeans.fit_report(train, fx.KEY, cols, len(KMEANS_START), max_iter=KMEANS_ROUNDS,
+                                             start=KMEANS_START)
+    sizes = kmeans.assign(train, cols, cent).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_rows"))
+    centres = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(cent)],
+                                    "cluster int, n_lines double, sum_qty double")
+    return centres.join(sizes, "cluster", "left").select(
+        "cluster", rnd("n_lines").alias("n_lines"), rnd("sum_qty").alias("sum_qty"),
+        F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))

@@ -218,3 +218,44 @@ def attack_risk(spark, d):
     r = au.attack_risk(records(spark, d))
     return r.select("model", "attack_name", "n", "s", "c", rnd("risk_score").alias("risk_score"),
                     rnd("ci_lower").alias("ci_lower"), rnd("ci_upper").alias("ci_upper"))
+
+
+_CI = "CASE WHEN model = 'truncated' THEN 'N/A' ELSE printf('[%.3f, %.3f]', {p}_ci_lower, {p}_ci_upper) END"
+_RANKED = "CAST(row_number() OVER (ORDER BY composite_score DESC NULLS LAST, config_order) AS INTEGER)"
+REPORT_COLS = [c for c in REC_COLS if c != "config_order"]
+
+
+@query("report_full", oracle(RECORDS_CTE + f"""SELECT {_RANKED} AS rank, {', '.join(REPORT_COLS)},
+  {_CI.format(p='so')} AS singling_out_ci, {_CI.format(p='link')} AS linkability_ci, '{{}}' AS model_config,
+  model = {_BEST} AS is_recommended FROM records"""))
+def report_full(spark, d):
+    """The exported report, every score and flag of every candidate."""
+    r = au.full_report(records(spark, d))
+    ci = ("so_ci_lower", "so_ci_upper", "link_ci_lower", "link_ci_upper")
+    return r.select("rank", *[rnd(c).alias(c) if c in ci else F.col(c) for c in REPORT_COLS],
+                    "singling_out_ci", "linkability_ci", "model_config", "is_recommended")
+
+
+@query("summary_results", oracle(RECORDS_CTE + f"""SELECT {_RANKED} - 1 AS place, model, composite_score, overall_pass,
+  model = {_BEST} AS is_recommended, {_BEST} AS recommended_model,
+  (SELECT count(*) FROM records WHERE overall_pass) > 0 AS threshold_passed FROM records"""))
+def summary_results(spark, d):
+    """The results of the summary document, in its order."""
+    s = au.summary(records(spark, d), AuditConfig(), 0.0)
+    rows = s.select(F.posexplode("results").alias("place", "r"), "recommended_model", "threshold_passed")
+    return rows.select("place", "r.model", "r.composite_score", "r.overall_pass", "r.is_recommended",
+                       "recommended_model", "threshold_passed")
+
+
+@query("audit_isolation", oracle(RECORDS_CTE + "SELECT * FROM records WHERE model = 'perturbed' UNION ALL "
+                                 + FAILED_SELECT.replace("'truncated'", "'broken'").replace("2 AS config_order",
+                                                                                          "1 AS config_order")))
+def audit_isolation(spark, d):
+    """A candidate whose rows cannot be computed costs its own record only."""
+    train, syn, ctl = fx.three_way(spark, d)
+    broken = syn.withColumn("sum_qty", F.raise_error(F.lit("unreadable block")).cast("double"))
+    cands = [au.Candidate("perturbed", syn), au.Candidate("broken", broken)]
+    real = au.RealSide(train, ctl, fx.KEY, AuditConfig(), cluster_labels="o_orderstatus")
+    recs = _rec_out(au.audit(train, ctl, cands, fx.KEY, AuditConfig(), real_side=real))
+    real.release()
+    return recs

@@ -37,6 +37,23 @@ def copula_marginals(spark, d):
     return spark.createDataFrame(rows, "column_name string, value string, n bigint")
 
 
+KNOTS_CTE = """, x AS (SELECT column_name, list_sort(list(v)) AS v FROM (
+  SELECT unnest([%s]) AS column_name, unnest([%s]) AS v FROM f_train) WHERE v IS NOT NULL GROUP BY column_name),
+k AS (SELECT *, greatest(2, least(1001, len(v) // 2 + 1)) AS n_knots FROM x)
+SELECT column_name, CAST(i AS INTEGER) AS knot, v[greatest(1, CAST(ceil((i / (n_knots - 1.0)::DOUBLE) * len(v)) AS BIGINT))] AS value
+FROM (SELECT *, unnest(range(0, n_knots)) AS i FROM k)""" % (
+    ", ".join(f"'{c}'" for c in NUMS), ", ".join(f"CAST({c} AS DOUBLE)" for c in NUMS))
+
+
+@query("copula_knots", oracle(KNOTS_CTE))
+def copula_knots(spark, d):
+    """The fitted quantile knots of every numeric column."""
+    train, _syn, _ctl = fx.three_way(spark, d)
+    m = build("copula").fit(train, fx.KEY)
+    rows = [(c, i, float(v)) for c in m.nums for i, v in enumerate(m.knots[c])]
+    return spark.createDataFrame(rows, "column_name string, knot int, value double")
+
+
 def _synth_report(spark, train, syn, name, model):
     prof = stats.ColumnProfile.of(train, fx.KEY)
     sim = stats.correlation_similarity(train, syn, fx.KEY).first()[0]
@@ -88,13 +105,16 @@ def pairwise_marginals(spark, d):
     return marginal_counts(codes, _COLS).where(F.col("col_b") != "")
 
 
-@query("mutual_information", oracle(_CODES_CTE + _M2_CTE + """
+_MI_CTE = """
 , tot AS (SELECT col_a, col_b, sum(n) AS t FROM m2 GROUP BY col_a, col_b)
 , pa AS (SELECT col_a, col_b, va, sum(n) AS na FROM m2 GROUP BY col_a, col_b, va)
 , pb AS (SELECT col_a, col_b, vb, sum(n) AS nb FROM m2 GROUP BY col_a, col_b, vb)
-SELECT m2.col_a, m2.col_b, round(sum((m2.n / tot.t) * ln((m2.n / tot.t) / ((pa.na / tot.t) * (pb.nb / tot.t)))), 6) AS mi
+, mi AS (SELECT m2.col_a, m2.col_b, sum((m2.n / tot.t) * ln((m2.n / tot.t) / ((pa.na / tot.t) * (pb.nb / tot.t)))) AS mi
 FROM m2 JOIN tot USING (col_a, col_b) JOIN pa USING (col_a, col_b, va) JOIN pb USING (col_a, col_b, vb)
-GROUP BY m2.col_a, m2.col_b"""))
+GROUP BY m2.col_a, m2.col_b)"""
+
+
+@query("mutual_information", oracle(_CODES_CTE + _M2_CTE + _MI_CTE + " SELECT col_a, col_b, round(mi, 6) AS mi FROM mi"))
 def mutual_information_q(spark, d):
     """MI of every pair from exact counts (the noise-free case of the fit)."""
     train, _syn, _ctl = fx.three_way(spark, d)
@@ -109,6 +129,22 @@ def mutual_information_q(spark, d):
     return j.groupBy("col_a", "col_b").agg(rnd(F.sum(term)).alias("mi"))
 
 
+_FIT_SQL = " UNION ALL ".join(
+    [f"SELECT 'count' AS part, '{c}' AS col_a, '' AS col_b, {c} AS code, CAST(count(*) AS DOUBLE) AS value FROM codes GROUP BY {c}"
+     for c in _COLS]
+    + ["SELECT 'mi', col_a, col_b, '', round(mi, 6) FROM mi"])
+
+
+@query("dptree_fit", oracle(_CODES_CTE + _M2_CTE + _MI_CTE + _FIT_SQL))
+def dptree_fit(spark, d):
+    """What the tree model fits when its noise is practically off."""
+    train, _syn, _ctl = fx.three_way(spark, d)
+    m = build("privbayes", epsilon=1e12, bounds=BOUNDS, bins=BINS).fit(train, fx.KEY)
+    rows = [("count", c, "", code, float(round(n))) for c in m.cols for code, n in zip(m.dom[c], m.m1[c]) if round(n)]
+    rows += [("mi", a, b, "", round(v, 6)) for (a, b), v in m.mi.items()]
+    return spark.createDataFrame(rows, "part string, col_a string, col_b string, code string, value double")
+
+
 def end_to_end(spark, d, cfg: AuditConfig | None = None):
     """O1: split → fit every configured generator on train → sample as many
     rows → audit every candidate → records (failed generators get a row)."""

@@ -101,3 +101,20 @@ def test_generators_model_datetimes(spark):
     cop = build("copula").fit(df, "k").sample(300, seed=1)
     lo, hi = cop.agg({"ts": "min"}).first()[0], cop.agg({"ts": "max"}).first()[0]
     assert base <= lo and hi <= base + dt.timedelta(minutes=7 * 399)
+
+
+def test_dptree_many_values(spark):
+    """Shared codes: every draw finds a value, frequent values stay frequent, and the budget is split."""
+    df = spark.range(40_000).selectExpr(
+        "id AS row_key", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 11 = 0 THEN NULL ELSE concat('v', id % 5000) END AS word",
+        "CAST(id % 7 AS double) AS x")
+    m = build("privbayes", epsilon=1000.0, bounds={"x": (0.0, 7.0)}, noise_seed=3).fit(df, "row_key")
+    spent = m.config["epsilon_spent"]
+    assert spent["values"] > 0 and abs(sum(spent.values()) - 1000.0) < 1e-9
+    syn = m.sample(20_000, seed=5)
+    known = {r["word"] for r in df.select("word").distinct().collect()}
+    counts = {r["word"]: r["count"] for r in syn.groupBy("word").count().collect()}
+    assert set(counts) <= known and sum(counts.values()) == 20_000
+    assert abs(counts["hot"] / 20_000 - 1 / 3) < 0.02
+    assert abs(counts[None] / 20_000 - 2 / 33) < 0.02
+    assert len(counts) > 2_000
