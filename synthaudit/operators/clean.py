@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from synthaudit.config import LoaderConfig
-from synthaudit.operators.profile import CleaningPlan, drop_null_rows, profile
+from synthaudit.operators.profile import CleaningPlan, apply_types, drop_null_rows, profile
 
 
 class LoaderError(Exception):
@@ -36,45 +36,63 @@ MAX_FILL_BUCKETS = 100_000
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """Exact median (mean of the two middle values).
-
-    Narrow a bracket ``[lo, hi]`` around the middle ranks with
-    ``percentile_approx`` and exact counts, until at most ``EXACT_ROWS``
-    rows remain; those are ranked.  A bracket that misses is widened, a
-    bracket of one repeated value answers at once, and if ties keep the
-    bracket large Spark's exact ``percentile`` runs on the bracket only."""
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = base.count()
-    if n == 0:
-        return None
-    lo_rank, hi_rank = (n - 1) // 2, n // 2          # 0-based ranks wanted
-    cur, offset, size, eps = base, 0, n, 0.01
+    """I5 for one column."""
+    return exact_medians(df, [col])[col]
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
+    """Exact medians (mean of the two middle values) of several columns,
+    all of them in the same few passes.
+
+    Every round narrows each column's bracket ``[lo, hi]`` around its middle
+    ranks with ``percentile_approx`` and exact counts, until at most
+    ``EXACT_ROWS`` rows are inside; those are ranked exactly.  A bracket that
+    misses is widened, a bracket of one repeated value answers at once, and if
+    ties keep a bracket large, Spark's exact ``percentile`` runs inside it."""
+    if not cols:
+        return {}
+    number = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    number = {c: F.when(~F.isnan(x), x) for c, x in number.items()}
+    n = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(number.values())]).first()
+    size = {c: n[f"n{i}"] for i, c in enumerate(cols)}
+    found = {c: None for c in cols if not size[c]}
+    middle = {c: ((size[c] - 1) // 2, size[c] // 2) for c in cols}        # 0-based ranks wanted
+    inside, offset, eps, tied = dict(number), dict.fromkeys(cols, 0), dict.fromkeys(cols, 5e-4), set()
     for _ in range(12):
-        if size <= EXACT_ROWS:
-            need = hi_rank - offset + 1
-            vals = [row["v"] for row in cur.orderBy("v").limit(need).collect()]
-            return (vals[lo_rank - offset] + vals[hi_rank - offset]) / 2.0
-        p_lo = max(0.0, (lo_rank - offset) / size - eps)
-        p_hi = min(1.0, (hi_rank - offset) / size + eps)
-        lo, hi = cur.agg(F.percentile_approx("v", [p_lo, p_hi], 10_000)).first()[0]
-        r = cur.agg(F.count_if(F.col("v") < lo).alias("b"),
-                    F.count_if((F.col("v") >= lo) & (F.col("v") <= hi)).alias("i")).first()
-        inside = offset + r["b"] <= lo_rank and hi_rank < offset + r["b"] + r["i"]
-        if not inside:
-            eps *= 4                                    # approximate bracket missed: widen
-            continue
-        if lo == hi:                                    # both middle ranks hold this value
-            return float(lo)
-        if r["i"] >= size:                              # no progress (ties): exact on the bracket
+        big = [c for c in cols if c not in found and c not in tied and size[c] > EXACT_ROWS]
+        if not big:
             break
-        cur = cur.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        offset += r["b"]
-        size = r["i"]
-    ranks = [(lo_rank - offset) / max(size - 1, 1), (hi_rank - offset) / max(size - 1, 1)]
-    got = cur.agg(F.percentile("v", F.array(*[F.lit(min(1.0, max(0.0, q))) for q in ranks]))).first()[0]
-    # percentile interpolates; at integral positions it returns the ranked values
-    return (got[0] + got[1]) / 2.0
+        ends = df.agg(*[F.percentile_approx(inside[c], [
+            max(0.0, (middle[c][0] - offset[c]) / size[c] - eps[c]),
+            min(1.0, (middle[c][1] - offset[c]) / size[c] + eps[c])], 10_000).alias(f"e{i}") for i, c in enumerate(big)]).first()
+        counts = []
+        for i, c in enumerate(big):
+            lo, hi = ends[f"e{i}"]
+            counts += [F.count_if(inside[c] < lo).alias(f"b{i}"), F.count_if(inside[c].between(lo, hi)).alias(f"i{i}")]
+        got = df.agg(*counts).first()
+        for i, c in enumerate(big):
+            (lo, hi), below, within = ends[f"e{i}"], got[f"b{i}"], got[f"i{i}"]
+            if not (offset[c] + below <= middle[c][0] and middle[c][1] < offset[c] + below + within):
+                eps[c] *= 4                                   # the approximate bracket missed
+            elif lo == hi:                                    # both middle ranks hold this value
+                found[c] = float(lo)
+            elif within >= size[c]:                           # ties: no progress
+                tied.add(c)
+            else:
+                inside[c] = F.when(number[c].between(lo, hi), number[c])
+                offset[c], size[c], eps[c] = offset[c] + below, within, 5e-4
+    left, ask = [c for c in cols if c not in found], []
+    for i, c in enumerate(left):
+        ranks = [r - offset[c] for r in middle[c]]
+        if size[c] <= EXACT_ROWS:        # a sketch with room for every value: p = (r + 1/2) / size is rank r
+            ask.append(F.percentile_approx(inside[c], [(r + 0.5) / size[c] for r in ranks], 10 * EXACT_ROWS).alias(f"m{i}"))
+        else:
+            at = F.array(*[F.lit(min(1.0, max(0.0, r / (size[c] - 1)))) for r in ranks])
+            ask.append(F.percentile(inside[c], at).alias(f"m{i}"))
+    row = df.agg(*ask).first() if ask else {}
+    for i, c in enumerate(left):
+        found[c] = sum(row[f"m{i}"]) / 2.0
+    return found
 
 
 def mode_values(df: DataFrame, cols: list[str]) -> dict:
@@ -192,6 +210,8 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
     early_drop = any(ci.kind == "other" and ci.n_null > 0 for ci in plan.columns.values())
     cat_gaps = [c for c, ci in plan.columns.items() if ci.kind == "categorical" and ci.n_null > 0]
     modes = {} if early_drop else mode_values(df, cat_gaps)
+    medians = {} if early_drop else exact_medians(
+        df, [c for c, ci in plan.columns.items() if ci.kind == "numeric" and ci.n_null > 0])
     for c, ci in plan.columns.items():
         if ci.n_null == 0:
             if cfg.trim == "all" and ci.kind == "categorical":
@@ -204,12 +224,12 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
             v = modes[c] if c in modes else mode_value(df, c)
             fill = v if v is not None else "Unknown"
             if isinstance(df.schema[c].dataType, T.BooleanType):
-                df = df.withColumn(c, F.coalesce(F.col(c), F.lit(bool(fill)) if v is not None else F.lit(False)))
+                df = df.withColumn(c, F.coalesce(F.col(c), F.lit(str(fill).lower() == "true")))
             else:
                 df = df.withColumn(c, F.trim(F.coalesce(F.col(c), F.lit(fill)).cast("string")))  # I4 (D6)
             log.append((c, "mode", str(fill), ci.n_null))
         elif ci.kind == "numeric":
-            m = exact_median(df, c)
+            m = medians[c] if c in medians else exact_median(df, c)
             df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(m)))
             log.append((c, "median", None if m is None else repr(m), ci.n_null))
         else:
@@ -223,7 +243,7 @@ def impute(df: DataFrame, plan: CleaningPlan, key: str, cfg: LoaderConfig | None
 def load_and_clean(df: DataFrame, key: str, cfg: LoaderConfig | None = None, check: bool = True) -> LoaderResult:
     """The whole cleaning pipeline on a keyed DataFrame."""
     cfg = cfg or LoaderConfig()
-    d = drop_null_rows(nan_to_null(df), key)                          # R1
+    d = drop_null_rows(apply_types(nan_to_null(df), cfg.metadata_overrides), key)      # R19, R1
     plan = profile(d, key, cfg)                                       # R2-R4, R6-R8 (action)
     keep = [key] + [c for c in plan.columns]                          # R5
     d = d.select(*keep)

@@ -23,6 +23,7 @@ log = logging.getLogger(__name__)
 HLL_RSD = 0.02          # relative error of the screen
 NEAR = 0.10             # "near a threshold" margin for exact recounts
 PROBE_ROWS = 5          # first non-null values tested by the datetime probe
+PROBE_HEAD = 20         # rows that are looked at for them in one pass over all columns
 
 SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -83,12 +84,20 @@ def exact_distinct(df: DataFrame, cols: list[str]) -> dict:
 
 def datetime_probe(df: DataFrame, key: str, cols: list[str]) -> dict:
     """R8 for text columns: the first ≤5 non-null values by key all parse.
-    One top-k per column (≤ 5 rows each)."""
+    One top-k of a few rows answers for every column that has five values
+    there; only a column with many gaps at the start takes one of its own."""
+    if not cols:
+        return {}
+    head = df.select(key, *[F.col(f"`{c}`") for c in cols]).orderBy(key).limit(PROBE_HEAD)
+    rows = head.select(*[F.when(F.col(f"`{c}`").isNotNull(), parse_any(F.col(f"`{c}`")).isNotNull()).alias(f"p{i}")
+                         for i, c in enumerate(cols)]).collect()
     out = {}
-    for c in cols:
-        vals = (df.where(F.col(c).isNotNull()).orderBy(key).limit(PROBE_ROWS)
-                .select(parse_any(F.col(c)).isNotNull().alias("ok")).collect())
-        out[c] = bool(vals) and all(v["ok"] for v in vals)
+    for i, c in enumerate(cols):
+        vals = [r[f"p{i}"] for r in rows if r[f"p{i}"] is not None][:PROBE_ROWS]
+        if len(vals) < PROBE_ROWS and len(rows) == PROBE_HEAD:
+            own = df.where(F.col(f"`{c}`").isNotNull()).orderBy(key).limit(PROBE_ROWS)
+            vals = [v["ok"] for v in own.select(parse_any(F.col(f"`{c}`")).isNotNull().alias("ok")).collect()]
+        out[c] = bool(vals) and all(vals)
     return out
 
 
@@ -186,7 +195,7 @@ def semantic_type(df: DataFrame, key: str | None = None, overrides: dict | None
     cols = [c for c in df.columns if c != key]
     for c in (overrides or {}):
         if c not in cols:
-            log.warning("Override column '%s' not found in DataFrame.", c)   # R19: warn, not fail
+            log.warning("no column '%s' to override", c)      # R19: warn, not fail
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         aggs += [F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.approx_count_distinct(F.col(c), HLL_RSD).alias(f"a{i}")]
@@ -223,3 +232,23 @@ def semantic_type(df: DataFrame, key: str | None = None, overrides: dict | None
         rows.append((c, dt.simpleString(), st, n, int(r[f"z{i}"])))
     return df.sparkSession.createDataFrame(
         rows, "column string, spark_type string, sdtype string, n_rows bigint, n_null bigint")
+
+
+def apply_types(df: DataFrame, overrides: dict) -> DataFrame:
+    """R19 for what follows: a column declared categorical becomes text,
+    numerical a double, datetime a timestamp (values that do not convert
+    become NULL); other declarations and unknown columns change nothing."""
+    out = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), overrides.get(f.name)
+        if kind == "categorical" and not is_categorical(f.dataType):
+            c = c.cast("string")
+        elif kind == "numerical" and not isinstance(f.dataType, T.NumericType):
+            c = c.try_cast("double")
+        elif kind == "datetime" and is_categorical(f.dataType):
+            c = parse_any(c)
+        out.append(c.alias(f.name))
+    for name in overrides:
+        if name not in df.columns:
+            log.warning("no column '%s' to override", name)
+    return df.select(*out)

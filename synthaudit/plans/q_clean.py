@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from synthaudit.config import LoaderConfig
 from synthaudit.operators import clean as cl
 from synthaudit.operators import profile as pf
 from synthaudit.plans import fixtures as fx
@@ -182,3 +183,46 @@ def preview_head(spark, d):
     n = raw.count()
     return raw.orderBy(K).limit(5).select(F.lit(n).cast("long").alias("n_rows"), K, "event_type",
                                           rnd("value").alias("value"))
+
+
+def typed_orders(spark, d):
+    """``orders`` with NaN, a boolean with gaps and one without, and integers."""
+    k = F.col("o_orderkey")
+    return fx.read_table(spark, d, "orders").select(
+        k.alias(K), F.when(k % 10 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("price"),
+        F.when(k % 6 != 0, F.col("o_orderstatus") == "O").alias("open"),
+        F.when(k % 8 != 0, (k % 97).cast("int")).alias("level"), (k % 4 == 0).alias("steady"),
+        k.alias("serial"), (k % 3).cast("int").alias("small"), F.col("o_orderpriority").alias("priority"))
+
+
+TYPED_SQL = """
+WITH t AS (SELECT o_orderkey AS row_key, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS price,
+  CASE WHEN o_orderkey % 6 <> 0 THEN o_orderstatus = 'O' END AS open,
+  CASE WHEN o_orderkey % 8 <> 0 THEN CAST(o_orderkey % 97 AS INTEGER) END AS level, o_orderkey % 4 = 0 AS steady,
+  o_orderkey AS serial, CAST(o_orderkey % 3 AS INTEGER) AS small, o_orderpriority AS priority FROM orders)
+"""
+
+
+@query("clean_typed", TYPED_SQL + """
+SELECT row_key, round(coalesce(price, (SELECT median(price) FROM t)), 6) AS price,
+  coalesce(open, (SELECT open FROM t WHERE open IS NOT NULL GROUP BY open ORDER BY count(*) DESC, open LIMIT 1)) AS open,
+  CAST(coalesce(level, (SELECT median(level) FROM t)) AS DOUBLE) AS level, steady, CAST(serial AS BIGINT) AS serial,
+  CAST(small AS VARCHAR) AS small, priority FROM t""")
+def clean_typed(spark, d):
+    """Cleaning of NaN, booleans and integers; ``small`` is declared categorical."""
+    cfg = LoaderConfig(metadata_overrides={"small": "categorical"})
+    df = cl.load_and_clean(typed_orders(spark, d), K, cfg).df
+    return df.select(K, rnd("price").alias("price"), "open", "level", "steady", "serial", "small", "priority")
+
+
+@query("schema_types", TYPED_SQL + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", CASE WHEN typeof(any_value({c})) = 'BOOLEAN' THEN 'boolean'
+  WHEN typeof(any_value({c})) = 'DOUBLE' THEN 'numerical'
+  WHEN typeof(any_value({c})) = 'VARCHAR' THEN CASE WHEN count(DISTINCT {c}) = count({c}) THEN 'id' ELSE 'categorical' END
+  WHEN count(DISTINCT {c}) = count({c}) THEN 'id'
+  WHEN count(DISTINCT {c}) <= least(count(*) / 10.0, 10) THEN 'categorical' ELSE 'numerical' END AS sdtype,
+  CAST(count(*) - count({c}) AS BIGINT) AS n_null FROM t"""
+    for c in ("price", "open", "level", "steady", "serial", "small", "priority")))
+def schema_types(spark, d):
+    """Semantic types by every rule that depends on the stored type."""
+    return pf.semantic_type(cl.nan_to_null(typed_orders(spark, d)), K).select("column", "sdtype", "n_null")

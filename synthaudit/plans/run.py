@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from synthaudit.config import AuditConfig, LoaderConfig
 from synthaudit.operators.clean import load_and_clean, nan_to_null
+from synthaudit.operators.profile import apply_types
 from synthaudit.operators.sampling import sample_n, train_control_split
 from synthaudit.plans import audit as au
 from synthaudit.session import cut_lineage
@@ -84,7 +85,8 @@ def run_framework(spark: SparkSession, source, key: str | None = None, cfg: Audi
 
 
 def audit_table(spark: SparkSession, real, syn, key: str, cfg: AuditConfig | None = None,
-                name: str = "given", cluster_labels: str | None = None) -> dict:
+                name: str = "given", cluster_labels: str | None = None,
+                loader_cfg: LoaderConfig | None = None) -> dict:
     """O2: audit a table that was synthesised elsewhere against real data
     (CSV paths or DataFrames).  Real rows are split as in the full run; the
     synthetic table is scored against the training part."""
@@ -92,8 +94,10 @@ def audit_table(spark: SparkSession, real, syn, key: str, cfg: AuditConfig | Non
     real_df = real if isinstance(real, DataFrame) else read_csv(spark, real, key)
     syn_df = syn if isinstance(syn, DataFrame) else read_csv(spark, syn, key)
     # the synthetic table keeps its rows; it is read with the columns that cleaning left
-    real_df = cut_lineage(load_and_clean(with_long_key(real_df, key), key).df)
+    real_df = cut_lineage(load_and_clean(with_long_key(real_df, key), key, loader_cfg).df)
     syn_df = nan_to_null(with_long_key(syn_df, key))
+    if loader_cfg:
+        syn_df = apply_types(syn_df, loader_cfg.metadata_overrides)
     syn_df = syn_df.select(*[F.col(f"`{c}`") for c in real_df.columns if c in syn_df.columns])
     capped = sample_n(real_df, key, cfg.max_rows, cfg.random_seed)
     train, control = train_control_split(capped, key, cfg.train_ratio, cfg.random_seed)

@@ -187,3 +187,42 @@ def test_imputation_log_text(spark):
     assert text["v"].startswith("median=") and text["v"].endswith("(10 nulls)")
     assert text["s"] == "mode='a' (7 nulls)"
     assert res.log_frame(spark).count() == 2
+
+
+def test_medians_of_several_columns(spark, monkeypatch):
+    """All columns in the same passes: ties, gaps, NaN, an empty column, and brackets that must narrow."""
+    import random
+
+    random.seed(4)
+    rows = [(i, random.choice([1.0, 2.0]), None if i % 5 == 0 else random.gauss(0, 9), None, float(i % 3),
+             float("nan") if i % 2 else float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, two double, `odd-name` double, none double, tri double, half double")
+    cols = ["two", "odd-name", "none", "tri", "half"]
+
+    def middle(j):
+        v = sorted(r[j] for r in rows if r[j] is not None and r[j] == r[j])
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None
+
+    want = {c: middle(j + 1) for j, c in enumerate(cols)}
+    assert cl.exact_medians(df, cols) == want
+    monkeypatch.setattr(cl, "EXACT_ROWS", 50)
+    assert cl.exact_medians(df, cols) == want
+
+
+def test_boolean_mode_false(spark):
+    df = spark.createDataFrame([(i, None if i == 0 else i > 90, float(i)) for i in range(100)], "k long, b boolean, v double")
+    out = cl.load_and_clean(df, "k").df
+    assert out.where("k = 0").first()["b"] is False and dict(out.dtypes)["b"] == "boolean"
+
+
+def test_probe_looks_beyond_a_gap(spark):
+    df = spark.createDataFrame([(i, None if i < 40 else "2024-01-05", "x" if i == 99 else "2024-01-05") for i in range(100)],
+                               "k long, late string, bad_end string")
+    assert pf.datetime_probe(df, "k", ["late", "bad_end"]) == {"late": True, "bad_end": True}
+
+
+def test_overrides_reach_the_columns(spark):
+    df = spark.createDataFrame([(1, 7, "3.5", "2024-01-05"), (2, 8, "x", "2024-02-01")], "k long, a int, b string, t string")
+    got = pf.apply_types(df, {"a": "categorical", "b": "numerical", "t": "datetime", "gone": "numerical"})
+    assert dict(got.dtypes) == {"k": "bigint", "a": "string", "b": "double", "t": "timestamp"}
+    assert [r["b"] for r in got.orderBy("k").collect()] == [3.5, None]

@@ -31,7 +31,7 @@ def _norm(v):
 @pytest.mark.parametrize("name", ["utility_report", "singling_out_risk", "linkability_risk", "cmla_risk_labeled",
                                   "clean_pipeline", "stratified_folds", "train_control_split", "json_safe",
                                   "report_full", "summary_results", "audit_isolation", "kmeans_rounds",
-                                  "copula_knots", "dptree_fit"])
+                                  "copula_knots", "dptree_fit", "clean_typed", "schema_types"])
 def test_oracle_sf0001(spark, sf, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
