@@ -257,6 +257,8 @@ def audit(train: DataFrame, control: DataFrame, candidates: list[Candidate], key
             return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
 
     out = run_parallel({i: (lambda i=i, c=c: one(i, c)) for i, c in enumerate(candidates)}, 2)
+    if real_side is None:
+        real.release()
     return records_frame(train.sparkSession, [out[i] for i in range(len(candidates))])
 
 

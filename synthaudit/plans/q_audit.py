@@ -118,6 +118,7 @@ def audit_pair_q(spark, d):
     train, syn, ctl = fx.three_way(spark, d)
     real = au.RealSide(train, ctl, fx.KEY, AuditConfig(), cluster_labels="o_orderstatus")
     rec = au.audit_pair(real, syn, "perturbed", {}, 0)
+    real.release()
     return _rec_out(au.records_frame(spark, [rec]))
 
 
@@ -255,7 +256,4 @@ def audit_isolation(spark, d):
     train, syn, ctl = fx.three_way(spark, d)
     broken = syn.withColumn("sum_qty", F.raise_error(F.lit("unreadable block")).cast("double"))
     cands = [au.Candidate("perturbed", syn), au.Candidate("broken", broken)]
-    real = au.RealSide(train, ctl, fx.KEY, AuditConfig(), cluster_labels="o_orderstatus")
-    recs = _rec_out(au.audit(train, ctl, cands, fx.KEY, AuditConfig(), real_side=real))
-    real.release()
-    return recs
+    return _rec_out(au.audit(train, ctl, cands, fx.KEY, AuditConfig(), cluster_labels="o_orderstatus"))

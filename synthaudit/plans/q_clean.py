@@ -9,6 +9,7 @@ from synthaudit.operators import clean as cl
 from synthaudit.operators import profile as pf
 from synthaudit.plans import fixtures as fx
 from synthaudit.plans.catalog import query, rnd
+from synthaudit.plans.run import with_long_key
 from synthaudit.session import session_key
 
 K = fx.RAW_KEY
@@ -67,10 +68,25 @@ _TEXT = ["day_text", "event_type", "props", "user_name"]
 
 
 @query("high_cardinality_cols", _sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS column, count(DISTINCT {c}) / count(*) > 0.5 AS dropped FROM r1" for c in _TEXT)))
+    f"SELECT '{c}' AS column, round(count(DISTINCT {c}) / count(*), 6) AS ratio, count(DISTINCT {c}) / count(*) > 0.5 AS dropped FROM r1"
+    for c in _TEXT)))
 def high_cardinality_cols(spark, d):
     plan = cleaned(spark, d).plan
-    return spark.createDataFrame([(c, c in plan.high_card) for c in plan.ratios], "column string, dropped boolean")
+    distinct = pf.exact_distinct(pf.drop_null_rows(fx.raw_events(spark, d), K), list(plan.ratios))
+    return spark.createDataFrame([(c, round(distinct[c] / plan.n_rows, 6), c in plan.high_card) for c in plan.ratios],
+                                 "column string, ratio double, dropped boolean")
+
+
+@query("fill_text_key", _sql("""SELECT 'e-' || CAST(row_key AS VARCHAR) AS name, epoch_us(coalesce(
+  last_value(ts IGNORE NULLS) OVER (ORDER BY 'e-' || CAST(row_key AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(ts IGNORE NULLS) OVER (ORDER BY 'e-' || CAST(row_key AS VARCHAR) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS ts_us
+FROM raw"""))
+def fill_text_key(spark, d):
+    """Gaps filled in the order of a text key, by way of the number that stands for it."""
+    name = F.concat(F.lit("e-"), F.col(K).cast("string"))
+    rows = fx.raw_events(spark, d).select(name.alias(K), name.alias("name"), "ts")
+    numbered = with_long_key(rows, K)
+    return cl.ffill_bfill(numbered, K, ["ts"]).select("name", _micros("ts").alias("ts_us"))
 
 
 def _probe_sql(c: str) -> str:

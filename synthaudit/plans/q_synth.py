@@ -58,6 +58,7 @@ def _synth_report(spark, train, syn, name, model):
     prof = stats.ColumnProfile.of(train, fx.KEY)
     sim = stats.correlation_similarity(train, syn, fx.KEY).first()[0]
     lg = logic.logic_score(logic.logic_check(train, syn, fx.KEY, prof)).first()
+    syn.unpersist()
     return spark.createDataFrame(
         [(name, int(lg["n_rows"]), float(sim), float(lg["logic_consistency"]), int(lg["n_violations"]),
           float(model.fit_seconds), float(model.sample_seconds))],
@@ -69,16 +70,14 @@ def _synth_report(spark, train, syn, name, model):
 def synth_copula(spark, d):
     train, _syn, _ctl = fx.three_way(spark, d)
     m = build("copula").fit(train, fx.KEY)
-    syn = m.sample(train.count(), seed=42).cache()
-    return _synth_report(spark, train, syn, "copula", m)
+    return _synth_report(spark, train, m.sample(train.count(), seed=42).persist(), "copula", m)
 
 
 @query("synth_dptree")
 def synth_dptree(spark, d):
     train, _syn, _ctl = fx.three_way(spark, d)
     m = build("privbayes", bounds=BOUNDS, bins=BINS).fit(train, fx.KEY)
-    syn = m.sample(train.count(), seed=42).cache()
-    return _synth_report(spark, train, syn, "privbayes", m)
+    return _synth_report(spark, train, m.sample(train.count(), seed=42).persist(), "privbayes", m)
 
 
 def _code_sql(c: str) -> str:
