@@ -6,7 +6,8 @@ Fit (three Spark jobs, only p-sized results reach the driver):
   between tied knots) from one ``percentile_approx`` aggregate, plus the
   NULL share;
 * categorical marginals: ``groupBy(column, value).count()`` over the
-  unpivoted categorical columns (NULL is a category);
+  unpivoted categorical columns (NULL is a category); more values than
+  ``MAX_CATEGORIES`` share codes by hash, and a sampled code draws one of them;
 * dependence: every row is mapped to normal scores (position between
   knots, middle of the step on ties; middle of the category's frequency
   interval) and each task emits its partial Gram matrix of scores; a
@@ -29,9 +30,10 @@ from synthaudit.functions import normal
 from synthaudit.functions.columns import is_time_type, number_to_time, time_to_number
 from synthaudit.functions.uniform import hash_uniform
 from synthaudit.operators.synth.base import Synthesizer, register
+from synthaudit.operators.synth.spread import Spread, sample_ids, shared_code
 
 N_KNOTS = 1001
-MAX_CATEGORIES = 100_000   # per column: bound of the category table shipped to tasks
+MAX_CATEGORIES = 100_000   # codes per column in the table shipped to tasks; more values share them by hash
 U_EPS = 1e-6
 
 
@@ -89,19 +91,23 @@ class GaussianCopula(Synthesizer):
         self.knots = {c: np.array(r[f"k{i}"] or [0.0], dtype="float64") for i, c in enumerate(self.nums)}
         self.p_null = {c: r_n[f"z{i}"] / n if n else 0.0 for i, c in enumerate(self.nums)}
         self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
-        self.cat_tables = {}
+        self.cat_tables, self.spread = {}, {}
         if self.cats:
-            arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.cats])
-            cap = MAX_CATEGORIES * len(self.cats) + 1
-            rows = (df.select(F.explode(arr).alias("e")).groupBy("e.c", "e.v")
-                    .agg(F.count(F.lit(1)).alias("n")).limit(cap).collect())
-            if len(rows) >= cap:
-                raise ValueError(f"categorical columns exceed {MAX_CATEGORIES} categories")
+            arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in self.cats])
+            cnt = (df.select(F.explode(arr).alias("e")).groupBy("e.c", "e.v")
+                   .agg(F.count(F.lit(1)).alias("n")).persist())
+            sizes = {r_["c"]: r_["count"] for r_ in cnt.groupBy("c").count().collect()}
+            wide = [c for c in self.cats if sizes.get(c, 0) > MAX_CATEGORIES]
+            for c in wide:      # more values than codes: they share them
+                self.spread[c] = Spread(cnt.where((F.col("c") == c) & F.col("v").isNotNull()).select("v", "n"),
+                                        MAX_CATEGORIES, sizes[c])
+                df = df.withColumn(c, shared_code(F.col(f"`{c}`").cast("string"), MAX_CATEGORIES))
+            code = F.when(F.col("c").isin(wide), shared_code(F.col("v"), MAX_CATEGORIES)).otherwise(F.col("v"))
+            rows = cnt.groupBy("c", code.alias("v")).agg(F.sum("n").alias("n")).collect()   # at most MAX_CATEGORIES + 1 a column
+            cnt.unpersist()
             for c in self.cats:
                 items = sorted(((r_["v"], r_["n"]) for r_ in rows if r_["c"] == c),
                                key=lambda t: (t[0] is not None, t[0] or ""))
-                if len(items) > MAX_CATEGORIES:
-                    raise ValueError(f"column {c} has {len(items)} categories (> {MAX_CATEGORIES})")
                 tot = float(sum(k for _, k in items)) or 1.0
                 cum = np.cumsum([k for _, k in items]) / tot
                 lo = np.concatenate([[0.0], cum[:-1]])
@@ -179,7 +185,7 @@ class GaussianCopula(Synthesizer):
         cols, nums, cats = self.cols, self.nums, self.cats
         knots, tables, p_null, chol = self.knots, self.cat_tables, self.p_null, self.chol
         integral = self.integral
-        ids = spark.range(0, n, 1, max(1, spark.sparkContext.defaultParallelism))
+        ids = sample_ids(spark, n)
         u_cols = [hash_uniform(seed, f"copula|{c}", F.col("id")).alias(f"u{j}") for j, c in enumerate(cols)]
         null_cols = [hash_uniform(seed, f"copula-null|{c}", F.col("id")).alias(f"w{j}") for j, c in enumerate(nums)]
         src = ids.select("id", *u_cols, *null_cols)
@@ -208,6 +214,8 @@ class GaussianCopula(Synthesizer):
         schema = T.StructType([T.StructField(self_key, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in nums]
                               + [T.StructField(c, T.StringType()) for c in cats])
         raw = src.mapInPandas(part, schema)
+        for c, spread in self.spread.items():       # a shared code draws one of its values
+            raw = spread.draw(raw, c, hash_uniform(seed, f"copula-value|{c}", F.col(self_key)))
         # back to the original column order and types
         out = [F.col(self_key)]
         for f in self.fields:

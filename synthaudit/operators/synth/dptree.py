@@ -33,16 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from synthaudit.functions.columns import is_time_type, number_to_time, time_to_number
 from synthaudit.functions.uniform import hash_uniform
 from synthaudit.operators.synth.base import REGISTRY, Synthesizer, register
-from synthaudit.session import cut_lineage
+from synthaudit.operators.synth.spread import Spread, sample_ids, shared_code
 
 MAX_DOMAIN = 1_000          # codes per text column in the model; more values share them by hash
 NULL_CODE = "\u0000"        # code of NULL for categorical columns
-SHARED = "\u0001"           # first character of a code that several values share
 VALUE_SHARE = 0.1           # part of the budget for the value shares of shared codes, if there are any
 # Exponents of the log-scale grid used to estimate bounds.
 GRID_EXP = range(-3, 13)
@@ -239,30 +237,15 @@ class DPTree(Synthesizer):
                 eps_v = VALUE_SHARE * eps_m
                 eps_m -= eps_v
             for c in wide:
-                shared = lambda v: F.concat(F.lit(SHARED), F.pmod(F.xxhash64(v), F.lit(MAX_DOMAIN)))
                 # noise by a secret seed and the value: a lost task computes it again alike
                 u = hash_uniform(int(self.rng.integers(2 ** 62)), f"dptree-noise|{c}", F.col("v")) - 0.5
                 laplace = -F.signum(u) * F.log1p(-2.0 * F.least(F.abs(u), F.lit(0.5 - 1e-16))) * (len(wide) / eps_v)
                 # a published value keeps a positive share, whatever its noise
-                own = cut_lineage(cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
-                    shared(F.col("v")).alias("code"), "v", F.greatest(F.col("n") + laplace, F.lit(1e-3)).alias("n")))
-                upto = Window.partitionBy("code").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-                total = F.sum("n").over(Window.partitionBy("code"))
-                # shares as a running sum: a value begins where the one before it ends, the last ends at 1
-                hi = F.when(F.lead("v").over(Window.partitionBy("code").orderBy("v")).isNull(), 1.0).otherwise(
-                    F.least(F.sum("n").over(upto) / total, F.lit(1.0)))
-                ends = own.select("code", "v", hi.alias("hi"))
-                lo = F.coalesce(F.lag("hi").over(Window.partitionBy("code").orderBy("v")), F.lit(0.0))
-                # [0, 1) in as many cells as a code has values on average: a draw looks only at the
-                # values of its cell, about two of them, and a frequent value has many cells
-                cells = -(-sizes[c] // MAX_DOMAIN)
-                cell = F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells),
-                                                                                   F.lit(cells - 1).cast("long"))))
-                self.spread[c] = cells, cut_lineage(
-                    ends.withColumn("lo", lo).select("code", "v", "lo", "hi", cell.alias("cell")))
-                values = self.spread[c][1]
-                dom[c] = sorted(dom[c] + [r["code"] for r in values.select("code").distinct().collect()])
-                codes = codes.withColumn(c, F.when(F.col(c) == NULL_CODE, F.col(c)).otherwise(shared(F.col(c))))
+                self.spread[c] = Spread(cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
+                    "v", F.greatest(F.col("n") + laplace, F.lit(1e-3)).alias("n")), MAX_DOMAIN, sizes[c])
+                dom[c] = sorted(dom[c] + self.spread[c].codes())
+                codes = codes.withColumn(c, F.when(F.col(c) == NULL_CODE, F.col(c)).otherwise(
+                    shared_code(F.col(c), MAX_DOMAIN)))
             cnt.unpersist()
         if len(self.cols) > WIDE_COLUMNS:
             rows = marginal_counts_wide(codes, self.cols, dom).collect()
@@ -323,7 +306,7 @@ class DPTree(Synthesizer):
         parent = {ch: par for par, ch in self.edges}
         root_cum = np.cumsum(m1[root] / m1[root].sum()) if m1[root].sum() > 0 else \
             np.cumsum(np.full(len(dom[root]), 1.0 / len(dom[root])))
-        ids = spark.range(0, n, 1, max(1, spark.sparkContext.defaultParallelism))
+        ids = sample_ids(spark, n)
         src = ids.select("id", *[hash_uniform(seed, f"dptree|{c}", F.col("id")).alias(f"u_{c}") for c in cols],
                          *[hash_uniform(seed, f"dptree-bin|{c}", F.col("id")).alias(f"v_{c}") for c in nums])
 
@@ -356,12 +339,8 @@ class DPTree(Synthesizer):
         schema = T.StructType([T.StructField(key, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in nums]
                               + [T.StructField(c, T.StringType()) for c in cols if c not in nums])
         raw = src.mapInPandas(part, schema)
-        for c, (cells, values) in self.spread.items():       # a shared code draws one of its values
-            own = values.withColumnRenamed("v", "__v")
-            raw = raw.withColumn("__u", hash_uniform(seed, f"dptree-value|{c}", F.col(key)))
-            raw = raw.join(own, (raw[c] == own["code"]) & (F.floor(raw["__u"] * cells) == own["cell"])
-                           & (raw["__u"] >= own["lo"]) & (raw["__u"] < own["hi"]), "left")
-            raw = raw.withColumn(c, F.col("__v")).drop("__u", "__v", "code", "cell", "lo", "hi")
+        for c, spread in self.spread.items():       # a shared code draws one of its values
+            raw = spread.draw(raw, c, hash_uniform(seed, f"dptree-value|{c}", F.col(key)))
         times = self.times
         return raw.select(F.col(key), *[number_to_time(f.name, f.dataType).alias(f.name) if f.name in times
                                         else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields])

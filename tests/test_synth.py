@@ -118,3 +118,19 @@ def test_dptree_many_values(spark):
     assert abs(counts["hot"] / 20_000 - 1 / 3) < 0.02
     assert abs(counts[None] / 20_000 - 2 / 33) < 0.02
     assert len(counts) > 2_000
+
+
+def test_copula_many_values(spark, monkeypatch):
+    """More categories than codes: nothing is refused, lost or made up."""
+    from synthaudit.operators.synth import copula
+
+    monkeypatch.setattr(copula, "MAX_CATEGORIES", 50)
+    df = spark.range(30_000).selectExpr(
+        "id AS row_key", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 11 = 0 THEN NULL ELSE concat('v', id % 500) END AS `odd-word`",
+        "CAST(id % 7 AS double) AS x", "IF(id % 2 = 0, 'a', 'b') AS few")
+    syn = build("copula").fit(df, "row_key").sample(20_000, seed=5)
+    known = {r[0] for r in df.select("`odd-word`").distinct().collect()}
+    counts = {r[0]: r[1] for r in syn.groupBy("`odd-word`").count().collect()}
+    assert set(counts) <= known and len(counts) > 0.9 * len(known) and sum(counts.values()) == 20_000
+    assert abs(counts["hot"] / 20_000 - 1 / 3) < 0.02 and abs(counts[None] / 20_000 - 2 / 33) < 0.02
+    assert {r["few"] for r in syn.select("few").distinct().collect()} == {"a", "b"}
