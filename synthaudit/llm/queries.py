@@ -238,3 +238,51 @@ def op13(spark, data_dir):
     made = fill_in_middle(read_table(spark, data_dir, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                              lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+        FROM range(256) r(i))),
+w AS (
+  SELECT src, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 0 AS src, doc_id AS id, text FROM documents UNION ALL SELECT 1, 0, text FROM benchmark)),
+p AS (SELECT src, id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (
+  SELECT src, id, w[i] AS f FROM p UNION ALL SELECT src, id, w[i] || ' ' || w[i + 1] FROM p WHERE i < len(w)
+  UNION ALL SELECT src, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM p WHERE i + 1 < len(w)),
+c AS (SELECT f, src, id, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM c)),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(h), 2),
+                                         lambda k: CAST('0x' || substr(h, k, 2) AS BIGINT))),
+                            lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) % 10000 AS b
+  FROM h CROSS JOIN t),
+n AS (
+  SELECT r.b, coalesce(sum(n) FILTER (src = 0), 0) AS s, coalesce(sum(n) FILTER (src = 1), 0) AS t
+  FROM range(10000) r(b) LEFT JOIN (SELECT b, src, n FROM c JOIN b USING (f)) x ON r.b = x.b GROUP BY r.b),
+g AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE))
+                                 / (CAST(s + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+x AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+      FROM c JOIN b USING (f) JOIN g USING (b) WHERE src = 0 GROUP BY id),
+d AS (
+  SELECT id AS doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || sha256('42:' || CAST(id AS VARCHAR))[1:8] AS BIGINT) AS h
+  FROM w LEFT JOIN x USING (id) WHERE src = 0),
+s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE words >= 20)
+SELECT s.doc_id, n_features, weight, score, CAST(rank AS BIGINT) AS rank
+FROM s LEFT JOIN (SELECT * FROM r WHERE rank <= (SELECT 5 * count(*) // 100 FROM s WHERE words >= 20)) r USING (doc_id)
+"""
+
+
+@query("op12_resample", OP12_SQL)
+def op12(spark, data_dir):
+    from synthaudit.llm.resample import resample
+
+    drawn = resample(read_table(spark, data_dir, "documents"), read_table(spark, data_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
