@@ -265,8 +265,8 @@ n AS (
   SELECT r.b, coalesce(sum(n) FILTER (src = 0), 0) AS s, coalesce(sum(n) FILTER (src = 1), 0) AS t
   FROM range(10000) r(b) LEFT JOIN (SELECT b, src, n FROM c JOIN b USING (f)) x ON r.b = x.b GROUP BY r.b),
 g AS (
-  SELECT b, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE))
-                                 / (CAST(s + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+  SELECT b, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE))
+                                 / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
 x AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
       FROM c JOIN b USING (f) JOIN g USING (b) WHERE src = 0 GROUP BY id),
 d AS (

@@ -307,7 +307,7 @@ def bucket_totals(docs: DataFrame, head, buckets: int = BUCKETS) -> np.ndarray:
 def bucket_gains(own: np.ndarray, target: np.ndarray) -> np.ndarray:
     """``floor(1000 ln)`` of how much likelier each bucket is in the target, with one added to each count."""
     s, t, size = int(own.sum()), int(target.sum()), len(own)
-    return np.array([math.floor(1000 * math.log((float(b + 1) * float(t + size)) / (float(a + 1) * float(s + size))))
+    return np.array([math.floor(1000 * math.log((float(b + 1) * float(s + size)) / (float(a + 1) * float(t + size))))
                      for a, b in zip(own.tolist(), target.tolist())], np.int64)
 
 

@@ -29,7 +29,7 @@ def brute(docs, target, percent=5, min_words=20, seed=42, buckets=R.BUCKETS):
     out = []
     for i, text in docs:
         b = buckets_of(text, size)
-        weight = sum(math.floor(1000 * math.log((tar[x] + 1.0) * (t + size) / ((own[x] + 1.0) * (s + size)))) for x in b)
+        weight = sum(math.floor(1000 * math.log((tar[x] + 1.0) * (s + size) / ((own[x] + 1.0) * (t + size)))) for x in b)
         h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
         out.append([i, len(words(text)), len(b), weight,
                     weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
