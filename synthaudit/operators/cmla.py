@@ -193,5 +193,5 @@ def cmla(real: DataFrame, syn: DataFrame, key: str, n_clusters: int = 10, distan
             return failed_result("CMLA", f"synthetic table lacks {missing}")
         ref = fit_reference(real, key, n_clusters, distance_percentile, labels, calibration, n_probes, seed)
         return score(ref, syn, key, detail)
-    except ValueError as exc:
+    except Exception as exc:  # noqa: BLE001 - fail safe, whatever stops the attack
         return failed_result("CMLA", str(exc))

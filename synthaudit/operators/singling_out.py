@@ -248,7 +248,7 @@ def singling_out(real: DataFrame, syn: DataFrame, control: DataFrame, key: str,
         risk, lo, hi = residual_risk(s, c, n)
         return AttackResult("SinglingOut", risk, lo, hi, n, False,
                             f"n_success={s} | n_control_success={c} | n_requested={n_attacks}", s, c)
-    except (ValueError, KeyError) as exc:
+    except Exception as exc:  # noqa: BLE001 - fail safe, whatever stops the attack
         return failed_result("SinglingOut", str(exc))
 
 

@@ -1,79 +1,38 @@
-"""Train on synthetic, test on real.
-
-* labels (M3): classes = sorted distinct target values of real as text
-  (NULL → 'nan'); code = position; a synthetic label unseen in real
-  becomes the first class (J5);
-* features (M5/J6): numerics with NULL → 0; one dummy per level of real
-  except the first (NULL → all zero); synthetic rows use real's dummy
-  columns, so unseen levels are all zero and real-only levels are 0;
+"""Train on synthetic, test on real (M2, M4, G17; labels and features in ``encode``).
+
 * stratified folds (M4): rank inside each label by seeded hash, fold =
   rank mod 5.  Ranks come from per-(label, hash bucket) counts and a
   ranking inside each bucket, so a dominant label never lands in one task;
-* TSTR: a random forest (100 trees, seed 42) fitted on all synthetic rows,
-  accuracy on each real fold, averaged (G17).  TRTR: the same forest
-  fitted on four real folds, scored on the fifth.  gap = max(0, TRTR−TSTR).
+* TSTR: a random forest (100 fully grown trees, seed 42) fitted on all
+  synthetic rows, accuracy on each real fold, averaged (G17).  TRTR: the same
+  forest fitted on four real folds, scored on the fifth.  gap = max(0, TRTR−TSTR).
   (Decision D2: the original tool's cross-validation refits on real, so its
   TSTR equals TRTR; here TSTR is what it is documented to be.)
+
+The six forests are one run of ``forest_votes``: a row takes part in every
+forest it belongs to.  A feature that the synthetic table lacks is zero there.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from synthaudit.functions.keys import hash_rank_key
+from synthaudit.operators.encode import category_levels, feature_kinds, label_classes, quoted
+from synthaudit.operators.forest import forest_votes, predicted
+from synthaudit.session import cut_lineage
 
 N_FOLDS = 5
-MAX_DEPTH = 12             # of a tree; a parameter of every call (Spark allows up to 30)
-
-
-def label_text(c: str):
-    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-
-
-def classes(real: DataFrame, target: str) -> list:
-    rows = real.select(label_text(target).alias("l")).distinct().collect()
-    return sorted(r["l"] for r in rows)
-
-
-def encode_label(df: DataFrame, target: str, cls: list, name: str = "label") -> DataFrame:
-    """M3 + J5: class code; labels unseen in real map to the first class."""
-    arr = F.array(*[F.lit(c) for c in cls])
-    pos = F.array_position(arr, label_text(target))
-    return df.withColumn(name, F.when(pos > 0, pos - 1).otherwise(F.lit(0)).cast("double"))
-
-
-def dummy_name(col: str, number: int) -> str:
-    """By the level's position: two levels may differ in punctuation only."""
-    return f"{col}__{number}"
-
-
-def dummy_levels(real: DataFrame, cols: list[str]) -> dict:
-    """Sorted non-null levels of each categorical column of real."""
-    if not cols:
-        return {}
-    arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
-    rows = (real.select(F.explode(arr).alias("e")).where(F.col("e.v").isNotNull())
-            .groupBy("e.c", "e.v").count().collect())
-    return {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols}
-
-
-def design(df: DataFrame, key: str, nums: list[str], levels: dict, carry: tuple = ()) -> DataFrame:
-    """Numeric NULL → 0; one dummy ``<column>__<number>`` for each of
-    real's levels without the first.  ``carry`` columns come along, so labels and folds need no join."""
-    out = [F.col(f"`{c}`") for c in (key, *carry)]
-    out += [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in nums]
-    for c, lv in levels.items():
-        for i, v in enumerate(lv[1:], 1):
-            out.append(F.coalesce((F.col(f"`{c}`").cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(dummy_name(c, i)))
-    return df.select(*out)
+N_TREES = 100
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, seed: int = 42, k: int = N_FOLDS) -> DataFrame:
     """M4: ``fold = (rank of row inside its label by hash order) mod k``."""
-    h = hash_rank_key(seed, F.col(key))
+    h = hash_rank_key(seed, quoted(key))
     d = df.withColumn("__h", h).withColumn("__bk", F.shiftright("__h", 44))
     counts = d.groupBy(label, "__bk").agg(F.count(F.lit(1)).alias("__n"))
     wo = Window.partitionBy(label).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,62 +64,59 @@ def majority_fold_accuracy(folded: DataFrame, label: str, k: int = N_FOLDS) -> D
             .select("fold", "pred", (F.coalesce("hit", F.lit(0)) / F.col("size")).alias("accuracy")))
 
 
-def _forest(seed: int = 42, trees: int = 100, depth: int = MAX_DEPTH):
-    from pyspark.ml.classification import RandomForestClassifier
-
-    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, labelCol="label",
-                                  featuresCol="features")
-
-
-def _vectors(df: DataFrame, feats: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(df)
-
-
 def fold_accuracy(pred: DataFrame) -> DataFrame:
     """Accuracy per fold."""
     return pred.groupBy("fold").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = 100,
-                depth: int = MAX_DEPTH):
-    """Return (tstr per-fold accuracy, trtr per-fold accuracy) DataFrames."""
-    feats_src = [c for c in real.columns if c not in (key, target)]
-    nums = [c for c in feats_src if isinstance(real.schema[c].dataType, (T.NumericType, T.BooleanType))]
-    cats = [c for c in feats_src if c not in nums]
-    cls = classes(real, target)
-    levels = dummy_levels(real, cats)
-    r = encode_label(real, target, cls).select(key, target, "label", *feats_src)
-    r = stratified_folds(r, key, target, seed)
-    rd = design(r, key, nums, levels, ("label", "fold"))
-    sd = design(encode_label(syn, target, cls), key, nums, levels, ("label",))
-    feats = [c for c in rd.columns if c not in (key, "label", "fold")]
-    rv = _vectors(rd, feats).select(key, "label", "fold", "features").persist()
-    sv = _vectors(sd, feats).select(key, "label", "features")
-    from synthaudit.functions.parallel import run_parallel
-
-    # the six forests are independent: fit them concurrently
-    fits = {"tstr": lambda: _forest(seed, trees, depth).fit(sv)}
-    for f in range(N_FOLDS):
-        fits[f] = (lambda f=f: _forest(seed, trees, depth).fit(rv.where(F.col("fold") != f)))
-    models = run_parallel(fits)
-    tstr_pred = models["tstr"].transform(rv)
-    trtr_pred = None
-    for f in range(N_FOLDS):
-        p = models[f].transform(rv.where(F.col("fold") == f))
-        trtr_pred = p if trtr_pred is None else trtr_pred.unionByName(p)
-    return fold_accuracy(tstr_pred), fold_accuracy(trtr_pred)
-
-
-def tstr(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = 100,
-         depth: int = MAX_DEPTH):
-    """M2: (tstr_score, tstr_baseline, tstr_gap); −1 each on failure."""
+def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = N_TREES,
+                depth: int | None = None):
+    """Return (tstr per-fold accuracy, trtr per-fold accuracy) DataFrames.
+    ``depth`` limits the trees; None grows them fully."""
+    nums, cats = feature_kinds(real, (key, target))
+    classes, levels = label_classes(real, target), category_levels(real, cats)
+    absent = {c: F.lit(None).cast(real.schema[c].dataType) for c in (*nums, *cats) if c not in syn.columns}
+
+    def rows(df: DataFrame, carry: list[str]) -> DataFrame:
+        # numbered names inside: a column of the table may be called anything
+        named = df.select(quoted(key).alias("id"), *[quoted(c).alias(f"f{j}") for j, c in enumerate((*nums, *cats))],
+                          quoted(target).alias("target"))
+        named = classes.encode(named, "target")
+        if "fold" in carry:
+            named = stratified_folds(named, "id", "label", seed)
+        own = [f"f{j}" for j in range(len(nums) + len(cats))]
+        levels_here = type(levels)(levels.table, own[len(nums):], levels.sizes)
+        return levels_here.encode(named, own[:len(nums)], carry)
+
+    r = cut_lineage(rows(real, ["id", "label", "fold"]))
+    s = rows(syn.withColumns(absent) if absent else syn, ["id", "label"])
+    forests = F.sequence(F.lit(0).cast("long"), F.lit(N_FOLDS - 1).cast("long"))
+    columns = ["forest", "id", "numbers", "levels", "label"]
+    trtr = r.withColumn("forest", F.explode(F.filter(forests, lambda f: f != F.col("fold"))))
+    train = trtr.select(columns).unionByName(s.withColumn("forest", F.lit(N_FOLDS).cast("long")).select(columns))
+    test = r.withColumn("forest", F.explode(F.array(F.col("fold").cast("long"), F.lit(N_FOLDS).cast("long"))))
+    votes = forest_votes(train, test, len(nums), len(cats), levels.dummies, trees, seed, depth)
+    # a row without a vote (no tree saw a row) takes the first class
+    pred = test.select("forest", "id", "fold", "label").join(predicted(votes), ["forest", "id"], "left")
+    pred = cut_lineage(pred.withColumn("prediction", F.coalesce(F.col("prediction"), F.lit(0)).cast("double")))
+    return (fold_accuracy(pred.where(F.col("forest") == N_FOLDS)), fold_accuracy(pred.where(F.col("forest") < N_FOLDS)))
+
+
+@dataclass
+class TstrResult:
+    score: float = -1.0
+    baseline: float = -1.0
+    gap: float = -1.0
+    reason: str = ""           # why it could not run
+
+
+def tstr(real: DataFrame, syn: DataFrame, target: str, key: str, seed: int = 42, trees: int = N_TREES,
+         depth: int | None = None) -> TstrResult:
+    """M2: score, baseline and gap; −1 each, with the reason, on any failure."""
     try:
         a, b = tstr_frames(real, syn, target, key, seed, trees, depth)
-        ta = a.agg(F.avg("accuracy")).first()[0]
-        tb = b.agg(F.avg("accuracy")).first()[0]
-        return float(ta), float(tb), max(0.0, float(tb) - float(ta))
-    except (ValueError, KeyError) as exc:  # unsuitable target
-        _ = exc
-        return -1.0, -1.0, -1.0
+        ta = float(a.agg(F.avg("accuracy")).first()[0])
+        tb = float(b.agg(F.avg("accuracy")).first()[0])
+        return TstrResult(ta, tb, max(0.0, tb - ta))
+    except Exception as exc:  # noqa: BLE001 - whatever stops it, the other measurements stand
+        return TstrResult(reason=f"TSTR failed: {str(exc).splitlines()[0] if str(exc) else type(exc).__name__}")

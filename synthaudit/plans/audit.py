@@ -29,7 +29,7 @@ from synthaudit.operators import linkability as lk
 from synthaudit.operators import singling_out as so
 from synthaudit.operators import stats
 from synthaudit.operators.results import failed_result
-from synthaudit.operators.utility import evaluate
+from synthaudit.operators.utility import UtilityResult, evaluate
 
 RECORD_SCHEMA = (
     "model string, singling_out_risk double, singling_out_ci string, linkability_risk double, "
@@ -158,26 +158,29 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
     pt, ut, w = cfg.privacy_thresholds, cfg.utility_thresholds, cfg.score_weights
     tr, tc = real.targets(cfg.n_attacks)
 
-    def cmla_score():
-        try:
-            return cm.score(real.cmla_reference(), syn, key)
-        except Exception as exc:  # noqa: BLE001 - the other attacks keep their results
-            return failed_result("CMLA", str(exc))
+    no_table = []                   # the error of a utility part that could not read the table
 
-    def kept(name, attack):
+    def kept(name, measure, otherwise=failed_result):
         try:
-            return attack()
-        except Exception as exc:  # noqa: BLE001 - as above
-            return failed_result(name, str(exc))
+            return measure()
+        except Exception as exc:  # noqa: BLE001 - the other measurements keep their results
+            return otherwise(name, exc)
+
+    def no_utility(_name, exc):
+        no_table.append(exc)
+        return UtilityResult(None, 0.0, notes=f"utility failed: {(str(exc).splitlines() or [''])[0]}")
 
     res = run_parallel({
         "so": lambda: kept("SinglingOut", lambda: so.singling_out(real.train, syn, real.control, key, n_att,
                                                                   cfg.random_seed)),
         "lk": lambda: kept("Linkability", lambda: lk.link_risk(tr.head(n_att), tc.head(n_att), syn, key, real.half_a,
                                                                real.half_b)),
-        "cm": cmla_score,
-        "u": lambda: evaluate(real.train, syn, key, cfg.target_col, profile=real.profile, real_corr=real.corr),
+        "cm": lambda: kept("CMLA", lambda: cm.score(real.cmla_reference(), syn, key)),
+        "u": lambda: kept("utility", lambda: evaluate(real.train, syn, key, cfg.target_col, profile=real.profile,
+                                                      real_corr=real.corr), no_utility),
     })
+    if no_table and not any(r.n_attacks_run for r in res.values() if r is not res["u"]):
+        raise no_table[0]                       # nothing about this table could be measured
     so_r, lk_r, cm_r, u = res["so"], res["lk"], res["cm"], res["u"]
     so_r.with_threshold(pt["singling_out"])
     lk_r.with_threshold(pt["linkability"])
@@ -203,7 +206,7 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
         "overall_pass": bool(privacy_pass and utility_pass),
         "model_config": json.dumps(model_config or {}),
         "violation_breakdown": json.dumps(u.column_violation_breakdown),
-        "cmla_notes": cm_r.notes, "notes": f"{so_r.notes} ; {lk_r.notes}", "config_order": order,
+        "cmla_notes": cm_r.notes, "notes": " ; ".join(n for n in (so_r.notes, lk_r.notes, u.notes) if n), "config_order": order,
         "so_ci_lower": so_r.ci_lower, "so_ci_upper": so_r.ci_upper,
         "link_ci_lower": lk_r.ci_lower, "link_ci_upper": lk_r.ci_upper,
         "so_n": so_r.n_attacks_run, "so_s": so_r.n_success, "so_c": so_r.n_control_success,
@@ -211,6 +214,14 @@ def audit_pair(real: RealSide, syn: DataFrame, name: str = "given", model_config
     }
 
 
+def isolated_pair(real: RealSide, syn: DataFrame, name: str, config: dict | None = None, order: int = 0) -> dict:
+    """The record of :func:`audit_pair`, or a failed record if it cannot be made."""
+    try:
+        return audit_pair(real, syn, name, config, order)
+    except Exception as exc:  # noqa: BLE001 - per-model isolation, as the original tool
+        return failed_record(name, f"Evaluation failed: {exc}", config, order)
+
+
 def audit_generators(real: RealSide, makers: dict) -> DataFrame:
     """O1 pipelined: every generator is fitted, sampled and audited in its
     own driver thread while the shared real-side parts are computed; a
@@ -224,10 +235,7 @@ def audit_generators(real: RealSide, makers: dict) -> DataFrame:
             return failed_record(name, f"Generator failed: {exc}", {}, i)
         if c.error is not None or c.syn is None:
             return failed_record(c.name, c.error or "no synthetic table", c.config, i)
-        try:
-            return audit_pair(real, c.syn, c.name, c.config, i)
-        except Exception as exc:  # noqa: BLE001 - per-model isolation
-            return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
+        return isolated_pair(real, c.syn, c.name, c.config, i)
 
     tasks = {i: (lambda i=i, name=name, make=make: one(i, name, make)) for i, (name, make) in enumerate(makers.items())}
     out = run_parallel(tasks)   # records are plain values now; callers may release the inputs
@@ -251,10 +259,7 @@ def audit(train: DataFrame, control: DataFrame, candidates: list[Candidate], key
     def one(i, c):
         if c.error is not None or c.syn is None:
             return failed_record(c.name, c.error or "no synthetic table", c.config, i)
-        try:
-            return audit_pair(real, c.syn, c.name, c.config, i)
-        except Exception as exc:  # noqa: BLE001 - per-model isolation, as the original tool
-            return failed_record(c.name, f"Evaluation failed: {exc}", c.config, i)
+        return isolated_pair(real, c.syn, c.name, c.config, i)
 
     out = run_parallel({i: (lambda i=i, c=c: one(i, c)) for i, c in enumerate(candidates)}, 2)
     if real_side is None:

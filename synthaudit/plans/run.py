@@ -102,8 +102,9 @@ def audit_table(spark: SparkSession, real, syn, key: str, cfg: AuditConfig | Non
     capped = sample_n(real_df, key, cfg.max_rows, cfg.random_seed)
     train, control = train_control_split(capped, key, cfg.train_ratio, cfg.random_seed)
     side = au.RealSide(train, control, key, cfg, cluster_labels).start()
-    record = au.audit_pair(side, syn_df, name, {}, 0)
-    records = au.records_frame(spark, [record]).cache()
-    records.count()
-    side.release()
+    try:
+        record = au.isolated_pair(side, syn_df, name, {}, 0)
+    finally:
+        side.release()
+    records = au.records_frame(spark, [record])         # a local table of one row
     return {"record": record, "records": records, "report": au.rank_models(records)}
