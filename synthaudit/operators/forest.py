@@ -36,6 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from synthaudit.functions.shipping import ship_package
 from synthaudit.session import cut_lineage
@@ -44,6 +46,7 @@ GROUP_ROWS = 200_000
 ROWS_AT_ONCE = 200_000_000
 TOP_LEAVES = 1000              # also the base in which node numbers are written
 ROUNDS = 6
+VOTES_AT_ONCE = 100_000        # votes of a batch sent back by a task
 
 
 # ------------------------------------------------------------------ growing
@@ -115,10 +118,11 @@ def _since(total: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 class _Level:
     """The impure nodes of one level with their rows: ``q`` is the node of a
-    row, ``own`` the weight of the row's class in its node."""
+    row, ``r`` its number in ``x``, ``rank`` and ``g`` (one array a column),
+    ``own`` the weight of the row's class in its node."""
 
-    def __init__(self, q, x, rank, values, g, y, w, classes, dummies, weight, squares, own):
-        self.q, self.x, self.rank, self.values, self.g, self.y, self.w = q, x, rank, values, g, y, w
+    def __init__(self, q, r, x, rank, values, g, y, w, classes, dummies, weight, squares, own):
+        self.q, self.r, self.x, self.rank, self.values, self.g, self.y, self.w = q, r, x, rank, values, g, y, w
         self.classes, self.dummies = classes, dummies
         self.weight, self.squares, self.own = weight, squares, own      # weight and squared class weights of nodes
 
@@ -138,12 +142,12 @@ class _Level:
             rows = np.flatnonzero(chosen(nodes, np.full(n, f))[self.q])
             if len(rows):
                 self._number(best, f, rows)
-        for j in range(self.g.shape[1]):
+        for j in range(len(self.g)):
             self._dummies(best, j, chosen)
         return best
 
     def _number(self, best, f, rows):
-        key = self.q[rows] * np.int64(len(self.values[f])) + self.rank[rows, f]
+        key = self.q[rows] * np.int64(len(self.values[f])) + self.rank[f][self.r[rows]]
         order = np.argsort(key)
         rows, key = rows[order], key[order]
         q, y, w = self.q[rows], self.y[rows], self.w[rows]
@@ -166,20 +170,21 @@ class _Level:
         top = np.maximum.reduceat(score, start)
         at = np.flatnonzero(score >= np.repeat(top, np.diff(np.append(start, len(cut)))))
         at = at[_begins(qc[at])]
-        low, high = self.x[rows[cut[at]], f], self.x[rows[cut[at] + 1], f]
+        low, high = self.x[self.r[rows[cut[at]]], f], self.x[self.r[rows[cut[at] + 1]], f]
         with np.errstate(invalid="ignore", over="ignore"):
             middle = (low + high) / 2
         self._offer(best, qc[at], score[at], f, np.where((middle >= low) & (middle < high), middle, low))
 
     def _dummies(self, best, j, chosen):
-        rows = np.flatnonzero(self.g[:, j] > 0)
+        level = self.g[j][self.r]
+        rows = np.flatnonzero(level > 0)
         if not len(rows):
             return
-        q, d = self.q[rows], self.g[rows, j].astype(np.int64)
+        q, d = self.q[rows], level[rows]
         rows = rows[chosen(q, self.x.shape[1] + d - 1)]
         if not len(rows):
             return
-        group = self.q[rows] * np.int64(self.dummies + 1) + self.g[rows, j]
+        group = self.q[rows] * np.int64(self.dummies + 1) + level[rows]
         key = group * self.classes + self.y[rows]
         order = np.argsort(key)
         rows, group, key = rows[order], group[order], key[order]
@@ -188,7 +193,7 @@ class _Level:
         group, own, rows = group[start], self.own[rows[start]], rows[start]
         start = np.flatnonzero(_begins(group))
         w1, s1, t1 = (np.add.reduceat(v, start) for v in (c, c * c, c * own))
-        q, d = self.q[rows[start]], self.g[rows[start], j].astype(np.int64)
+        q, d = self.q[rows[start]], level[rows[start]]
         w0 = self.weight[q] - w1
         ok = w0 > 1e-9
         q, d, w0, w1, s1, t1 = (v[ok] for v in (q, d, w0, w1, s1, t1))
@@ -221,19 +226,20 @@ class _Level:
         q = self.q[rows]
         start = np.flatnonzero(_begins(q))
         for f in range(self.x.shape[1]):
-            r = self.rank[rows, f]
+            r = self.rank[f][self.r[rows]]
             several = np.minimum.reduceat(r, start) < np.maximum.reduceat(r, start)
             if several.any():
                 offer(q[start][several], np.full(int(several.sum()), f))
-        for j in range(self.g.shape[1]):
-            here = rows[self.g[rows, j] > 0]
+        for j in range(len(self.g)):
+            level = self.g[j][self.r[rows]]
+            here = rows[level > 0]
             if len(here):
-                key, first = np.unique(self.q[here] * np.int64(self.dummies + 1) + self.g[here, j], return_index=True)
-                w1 = np.bincount(np.searchsorted(key, self.q[here] * np.int64(self.dummies + 1) + self.g[here, j]),
-                                 self.w[here])
-                ok = self.weight[self.q[here[first]]] - w1 > 1e-9
+                key, first, which = np.unique(self.q[here] * np.int64(self.dummies + 1) + level[level > 0],
+                                              return_index=True, return_inverse=True)
+                node, level = self.q[here[first]], level[level > 0][first]
+                ok = self.weight[node] - np.bincount(which, self.w[here]) > 1e-9
                 if ok.any():
-                    offer(self.q[here[first[ok]]], self.x.shape[1] + self.g[here[first[ok]], j].astype(np.int64) - 1)
+                    offer(node[ok], self.x.shape[1] + level[ok] - 1)
         return found
 
 
@@ -245,8 +251,8 @@ def grow(x: np.ndarray, g: np.ndarray, y: np.ndarray, w: np.ndarray, dummies: in
     n, p = len(y), x.shape[1] + dummies
     draws = max(1, int(np.sqrt(p)))
     values = [np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])]
-    rank = np.stack([v[1] for v in values], axis=1).astype(np.int64) if values else np.zeros((n, 0), np.int64)
-    values = [v[0] for v in values]
+    rank, values = [v[1] for v in values], [v[0] for v in values]
+    columns = [g[:, j].astype(np.int64) for j in range(g.shape[1])]
     labels, y = np.unique(y, return_inverse=True)
     w = w.astype(np.float64)
     feature, threshold, left, right = [[np.full(1, k)] for k in (-1, 0.0, -1, -1)]
@@ -273,7 +279,7 @@ def grow(x: np.ndarray, g: np.ndarray, y: np.ndarray, w: np.ndarray, dummies: in
             number = np.cumsum(grows) - 1
             keep = grows[q]
             r = rows[keep]
-            here = _Level(number[q[keep]], x[r], rank[r], values, g[r], y[r], w[r], len(labels), dummies,
+            here = _Level(number[q[keep]], r, x, rank, values, columns, y[r], w[r], len(labels), dummies,
                           weight[grows], squares[grows], own[keep])
             ways = path[grows]
             if p <= 512:
@@ -317,165 +323,219 @@ def grow(x: np.ndarray, g: np.ndarray, y: np.ndarray, w: np.ndarray, dummies: in
     return Tree(*[np.concatenate(v) if v else np.zeros(0) for v in (feature, threshold, left, right, leaf, label, share)])
 
 
-# ------------------------------------------------------------------ Arrow
-def _matrix(column, kind, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+# ------------------------------------------------------------------ tasks
+def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), width)
 
 
+#: cumulative probabilities of a Poisson variable of mean 1
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 13.0)])))
+
+
+def _mixed(h: np.ndarray, *numbers: int) -> np.ndarray:
+    """A draw in [0, 1) for each row hash and the numbers."""
+    with np.errstate(over="ignore"):
+        state = np.uint64(0)
+        for k in numbers:
+            state = (state ^ np.uint64(k)) * _K1 + _K2
+        return _uniform(h.astype(np.uint64) ^ state, np.full(1, numbers[-1] & 0xFFFF))
+
+
+def _deal(batches: Iterator[pa.RecordBatch], trees: range, seed: int, tops, keep: dict | None, a: int, b: int,
+          schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Packed blocks of rows for each (forest, tree, node).  Training rows
+    (with a label) are drawn with bootstrap weights; ``keep`` restricts them
+    to some groups and a share of their rows."""
+    tops = {k: Tree.unpack(v) for k, v in tops.value.items()} if tops is not None else {}
+    training = "y" in schema.names
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h").to_numpy()
+        x, g = _matrix(batch.column("numbers"), np.float64, a), _matrix(batch.column("levels"), np.int32, b)
+        y = batch.column("label").to_numpy().astype(np.int32) if training else None
+        each = batch.column("forests")
+        member = each.flatten().to_numpy()
+        parent = np.repeat(np.arange(len(h)), each.value_lengths().to_numpy())
+        for forest in np.unique(member).tolist():
+            mine, blocks = parent[member == forest], []
+            for tree in trees:
+                rows = mine
+                if training:
+                    weight = np.searchsorted(_POISSON, _mixed(h[rows], seed, forest, tree), "right")
+                    rows, weight = rows[weight > 0], weight[weight > 0]
+                node = np.zeros(len(rows), np.int64)
+                moved = np.ones(len(rows), bool)
+                while moved.any():
+                    at, moved = np.flatnonzero(moved), np.zeros(len(rows), bool)
+                    for k in np.unique(node[at]).tolist():
+                        top = tops.get((forest, tree, k))
+                        if top is not None:
+                            r = at[node[at] == k]
+                            ends = np.flatnonzero(top.feature < 0)
+                            node[r] = k * TOP_LEAVES + 1 + np.searchsorted(ends, top.leaves(x[rows[r]], g[rows[r]]))
+                            moved[r] = True
+                order = np.argsort(node, kind="stable")
+                start = np.flatnonzero(_begins(node[order])) if len(order) else np.zeros(0, np.int64)
+                for i, j in zip(start, np.append(start[1:], len(order))):
+                    own, k = order[i:j], int(node[order[i]])
+                    if keep is not None:
+                        share = keep.get((forest, tree, k), 0.0)
+                        own = own[_mixed(h[rows[own]], seed + 1, forest, tree, k) < share]
+                    if len(own):
+                        r = rows[own]
+                        block = {"forest": forest, "tree": tree, "node": k, "n": len(r), "h": h[r].tobytes(),
+                                 "x": x[r].tobytes(), "g": g[r].tobytes()}
+                        if training:
+                            block |= {"y": y[r].tobytes(), "w": weight[own].astype(np.uint8).tobytes(),
+                                      "least": int(y[r].min()), "most": int(y[r].max())}
+                        else:
+                            block["ids"] = r
+                        blocks.append(block)
+            if blocks:
+                columns = [pa.array([v[f.name] for v in blocks], f.type) for f in schema if f.name != "ids"]
+                if not training:
+                    size = np.cumsum([0] + [len(v["ids"]) for v in blocks])
+                    ids = batch.column("id").take(pa.array(np.concatenate([v["ids"] for v in blocks])))
+                    columns.append(pa.ListArray.from_arrays(pa.array(size, pa.int32()), ids).cast(schema.field("ids").type))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _joined(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), kind)
+
+
+_TREE = "forest long, tree long, node long, widest long, " + ", ".join(f"{name} binary" for name, _ in Tree.FIELDS)
+
+
+def _tree_row(forest: int, tree: int, node: int, grown: Tree) -> pa.Table:
+    widest = int(np.bincount(grown.leaf).max())             # classes in a leaf, at most
+    row = {"forest": forest, "tree": tree, "node": node, "widest": widest} | grown.pack()
+    return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
+
+
 def _grow_group(key: tuple, table: pa.Table, a: int, b: int, dummies: int, seed: int, depth, stop, most) -> pa.Table:
     forest, tree, node = (k.as_py() for k in key)
-    order = np.argsort(table.column("draw").to_numpy(), kind="stable")       # whatever order the shuffle left
-    x, g = _matrix(table.column("numbers"), np.float64, a)[order], _matrix(table.column("levels"), np.int64, b)[order]
-    y, w = table.column("label").to_numpy()[order].astype(np.int64), table.column("weight").to_numpy()[order]
+    h, y, w = (_joined(table.column(c), k) for c, k in (("h", np.int64), ("y", np.int32), ("w", np.uint8)))
+    order = np.argsort(h, kind="stable")                   # whatever order the shuffle left
+    x = _joined(table.column("x"), np.float64).reshape(len(h), a)[order]
+    g = _joined(table.column("g"), np.int32).reshape(len(h), b)[order]
     start = ((seed * 1_000_003 + forest) * 1_000_003 + tree) * 1_000_003 + node
-    grown = grow(x, g, y, w, dummies, start, depth, stop, most)
-    row = {"forest": forest, "tree": tree, "node": node} | grown.pack()
-    return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
+    return _tree_row(forest, tree, node, grow(x, g, y[order].astype(np.int64), w[order], dummies, start, depth, stop, most))
+
 
+def _leaf_group(key: tuple, table: pa.Table) -> pa.Table:
+    """A one-leaf tree from the class weights of a (tree, node)."""
+    w, label = table.column("weight").to_numpy().astype(np.float64), table.column("label").to_numpy()
+    order = np.argsort(label)
+    return _tree_row(*(k.as_py() for k in key), Tree(*[np.array([v]) for v in (-1, 0.0, -1, -1)],
+                                                     np.zeros(len(w), np.int64), label[order], w[order] / w.sum()))
 
-_TREE = "forest long, tree long, node long, " + ", ".join(f"{name} binary" for name, _ in Tree.FIELDS)
+
+def _class_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            y, w = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("y", np.int32), ("w", np.uint8)))
+            total = np.bincount(y, w)
+            at = np.flatnonzero(total)
+            key = [pa.array(np.full(len(at), batch.column(c)[i].as_py())) for c in ("forest", "tree", "node")]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(at), pa.array(total[at].astype(np.int64))],
+                                             names=["forest", "tree", "node", "label", "weight"])
 
 
 def _vote(left: pa.Table, right: pa.Table, a: int, b: int) -> pa.Table:
+    """The class shares of the leaf of each row; one row each for leaves of one class."""
+    ids = left.column("ids").combine_chunks().flatten()
     if not right.num_rows or not left.num_rows:
-        keys = left.column("id").slice(0, 0)
-        return pa.table({"forest": pa.array([], pa.int64()), "id": keys, "label": pa.array([], pa.int64()),
+        return pa.table({"forest": pa.array([], pa.int64()), "id": ids.slice(0, 0), "label": pa.array([], pa.int64()),
                          "share": pa.array([], pa.float64())})
     tree = Tree.unpack({name: right.column(name)[0].as_py() for name, _ in Tree.FIELDS})
-    at = tree.leaves(_matrix(left.column("numbers"), np.float64, a), _matrix(left.column("levels"), np.int64, b))
+    at = tree.leaves(_joined(left.column("x"), np.float64).reshape(len(ids), a),
+                     _joined(left.column("g"), np.int32).reshape(len(ids), b))
     lo, hi = np.searchsorted(tree.leaf, at, "left"), np.searchsorted(tree.leaf, at, "right")
     row = np.repeat(np.arange(len(at)), hi - lo)
-    entry = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-    return pa.table({"forest": pa.array(np.full(len(row), right.column("forest")[0].as_py())),
-                     "id": left.column("id").combine_chunks().take(pa.array(row)),
-                     "label": pa.array(tree.label[entry].astype(np.int64)), "share": pa.array(tree.share[entry])})
-
-
-def _route(batches: Iterator[pa.RecordBatch], tops, a: int, b: int) -> Iterator[pa.RecordBatch]:
-    trees = {k: Tree.unpack(v) for k, v in tops.value.items()}
-    for batch in batches:
-        node = batch.column("node").to_numpy().copy()
-        x, g = _matrix(batch.column("numbers"), np.float64, a), _matrix(batch.column("levels"), np.int64, b)
-        key = np.stack([batch.column("forest").to_numpy(), batch.column("tree").to_numpy(), node], axis=1)
-        todo = np.arange(len(node))
-        while len(todo):
-            kinds, which = np.unique(key[todo], axis=0, return_inverse=True)
-            on = []
-            for k, kind in enumerate(kinds.tolist()):
-                if tuple(kind) in trees:
-                    tree, rows = trees[tuple(kind)], todo[which.reshape(-1) == k]
-                    ends = np.flatnonzero(tree.feature < 0)
-                    key[rows, 2] = key[rows, 2] * TOP_LEAVES + 1 + np.searchsorted(ends, tree.leaves(x[rows], g[rows]))
-                    on.append(rows)
-            todo = np.concatenate(on) if on else np.zeros(0, np.int64)
-        yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(key[:, 2]))
+    entry = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo) - lo, hi - lo)
+    votes = pa.table({"forest": pa.array(np.full(len(row), right.column("forest")[0].as_py())), "id": ids.take(pa.array(row)),
+                      "label": pa.array(tree.label[entry].astype(np.int64)), "share": pa.array(tree.share[entry])})
+    return pa.Table.from_batches(votes.to_batches(max_chunksize=VOTES_AT_ONCE), votes.schema)
 
 
 # ------------------------------------------------------------------ forests
-def _weighted(rows: DataFrame, tree, seed: int) -> DataFrame:
-    """Bootstrap rows of each tree: Poisson weights by a hash of row and tree."""
-    draw = F.xxhash64(F.lit(seed), "forest", "tree", "id")
-    u = F.shiftrightunsigned(draw, 11) / float(1 << 53)
-    # P(at most k) of a Poisson variable of mean 1
-    steps, p, upto = [], np.exp(-1.0), 0.0
-    for k in range(1, 13):
-        upto += p
-        steps.append((u >= float(upto)).cast("int"))
-        p /= k
-    weight = steps[0]
-    for s in steps[1:]:
-        weight = weight + s
-    return (rows.withColumn("tree", F.explode(tree)).withColumn("draw", draw)
-            .withColumn("weight", weight).where("weight > 0"))
-
-
-def _as_leaves(rows: DataFrame) -> DataFrame:
-    """One-leaf trees of whole (tree, node) groups, from their class weights alone."""
-    by = ["forest", "tree", "node"]
-    shares = rows.groupBy(*by, "label").agg(F.sum("weight").alias("weight"))
-
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        w = table.column("weight").to_numpy().astype(np.float64)
-        label = table.column("label").to_numpy()
-        tree = Tree(*[np.array([v]) for v in (-1, 0.0, -1, -1)], np.zeros(len(w)), label, w / w.sum())
-        row = dict(zip(by, (k.as_py() for k in key))) | tree.pack()
-        return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
-
-    return shares.groupBy(*by).applyInArrow(one, _TREE)
+_BLOCK = "forest long, tree long, node long, n long, h binary, x binary, g binary"
 
 
 def forest_votes(train: DataFrame, test: DataFrame, numbers: int, text_columns: int, dummies: int, trees: int = 100,
                  seed: int = 42, depth: int | None = None, group_rows: int = GROUP_ROWS,
                  rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Summed votes (``forest, id, label, share``) of forests grown on
-    ``train`` (``forest, id, numbers, levels, label``) for the rows of
-    ``test`` (``forest, id, numbers, levels``).  ``depth`` None: fully grown."""
+    ``train`` (``forests, id, numbers, levels, label``) for the rows of
+    ``test`` (``forests, id, numbers, levels``); ``forests`` lists the
+    forests that a row takes part in.  ``depth`` None: fully grown."""
     spark = train.sparkSession
     ship_package(spark)
-    a, b = numbers, text_columns
-    columns = ["forest", "id", "numbers", "levels"]
-    train = train.select(*columns, F.col("label").cast("long").alias("label"))
+    a, b, by = numbers, text_columns, ["forest", "tree", "node"]
+    kind = test.schema["id"].dataType.simpleString()
+    columns = ["forests", "id", F.xxhash64("id").alias("h"), "numbers", "levels"]
+    train = train.select(*columns, F.col("label").cast("int").alias("label"))
+    test = test.select(*columns)
     n = max(1, train.count() + test.count())
     batch = max(1, min(trees, rows_at_once // n))
-    kind = test.schema["id"].dataType.simpleString()
     parts = []
     for first in range(0, trees, batch):
-        numbers_of = F.sequence(F.lit(first).cast("long"), F.lit(min(trees, first + batch) - 1).cast("long"))
-        own = _weighted(train, numbers_of, seed).withColumn("node", F.lit(0).cast("long"))
-        asked = test.select(*columns, F.explode(numbers_of).alias("tree")).withColumn("node", F.lit(0).cast("long"))
-        tops: dict = {}
-        by = ["forest", "tree", "node"]
-
-        def routed(rows: DataFrame) -> DataFrame:
-            if not tops:
-                return rows
-            shared = spark.sparkContext.broadcast(dict(tops))
-            return rows.mapInArrow(lambda it: _route(it, shared, a, b), rows.schema)
+        part, tops = range(first, min(trees, first + batch)), {}
 
+        def dealt(rows: DataFrame, extra: str, keep: dict | None = None) -> DataFrame:
+            shared = spark.sparkContext.broadcast(dict(tops)) if tops else None
+            schema = T.StructType.fromDDL(f"{_BLOCK}, {extra}")
+            arrow = to_arrow_schema(schema)
+            return rows.mapInArrow(lambda it: _deal(it, part, seed, shared, keep, a, b, arrow), schema)
+
+        own = "y binary, w binary, least long, most long"
         settled: set = set()                     # oversized nodes that become leaves
         for k in range(ROUNDS + 1 if n > group_rows else 0):
-            big = (routed(own).groupBy(by).agg(F.count("*").alias("n"), (F.min("label") == F.max("label")).alias("pure"))
+            big = (dealt(train, own).groupBy(by).agg(F.sum("n").alias("n"), (F.min("least") == F.max("most")).alias("pure"))
                    .where(F.col("n") > group_rows).collect())          # at most rows * trees / group_rows
             settled |= {tuple(r)[:3] for r in big if r["pure"] or k == ROUNDS}
-            big = [tuple(r)[:4] for r in big if tuple(r)[:3] not in settled]
-            if not big:
+            share = {tuple(r)[:3]: group_rows / r["n"] for r in big if tuple(r)[:3] not in settled}
+            if not share:
                 break
-            sizes = F.broadcast(spark.createDataFrame(big, "forest long, tree long, node long, n long"))
-            part = F.pmod(F.xxhash64(F.lit(seed + k), "draw"), F.lit(1 << 30)) / float(1 << 30)
-            sample = routed(own).join(sizes, by).where(part < group_rows / F.col("n")).drop("n")
-            found = sample.groupBy(by).applyInArrow(
+            found = dealt(train, own, share).groupBy(by).applyInArrow(
                 lambda k, t: _grow_group(k, t, a, b, dummies, seed, None, max(1, group_rows // 64), TOP_LEAVES // 2), _TREE)
             got = {tuple(r)[:3]: {k: bytes(r[k]) for k, _ in Tree.FIELDS} for r in found.collect()}
             split = {k: v for k, v in got.items() if len(v["feature"]) > 4}
-            settled |= {r[:3] for r in big} - set(split)
+            settled |= set(share) - set(split)
             tops |= split                        # at most TOP_LEAVES leaves for each oversized node
-        rest, leaves = routed(own), None
+        rest, leaves = dealt(train, own), None
         if settled:
             which = F.broadcast(spark.createDataFrame(sorted(settled), "forest long, tree long, node long"))
-            leaves = _as_leaves(rest.join(which, by, "left_semi"))
+            weights = rest.join(which, by, "left_semi").mapInArrow(
+                _class_weights, "forest long, tree long, node long, label long, weight long")
+            leaves = (weights.groupBy(*by, "label").agg(F.sum("weight").alias("weight"))
+                      .groupBy(by).applyInArrow(_leaf_group, _TREE))
             rest = rest.join(which, by, "left_anti")
         grown = rest.groupBy(by).applyInArrow(lambda k, t: _grow_group(k, t, a, b, dummies, seed, depth, 0, None), _TREE)
         grown = cut_lineage(grown if leaves is None else grown.unionByName(leaves))
-        asked = routed(asked)
+
+        asked = dealt(test, f"ids array<{kind}>")
         chunk = F.lit(0).cast("long")
-        if n > group_rows:
-            sizes = asked.groupBy(by).count().where(F.col("count") > group_rows).collect()
-            if sizes:
-                many = spark.createDataFrame([(*tuple(r)[:3], -(-r["count"] * 2 // group_rows)) for r in sizes],
-                                             "forest long, tree long, node long, chunks long")
-                asked = asked.join(F.broadcast(many), by, "left")
-                grown = grown.join(F.broadcast(many), by, "left")
-                chunks = F.coalesce("chunks", F.lit(1).cast("long"))
-                grown = grown.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("chunks")
-                chunk = F.pmod(F.xxhash64("id"), chunks)
-        asked = asked.withColumn("chunk", chunk)
-        if "chunks" in asked.columns:
-            asked = asked.drop("chunks")
-        if "chunk" not in grown.columns:
-            grown = grown.withColumn("chunk", F.lit(0).cast("long"))
-        by = [*by, "chunk"]
-        votes = (asked.groupBy(by).cogroup(grown.groupBy(by))
+        # groups of too many rows, or of too many votes, meet their tree in chunks
+        votes_each = grown.agg(F.coalesce(F.max("widest"), F.lit(1))).first()[0]
+        many = []
+        if n * max(1, votes_each // 8) > group_rows:
+            load = F.col("n") * F.greatest(F.lit(1), F.floor(F.col("widest") / 8))
+            many = (asked.groupBy(by).agg(F.sum("n").alias("n")).join(grown.select(*by, "widest"), by)
+                    .select(*by, load.alias("n")).where(F.col("n") > group_rows).collect())
+        if many:
+            many = F.broadcast(spark.createDataFrame([(*tuple(r)[:3], -(-2 * r["n"] // group_rows)) for r in many],
+                                                     "forest long, tree long, node long, chunks long"))
+            chunks = F.coalesce("chunks", F.lit(1).cast("long"))
+            asked, grown = asked.join(many, by, "left"), grown.join(many, by, "left")
+            grown = grown.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("chunks")
+            asked = asked.withColumn("chunk", F.pmod(F.xxhash64("h"), chunks)).drop("chunks")
+        else:
+            asked, grown = asked.withColumn("chunk", chunk), grown.withColumn("chunk", chunk)
+        pieces = [*by, "chunk"]
+        votes = (asked.groupBy(pieces).cogroup(grown.groupBy(pieces))
                  .applyInArrow(lambda x, y: _vote(x, y, a, b), f"forest long, id {kind}, label long, share double"))
         parts.append(cut_lineage(votes.groupBy("forest", "id", "label").agg(F.sum("share").alias("share"))))
     out = parts[0]
@@ -486,4 +546,4 @@ def forest_votes(train: DataFrame, test: DataFrame, numbers: int, text_columns:
 
 def predicted(votes: DataFrame) -> DataFrame:
     """The class with the most votes for each row, ties to the smaller code."""
-    return votes.groupBy("forest", "id").agg(F.max_by("label", F.struct("share", -F.col("label"))).alias("prediction"))
+    return votes.groupBy("forest", "id").agg(F.max_by("label", F.struct(F.round("share", 9), -F.col("label"))).alias("prediction"))

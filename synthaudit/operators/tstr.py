@@ -90,14 +90,15 @@ def tstr_frames(real: DataFrame, syn: DataFrame, target: str, key: str, seed: in
 
     r = cut_lineage(rows(real, ["id", "label", "fold"]))
     s = rows(syn.withColumns(absent) if absent else syn, ["id", "label"])
-    forests = F.sequence(F.lit(0).cast("long"), F.lit(N_FOLDS - 1).cast("long"))
-    columns = ["forest", "id", "numbers", "levels", "label"]
-    trtr = r.withColumn("forest", F.explode(F.filter(forests, lambda f: f != F.col("fold"))))
-    train = trtr.select(columns).unionByName(s.withColumn("forest", F.lit(N_FOLDS).cast("long")).select(columns))
-    test = r.withColumn("forest", F.explode(F.array(F.col("fold").cast("long"), F.lit(N_FOLDS).cast("long"))))
+    folds = F.sequence(F.lit(0).cast("long"), F.lit(N_FOLDS - 1).cast("long"))
+    columns = ["forests", "id", "numbers", "levels", "label"]
+    trtr = r.withColumn("forests", F.filter(folds, lambda f: f != F.col("fold")))
+    train = trtr.select(columns).unionByName(s.withColumn("forests", F.array(F.lit(N_FOLDS).cast("long"))).select(columns))
+    test = r.withColumn("forests", F.array(F.col("fold").cast("long"), F.lit(N_FOLDS).cast("long")))
     votes = forest_votes(train, test, len(nums), len(cats), levels.dummies, trees, seed, depth)
     # a row without a vote (no tree saw a row) takes the first class
-    pred = test.select("forest", "id", "fold", "label").join(predicted(votes), ["forest", "id"], "left")
+    asked = test.select(F.explode("forests").alias("forest"), "id", "fold", "label")
+    pred = asked.join(predicted(votes), ["forest", "id"], "left")
     pred = cut_lineage(pred.withColumn("prediction", F.coalesce(F.col("prediction"), F.lit(0)).cast("double")))
     return (fold_accuracy(pred.where(F.col("forest") == N_FOLDS)), fold_accuracy(pred.where(F.col("forest") < N_FOLDS)))
 
