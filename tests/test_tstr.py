@@ -143,9 +143,10 @@ def test_many_levels_and_classes(spark):
     rows = label_classes(real, "t").encode(levels.encode(real, ["x"], ["k", "t"]), "t")
     plan = rows._jdf.queryExecution().toString()
     assert "level-7" not in plan and "class-7" not in plan
-    a, b = ts.tstr_frames(real, real.where("k % 3 = 0"), "t", "k", trees=2, depth=12)
-    accuracy = [r.accuracy for r in a.collect()]        # leaves of depth 12 hold hundreds of classes
-    assert len(accuracy) == 5 and all(0 <= x <= 1 for x in accuracy) and b.count() == 5
+    rows = rows.select(F.col("k").alias("id"), "numbers", "levels", "label", F.array(F.lit(0).cast("long")).alias("forests"))
+    votes = forest_votes(rows, rows.where("id % 100 = 0"), 1, 1, levels.dummies, trees=2, depth=12)
+    total = votes.groupBy("id").agg(F.sum("share").alias("s"), F.max("label").alias("most")).collect()
+    assert len(total) == 1200 and all(r.s == pytest.approx(2) and r.most < 500 for r in total)
 
 
 # ------------------------------------------------------------------ failures
