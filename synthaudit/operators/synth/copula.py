@@ -1,10 +1,10 @@
 """Gaussian copula synthesizer.
 
-Fit (three Spark jobs, only p-sized results reach the driver):
+Fit (only p-sized results reach the driver):
 * numeric marginals: up to 1,001 quantile knots per column (at most about
   half the column's values, so interpolation never replays a real value
-  between tied knots) from one ``percentile_approx`` aggregate, plus the
-  NULL share;
+  between tied knots), exact (``values_at_ranks``: a few counting passes that
+  all columns share), plus the NULL share;
 * categorical marginals: ``groupBy(column, value).count()`` over the
   unpivoted categorical columns (NULL is a category); more values than
   ``MAX_CATEGORIES`` share codes by hash, and a sampled code draws one of them;
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from synthaudit.functions import normal
 from synthaudit.functions.columns import is_time_type, number_to_time, time_to_number
 from synthaudit.functions.uniform import hash_uniform
+from synthaudit.operators.ranks import knot_ranks, values_at_ranks
 from synthaudit.operators.synth.base import Synthesizer, register
 from synthaudit.operators.synth.spread import Spread, sample_ids, shared_code
 
@@ -80,15 +81,12 @@ class GaussianCopula(Synthesizer):
                      *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(self.nums)]).first()
         n = int(cnt["__n"])
         knots_n = {c: max(2, min(N_KNOTS, int(cnt[f"c{i}"]) // 2 + 1)) for i, c in enumerate(self.nums)}
-        aggs = []
-        for i, c in enumerate(self.nums):
-            x = F.col(c).cast("double")
-            probs = [j / (knots_n[c] - 1) for j in range(knots_n[c])]
-            aggs += [F.percentile_approx(x, probs, 100_000).alias(f"k{i}")]
-        r = df.agg(*aggs).first() if aggs else {}
+        some = [c for i, c in enumerate(self.nums) if cnt[f"c{i}"]]
+        size = {c: int(cnt[f"c{i}"]) for i, c in enumerate(self.nums)}
+        found = dict(zip(some, values_at_ranks(df, some, [knot_ranks(size[c], knots_n[c]) for c in some]))) if some else {}
         r_n = {f"z{i}": n - int(cnt[f"c{i}"]) for i in range(len(self.nums))}
         self.n_rows = n
-        self.knots = {c: np.array(r[f"k{i}"] or [0.0], dtype="float64") for i, c in enumerate(self.nums)}
+        self.knots = {c: found.get(c, np.zeros(1)) for c in self.nums}
         self.p_null = {c: r_n[f"z{i}"] / n if n else 0.0 for i, c in enumerate(self.nums)}
         self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
         self.cat_tables, self.spread = {}, {}

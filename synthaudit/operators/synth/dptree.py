@@ -203,8 +203,9 @@ class DPTree(Synthesizer):
         self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
         bins = int(cfg["bins"])
         eps = float(cfg["epsilon"])
-        undeclared = [c for c in self.nums if c not in self.bounds_declared]
-        bounds = dict(self.bounds_declared)
+        declared = {self.standin.get(c, c): b for c, b in self.bounds_declared.items()}
+        undeclared = [c for c in self.nums if c not in declared]
+        bounds = dict(declared)
         spent = 0.0
         if undeclared:
             spent = float(cfg["preprocessing_eps"])
