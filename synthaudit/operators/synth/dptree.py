@@ -6,31 +6,40 @@ model).  Fit:
   bounds; bounds not declared are estimated with the preprocessing budget
   from a noisy histogram over a fixed log-scale grid (data-independent);
   NULL is its own bin / category;
-* all 1- and 2-way counts in one Spark job: every row explodes into one
-  record per (column, column) pair and ``groupBy(pair, code_a, code_b)``
-  counts them (partial aggregation keeps the shuffle to distinct cells);
-* Laplace noise on every cell of the (bounded) domain, budget split 1/3
-  to 1-way, 2/3 to 2-way marginals (sequential composition);
+* text values are numbered per column.  With ``delta`` the set of values is
+  private, too: a value is released if its noisy count reaches a threshold
+  (at least ``min_count``) that a single row passes with probability at most
+  ``delta``; the others share the code ``OTHER``.  ``DOMAIN_SHARE`` of the
+  budget pays for it.  Without ``delta`` the values are read from the data,
+  as by the library the original tool calls, so epsilon covers counts only;
 * a text column with more than ``MAX_DOMAIN`` values is modelled on that
   many codes shared by hash; the shares of a code's values come from noisy
-  counts too (``VALUE_SHARE`` of the budget).  The set of values itself is
-  read from the data, so epsilon covers counts, not which values exist;
-* mutual information from the *noisy* tables, maximum spanning tree
-  (driver, p nodes), conditional tables along the tree.
-Sample: ``spark.range(n)`` + seeded hash uniforms → root-to-leaf draws by
-inverse CDF in ``mapInPandas`` (tables ≤ domain² per edge) → numeric value
-uniform inside its bin, integral columns rounded.
+  counts too (``VALUE_SHARE`` of the budget);
+* all 1- and 2-way counts in one pass (each task counts its cells), then
+  Laplace noise on every cell of the domain, also the empty ones, by a secret
+  seed and the cell, so a lost task computes it again alike; budget split 1/3
+  to 1-way, 2/3 to 2-way marginals (sequential composition).  The noisy cells
+  are a Spark table;
+* mutual information by aggregates over that table (p * p / 2 numbers reach
+  the driver), maximum spanning tree, and conditional shares along the tree as
+  a Spark table of intervals.
+Sample: ``spark.range(n)`` + seeded hash uniforms; the root and then each
+child is drawn by a join on (parent's code, cell of the uniform), numeric
+values are uniform inside their bin, integral columns rounded.
 
 Noise comes from OS entropy unless ``noise_seed`` is given (tests only).
 """
 
 from __future__ import annotations
 
+import math
 import secrets
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,20 +47,30 @@ from synthaudit.functions.columns import is_time_type, number_to_time, time_to_n
 from synthaudit.functions.uniform import hash_uniform
 from synthaudit.operators.synth.base import REGISTRY, Synthesizer, register
 from synthaudit.operators.synth.spread import Spread, sample_ids, shared_code
+from synthaudit.session import cut_lineage
 
 MAX_DOMAIN = 1_000          # codes per text column in the model; more values share them by hash
 NULL_CODE = "\u0000"        # code of NULL for categorical columns
+OTHER = "(other)"           # shared by text values that are not released
+DOMAIN_SHARE = 0.1          # part of the budget for choosing the released values, with ``delta``
+DENSE_CELLS = 1 << 16       # tables up to this size are counted densely in a task
+SMALL_TABLE = 250_000       # cells of a conditional table that is broadcast
+JOINS_A_STEP = 16           # draws between two written steps of a sample
 VALUE_SHARE = 0.1           # part of the budget for the value shares of shared codes, if there are any
 # Exponents of the log-scale grid used to estimate bounds.
 GRID_EXP = range(-3, 13)
 
 
-def numeric_code(c: str, lo: float, hi: float, bins: int):
+def numeric_bin(c: str, lo: float, hi: float, bins: int) -> Column:
     w = (hi - lo) / bins if hi > lo else 1.0
     x = F.col(c).cast("double")
     # clamped as a double: a value far beyond the bounds has no integer bin
     b = F.least(F.lit(bins - 1.0), F.greatest(F.lit(0.0), (x - F.lit(lo)) / F.lit(w))).cast("int")
-    return F.when(x.isNull(), F.lit(bins)).otherwise(b).cast("string")
+    return F.when(x.isNull(), F.lit(bins)).otherwise(b)
+
+
+def numeric_code(c: str, lo: float, hi: float, bins: int) -> Column:
+    return numeric_bin(c, lo, hi, bins).cast("string")
 
 
 def column_codes(df: DataFrame, nums: list[str], cats: list[str], bounds: dict, bins: int) -> DataFrame:
@@ -155,14 +174,65 @@ def max_spanning_tree(p: int, weight) -> list:
     return edges
 
 
+def laplace(secret: int, stream: str, scale, item: Column) -> Column:
+    """Laplace noise of an item, the same whenever it is computed."""
+    u = hash_uniform(secret, stream, item) - 0.5
+    return -F.signum(u) * F.log1p(-2.0 * F.least(F.abs(u), F.lit(0.5 - 1e-16))) * scale
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch], pairs: list, sizes: list) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, cell, n) of the non-empty cells; ``b`` -1 is the table of ``a`` alone."""
+    dense = {(a, b): np.zeros(sizes[a] * (sizes[b] if b >= 0 else 1), np.int64)
+             for a, b in pairs if sizes[a] * (sizes[b] if b >= 0 else 1) <= DENSE_CELLS}
+
+    def rows(a, b, cell, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)) for k in (a, b)]
+                                          + [pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))],
+                                          names=["a", "b", "cell", "n"])
+
+    for batch in batches:
+        codes = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        for a, b in pairs:
+            cell = codes[a] * sizes[b] + codes[b] if b >= 0 else codes[a]
+            if (a, b) in dense:
+                dense[a, b] += np.bincount(cell, minlength=len(dense[a, b]))
+            else:
+                yield rows(a, b, *np.unique(cell, return_counts=True))
+    for (a, b), n in dense.items():
+        cell = np.flatnonzero(n)
+        if len(cell):
+            yield rows(a, b, cell, n[cell])
+
+
+def _n_log_n(n: Column) -> Column:
+    return F.sum(F.when(n > 0, n * F.log(n)).otherwise(0.0))
+
+
+def table_information(cells: DataFrame, sizes: list) -> dict:
+    """Mutual information of every pair (a, b) from the cells of its table:
+    ``ln t + (sum n ln n - sum over rows - sum over columns) / t``."""
+    width = F.element_at(F.array(*[F.lit(k) for k in sizes]), F.col("b") + 1)
+    two = cells.where("b >= 0").withColumns({"ia": F.floor(F.col("cell") / width), "ib": F.col("cell") % width})
+    sums = {"all": two.groupBy("a", "b").agg(_n_log_n(F.col("n")).alias("s"), F.sum("n").alias("t"))}
+    for side in ("ia", "ib"):
+        sums[side] = (two.groupBy("a", "b", side).agg(F.sum("n").alias("n"))
+                      .groupBy("a", "b").agg(_n_log_n(F.col("n")).alias(side)))
+    got = sums["all"].join(sums["ia"], ["a", "b"]).join(sums["ib"], ["a", "b"]).collect()        # one row a pair
+    return {(r["a"], r["b"]): max(0.0, math.log(r["t"]) + (r["s"] - r["ia"] - r["ib"]) / r["t"]) if r["t"] > 0 else 0.0
+            for r in got}
+
+
 @register
 class DPTree(Synthesizer):
     name = "privbayes"
 
     def __init__(self, epsilon: float = 1.0, preprocessing_eps: float = 0.1, bins: int = 20,
-                 bounds: dict | None = None, noise_seed: int | None = None, **kw):
+                 bounds: dict | None = None, noise_seed: int | None = None, delta: float | None = None,
+                 min_count: float = 0.0, **kw):
         super().__init__(epsilon=epsilon, preprocessing_eps=preprocessing_eps, bins=bins, **kw)
-        self.bounds_declared = dict(bounds or {})
+        if delta is not None:
+            self.config["delta"] = delta
+        self.bounds_declared, self.delta, self.min_count = dict(bounds or {}), delta, min_count
         self.rng = np.random.default_rng(noise_seed if noise_seed is not None else secrets.randbits(128))
 
     def _dp_bounds(self, df: DataFrame, cols: list[str], eps: float) -> dict:
@@ -188,6 +258,9 @@ class DPTree(Synthesizer):
             out[c] = (ext[ok[0]], ext[ok[-1] + 1])
         return out
 
+    def _secret(self) -> int:
+        return int(self.rng.integers(2 ** 62))
+
     def _fit(self, df: DataFrame, key: str) -> None:
         cfg = self.config
         fields = [f for f in df.schema.fields if f.name != key]
@@ -201,147 +274,170 @@ class DPTree(Synthesizer):
         self.cats = [f.name for f in fields if f.name not in self.nums]
         self.cols = self.nums + self.cats
         self.integral = {f.name: isinstance(f.dataType, T.IntegralType) or f.name in self.times for f in fields}
-        bins = int(cfg["bins"])
-        eps = float(cfg["epsilon"])
+        bins, eps = int(cfg["bins"]), float(cfg["epsilon"])
         declared = {self.standin.get(c, c): b for c, b in self.bounds_declared.items()}
         undeclared = [c for c in self.nums if c not in declared]
-        bounds = dict(declared)
-        spent = 0.0
+        spent = {"preprocessing": 0.0, "values": 0.0, "marginals": 0.0}
+        self.bounds = dict(declared)
         if undeclared:
-            spent = float(cfg["preprocessing_eps"])
-            bounds.update(self._dp_bounds(df, undeclared, spent))
-        self.bounds = bounds
-        eps_m, eps_v = max(eps - spent, 1e-6), 0.0
+            spent["preprocessing"] = float(cfg["preprocessing_eps"])
+            self.bounds.update(self._dp_bounds(df, undeclared, spent["preprocessing"]))
+        left = max(eps - spent["preprocessing"], 1e-6)
+        if self.delta is not None and self.cats:
+            spent["domains"] = DOMAIN_SHARE * left
+            left -= spent["domains"]
+        texts = self._domains(df, spent, left)
+        left -= spent["values"]
+        spent["marginals"] = left
+        cfg["epsilon_spent"] = spent
+
+        sizes = self.sizes = [bins + 1] * len(self.nums) + [texts[c] for c in self.cats]
         p = len(self.cols)
-        codes = column_codes(df, self.nums, self.cats, bounds, bins)
-        # categorical domains: a column with more than MAX_DOMAIN values is
-        # modelled on MAX_DOMAIN codes that its values share by hash, so every
-        # table that reaches the driver is bounded; the values of a code and their
-        # shares stay a Spark table from which sampled codes draw their value
-        self.spread = {}
-        dom = {c: [str(i) for i in range(bins + 1)] for c in self.nums}
-        if self.cats:
-            arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in self.cats])
-            cnt = (codes.select(F.explode(arr).alias("e")).groupBy("e.c", "e.v")
-                   .agg(F.count(F.lit(1)).alias("n")).persist())
-            sizes = {r["c"]: r["count"] for r in cnt.groupBy("c").count().collect()}
-            small = [c for c in self.cats if sizes.get(c, 0) <= MAX_DOMAIN]
-            # NULL is a value of the columns that have it
-            for c in self.cats:
-                dom[c] = []
-            for r in cnt.where(F.col("c").isin(small) | (F.col("v") == NULL_CODE)).select("c", "v").collect():
-                dom[r["c"]].append(r["v"])
-            for c in small:
-                dom[c].sort()
-            wide = [c for c in self.cats if c not in small]
-            if wide:
-                eps_v = VALUE_SHARE * eps_m
-                eps_m -= eps_v
-            for c in wide:
-                # noise by a secret seed and the value: a lost task computes it again alike
-                u = hash_uniform(int(self.rng.integers(2 ** 62)), f"dptree-noise|{c}", F.col("v")) - 0.5
-                laplace = -F.signum(u) * F.log1p(-2.0 * F.least(F.abs(u), F.lit(0.5 - 1e-16))) * (len(wide) / eps_v)
-                # a published value keeps a positive share, whatever its noise
-                self.spread[c] = Spread(cnt.where((F.col("c") == c) & (F.col("v") != NULL_CODE)).select(
-                    "v", F.greatest(F.col("n") + laplace, F.lit(1e-3)).alias("n")), MAX_DOMAIN, sizes[c])
-                dom[c] = sorted(dom[c] + self.spread[c].codes())
-                codes = codes.withColumn(c, F.when(F.col(c) == NULL_CODE, F.col(c)).otherwise(
-                    shared_code(F.col(c), MAX_DOMAIN)))
-            cnt.unpersist()
-        if len(self.cols) > WIDE_COLUMNS:
-            rows = marginal_counts_wide(codes, self.cols, dom).collect()
-        else:
-            rows = marginal_counts(codes, self.cols).collect()
-        idx = {c: {v: i for i, v in enumerate(dom[c])} for c in self.cols}
-        e1 = eps_m / 3.0 / max(1, p)
-        e2 = 2.0 * eps_m / 3.0 / max(1, p * (p - 1) // 2)
-        m1 = {c: np.zeros(len(dom[c])) for c in self.cols}
-        m2 = {}
-        for i, a in enumerate(self.cols):
-            for b in self.cols[i + 1:]:
-                m2[(a, b)] = np.zeros((len(dom[a]), len(dom[b])))
-        for r in rows:
-            a, b = r["col_a"], r["col_b"]
-            ia = idx[a].get(r["va"])
-            if ia is None:
-                continue
-            if b == "":
-                m1[a][ia] += r["n"]
-            else:
-                ib = idx[b].get(r["vb"])
-                if ib is not None:
-                    m2[(a, b)][ia, ib] += r["n"]
-        for c in m1:
-            m1[c] = np.clip(m1[c] + self.rng.laplace(0.0, 1.0 / e1, m1[c].shape), 0, None)
-        for k in m2:
-            m2[k] = np.clip(m2[k] + self.rng.laplace(0.0, 1.0 / e2, m2[k].shape), 0, None)
-        self.m1, self.dom = m1, dom
-        mi = {k: mutual_information(v) for k, v in m2.items()}
-        self.mi = mi
-
-        def weight(x, y):
-            a, b = self.cols[min(x, y)], self.cols[max(x, y)]
-            return mi[(a, b)]
-
-        self.edges = [(self.cols[x], self.cols[y]) for x, y in max_spanning_tree(p, weight)]
-        cond = {}
-        for par, ch in self.edges:
-            if (par, ch) in m2:
-                t = m2[(par, ch)]
-            else:
-                t = m2[(ch, par)].T
-            rows_sum = t.sum(axis=1, keepdims=True)
-            fallback = m1[ch] / m1[ch].sum() if m1[ch].sum() > 0 else np.full(len(dom[ch]), 1.0 / len(dom[ch]))
-            probs = np.where(rows_sum > 0, t / np.where(rows_sum > 0, rows_sum, 1.0), fallback[None, :])
-            cond[(par, ch)] = np.cumsum(probs, axis=1)
-        self.cond = cond
-        self.config["epsilon_spent"] = {"preprocessing": spent, "values": eps_v, "marginals": eps_m}
+        pairs = [(a, -1) for a in range(p)] + [(a, b) for a in range(p) for b in range(a + 1, p)]
+        counts = self._codes(df, bins).mapInArrow(lambda it: _count_cells(it, pairs, sizes), "a int, b int, cell long, n long")
+        counts = counts.groupBy("a", "b", "cell").agg(F.sum("n").alias("n"))
+        e1, e2 = left / 3.0 / max(1, p), 2.0 * left / 3.0 / max(1, p * (p - 1) // 2)
+        grid = self.spark.createDataFrame(
+            [(a, b, sizes[a] * (sizes[b] if b >= 0 else 1), 1.0 / (e1 if b < 0 else e2)) for a, b in pairs],
+            "a int, b int, cells long, scale double").repartition(len(pairs), "a", "b")
+        grid = grid.select("a", "b", "scale", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
+        noise = laplace(self._secret(), "dptree-cell", F.col("scale"), F.concat_ws("|", "a", "b", "cell"))
+        cells = grid.join(counts, ["a", "b", "cell"], "left").select(
+            "a", "b", "cell", F.greatest(F.lit(0.0), F.coalesce("n", F.lit(0)) + noise).alias("n"))
+        self.cells = cut_lineage(cells)
+        mi = table_information(self.cells, sizes)
+        self.mi = {(self.cols[a], self.cols[b]): v for (a, b), v in mi.items()}
+        tree = max_spanning_tree(p, lambda x, y: mi[min(x, y), max(x, y)])
+        self.edges = [(self.cols[x], self.cols[y]) for x, y in tree]
+        self.shares = self._conditional(tree)
+
+    def _domains(self, df: DataFrame, spent: dict, left: float) -> dict:
+        """The codes of the text columns, as a table ``self.domain`` (column,
+        code, value); returns how many each column has."""
+        self.spread, self.domain = {}, None
+        if not self.cats:
+            return {}
+        each = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(NULL_CODE)).alias("v"))
+                         for c in self.cats])
+        cnt = df.select(F.explode(each).alias("e")).groupBy("e.c", "e.v").agg(F.count(F.lit(1)).alias("n")).persist()
+        values, empty = cnt.where(F.col("v") != NULL_CODE), cnt.where(F.col("v") == NULL_CODE).select("c", "v")
+        if self.delta is not None:
+            e, d = spent["domains"] / len(self.cats), self.delta / len(self.cats)
+            # a count of one passes with probability d
+            self.threshold = max(1.0 + max(0.0, math.log(0.5 / d)) / e, self.min_count)
+            noise = laplace(self._secret(), "dptree-domain", 1.0 / e, F.concat_ws("|", "c", "v"))
+            values = cut_lineage(values.where(F.col("n") + noise >= self.threshold))
+            empty = self.spark.createDataFrame([(c, v) for c in self.cats for v in (NULL_CODE, OTHER)], "c string, v string")
+        sizes = {r["c"]: r["count"] for r in values.groupBy("c").count().collect()}
+        wide = [c for c in self.cats if sizes.get(c, 0) > MAX_DOMAIN]
+        own = values.where(~F.col("c").isin(wide)).select("c", "v").unionByName(empty)
+        if wide:
+            spent["values"] = VALUE_SHARE * left
+        for c in wide:
+            noise = laplace(self._secret(), f"dptree-noise|{c}", len(wide) / spent["values"], F.col("v"))
+            # a published value keeps a positive share, whatever its noise
+            self.spread[c] = Spread(values.where(F.col("c") == c).select(
+                "v", F.greatest(F.col("n") + noise, F.lit(1e-3)).alias("n")), MAX_DOMAIN, sizes[c])
+            codes = self.spread[c].values.select(F.lit(c).alias("c"), F.col("code").alias("v")).distinct()
+            own = own.unionByName(codes)
+        # at most MAX_DOMAIN + 2 codes a column
+        number = F.row_number().over(Window.partitionBy("c").orderBy("v")) - 1
+        self.domain = cut_lineage(own.distinct().select("c", number.alias("code"), "v"))
+        self.released = None if self.delta is None else values.select("c", "v")
+        cnt.unpersist()
+        got = {r["c"]: r["count"] for r in self.domain.groupBy("c").count().collect()}               # one row a column
+        return {c: got.get(c, 0) for c in self.cats}
+
+    def _domain_of(self, c: str, code: str, value: str) -> DataFrame:
+        return F.broadcast(self.domain.where(F.col("c") == c).select(F.col("code").alias(code), F.col("v").alias(value)))
+
+    def _codes(self, df: DataFrame, bins: int) -> DataFrame:
+        """The rows as numbers, one column ``c<j>`` for each column."""
+        rows = df.select(*[numeric_bin(c, *self.bounds[c], bins).alias(f"c{j}") for j, c in enumerate(self.nums)],
+                         *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_CODE)).alias(f"v{j}")
+                           for j, c in enumerate(self.cats, len(self.nums))])
+        for j, c in enumerate(self.cats, len(self.nums)):
+            value = F.col(f"v{j}")
+            if self.released is not None:
+                # only the values that are released are told apart
+                known = self.released.where(F.col("c") == c).select(F.col("v").alias("__known"))
+                rows = rows.join(known, value == F.col("__known"), "left").withColumn(
+                    f"v{j}", F.when(F.col("__known").isNotNull() | (value == NULL_CODE), value).otherwise(OTHER)).drop("__known")
+            if c in self.spread:
+                rows = rows.withColumn(f"v{j}", F.when(value.isin(NULL_CODE, OTHER), value).otherwise(
+                    shared_code(value, MAX_DOMAIN)))
+            rows = rows.join(self._domain_of(c, f"c{j}", f"__v{j}"), F.col(f"v{j}") == F.col(f"__v{j}")).drop(f"__v{j}", f"v{j}")
+        return rows.select(*[F.col(f"c{j}").cast("long") for j in range(len(self.cols))])
+
+    def counts(self) -> DataFrame:
+        """The noisy 1-way counts: ``col_a``, ``code`` (bin or text value) and ``n``."""
+        names = F.element_at(F.array(*[F.lit(c) for c in self.cols]), F.col("a") + 1)
+        one = self.cells.where("b < 0").select(names.alias("col_a"), F.col("cell").alias("number"), "n")
+        if self.domain is None:
+            return one.select("col_a", F.col("number").cast("string").alias("code"), "n")
+        text = self.domain.select(F.col("c").alias("col_a"), F.col("code").cast("long").alias("number"), "v")
+        return one.join(text, ["col_a", "number"], "left").select(
+            "col_a", F.coalesce("v", F.col("number").cast("string")).alias("code"), "n")
+
+    def _conditional(self, tree: list) -> DataFrame:
+        """Intervals [lo, hi) of a child's codes by its parent's code (root: 0),
+        laid out in as many cells of [0, 1) as the child has codes."""
+        sizes = self.sizes
+        one = self.cells.where("b < 0").select(F.col("a").alias("child"), F.col("cell").alias("code"), F.col("n").alias("alone"))
+        root = one.where(F.col("child") == 0).select("child", F.lit(0).cast("long").alias("parent_code"), "code",
+                                                     F.lit(0.0).alias("n"))
+        rows = root
+        if tree:
+            edges = self.spark.createDataFrame([(min(e), max(e), e[1], sizes[max(e)]) for e in tree],
+                                               "a int, b int, child int, width long")
+            two = self.cells.join(F.broadcast(edges), ["a", "b"])
+            ia, ib, first = F.floor(F.col("cell") / F.col("width")), F.col("cell") % F.col("width"), F.col("child") == F.col("a")
+            rows = rows.unionByName(two.select("child", F.when(first, ib).otherwise(ia).alias("parent_code"),
+                                               F.when(first, ia).otherwise(ib).alias("code"), "n"))
+        # every window below holds the codes of one (child, parent code): at most MAX_DOMAIN + 2
+        group = Window.partitionBy("child", "parent_code")
+        rows = rows.join(one, ["child", "code"])
+        weight = (F.when(F.sum("n").over(group) > 0, F.col("n")).when(F.sum("alone").over(group) > 0, F.col("alone"))
+                  .otherwise(F.lit(1.0)))
+        rows = rows.select("child", "parent_code", "code", weight.alias("weight")).where("weight > 0")
+        order = group.orderBy("code")
+        upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(group)
+        hi = F.when(F.lead("code").over(order).isNull(), 1.0).otherwise(F.least(upto, F.lit(1.0)))
+        rows = rows.select("child", "parent_code", "code", hi.alias("hi"))
+        rows = rows.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
+        width = F.element_at(F.array(*[F.lit(k) for k in sizes]), F.col("child") + 1)
+        cell = F.explode(F.sequence(F.floor(F.col("lo") * width), F.least(F.floor(F.col("hi") * width), (width - 1).cast("long"))))
+        return cut_lineage(rows.select("child", "parent_code", "code", "lo", "hi", cell.alias("cell")))
 
     def _sample(self, n: int, seed: int) -> DataFrame:
-        spark, key = self.spark, self.key
-        cols, nums, dom, m1, cond, bounds = self.cols, self.nums, self.dom, self.m1, self.cond, self.bounds
-        bins = int(self.config["bins"])
-        integral = self.integral
-        root = cols[0]
-        order = [root] + [ch for _, ch in self.edges]
-        parent = {ch: par for par, ch in self.edges}
-        root_cum = np.cumsum(m1[root] / m1[root].sum()) if m1[root].sum() > 0 else \
-            np.cumsum(np.full(len(dom[root]), 1.0 / len(dom[root])))
-        ids = sample_ids(spark, n)
-        src = ids.select("id", *[hash_uniform(seed, f"dptree|{c}", F.col("id")).alias(f"u_{c}") for c in cols],
-                         *[hash_uniform(seed, f"dptree-bin|{c}", F.col("id")).alias(f"v_{c}") for c in nums])
-
-        def part(batches):
-            for pdf in batches:
-                codes = {}
-                for c in order:
-                    u = pdf[f"u_{c}"].to_numpy()
-                    if c == root:
-                        cum = root_cum
-                        codes[c] = np.minimum(np.searchsorted(cum, u, "right"), len(cum) - 1)
-                    else:
-                        tab = cond[(parent[c], c)][codes[parent[c]]]
-                        codes[c] = np.minimum((tab <= u[:, None]).sum(axis=1), tab.shape[1] - 1)
-                out = {key: pdf["id"].to_numpy(dtype="int64")}
-                for c in nums:
-                    lo, hi = bounds[c]
-                    w = (hi - lo) / bins if hi > lo else 0.0
-                    b = codes[c]
-                    v = lo + (b + pdf[f"v_{c}"].to_numpy()) * w
-                    if integral[c]:
-                        v = np.round(v)
-                    out[c] = np.where(b >= bins, np.nan, v)
-                for c in cols:
-                    if c not in nums:
-                        vals = np.asarray([None if v == NULL_CODE else v for v in dom[c]], dtype=object)
-                        out[c] = vals[codes[c]]
-                yield pd.DataFrame(out)
-
-        schema = T.StructType([T.StructField(key, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in nums]
-                              + [T.StructField(c, T.StringType()) for c in cols if c not in nums])
-        raw = src.mapInPandas(part, schema)
+        key, bins, place = self.key, int(self.config["bins"]), {c: j for j, c in enumerate(self.cols)}
+        parent = {place[ch]: place[par] for par, ch in self.edges}
+        rows = sample_ids(self.spark, n).select(F.col("id").alias(key))
+        for k, j in enumerate([0] + [place[ch] for _, ch in self.edges]):
+            own = self.shares.where(F.col("child") == j).select("parent_code", "cell", "lo", "hi", F.col("code").alias(f"c{j}"))
+            if self.sizes[j] * (self.sizes[parent[j]] if j in parent else 1) <= SMALL_TABLE:
+                own = F.broadcast(own)
+            u = hash_uniform(seed, f"dptree|{self.cols[j]}", F.col(key))
+            rows = rows.withColumn("__u", u)
+            given = F.col(f"c{parent[j]}") if j in parent else F.lit(0).cast("long")
+            rows = rows.join(own, (given == F.col("parent_code")) & (F.floor(F.col("__u") * self.sizes[j]) == F.col("cell"))
+                             & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))).drop("parent_code", "cell", "lo", "hi", "__u")
+            if k % JOINS_A_STEP == JOINS_A_STEP - 1:
+                rows = cut_lineage(rows)
+        for c in self.cats:
+            rows = rows.join(self._domain_of(c, "__code", f"__t{place[c]}"), F.col(f"c{place[c]}") == F.col("__code")).drop("__code")
+        out = []
+        for c in self.nums:
+            lo, hi = self.bounds[c]
+            w = (hi - lo) / bins if hi > lo else 0.0
+            x = F.lit(float(lo)) + (F.col(f"c{place[c]}") + hash_uniform(seed, f"dptree-bin|{c}", F.col(key))) * F.lit(float(w))
+            x = F.rint(x) if self.integral[c] else x
+            out.append(F.when(F.col(f"c{place[c]}") < bins, x).alias(c))
+        out += [F.nullif(F.col(f"__t{place[c]}"), F.lit(NULL_CODE)).alias(c) for c in self.cats]
+        raw = rows.select(key, *out)
         for c, spread in self.spread.items():       # a shared code draws one of its values
-            raw = spread.draw(raw, c, hash_uniform(seed, f"dptree-value|{c}", F.col(key)))
+            drawn = spread.draw(raw.withColumn("__own", F.col(c)), c, hash_uniform(seed, f"dptree-value|{c}", F.col(key)))
+            raw = drawn.withColumn(c, F.when(F.col("__own") == OTHER, F.lit(OTHER)).otherwise(F.col(c))).drop("__own")
         times = self.times
         return raw.select(F.col(key), *[number_to_time(f.name, f.dataType).alias(f.name) if f.name in times
                                         else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields])

@@ -139,9 +139,29 @@ def dptree_fit(spark, d):
     """What the tree model fits when its noise is practically off."""
     train, _syn, _ctl = fx.three_way(spark, d)
     m = build("privbayes", epsilon=1e12, bounds=BOUNDS, bins=BINS).fit(train, fx.KEY)
-    rows = [("count", c, "", code, float(round(n))) for c in m.cols for code, n in zip(m.dom[c], m.m1[c]) if round(n)]
-    rows += [("mi", a, b, "", round(v, 6)) for (a, b), v in m.mi.items()]
-    return spark.createDataFrame(rows, "part string, col_a string, col_b string, code string, value double")
+    counts = m.counts().select(F.lit("count").alias("part"), "col_a", F.lit("").alias("col_b"), "code",
+                               F.round("n").alias("value")).where("value > 0")
+    rows = [("mi", a, b, "", round(v, 6)) for (a, b), v in m.mi.items()]
+    return counts.unionByName(spark.createDataFrame(rows, "part string, col_a string, col_b string, code string, value double"))
+
+
+RELEASED_FROM = 40
+
+
+@query("dptree_domains", fx.ORACLE_FIXTURES + f"""
+, w AS (SELECT CASE WHEN row_key % 13 = 0 THEN NULL ELSE 'w' || CAST(CAST(floor(sqrt(row_key % 6007)) AS BIGINT) AS VARCHAR) END AS word FROM facts)
+, n AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT CASE WHEN word IS NULL THEN '(null)' WHEN n >= {RELEASED_FROM} THEN word ELSE '(other)' END AS code,
+       CAST(sum(n) AS DOUBLE) AS n FROM n GROUP BY 1""")
+def dptree_domains(spark, d):
+    """Values that enough rows share are released, the others are one code
+    (noise practically off, so the threshold is the declared one)."""
+    word = F.when(F.col(fx.KEY) % 13 != 0, F.concat(F.lit("w"), F.floor(F.sqrt(F.col(fx.KEY) % 6007)).cast("string")))
+    real = fx.facts(spark, d).select(fx.KEY, word.alias("word"), "n_lines")
+    m = build("privbayes", epsilon=1e12, delta=1e-6, min_count=RELEASED_FROM - 0.5, bounds={"n_lines": (0.0, 20.0)}).fit(real, fx.KEY)
+    counts = m.counts().where("col_a = 'word'").select(
+        F.when(F.col("code") == "\u0000", "(null)").otherwise(F.col("code")).alias("code"), F.round("n").alias("n"))
+    return counts.where("n > 0")
 
 
 def end_to_end(spark, d, cfg: AuditConfig | None = None):

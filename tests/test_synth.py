@@ -134,3 +134,39 @@ def test_copula_many_values(spark, monkeypatch):
     assert set(counts) <= known and len(counts) > 0.9 * len(known) and sum(counts.values()) == 20_000
     assert abs(counts["hot"] / 20_000 - 1 / 3) < 0.02 and abs(counts[None] / 20_000 - 2 / 33) < 0.02
     assert {r["few"] for r in syn.select("few").distinct().collect()} == {"a", "b"}
+
+
+def test_dptree_private_domains(spark):
+    """Rare values are never released and share one code, paid from the budget."""
+    df = spark.range(30_000).selectExpr(
+        "id AS row_key", "CASE WHEN id % 500 = 0 THEN concat('rare', id) WHEN id % 11 = 0 THEN NULL ELSE concat('v', id % 9) END AS word",
+        "IF(id % 2 = 0, 'a', concat('own', id)) AS half", "CAST(id % 7 AS double) AS x")
+    m = build("privbayes", epsilon=8.0, delta=1e-6, bounds={"x": (0.0, 7.0)}, noise_seed=4).fit(df, "row_key")
+    spent = m.config["epsilon_spent"]
+    assert spent["domains"] == pytest.approx(0.8) and sum(spent.values()) == pytest.approx(8.0) and m.config["delta"] == 1e-6
+    assert m.threshold > 30
+    syn = m.sample(20_000, seed=5)
+    words = {r["word"]: r["count"] for r in syn.groupBy("word").count().collect()}
+    assert set(words) == {None, "(other)"} | {f"v{k}" for k in range(9)}
+    assert words["(other)"] < 0.02 * 20_000
+    halves = {r["half"]: r["count"] for r in syn.groupBy("half").count().collect()}
+    assert set(halves) <= {"a", "(other)", None} and abs(halves["(other)"] / 20_000 - 0.5) < 0.03
+
+
+def test_dptree_information_and_shares(spark):
+    """Information by aggregates equals the one of the whole tables; the shares of a parent's code cover [0, 1)."""
+    from synthaudit.operators.synth.dptree import table_information
+
+    df = spark.range(5000).selectExpr("id AS k", "CAST(id % 5 AS string) AS a", "CAST(id % 5 + id % 2 AS string) AS b",
+                                      "CAST(id % 17 AS double) AS x")
+    m = build("privbayes", epsilon=1e9, bounds={"x": (0.0, 17.0)}, noise_seed=1, bins=17).fit(df, "k")
+    cells = {(r.a, r.b, r.cell): r.n for r in m.cells.collect()}
+    for (a, b), v in table_information(m.cells, m.sizes).items():
+        tab = np.array([[cells[a, b, i * m.sizes[b] + j] for j in range(m.sizes[b])] for i in range(m.sizes[a])])
+        assert v == pytest.approx(mutual_information(tab), abs=1e-9)
+    spans = {}
+    for r in m.shares.select("child", "parent_code", "code", "lo", "hi").distinct().collect():
+        spans.setdefault((r.child, r.parent_code), []).append((r.lo, r.hi))
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and s[-1][1] == 1 and all(x[1] == y[0] for x, y in zip(s, s[1:]))
