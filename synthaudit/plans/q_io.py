@@ -32,6 +32,18 @@ def src_csv_infer(spark, d):
     return back.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
+@query("src_csv_quoted", """SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS row_key, c_custkey,
+  c_name || chr(10) || '"' || c_mktsegment || '", ' || chr(10) || CAST(c_custkey AS VARCHAR) AS note, c_acctbal FROM customer""")
+def src_csv_quoted(spark, d):
+    """Values with line breaks, quotes and separators, read by parts of
+    files and numbered in file order."""
+    path = scratch_path(spark, "csv-quoted")
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", \n'), F.col("c_custkey").cast("string"))
+    rows = read_table(spark, d, "customer").select("c_custkey", note.alias("note"), "c_acctbal")
+    write_table(rows.repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey"), path, fmt="csv")
+    return read_csv(spark, path).select("row_key", "c_custkey", "note", "c_acctbal")
+
+
 @query("json_safe", """SELECT l_orderkey, l_linenumber,
   CASE WHEN l_linenumber <= 3 THEN NULL ELSE l_discount END AS v,
   CASE WHEN l_linenumber <= 3 THEN NULL ELSE l_discount END AS arr0, l_tax AS arr1,

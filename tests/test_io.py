@@ -104,3 +104,53 @@ def test_report_and_table_sinks(spark):
     assert spark.read.parquet(os.path.join(d, "tbl")).count() == 1000
     write_table(big, os.path.join(d, "tblcsv"), fmt="csv")
     assert spark.read.option("header", True).csv(os.path.join(d, "tblcsv")).count() == 1000
+
+
+def _odd_csv(rows: int, seed: int) -> str:
+    """Records whose values hold line breaks, doubled quotes, separators and lines that look like records."""
+    import random
+
+    rng = random.Random(seed)
+    cell = ["plain", '"a,b"', '"said ""hi"""', '"two\nlines"', '"1,2\n3,4\n"', '"\n\n"', '"""\n"', "", '"x\r\ny"', "7", '"é,\n日"']
+    return "k,a,b\n" + "".join(f"{i},{rng.choice(cell)},{rng.choice(cell)}\n" for i in range(rows))
+
+
+def test_line_breaks_inside_quotes_are_read_by_parts(spark, tmp_path):
+    from synthaudit.sources.csv import quoted_records, read_text_csv
+
+    for n, end in ((0, "\n"), (1, "")):
+        text = _odd_csv(1500, n)
+        (tmp_path / f"file{n}.csv").write_bytes((text[:-1] + end).encode())
+    (tmp_path / "crlf.csv").write_bytes(b'k,a,b\r\n90001,"x\r\ny",p\r\n90002,q,r\r\n')
+    (tmp_path / "head.csv").write_bytes(b'\nk,a,b\n90003,"x\ny",p\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "999")
+        records = quoted_records(spark, str(tmp_path))
+        assert records.select("__file", "__part").distinct().count() > 40
+        parts = read_text_csv(spark, str(tmp_path)).collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        whole = read_text_csv(spark, str(tmp_path), True).collect()
+        key = lambda r: (r.k, r.a or "", r.b or "")                   # noqa: E731
+        assert sorted(map(key, parts)) == sorted(map(key, whole)) and len(parts) == 3003
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+        a = {r.row_key: r.k for r in read_csv(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    b = {r.row_key: r.k for r in read_csv(spark, str(tmp_path)).collect()}
+    assert a == b and sorted(a) == list(range(3003))               # dense, and the same on rereading
+    order = [a[i] for i in range(3003)]
+    assert order == [90001, 90002, *range(1500), *range(1500), 90003]      # files by name, rows in order
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"f{n}.csv").write_text("x\n" + "".join(f"{n * 5000 + i}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        df = read_csv(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        assert [tuple(r) for r in df.orderBy("row_key").collect()] == [(i, i) for i in range(15000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
