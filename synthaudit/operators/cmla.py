@@ -30,6 +30,7 @@ from synthaudit.operators.nearest import ColSpec, Metric, nearest
 from synthaudit.operators.results import AttackResult, failed_result
 from synthaudit.operators.sampling import first_n
 from synthaudit.operators.stats import zero_filled_profile, zscore
+from synthaudit.session import cut_lineage
 
 MAX_CLUSTERS = 1_000   # up to here centroids are broadcast and medoids are literals of a column expression
 
@@ -53,14 +54,30 @@ def centroids(zreal: DataFrame, cols: list[str], label: str = "cluster") -> Data
     return zreal.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols])
 
 
+def _nearest_of_task(batches, key: str, label: str):
+    """Per cluster the task's row of the smallest (dist, key)."""
+    best = None
+    for pdf in batches:
+        best = pdf if best is None else pd.concat([best, pdf])
+        best = best.sort_values(["dist", key], kind="stable").drop_duplicates(label)
+    if best is not None:
+        yield best
+
+
 def medoids(zreal: DataFrame, key: str, cols: list[str], label: str = "cluster") -> DataFrame:
-    """Per cluster the row nearest the centroid (``cluster, key, dist``)."""
-    cent = centroids(zreal, cols, label)
-    small = F.broadcast if cent.count() <= MAX_CLUSTERS else (lambda df: df)      # more: Spark chooses the join
+    """Per cluster the row nearest the centroid (``cluster, key, dist``),
+    in two scans: one for the centroids, one in which every task keeps its
+    nearest row of each cluster."""
+    cent = cut_lineage(centroids(zreal, cols, label))
+    few = cent.count() <= MAX_CLUSTERS
+    small = F.broadcast if few else (lambda df: df)      # more: Spark chooses the join
     c = small(cent.select(label, *[F.col(x).alias(f"__c_{x}") for x in cols]))
     d = zreal.join(c, label).select(label, key, euclid_expr(cols, {x: F.col(f"__c_{x}") for x in cols}).alias("dist"))
-    best = small(d.groupBy(label).agg(F.min("dist").alias("dist")))
-    return d.join(best, [label, "dist"]).groupBy(label).agg(F.min(key).alias(key), F.first("dist").alias("dist"))
+    if few:
+        ship_package(zreal.sparkSession)
+        d = d.mapInPandas(lambda it: _nearest_of_task(it, key, label), d.schema)      # at most MAX_CLUSTERS rows a task
+    best = d.groupBy(label).agg(F.min(F.struct("dist", key)).alias("best"))
+    return best.select(label, F.col(f"best.{key}").alias(key), F.col("best.dist").alias("dist"))
 
 
 def calibration_distances(zreal: DataFrame, key: str, cols: list[str], n_probes: int = 500,

@@ -82,41 +82,64 @@ def _centred_pair_aggs(cols: list[str], means: dict) -> list[Column]:
     return aggs
 
 
+TILE = 128                  # columns of a block of the Gram matrix
+FAN_IN = 64                 # blocks added up by one task
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
 def _gram_blocks(df: DataFrame, cols: list[str], means: dict) -> DataFrame:
-    """Per-partition masked Gram sums of centred columns, summed per pair."""
+    """Masked Gram sums of centred columns: every task sends one packed row for
+    each block of ``TILE`` by ``TILE`` columns, and blocks are added up in a
+    tree of ``FAN_IN`` tasks' blocks at a time."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark import TaskContext
 
     mu = np.array([means[c] or 0.0 for c in cols], dtype="float64")
-    p = len(cols)
-    iu, ju = np.triu_indices(p, k=1)
-    names = list(cols)
+    p, tile = len(cols), TILE
+    edges = [(k, min(p, k + tile)) for k in range(0, p, tile)]
+
+    def blocks(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
+            (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["task", "i", "j", "sums"])
 
     def part(batches):
         acc = None
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype="float64", na_value=np.nan) - mu
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype("float64") - mu
             m = (~np.isnan(x)).astype("float64")
             x = np.nan_to_num(x, nan=0.0)
-            blk = (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
-            acc = blk if acc is None else tuple(u + v for u, v in zip(acc, blk))
-        if acc is None:
-            return
-        n, sx, sxx, sxy = acc
-        yield pd.DataFrame({
-            "i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
-            "sa": sx[iu, ju], "sb": sx.T[iu, ju], "saa": sxx[iu, ju], "sbb": sxx.T[iu, ju],
-            "sab": sxy[iu, ju]})
+            got = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            acc = got if acc is None else acc + got
+        if acc is not None:
+            task = TaskContext.get().partitionId()
+            yield blocks([(task, i0, j0, np.ascontiguousarray(acc[:, i0:i1, j0:j1]).tobytes())
+                          for i0, i1 in edges for j0, j1 in edges if i0 <= j0])
+
+    def added(table):
+        return np.sum([np.frombuffer(v.as_buffer()) for v in table.column("sums")], axis=0)
+
+    def add(key, table):
+        return pa.Table.from_batches([blocks([(*(k.as_py() for k in key), added(table).tobytes())])])
+
+    def unpack(key, table):
+        i0, j0 = (k.as_py() for k in key)
+        shape = (len(_SUMS), min(tile, p - i0), min(tile, p - j0))
+        s = added(table).reshape(shape)
+        i, j = np.meshgrid(np.arange(i0, i0 + shape[1]), np.arange(j0, j0 + shape[2]), indexing="ij")
+        above = i < j
+        return pa.table({"i": pa.array(i[above], pa.int32()), "j": pa.array(j[above], pa.int32()),
+                         **{c: pa.array(s[k][above]) for k, c in enumerate(_SUMS)}})
 
     ship_package(df.sparkSession)
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    schema = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
-    summed = sel.mapInPandas(part, schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    schema = "task long, i long, j long, sums binary"
+    sums = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(part, schema)
+    for _ in range(2):
+        sums = sums.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("task", "i", "j").applyInArrow(add, schema)
+    summed = sums.groupBy("i", "j").applyInArrow(unpack, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
     name_map = F.array(*[F.lit(c) for c in cols])
     return summed.select(F.element_at(name_map, F.col("i") + 1).alias("col_a"),
-                         F.element_at(name_map, F.col("j") + 1).alias("col_b"),
-                         "n", "sa", "sb", "saa", "sbb", "sab")
+                         F.element_at(name_map, F.col("j") + 1).alias("col_b"), *_SUMS)
 
 
 def _corr_from_sums(df: DataFrame) -> DataFrame:

@@ -226,3 +226,19 @@ def test_overrides_reach_the_columns(spark):
     got = pf.apply_types(df, {"a": "categorical", "b": "numerical", "t": "datetime", "gone": "numerical"})
     assert dict(got.dtypes) == {"k": "bigint", "a": "string", "b": "double", "t": "timestamp"}
     assert [r["b"] for r in got.orderBy("k").collect()] == [3.5, None]
+
+
+def test_wide_correlations_move_blocks(spark, monkeypatch):
+    """Blocks of columns that do not divide evenly give the same matrix as the aggregate."""
+    import random
+
+    rng = random.Random(2)
+    cols = [f"c{i}" for i in range(11)]
+    rows = [(i, *[None if rng.random() < 0.2 else rng.gauss(j, 1 + j) for j in range(11)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} double" for c in cols)).repartition(9)
+    narrow = {(r.col_a, r.col_b): r.corr for r in stats.correlation_matrix(df, key="k").collect()}
+    monkeypatch.setattr(stats, "GRAM_PAIR_LIMIT", 0)
+    monkeypatch.setattr(stats, "TILE", 4)
+    monkeypatch.setattr(stats, "FAN_IN", 2)
+    wide = {(r.col_a, r.col_b): r.corr for r in stats.correlation_matrix(df, key="k").collect()}
+    assert wide.keys() == narrow.keys() and all(wide[k] == pytest.approx(narrow[k], abs=1e-9) for k in narrow)
