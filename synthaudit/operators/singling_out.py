@@ -18,6 +18,9 @@ few range and null predicates are one aggregate with ``count_if``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,15 +63,12 @@ def value_counts(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 def predicates(syn: DataFrame, key: str, cols: list[str], counts: DataFrame | None = None) -> DataFrame:
     """All predicates isolating exactly one synthetic row."""
-    counts = counts if counts is not None else value_counts(syn, key, cols)
+    if counts is None:
+        counts = unpivot_values(syn, key, cols).groupBy("column_name", "vnum", "vstr").agg(
+            F.count(F.lit(1)).alias("n"), F.min(key).alias("min_key"))
     nums = [c for c in cols if is_numeric_type(syn.schema[c].dataType)]
-    uniq = counts.where(F.col("n") == 1)
     isnull = F.col("vnum").isNull() & F.col("vstr").isNull()
-    eq = uniq.where(~isnull).select("column_name", F.lit("eq").alias("kind"), "vnum", "vstr",
-                                    F.col("min_key").alias("syn_key"))
-    nul = uniq.where(isnull).select("column_name", F.lit("null").alias("kind"), "vnum", "vstr",
-                                    F.col("min_key").alias("syn_key"))
-    parts = [eq, nul]
+    kinds = [F.when(isnull, F.lit("null")).otherwise(F.lit("eq"))]
     if nums:
         b = syn.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(nums)],
                     *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(nums)]).first()
@@ -76,15 +76,11 @@ def predicates(syn: DataFrame, key: str, cols: list[str], counts: DataFrame | No
             conds = [(F.col("column_name") == c) & (F.col("vnum") == F.lit(b[f"{pre}{i}"]))
                      for i, c in enumerate(nums) if b[f"{pre}{i}"] is not None]
             if conds:
-                cond = conds[0]
-                for x in conds[1:]:
-                    cond = cond | x
-                parts.append(uniq.where(cond).select("column_name", F.lit(kind).alias("kind"), "vnum", "vstr",
-                                                     F.col("min_key").alias("syn_key")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                kinds.append(F.when(reduce(or_, conds), F.lit(kind)))
+    # every kind from one count of the values
+    return counts.where(F.col("n") == 1).select(
+        "column_name", F.explode(F.array_compact(F.array(*kinds))).alias("kind"), "vnum", "vstr",
+        F.col("min_key").alias("syn_key"))
 
 
 def choose(preds: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -135,8 +131,10 @@ def choose_topk(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 4
     known before counting: the ``m`` syn cells with the smallest hash are
     taken (a top-k), and only their values are counted, through a broadcast
     join of those ≤ m values with the unpivoted syn.  If fewer than ``n`` of
-    them are unique, ``m`` grows.  Exact: any unique value outside the pool
-    ranks after at least ``n`` unique values inside it."""
+    them are unique, ``m`` grows, as long as the next pool can be expected to
+    hold ``n``; where most values recur, all values are counted instead.
+    Exact: any unique value outside the pool ranks after at least ``n`` unique
+    values inside it."""
     uv = unpivot_values(syn, key, cols)
     isnull = F.col("vnum").isNull() & F.col("vstr").isNull()
     uvh = uv.where(~isnull).withColumn("__o", hash_text(seed, F.col("column_name"), F.lit("eq"), F.col(key)))
@@ -167,10 +165,10 @@ def choose_topk(syn: DataFrame, key: str, cols: list[str], n: int, seed: int = 4
                                    & F.col("p.vnum").eqNullSafe(F.col("c.vnum"))
                                    & F.col("p.vstr").eqNullSafe(F.col("c.vstr")), "left_semi")
         k = uniq.count()
-        if k >= n or len(pool) < m or m >= MAX_POOL:
+        if k >= n or len(pool) < m or m >= MAX_POOL or 4 * k < n:
             break
         m *= 4
-    if k < n and len(pool) >= m:          # pool capped: exact fallback on full counts
+    if k < n and len(pool) >= m:          # too few unique values in reach: exact fallback on full counts
         return choose(predicates(syn, key, cols), n, seed)
     return choose(uniq.unionByName(special), n, seed)
 

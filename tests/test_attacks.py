@@ -191,3 +191,26 @@ def test_topk_pool_prefilter_widens(three):
     a = sorted(map(tuple, so.choose_topk(syn, "row_key", cols, 100, n_rows=10_000_000).collect()))
     b = sorted(map(tuple, so.choose(so.predicates(syn, "row_key", cols), 100).collect()))
     assert a == b
+
+
+def test_topk_leaves_repeated_values_to_the_full_count(spark, monkeypatch):
+    """Few values occur once: no pool that grows to hundreds of thousands of rows of the driver."""
+    syn = spark.range(40_000).selectExpr("id AS row_key", "CAST(id % 900 AS DOUBLE) AS x", "CAST(least(id, 20) AS DOUBLE) AS y")
+    pools, make = [], type(spark).createDataFrame
+
+    def counted(self, data, *args, **kw):
+        pools.append(len(data) if isinstance(data, list) else 0)
+        return make(self, data, *args, **kw)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", counted)
+    a = sorted(map(tuple, so.choose_topk(syn, "row_key", ["x", "y"], 100, n_rows=40_000).collect()))
+    assert max(pools) <= 400 and len(a) == 21       # y 0 to 19 and the least y
+    assert a == sorted(map(tuple, so.choose(so.predicates(syn, "row_key", ["x", "y"]), 100).collect()))
+
+
+def test_predicates_count_the_values_once(spark):
+    syn = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b"), (3, 2.0, None), (4, 5.0, "b")], "row_key long, x double, s string")
+    p = so.predicates(syn, "row_key", ["x", "s"])
+    assert sorted((r.column_name, r.kind, r.syn_key) for r in p.collect()) == [
+        ("s", "eq", 1), ("s", "null", 3), ("x", "eq", 1), ("x", "eq", 4), ("x", "ge", 4), ("x", "le", 1)]
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
