@@ -4,7 +4,8 @@ Used by linkability (Gower, two column halves at once), CMLA calibration
 and medoid distances (Euclidean).  The query set is bounded by the number
 of attacks, a parameter, so it travels inside the task closure, in blocks of
 ``MAX_QUERIES`` rows; the candidate table is scanned once a block in Arrow
-batches by ``mapInPandas``.  Each task
+batches by ``mapInPandas``, in chunks of ``MAX_CELLS`` distances, so a task's
+memory does not depend on the table.  Each task
 emits one row per query with its partial arg-min, and a small ``groupBy``
 over ``|queries| × tasks`` rows picks the winner.  No pair of rows is ever
 materialised as a Spark row, and nothing but the winners leaves a task.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from synthaudit.functions.shipping import ship_package
 
 MAX_QUERIES = 20_000       # query rows shipped to tasks at once
-MAX_CELLS = 4_000_000      # distance-matrix cells held at once per task
+MAX_CELLS = 500_000        # distance-matrix cells held at once per task: a few matrices of 4 MB
 _BIG = np.iinfo(np.int64).max
 
 
@@ -52,11 +53,10 @@ def _num_gower(q, c, scale):
         d /= np.where(zero, 1.0, sc)[:, None]
     if zero.any():
         d[zero, :] = 0.0
-    qn, cn = np.isnan(q), np.isnan(c)
-    if qn.any() or cn.any():                      # NULL rules only where needed
-        qn2, cn2 = qn[:, None], cn[None, :]
-        d = np.where(qn2 | cn2, 1.0, d)
-        d = np.where(qn2 & cn2, 0.0, d)
+    qn, cn = np.flatnonzero(np.isnan(q)), np.flatnonzero(np.isnan(c))
+    d[qn, :] = 1.0                                # NULL rules, in place
+    d[:, cn] = 1.0
+    d[np.ix_(qn, cn)] = 0.0
     return d
 
 
@@ -68,21 +68,30 @@ def _cat_codes(values, vocab):
     return np.where(nulls, -2, codes)
 
 
-def _distances(metric: Metric, qdata: dict, cpdf: pd.DataFrame, vocabs: dict):
+def _candidate_columns(cpdf: pd.DataFrame, metrics: list[Metric], vocabs: dict) -> dict:
+    """Each (column, is text) of a batch as codes or doubles, once for all its chunks."""
+    out = {}
+    for s in (s for m in metrics for s in m.cols):
+        cat = s.kind == "cat"
+        if (s.column, cat) not in out:
+            out[s.column, cat] = _cat_codes(cpdf[s.column].tolist(), vocabs[s.column]) if cat else pd.to_numeric(
+                cpdf[s.column], errors="coerce").to_numpy(dtype="float64", na_value=np.nan)
+    return out
+
+
+def _distances(metric: Metric, qdata: dict, cdata: dict, rows: slice):
     total = None
     for s in metric.cols:
+        q, c = qdata[s.column], cdata[s.column, s.kind == "cat"][rows]
         if s.kind == "cat":
-            cc = _cat_codes(cpdf[s.column].tolist(), vocabs[s.column])
-            d = (qdata[s.column][:, None] != cc[None, :]).astype("float64")
-        else:
-            cv = pd.to_numeric(cpdf[s.column], errors="coerce").to_numpy(dtype="float64", na_value=np.nan)
-            if s.kind == "num":
-                d = _num_gower(qdata[s.column], cv, s.scale)
-            else:  # "sq"
-                d = np.subtract(qdata[s.column][:, None], cv[None, :])
-                np.multiply(d, d, out=d)
+            d = q[:, None] != c[None, :]
+        elif s.kind == "num":
+            d = _num_gower(q, c, s.scale)
+        else:  # "sq"
+            d = np.subtract(q[:, None], c[None, :])
+            np.multiply(d, d, out=d)
         if total is None:
-            total = d
+            total = d.astype("float64", copy=False)
         else:
             total += d                              # same left-to-right order as SQL
     return np.sqrt(total, out=total) if metric.root else total
@@ -132,28 +141,27 @@ def nearest(cands: DataFrame, key: str, queries: pd.DataFrame, qkey: str, metric
         best = {m.name: (np.full(nq, np.inf), np.full(nq, _BIG, dtype=np.int64)) for m in metrics}
         seen = False
         step = max(1, MAX_CELLS // max(1, nq))
-        chunks = (pdf.iloc[i:i + step] for batch in batches for i in range(0, len(batch), step)
-                  for pdf in [batch])
         rows = np.arange(nq)
-        for pdf in chunks:
-            if len(pdf) == 0:
-                continue
-            seen = True
+        for pdf in batches:
+            seen = seen or len(pdf) > 0
             # sorted by key, the first minimum of a row is the lowest key among ties
             pdf = pdf.sort_values(key, kind="stable")
-            ck = pdf[key].to_numpy(dtype="int64")
-            for m in metrics:
-                d = _distances(m, qdata, pdf, vocabs)
-                if exclude_self:
-                    own = np.flatnonzero(np.isin(ck, qkeys))
-                    row, at = np.nonzero(qkeys[:, None] == ck[own][None, :])
-                    d[row, own[at]] = np.inf
-                idx = d.argmin(axis=1)
-                dmin = d[rows, idx]
-                kmin = np.where(np.isfinite(dmin), ck[idx], _BIG)
-                bd, bk = best[m.name]
-                better = (dmin < bd) | ((dmin == bd) & (kmin < bk))
-                best[m.name] = (np.where(better, dmin, bd), np.where(better, kmin, bk))
+            keys, cdata = pdf[key].to_numpy(dtype="int64"), _candidate_columns(pdf, metrics, vocabs)
+            for i in range(0, len(pdf), step):
+                chunk = slice(i, i + step)
+                ck = keys[chunk]
+                for m in metrics:
+                    d = _distances(m, qdata, cdata, chunk)
+                    if exclude_self:
+                        own = np.flatnonzero(np.isin(ck, qkeys))
+                        row, at = np.nonzero(qkeys[:, None] == ck[own][None, :])
+                        d[row, own[at]] = np.inf
+                    idx = d.argmin(axis=1)
+                    dmin = d[rows, idx]
+                    kmin = np.where(np.isfinite(dmin), ck[idx], _BIG)
+                    bd, bk = best[m.name]
+                    better = (dmin < bd) | ((dmin == bd) & (kmin < bk))
+                    best[m.name] = (np.where(better, dmin, bd), np.where(better, kmin, bk))
         if not seen:
             return
         out = {"q_key": qkeys}

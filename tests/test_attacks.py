@@ -214,3 +214,23 @@ def test_predicates_count_the_values_once(spark):
     assert sorted((r.column_name, r.kind, r.syn_key) for r in p.collect()) == [
         ("s", "eq", 1), ("s", "null", 3), ("x", "eq", 1), ("x", "eq", 4), ("x", "ge", 4), ("x", "le", 1)]
     assert p._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_nearest_holds_few_cells_at_once():
+    import tracemalloc
+
+    from synthaudit.operators import nearest as nn
+
+    q = pd.DataFrame({"k": np.arange(1000), "x": np.arange(1000.0)})
+    rng, held = np.random.default_rng(1), []
+    for n in (2_000, 20_000):
+        c = pd.DataFrame({"k": np.arange(n), "x": np.where(np.arange(n) % 9 == 0, np.nan, rng.normal(size=n))})
+        m = Metric("g", (ColSpec("x", "num", 4.0),))
+        step = max(1, nn.MAX_CELLS // len(q))
+        cdata = nn._candidate_columns(c, [m], {})
+        tracemalloc.start()
+        for i in range(0, n, step):
+            nn._distances(m, {"x": q.x.to_numpy()}, cdata, slice(i, i + step))
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert held[1] < 20e6 and held[1] < 1.5 * held[0]
