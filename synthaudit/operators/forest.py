@@ -51,6 +51,7 @@ GROUP_ROWS = 200_000
 ROWS_AT_ONCE = 200_000_000
 TOP_LEAVES = 1000              # also the base in which node numbers are written
 ROUNDS = 6
+DEALT_AT_ONCE = 1_000_000      # rows times trees that a task deals out at once: few, large blocks
 VOTES_AT_ONCE = 100_000        # votes of a batch sent back by a task
 SMALL_FOREST = 32_000_000      # bytes of all trees of a batch that are shipped to the rows to predict
 
@@ -372,6 +373,19 @@ def _members(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield forest, parent[member == forest]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _deal(batches: Iterator[pa.RecordBatch], trees: range, seed: int, tops, keep: dict | None, a: int, b: int,
           schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Packed blocks of rows for each (forest, tree, node), or only their
@@ -380,7 +394,7 @@ def _deal(batches: Iterator[pa.RecordBatch], trees: range, seed: int, tops, keep
     of their rows."""
     tops = {k: Tree.unpack(v) for k, v in tops.value.items()} if tops is not None else {}
     packed = "h" in schema.names
-    for batch in batches:
+    for batch in _gathered(batches, DEALT_AT_ONCE // len(trees)):
         if not batch.num_rows:
             continue
         training = "label" in batch.schema.names

@@ -224,3 +224,12 @@ def test_forest_rows_are_dealt_evenly(spark, monkeypatch):
     for d in made[:2]:
         n = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
         assert len(n) > 1 and max(n) < 2.5 * 1000 / len(n)
+
+
+def test_rows_are_dealt_in_large_blocks():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"id": [i, i], "v": [[i], []]}) for i in range(10)]
+    got = list(fo._gathered(iter(batches), 6))
+    assert [b.num_rows for b in got] == [6, 6, 6, 2]
+    assert pa.Table.from_batches(got).to_pylist() == pa.Table.from_batches(batches).to_pylist()
