@@ -12,6 +12,6 @@ from pyspark.sql import functions as F
 from synthaudit.functions.keys import hash_text
 
 
-def hash_uniform(seed, stream: str, row_id: Column) -> Column:
-    bits = F.conv(F.substring(hash_text(seed, F.lit(stream), row_id), 1, 13), 16, 10).cast("double")
+def hash_uniform(seed, stream: str | Column, row_id: Column) -> Column:
+    bits = F.conv(F.substring(hash_text(seed, stream, row_id), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / float(2 ** 52)

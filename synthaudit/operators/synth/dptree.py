@@ -412,13 +412,16 @@ class DPTree(Synthesizer):
     def _sample(self, n: int, seed: int) -> DataFrame:
         key, bins, place = self.key, int(self.config["bins"]), {c: j for j, c in enumerate(self.cols)}
         parent = {place[ch]: place[par] for par, ch in self.edges}
-        rows = sample_ids(self.spark, n).select(F.col("id").alias(key))
-        for k, j in enumerate([0] + [place[ch] for _, ch in self.edges]):
+        order = [0] + [place[ch] for _, ch in self.edges]
+        # the draws as one array: written out, they and the joins make one method too long for the JVM to compile
+        streams = [f"dptree|{self.cols[j]}" for j in order] + [f"dptree-bin|{c}" for c in self.nums]
+        draws = F.transform(F.array(*[F.lit(s) for s in streams]), lambda s: hash_uniform(seed, s, F.col("id")))
+        rows = sample_ids(self.spark, n).select(F.col("id").alias(key), draws.alias("__draws"))
+        for k, j in enumerate(order):
             own = self.shares.where(F.col("child") == j).select("parent_code", "cell", "lo", "hi", F.col("code").alias(f"c{j}"))
             if self.sizes[j] * (self.sizes[parent[j]] if j in parent else 1) <= SMALL_TABLE:
                 own = F.broadcast(own)
-            u = hash_uniform(seed, f"dptree|{self.cols[j]}", F.col(key))
-            rows = rows.withColumn("__u", u)
+            rows = rows.withColumn("__u", F.col("__draws")[k])
             given = F.col(f"c{parent[j]}") if j in parent else F.lit(0).cast("long")
             rows = rows.join(own, (given == F.col("parent_code")) & (F.floor(F.col("__u") * self.sizes[j]) == F.col("cell"))
                              & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))).drop("parent_code", "cell", "lo", "hi", "__u")
@@ -427,10 +430,10 @@ class DPTree(Synthesizer):
         for c in self.cats:
             rows = rows.join(self._domain_of(c, "__code", f"__t{place[c]}"), F.col(f"c{place[c]}") == F.col("__code")).drop("__code")
         out = []
-        for c in self.nums:
+        for i, c in enumerate(self.nums, len(order)):
             lo, hi = self.bounds[c]
             w = (hi - lo) / bins if hi > lo else 0.0
-            x = F.lit(float(lo)) + (F.col(f"c{place[c]}") + hash_uniform(seed, f"dptree-bin|{c}", F.col(key))) * F.lit(float(w))
+            x = F.lit(float(lo)) + (F.col(f"c{place[c]}") + F.col("__draws")[i]) * F.lit(float(w))
             x = F.rint(x) if self.integral[c] else x
             out.append(F.when(F.col(f"c{place[c]}") < bins, x).alias(c))
         out += [F.nullif(F.col(f"__t{place[c]}"), F.lit(NULL_CODE)).alias(c) for c in self.cats]
