@@ -113,6 +113,41 @@ def test_oversized_nodes_are_split_on_samples(spark):
     assert {(r.label, r.share) for r in forest_votes(pure, pure, 2, 2, 11, trees=3, group_rows=300).collect()} == {(6, 3.0)}
 
 
+def test_large_nodes_are_split_on_all_rows(spark, monkeypatch):
+    """Trees do not depend on the size of groups: no split comes from a sample, no large node is given up."""
+    df, y = _frames(spark, 2000, noise=0.3)
+    df = df.withColumns({
+        "numbers": F.array(F.col("numbers")[0], F.col("numbers")[1], F.when(F.col("id") % 5 == 0, -0.0).otherwise(0.0),
+                           F.when(F.col("id") < 800, F.lit(float("inf"))).otherwise(F.floor(F.col("id") / 400).cast("double"))),
+        "forests": F.when(F.col("id") % 4 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("forests")),
+        "label": F.when(F.col("id") % 11 == 0, 40 + F.col("id") % 7).otherwise(F.col("label"))})
+    key = lambda v: sorted((r.forest, r.id, r.label, round(r.share, 9)) for r in v.collect())       # noqa: E731
+    whole = key(forest_votes(df, df, 4, 2, 11, trees=2))
+    assert whole == key(forest_votes(df, df, 4, 2, 11, trees=2, group_rows=250))
+    monkeypatch.setattr(fo, "SMALL_FOREST", 0)             # rows whole in the tasks, then sent to the subtrees
+    assert whole == key(forest_votes(df, df, 4, 2, 11, trees=2))
+    shallow = key(forest_votes(df, df, 4, 2, 11, trees=2, depth=2))
+    assert shallow == key(forest_votes(df, df, 4, 2, 11, trees=2, depth=2, group_rows=250)) != whole
+    # dummies only, many of them in every row of a node: the one feature that still splits is found
+    flat = df.withColumns({"numbers": F.array().cast("array<double>"), "levels": F.array(
+        (1 + F.col("id") % 2).cast("int"), F.when(F.col("id") % 40 < 39, F.lit(9)).otherwise(11).cast("int"))})
+    assert key(forest_votes(flat, flat, 0, 2, 11, trees=2)) == key(forest_votes(flat, flat, 0, 2, 11, trees=2, group_rows=2))
+
+
+def test_equal_rows_are_one_in_a_group():
+    x, g, rng = _rows(400)
+    x, g, y = np.repeat(x.round(), 5, axis=0), np.repeat(g, 5, axis=0), np.repeat(rng.integers(0, 3, 400), 5)
+    x[::7] *= -1.0                              # also -0.0
+    order, start = fo._alike(x, g, y)
+    rows = [tuple(v) for v in np.column_stack([x + 0.0, g, y])]
+    assert len(start) == len(set(rows)) and sorted(order.tolist()) == list(range(2000))
+    w = rng.integers(1, 4, 2000)
+    whole = grow(x, g, y, w, 11, seed=3)
+    one = grow(x[order[start]], g[order[start]], y[order[start]], np.add.reduceat(w[order], start), 11, seed=3)
+    assert one.pack() == whole.pack()
+    assert fo._alike(np.arange(10.0)[:, None], np.zeros((10, 0), int)) is None
+
+
 # ------------------------------------------------------------------ labels and levels
 def test_numbers_of_labels_and_levels(spark):
     rows = [(1, "b", "x.1", 1.0), (2, None, "a", None), (3, "b", None, float("nan")), (4, "a", "é", 3.0), (5, "nan", "B", 4.0)]
