@@ -206,12 +206,14 @@ class Top:
 class _Level:
     """The impure nodes of one level with their rows, node after node: ``q`` is
     the node of a row, ``r`` its number in ``x``, ``rank`` and ``g`` (one array
-    a column), ``own`` the weight of the row's class in its node, ``counts``
-    (node, class) these weights where there are few classes."""
+    a column), as it is for ``y`` and ``w``, ``own`` the weight of the row's
+    class in its node.  Where there are few classes, ``packed`` has the weight
+    of the row in the ``bits`` of its class, and ``counts`` the weights of the
+    classes (one array each) in the nodes; ``own`` is not used then."""
 
-    def __init__(self, q, r, x, rank, distinct, g, y, w, classes, dummies, weight, squares, own, counts):
+    def __init__(self, q, r, x, rank, distinct, g, y, w, classes, dummies, weight, squares, own, packed, bits, counts):
         self.q, self.r, self.x, self.rank, self.distinct, self.g, self.y, self.w = q, r, x, rank, distinct, g, y, w
-        self.classes, self.dummies, self.counts = classes, dummies, counts
+        self.classes, self.dummies, self.packed, self.bits, self.counts = classes, dummies, packed, bits, counts
         self.weight, self.squares, self.own = weight, squares, own      # weight and squared class weights of nodes
 
     def _offer(self, best, q, score, feature, threshold):
@@ -238,25 +240,26 @@ class _Level:
         q = self.q[rows]                                   # sorting does not change it
         order, key = _sorted(q * np.int64(self.distinct[f]) + self.rank[f][self.r[rows]], len(self.weight) * self.distinct[f])
         rows = rows[order]
-        y, w = self.y[rows], self.w[rows]
-        cut = np.flatnonzero((q[:-1] == q[1:]) & (key[:-1] != key[1:]))
+        cut = np.flatnonzero((key[1:] != key[:-1]) & (q[1:] == q[:-1]))
         if not len(cut):
             return
         qc = q[cut]
         begins = _begins(q)
         if self.counts is not None:
-            start = np.flatnonzero(begins)
-            of = (np.cumsum(begins) - 1)[cut]
+            start, base = np.flatnonzero(begins), np.zeros(len(self.weight), np.int64)
+            total = np.cumsum(self.packed[rows])
+            base[q[start[1:]]] = total[start[1:] - 1]
+            total = total[cut] - base[qc]
             wl, sl, sr = np.zeros(len(cut)), np.zeros(len(cut)), np.zeros(len(cut))
             for k in range(self.classes):
-                total = np.cumsum(np.where(y == k, w, 0.0))
-                c = total[cut] - np.where(start > 0, total[start - 1], 0.0)[of]
+                c = ((total >> (k * self.bits)) & ((1 << self.bits) - 1)).astype(np.float64)
                 wl += c
                 sl += c * c
-                c = self.counts[qc, k] - c
+                c = self.counts[k][qc] - c
                 sr += c * c
         else:
             # weight of the row's class to its left, by runs of (node, class)
+            y, w = self.y[self.r[rows]], self.w[self.r[rows]]
             both = q * np.int64(self.classes) + y
             by_class = np.argsort(both, kind="stable")
             before = np.empty(len(rows))
@@ -279,19 +282,22 @@ class _Level:
         if not len(rows):
             return
         group = self.q[rows] * np.int64(self.dummies + 1) + level[rows]
-        key = group * self.classes + self.y[rows]
+        y, w = self.y[self.r[rows]], self.w[self.r[rows]]
+        key = group * self.classes + y
         cells = len(self.weight) * (self.dummies + 1) * self.classes
         if self.counts is not None and cells <= 8 * len(rows):
-            c = np.bincount(key, self.w[rows], cells)      # weight of (node, level, class)
+            c = np.bincount(key, w, cells)                 # weight of (node, level, class)
             key = np.flatnonzero(c)
             c, group = c[key], key // self.classes
-            own = self.counts[group // (self.dummies + 1), key % self.classes]
+            own = np.stack(self.counts)[key % self.classes, group // (self.dummies + 1)]
         else:
             order, key = _sorted(key, cells)
-            rows, group = rows[order], group[order]
             start = np.flatnonzero(_begins(key))
-            c = np.add.reduceat(self.w[rows], start)
-            group, own = group[start], self.own[rows[start]]
+            c = np.add.reduceat(w[order], start)
+            order = order[start]
+            group = group[order]
+            own = (self.own[rows[order]] if self.counts is None
+                   else np.stack(self.counts)[y[order], group // (self.dummies + 1)])
         start = np.flatnonzero(_begins(group))
         w1, s1, t1 = (np.add.reduceat(v, start) for v in (c, c * c, c * own))
         q, d = group[start] // (self.dummies + 1), group[start] % (self.dummies + 1)
@@ -334,7 +340,7 @@ class _Level:
                 key, first, which = np.unique(self.q[here] * np.int64(self.dummies + 1) + level[level > 0],
                                               return_index=True, return_inverse=True)
                 node, level = self.q[here[first]], level[level > 0][first]
-                ok = self.weight[node] - np.bincount(which, self.w[here]) > 1e-9
+                ok = self.weight[node] - np.bincount(which, self.w[self.r[here]]) > 1e-9
                 if ok.any():
                     offer(node[ok], self.x.shape[1] + level[ok] - 1)
         return found
@@ -369,16 +375,24 @@ def grow(x: np.ndarray, g: np.ndarray, y: np.ndarray, w: np.ndarray, dummies: in
     path = _root(seed) if path is None else path           # of the nodes of this level
     first, total, level = 0, 1, 0                 # number of this level's first node, nodes so far
     rows, q = np.arange(n), np.zeros(n, np.int64)          # rows node after node
+    bits = int(w.sum()).bit_length()
+    few = bits * classes <= 63
+    if few:
+        packed = w.astype(np.int64) << (y * bits)
+        size = np.array([n])
     while len(rows):
-        nodes = len(path)
-        key = q * np.int64(classes) + y[rows]
-        dense = classes <= 8 or nodes * classes <= 4 * len(rows)
-        if dense:
-            counts = np.bincount(key, w[rows], nodes * classes)
-            at = np.flatnonzero(counts)
-            c, cq, cy = counts[at], at // classes, at % classes
-            own = counts[key]
+        nodes, own = len(path), None
+        if few:                                            # one sum over the rows gives the weights of all classes
+            of_row = packed[rows]
+            end = np.cumsum(size)
+            total_weight = np.cumsum(of_row)[end - 1]      # no node is empty
+            total_weight[1:] -= total_weight[:-1].copy()
+            counts = [((total_weight >> (k * bits)) & ((1 << bits) - 1)).astype(np.float64) for k in range(classes)]
+            flat = np.stack(counts, axis=1).reshape(-1)
+            at = np.flatnonzero(flat)
+            c, cq, cy = flat[at], at // classes, at % classes
         else:
+            key = q * np.int64(classes) + y[rows]
             order = np.argsort(key, kind="stable")
             rows, key = rows[order], key[order]
             start = np.flatnonzero(_begins(key))
@@ -393,9 +407,9 @@ def grow(x: np.ndarray, g: np.ndarray, y: np.ndarray, w: np.ndarray, dummies: in
         if grows.any():
             number = np.cumsum(grows) - 1
             keep = grows[q]
-            r = rows[keep]
-            here = _Level(number[q[keep]], r, x, rank, distinct, columns, y[r], w[r], classes, dummies, weight[grows],
-                          squares[grows], own[keep], counts.reshape(nodes, classes)[grows] if classes <= 8 else None)
+            here = _Level(number[q[keep]], rows[keep], x, rank, distinct, columns, y, w, classes, dummies, weight[grows],
+                          squares[grows], None if few else own[keep], of_row[keep] if few else None, bits,
+                          [v[grows] for v in counts] if few else None)
             ways = path[grows]
             limit = _limits(ways, p)
             if p <= 512 and len(ways) * p <= 1 << 26:
@@ -451,23 +465,28 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 13.0)])))
 
 
-def _mixed(h: np.ndarray, *numbers: int) -> np.ndarray:
-    """A draw in [0, 1) for each row hash and the numbers."""
-    with np.errstate(over="ignore"):
-        state = np.uint64(0)
-        for k in numbers:
-            state = (state ^ np.uint64(k)) * _K1 + _K2
-        return _uniform(h.astype(np.uint64) ^ state, np.full(1, numbers[-1] & 0xFFFF))
+#: the same in steps of 2 ** -53, rounded up
+_STEPS = np.ceil(_POISSON * float(1 << 53)).astype(np.uint64)
 
 
 def _weights(h: np.ndarray, seed: int, forest: int, tree: int) -> np.ndarray:
-    """The bootstrap weights of rows: Poisson draws of mean 1."""
-    u = _mixed(h, seed, forest, tree)
-    out = np.zeros(len(u), np.uint8)
-    for p in _POISSON[:3]:
-        out += u >= p
-    many = np.flatnonzero(out == 3)
-    out[many] = np.searchsorted(_POISSON, u[many], "right")
+    """The bootstrap weights of rows: Poisson draws of mean 1 by a hash of row, forest and tree."""
+    with np.errstate(over="ignore"):
+        state = np.uint64(0)
+        for k in (seed, forest, tree):
+            state = (state ^ np.uint64(k)) * _K1 + _K2
+        state ^= np.uint64(tree & 0xFFFF) * _K1
+        out = np.empty(len(h), np.uint8)
+        for i in range(0, len(h), ROUTED_AT_ONCE):         # a block at a time stays in the cache
+            u = h[i:i + ROUTED_AT_ONCE].view(np.uint64) ^ state
+            u *= _K2
+            u ^= u >> np.uint64(29)
+            u *= _K1
+            u >>= np.uint64(11)
+            weight = (u >= _STEPS[0]).view(np.uint8) + (u >= _STEPS[1]).view(np.uint8) + (u >= _STEPS[2]).view(np.uint8)
+            many = np.flatnonzero(weight == 3)
+            weight[many] = np.searchsorted(_STEPS, u[many], "right")
+            out[i:i + ROUTED_AT_ONCE] = weight
     return out
 
 
@@ -550,11 +569,11 @@ def _deal(batches: Iterator[pa.RecordBatch], trees: range, seed: int, tops, a: i
         training = y is not None
         for forest, mine in _members(batch):
             at = np.flatnonzero(_begins(group[mine])) if group is not None else None
-            blocks, held = [], 0
+            hashes, blocks, held = h[mine], [], 0
             for tree in trees:
                 rows = mine
                 if training:
-                    weight = _weights(h[mine], seed, forest, tree)
+                    weight = _weights(hashes, seed, forest, tree)
                     if at is not None:
                         rows, weight = mine[at], np.add.reduceat(weight, at, dtype=np.int64)
                     rows, weight = rows[weight > 0], weight[weight > 0]
@@ -1193,7 +1212,9 @@ def forest_votes(train: DataFrame, test: DataFrame, numbers: int, text_columns:
 
         own = "x binary, g binary, y binary, w binary, least long, most long"
         settled: set = set()                     # large nodes that become leaves
-        while most_grown > group_rows:
+        # rows of a tree, at most and about: each block has each kind of row once
+        dealt_rows = 1.2 * unlike * (tasks + sum(grown_rows.values()) // DEALT_ROWS)
+        while min(most_grown, dealt_rows) > group_rows:
             big = (dealt(train, "least long, most long").groupBy(by).agg(
                 F.sum("n").alias("n"), (F.min("least") == F.max("most")).alias("pure")).where(F.col("n") > group_rows).collect())
             todo = set()                         # at most rows * trees / group_rows
